@@ -1,6 +1,6 @@
 """Operators that prepare training corpora; nothing else in the library imports them."""
 
-from . import chat_format, piece_coding, secret_scan, sharding, simhash, warc_store
+from . import chat_format, media_sequence, mixing, piece_coding, quality_rules, secret_scan, sharding, simhash, toxicity, warc_store
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -8,6 +8,15 @@ QUERIES = {
     "op3_lpt_sharding": sharding.query,
     "op4_secret_scan": secret_scan.query,
     "op5_simhash": simhash.query,
+    "op6_media_sequence": media_sequence.query,
+    "op7_mixing": mixing.query,
+    "op8_quality_rules": quality_rules.query,
+    "op9_toxicity": toxicity.query,
     "op10_piece_coding": piece_coding.query,
 }
-ORACLES = {"op1_chat_format": chat_format.SQL, "op2_warc_store": warc_store.SQL}
+ORACLES = {
+    "op1_chat_format": chat_format.SQL,
+    "op2_warc_store": warc_store.SQL,
+    "op7_mixing": mixing.SQL,
+    "op8_quality_rules": quality_rules.SQL,
+}
