@@ -1,4 +1,728 @@
-"""The registered queries and their SQL, by name."""
+"""The registered queries and their SQL, by name.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Names begin with the operator's id. Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import entity_rules as E
+from ..functions import ocr_rules as R
+from ..functions import text as T
+from ..operators import anonymise, cleaning, curation, detection, identity, lines, omissions, parties, spans
+from ..sources import files, sinks, tables
+from . import corpus as C
+from . import sqltext as Q
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+CASES, ENTITIES, SPANS, BOXES = C.case_files(), C.entity_table(), C.span_table(), C.word_boxes()
+WITH_CASES = f"WITH c AS ({CASES})"
+WITH_ENTITIES = f"WITH e AS ({ENTITIES})"
+#: A short list of words that name nobody, for the queries; operators take any.
+BLOCK_LIST = frozenset("madame monsieur maitre mme me selon par avocat societe dossier siren paris sarl le la les fin nouvelle suite articles pour avec cour tribunal".split())
+BLOCK_SQL = "(VALUES " + ", ".join(f"('{w}')" for w in sorted(BLOCK_LIST)) + ") b(word)"
+DICTIONARY = frozenset("au de du la le et lit lits bail dans paris salle barre".split())
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    return C.frame(spark, d, CASES)
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    e = C.frame(spark, d, ENTITIES)
+    return e.withColumn("aliases", F.array("alias_1", "alias_2")).drop("alias_1", "alias_2")
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """Arrays as strings, for comparison."""
+    return df.select(*[F.array_join(c, "|").alias(c) if t == "array<string>" else F.col(c) for c, t in df.dtypes])
+
+
+# ── Text semantics ───────────────────────────────────────────────────────────
+
+
+@register("t1_fold", f"SELECT doc_id, md5({Q.fold('text')}) AS folded FROM documents")
+def t1(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
+
+
+@register("d16_title_case", f"{WITH_CASES} SELECT doc_id, {Q.title('text')} AS title, {Q.value('text')} AS value FROM c")
+def d16(spark, d):
+    return cases(spark, d).select("doc_id", T.title_case(F.col("text")).alias("title"), T.normal_value(F.col("text")).alias("value"))
+
+
+# ── Cleaning ─────────────────────────────────────────────────────────────────
+
+
+def _profile(name: str, fn, rules, trimmed: bool = False) -> None:
+    sql = Q.chain("text", rules)
+    body = f"SELECT doc_id, {Q.trim(sql) if trimmed else sql} AS text FROM"
+    register(f"{name}_cases", f"{WITH_CASES} {body} c")(lambda spark, d: cases(spark, d).select("doc_id", fn(F.col("text")).alias("text")))
+    register(name, f"SELECT doc_id, md5(text) AS text FROM ({body} documents)")(lambda spark, d: docs(spark, d).select("doc_id", F.md5(fn(F.col("text"))).alias("text")))
+
+
+_profile("n1_unicode", cleaning.normalize_unicode, R.UNICODE_RULES)
+_profile("n2_errors", cleaning.fix_common_errors, R.ERROR_RULES)
+_profile("n3_structure", cleaning.clean_structure, R.STRUCTURE_RULES, True)
+_profile("n4_export", cleaning.clean_export, R.EXPORT_RULES)
+
+_NOISE = " + ".join(f"least({3 * w}, {w} * {Q.count('text', p)})" for _, w, p in R.NOISE_RULES)
+
+
+@register("n5_noise_score", f"{WITH_CASES}, s AS (SELECT doc_id, CAST({_NOISE} AS INT) AS score FROM c) SELECT doc_id, score, CASE WHEN score <= 1 THEN 'clean' WHEN score <= 3 THEN 'moyen' ELSE 'bruite' END AS level FROM s")
+def n5(spark, d):
+    score = cleaning.noise_score(cleaning.noise_issues(F.col("text")))
+    return cases(spark, d).select("doc_id", score.alias("score"), cleaning.noise_level(score).alias("level"))
+
+
+@register("n6_level_documents", f"WITH s AS (SELECT doc_id, CAST({_NOISE} AS INT) AS score FROM documents) SELECT CASE WHEN score <= 1 THEN 'clean' WHEN score <= 3 THEN 'moyen' ELSE 'bruite' END AS level, count(*) AS n FROM s GROUP BY 1")
+def n6(spark, d):
+    return docs(spark, d).groupBy(cleaning.noise_level(cleaning.noise_score(cleaning.noise_issues(F.col("text")))).alias("level")).agg(F.count("*").alias("n"))
+
+
+def _line_sql(source: str) -> str:
+    t = Q.trim("line")
+    exotic = f"({Q.count('t', R.EXOTIC)} / greatest(length(t), 1))"
+    words = f"len(list_filter(regexp_extract_all(t, {Q.pattern(R.LONG_WORD)}), lambda w: NOT regexp_matches(w, '{R.VOWEL}')))"
+    crazy = Q.count("t", R.CRAZY_CASE)
+    score = (
+        f"CASE WHEN length(t) < 8 OR regexp_matches(t, {Q.pattern(R.NUMERIC_LINE)}) THEN 0 ELSE CASE WHEN {exotic} > 0.12 THEN 4 WHEN {exotic} > 0.06 THEN 2 ELSE 0 END + 3 * {Q.count('t', R.HARD_RUN)}"
+        f" + CASE WHEN {words} >= 2 THEN 2 * {words} ELSE 0 END + CASE WHEN regexp_matches(t, '{R.FILL}') THEN 4 ELSE 0 END + CASE WHEN {crazy} >= 2 THEN 2 ELSE 0 END END"
+    )
+    return f"l AS (SELECT doc_id, idx, line, {t} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS idx FROM {source})), s AS (SELECT doc_id, CAST(idx AS INT) AS index, line, t, CAST({score} AS INT) AS score FROM l)"
+
+
+_LEVEL = "CASE WHEN score >= 6 THEN 'gibberish' WHEN score >= 3 THEN 'moyen' ELSE 'clean' END"
+
+
+@register("n7_line_score", f"{WITH_CASES}, {_line_sql('c')} SELECT doc_id, index, line, score, {_LEVEL} AS level FROM s")
+def n7(spark, d):
+    s = cleaning.line_score(F.col("line"))
+    return lines.split_lines(cases(spark, d)).select("doc_id", "index", "line", s["lineScore"].alias("score"), s["lineLevel"].alias("level"))
+
+
+_CLEAN = Q.trim(Q.chain(Q.chain(Q.chain("text", R.UNICODE_RULES), R.ERROR_RULES), R.STRUCTURE_RULES))
+
+
+@register(
+    "n8_line_statistics",
+    f"WITH c0 AS ({CASES}), c AS (SELECT doc_id, {_CLEAN} AS text FROM c0), {_line_sql('c')}, k AS (SELECT doc_id, count(*) FILTER (t <> '') AS total, count(*) FILTER (t <> '' AND {_LEVEL} = 'clean') AS clean, count(*) FILTER (t <> '' AND {_LEVEL} = 'moyen') AS moyen, count(*) FILTER (t <> '' AND {_LEVEL} = 'gibberish') AS gibberish FROM s GROUP BY doc_id),"
+    " g AS (SELECT *, CAST(CASE WHEN total > 0 THEN floor((moyen * 2 + gibberish * 5) / total + 0.5) ELSE 0 END AS INT) AS \"globalScore\" FROM k) SELECT *, CASE WHEN \"globalScore\" <= 1 THEN 'clean' WHEN \"globalScore\" <= 3 THEN 'moyen' ELSE 'bruite' END AS \"globalLevel\" FROM g",
+)
+def n8(spark, d):
+    return cleaning.line_statistics(cleaning.scored_lines(cases(spark, d)))
+
+
+@register("n8_scored_lines")
+def n8_lines(spark, d):
+    return listed(cleaning.scored_lines(docs(spark, d)))
+
+
+@register("n9_clean", f"{WITH_CASES} SELECT doc_id, {_CLEAN} AS cleaned FROM c")
+def n9(spark, d):
+    return cleaning.clean_with_scores(cases(spark, d)).select("doc_id", "cleaned")
+
+
+@register("n10_suspicious", f"{WITH_CASES} SELECT doc_id, " + ", ".join(f'{Q.count("text", p)} AS "{n}"' for n, p in R.SUSPICIOUS) + " FROM c")
+def n10(spark, d):
+    s = cleaning.suspicious(F.col("text"))
+    return cases(spark, d).select("doc_id", *[F.size(s[n]).cast("long").alias(n) for n, _ in R.SUSPICIOUS])
+
+
+USER_RULES = [("Dupont", "Durand", True), ("rue", "RUE $1", False), ("durand", "D.", False), ("(n)", "x", False)]
+
+
+def _user_sql() -> str:
+    expr, hits = "text", []
+    for a, b, case_ in USER_RULES:
+        p = "".join("\\" + ch if ch in ".*+?^${}()|[]\\" else ch for ch in a)
+        flag = "" if case_ else "(?i)"
+        hits.append(f"len(regexp_extract_all({expr}, {Q.quote(flag + p)}))")
+        expr = f"regexp_replace({expr}, {Q.quote(flag + p)}, {Q.quote(b)}, 'g')"
+    return f"{WITH_CASES} SELECT doc_id, {expr} AS text, CAST({' + '.join(hits)} AS INT) AS changes FROM c"
+
+
+@register("n11_user_rules", _user_sql())
+def n11(spark, d):
+    rules = F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.lit(c).alias("caseSensitive")) for a, b, c in USER_RULES])
+    return cases(spark, d).select("doc_id", cleaning.apply_user_rules(F.col("text"), rules).alias("r")).select("doc_id", "r.*")
+
+
+@register("n12_word_diff")
+def n12(spark, d):
+    return cases(spark, d).select("doc_id", cleaning.diff_html(F.col("text"), cleaning.clean_text(F.col("text"))).alias("html"))
+
+
+@register("n13_search", "SELECT doc_id, count(*) AS n, CAST(sum(length(m)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\bth[a-z]+')) AS m FROM documents) GROUP BY doc_id")
+def n13(spark, d):
+    found = spans.find_spans(docs(spark, d), r"(?<![A-Za-z0-9_])th[a-z]+")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+# ── Lines and spaces ─────────────────────────────────────────────────────────
+
+_WS = T.render("{s}", "re2")
+
+
+def _suspect_sql(a: str, b: str) -> str:
+    hyphen, ends, word = f"[a-zA-ZÀ-ÖØ-öø-ÿ]-{_WS}*\\z", f"[.?!:;)»\"…—\\]]{_WS}*\\z", f"[a-zA-Z0-9À-ÖØ-öø-ÿ]{_WS}*\\z"
+    civil = f"(?i)\\b(?:Monsieur|Madame|Mademoiselle|Maître|Maitre|Docteur|Professeur|M\\.|Mme\\.?|Me\\.?|Dr\\.?|Pr\\.?){_WS}*\\z"
+    m = lambda x, p: f"regexp_matches({x}, {Q.quote(p)})"
+    return f"({m(a, hyphen)} OR {m(a, civil)} OR (NOT {m(a, ends)} AND ({m(Q.trim(b), lines.STARTS_LOWER)} OR {m(Q.trim(a), word)})))"
+
+
+_SPLIT = "ln AS (SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS index, unnest(string_split(text, chr(10))) AS line FROM {})"
+
+
+@register(
+    "l1_suspect_pairs",
+    f"{WITH_CASES}, {_SPLIT.format('c')}, p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY index) AS nxt FROM ln) SELECT doc_id, index FROM p WHERE nxt IS NOT NULL AND {Q.trim('line')} <> '' AND {Q.trim('nxt')} <> '' AND {_suspect_sql('line', 'nxt')}",
+)
+def l1(spark, d):
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("doc_id").orderBy("index")
+    pairs = lines.split_lines(cases(spark, d)).withColumn("nxt", F.lead("line").over(order))
+    return pairs.where(F.col("nxt").isNotNull() & lines.suspect_break(F.col("line"), F.col("nxt"))).select("doc_id", "index")
+
+
+@register(
+    "l2_suspect_breaks",
+    f"""WITH RECURSIVE c AS ({CASES}), {_SPLIT.format('c')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY index) AS r FROM ln WHERE {Q.trim('line')} <> ''),
+    p AS (SELECT a.doc_id, a.r, a.index, b.index AS nxt, {_suspect_sql('a.line', 'b.line')} AS s FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.r = a.r + 1),
+    w AS (SELECT *, TRUE AS tested FROM p WHERE r = 1 UNION ALL SELECT p.*, NOT (w.tested AND w.s AND w.nxt - w.index > 1) FROM w JOIN p ON p.doc_id = w.doc_id AND p.r = w.r + 1)
+    SELECT doc_id, index AS "lineIdx", nxt - index + 1 AS "skipCount" FROM w WHERE tested AND s""",
+)
+def l2(spark, d):
+    return lines.suspect_breaks(lines.split_lines(cases(spark, d)))
+
+
+@register("l3_suspects_with_noise")
+def l3(spark, d):
+    c = cases(spark, d)
+    return lines.suspects_with_noise(lines.suspect_breaks(lines.split_lines(c)), cleaning.scored_lines(c), 2)
+
+
+@register("l6_fix_all_breaks")
+def l6(spark, d):
+    return cases(spark, d).select("doc_id", lines.fix_all_breaks("text").alias("text"))
+
+
+@register("l7_drop_blank_lines", f"{WITH_CASES} SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: {Q.trim('x')} <> ''), chr(10)) AS text FROM c")
+def l7(spark, d):
+    return cases(spark, d).select("doc_id", lines.drop_blank_lines(F.col("text")).alias("text"))
+
+
+@register("p1_spacing_suspects")
+def p1(spark, d):
+    return lines.find_spacing(cases(spark, d), DICTIONARY)
+
+
+@register("p5_overlap_filter", f'WITH s AS ({SPANS}), p AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end") AS b FROM s) SELECT doc_id, start, "end" FROM p WHERE b IS NULL OR start >= b')
+def p5(spark, d):
+    return lines.without_overlaps(C.frame(spark, d, SPANS)).select("doc_id", "start", "end")
+
+
+@register("p6_fix_spacing")
+def p6(spark, d):
+    return lines.fix_spacing(cases(spark, d), DICTIONARY)
+
+
+# ── Detection ────────────────────────────────────────────────────────────────
+
+
+def _typed_sql(source: str, kinds: tuple[str, ...] | None = None) -> str:
+    parts = [
+        f"SELECT doc_id, {k} AS rank, unnest(range(len(m))) AS place, '{t}' AS kind, unnest(m) AS raw FROM (SELECT doc_id, regexp_extract_all(text, {Q.quote(('(?i)' if i else '') + T.render(p, 're2'))}) AS m FROM {source})"
+        for k, (t, p, i) in enumerate(E.PATTERNS)
+        if kinds is None or t in kinds
+    ]
+    return f"raw AS ({' UNION ALL '.join(parts)}), v AS (SELECT doc_id, rank, place, kind, {Q.value('raw')} AS value FROM raw), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY rank, place) AS n FROM v WHERE value <> ''), typed AS (SELECT doc_id, CASE WHEN kind = 'NAISSANCE' THEN 'REF' ELSE kind END AS type, CASE WHEN kind = 'NAISSANCE' THEN '{E.BIRTH_LABEL}' ELSE kind END AS label, value, rank * 1000000 + place AS place FROM k WHERE n = 1)"
+
+
+@register("d2_typed", f"{WITH_CASES}, {_typed_sql('c')} SELECT doc_id, type, label, value FROM typed")
+def d2(spark, d):
+    return detection.typed_matches(cases(spark, d)).select("doc_id", "type", "label", "value")
+
+
+@register("d2_email_documents", f"WITH {_typed_sql('documents', ('EMAIL',))} SELECT doc_id, type, value FROM typed")
+def d2_email(spark, d):
+    return detection.typed_matches(docs(spark, d), kinds=("EMAIL",)).select("doc_id", "type", "value")
+
+
+def _titled_sql() -> str:
+    return f"{WITH_CASES} SELECT doc_id, unnest(regexp_extract_all(text, {Q.pattern(E.TITLED)}, 2)) AS name FROM c"
+
+
+@register("d1_titled_names", _titled_sql())
+def d1(spark, d):
+    return cases(spark, d).select("doc_id", F.explode(detection.matches(F.col("text"), E.TITLED, group=2)).alias("name"))
+
+
+def _words_sql(source: str) -> str:
+    w = T.render(E.TYPOGRAPHIC, "re2")
+    cut = f"regexp_replace(text, {Q.quote(f'([{E.SENTENCE_ENDS}]{_WS}{{0,2}}){w}')}, '\\1x', 'g')"
+    return f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({cut}, {Q.quote(w)})) AS word FROM {source}) GROUP BY doc_id, word"
+
+
+@register("d3_words", _words_sql("documents"))
+def d3(spark, d):
+    return detection.word_counts(docs(spark, d))
+
+
+@register("d14_not_blocked", f"{WITH_CASES}, w AS ({_words_sql('c')}) SELECT w.* FROM w ANTI JOIN {BLOCK_SQL} ON lower(strip_accents(w.word)) = b.word")
+def d14(spark, d):
+    block_list = spark.createDataFrame([(w,) for w in sorted(BLOCK_LIST)], "word string")
+    return detection.not_blocked(detection.word_counts(cases(spark, d)), "word", block_list)
+
+
+@register("d11_near_names", "WITH n AS (SELECT DISTINCT n_regionkey AS k, n_name AS a FROM nation UNION SELECT DISTINCT n_regionkey, n_name[2:] FROM nation) SELECT x.k, x.a, y.a AS b FROM n x JOIN n y ON x.k = y.k AND x.a < y.a AND levenshtein(x.a, y.a) <= 1")
+def d11(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name"))
+    both = n.union(n.select("k", F.substring("name", F.lit(2), F.length("name"))))
+    return detection.near_names(both, "name", "k")
+
+
+@register("d_detect")
+def detect(spark, d):
+    return listed(detection.detect_entities(cases(spark, d), BLOCK_LIST))
+
+
+@register("d_detect_documents")
+def detect_documents(spark, d):
+    return listed(detection.detect_entities(docs(spark, d), BLOCK_LIST))
+
+
+# ── Identity ─────────────────────────────────────────────────────────────────
+
+_KEYED = f"{WITH_ENTITIES}, k AS (SELECT *, {Q.fold('value')} AS f FROM e)"
+_BARE = "trim(regexp_replace({} || ' ', {}, ''))"
+_BARE_KEY = _BARE.format(Q.fold("value"), Q.quote(identity._TITLES_RX))
+_PARTICLES = ", ".join("'" + p.replace("'", "''") + "'" for p in sorted(E.PARTICLES))
+_SURNAME = f"coalesce(list_filter(string_split({_BARE_KEY}, ' '), lambda p: p NOT IN ({_PARTICLES}) AND p <> '')[-1], '')"
+
+
+@register("i3_exact_duplicates", f"{_KEYED} SELECT doc_id, type, arg_min(value, ord) AS value, min(ord) AS ord, max(occurrences) AS occurrences FROM k GROUP BY doc_id, type, f")
+def i3(spark, d):
+    return identity.exact_duplicates(entities(spark, d)).drop("aliases")
+
+
+@register(
+    "i5_attach_singles",
+    f"{WITH_ENTITIES}, k AS (SELECT doc_id, ord, value, {_BARE_KEY} AS key, {_SURNAME} AS s FROM e WHERE type = 'NOM'), n AS (SELECT *, len(string_split(key, ' ')) AS words FROM k), f AS (SELECT DISTINCT doc_id, key, s FROM n WHERE words >= 2), a AS (SELECT doc_id, s, min(key) AS owner FROM f GROUP BY doc_id, s HAVING count(*) = 1) SELECT n.doc_id, ord, value, owner FROM n LEFT JOIN a ON a.doc_id = n.doc_id AND a.s = n.key AND n.words = 1",
+)
+def i5(spark, d):
+    return identity.attach_singles(entities(spark, d).where("type = 'NOM'"))
+
+
+@register("i8_ambiguous_aliases")
+def i8(spark, d):
+    return listed(identity.ambiguous_aliases(entities(spark, d)))
+
+
+@register("i9_surname_groups", f"{WITH_ENTITIES}, k AS (SELECT doc_id, ord, value, {_SURNAME} AS surname FROM e) SELECT doc_id, surname, count(*) AS n, string_agg(value, '|' ORDER BY ord) AS members FROM k WHERE length(surname) >= 2 GROUP BY doc_id, surname HAVING count(*) >= 2")
+def i9(spark, d):
+    return listed(identity.surname_groups(entities(spark, d)))
+
+
+_PARTIES = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'demandeurs' ELSE 'defendeurs' END AS side, CAST(c_custkey AS INT) AS ordre, CAST(c_custkey AS STRING) AS entity_id FROM customer WHERE c_acctbal > 5000"
+
+
+@register("i10_apply_parties", f"{WITH_ENTITIES}, p AS ({_PARTIES}) SELECT e.doc_id, e.id, coalesce(CASE side WHEN 'demandeurs' THEN 'DEMANDEUR_' ELSE 'DEFENDEUR_' END || ordre, type) AS type FROM e LEFT JOIN p ON p.doc_id = e.doc_id AND p.entity_id = e.id")
+def i10(spark, d):
+    return identity.apply_parties(entities(spark, d), C.frame(spark, d, _PARTIES)).select("doc_id", "id", "type")
+
+
+@register("i_resolve")
+def resolve(spark, d):
+    c = cases(spark, d)
+    return listed(identity.resolve(c, detection.detect_entities(c, BLOCK_LIST)))
+
+
+# ── Parties and roles ────────────────────────────────────────────────────────
+
+
+@register("r1_parties")
+def r1(spark, d):
+    c = cases(spark, d)
+    return parties.detect_parties(c, detection.detect_entities(c, BLOCK_LIST))
+
+
+_ROLES = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS INT) AS seq, CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'DEMANDEUR' WHEN c_custkey % 3 = 0 THEN 'COUPLE_DEFENDEUR' ELSE 'TEMOIN' END AS role FROM customer WHERE c_acctbal < 0"
+
+
+@register(
+    "r4_roles",
+    f"{WITH_ENTITIES}, r AS ({_ROLES}), now AS (SELECT e.doc_id, x.role, count(*) AS n FROM e JOIN (SELECT DISTINCT doc_id, role FROM r) x ON x.doc_id = e.doc_id AND starts_with(upper(e.type), x.role) GROUP BY ALL), f AS (SELECT r.doc_id, r.id, CASE WHEN r.role = 'TEMOIN' THEN r.role ELSE r.role || '_' || (coalesce(n, 0) + row_number() OVER (PARTITION BY r.doc_id, r.role ORDER BY seq)) END AS t FROM r LEFT JOIN now ON now.doc_id = r.doc_id AND now.role = r.role) SELECT e.doc_id, e.id, coalesce(f.t, e.type) AS type FROM e LEFT JOIN f ON f.doc_id = e.doc_id AND f.id = e.id",
+)
+def r4(spark, d):
+    return parties.assign_roles(entities(spark, d), C.frame(spark, d, _ROLES)).select("doc_id", "id", "type")
+
+
+@register("r5_initials")
+def r5(spark, d):
+    e = entities(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: F.element_at(F.split(x["value"], " "), 1)).alias("names"))
+    return e.select("doc_id", F.array_join(anonymise.assign_initials("names"), "|").alias("initials"))
+
+
+# ── Anonymisation ────────────────────────────────────────────────────────────
+
+_PREFIX = "CASE WHEN upper(type) = 'PRENOM' THEN NULL WHEN type IN ('NOM', 'ENTITE', 'ADRESSE', 'REF', 'AUTRE', 'COUPLE') THEN type ELSE coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(upper(trim(type)), '[^A-Z0-9]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'VAL') END"
+_NUMBERED = f"{WITH_ENTITIES}, p AS (SELECT *, {_PREFIX} AS prefix FROM e WHERE active AND NOT blocked AND {Q.squeeze('value')} <> ''), n AS (SELECT *, CASE WHEN prefix IS NOT NULL THEN '[' || prefix || '_' || row_number() OVER (PARTITION BY doc_id, prefix ORDER BY ord) || ']' END AS placeholder FROM p)"
+
+
+@register("a2_numbering", f"{_NUMBERED} SELECT doc_id, ord, value, type, placeholder FROM n")
+def a2(spark, d):
+    return anonymise.number_placeholders(entities(spark, d)).select("doc_id", "ord", "value", "type", "placeholder")
+
+
+_HEAD = "(?i)" + T.render(E.TITLE_HEAD, "re2")
+_TITLE_LIST = ", ".join(f"'{t}'" for t in sorted(E.TITLE_WORDS))
+_STRIP = Q.squeeze(f"regexp_replace({Q.squeeze('v')}, {Q.quote(_HEAD)}, '')")
+
+
+@register(
+    "a3_rules",
+    f"{_NUMBERED}, v AS (SELECT doc_id, ord, placeholder, 0 AS at, value AS v FROM n UNION ALL SELECT doc_id, ord, placeholder, 1, alias_1 FROM n UNION ALL SELECT doc_id, ord, placeholder, 2, alias_2 FROM n), s AS (SELECT doc_id, ord, placeholder, at, {_STRIP} AS val FROM v WHERE placeholder IS NOT NULL),"
+    f" u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, placeholder, lower(val) ORDER BY ord, at, val) AS k FROM s WHERE length(val) > 1 AND lower(val) NOT IN ({_TITLE_LIST})), b AS (SELECT doc_id, ord, at, placeholder, val, t.with_title FROM u, (VALUES (TRUE), (FALSE)) t(with_title) WHERE k = 1)"
+    " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(val) DESC, with_title DESC, ord, at) AS INT) AS rule_no, val, placeholder, with_title FROM b",
+)
+def a3(spark, d):
+    return anonymise.plain_rules(anonymise.number_placeholders(entities(spark, d)))
+
+
+def _email_entities(d: DataFrame) -> DataFrame:
+    """E-mail addresses of documents as an entity table."""
+    from pyspark.sql import Window as W
+
+    t = detection.typed_matches(d, kinds=("EMAIL",))
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("place")) - 1
+    empty = F.array().cast("array<string>")
+    return t.select("doc_id", n.cast("int").alias("ord"), "value", "type", "label", F.lit(1).alias("occurrences"), empty.alias("aliases"), F.lit(True).alias("active"), F.lit(False).alias("blocked"), F.lit(None).cast("string").alias("prenom"), empty.alias("prenomVariants"), empty.alias("members"), F.lit(False).alias("isInitiale"), F.lit(None).cast("string").alias("initialeValue"))
+
+
+@register("a9_concordance", f"WITH {_typed_sql('documents', ('EMAIL',))} SELECT doc_id, '[EMAIL_' || row_number() OVER (PARTITION BY doc_id ORDER BY place) || ']' AS placeholder, value, type FROM typed")
+def a9(spark, d):
+    t = docs(spark, d)
+    return anonymise.concordance(anonymise.anonymise(t, _email_entities(t))).select("doc_id", "placeholder", "value", "type")
+
+
+@register("a8_anonymise")
+def a8(spark, d):
+    c = cases(spark, d)
+    r = anonymise.anonymise(c, detection.detect_entities(c, BLOCK_LIST))
+    return r.select("doc_id", "anonymized", F.array_join("initiales", "|").alias("initiales"), F.size("concordance").alias("n_rows"))
+
+
+REDACTED = [("Dupont", "[SUPPRIMÉ]"), ("rue de Vaugirard", "████████"), ("exemple-droit", "")]
+
+
+def _redact_sql() -> str:
+    expr = "text"
+    for w, new in REDACTED:
+        p = "".join("\\" + ch if ch in ".*+?^${}()|[]\\" else ch for ch in w).replace(" ", T.render("[{ws},\\-]+", "re2"))
+        expr = f"regexp_replace({expr}, {Q.quote('(?i)' + p)}, {Q.quote(new)}, 'g')"
+    return f"{WITH_CASES} SELECT doc_id, {expr} AS text FROM c"
+
+
+@register("a11_redactions", _redact_sql())
+def a11(spark, d):
+    cuts = F.array(*[F.struct(F.lit(a).alias("word"), F.lit(b).alias("replacement")) for a, b in REDACTED])
+    return cases(spark, d).select("doc_id", anonymise.redact_all(F.col("text"), cuts).alias("text"))
+
+
+@register("a12_redaction_counts", f"{WITH_CASES} SELECT doc_id, 'Dupont' AS word, 'all' AS scope, CAST(len(regexp_extract_all(text, '(?i)Dupont')) AS INT) AS n FROM c")
+def a12(spark, d):
+    c = cases(spark, d)
+    return anonymise.redaction_counts(c, c.select("doc_id", F.lit("Dupont").alias("word"), F.lit("all").alias("scope")))
+
+
+@register("a13_pipeline")
+def a13(spark, d):
+    c = cases(spark, d)
+    found = detection.detect_entities(c, BLOCK_LIST)
+    cuts = c.select("doc_id", F.lit(0).alias("ord"), F.lit("Dupont").alias("word"), F.lit("[SUPPRIMÉ]").alias("replacement"), F.lit("current").alias("scope"), F.lit(40).alias("position"))
+    left = omissions.find_omissions(c, found, cuts.select("doc_id", "word")).groupBy("doc_id").agg(F.count("*").alias("omissions"))
+    done = anonymise.anonymise(c, found, cuts)
+    return done.join(left, "doc_id", "left").select("doc_id", "anonymized", F.coalesce("omissions", F.lit(0)).alias("omissions"))
+
+
+# ── Omissions ────────────────────────────────────────────────────────────────
+
+
+@register("o1_post_codes", f"{WITH_CASES} SELECT doc_id, unnest(regexp_extract_all(text, {Q.pattern(E.OMISSIONS[2][2])})) AS value FROM c")
+def o1(spark, d):
+    return cases(spark, d).select("doc_id", F.explode(detection.matches(F.col("text"), E.OMISSIONS[2][2])).alias("value"))
+
+
+@register("o2_omissions")
+def o2(spark, d):
+    c = cases(spark, d)
+    return omissions.find_omissions(c, detection.detect_entities(c, BLOCK_LIST)).select("doc_id", "ord", "cat", "type", "value", F.col("occurrences")[0]["ctx"].alias("ctx"))
+
+
+@register("o3_omission_panel")
+def o3(spark, d):
+    c = cases(spark, d)
+    return omissions.find_omissions(c, detection.detect_entities(c, BLOCK_LIST), panel=True).select("doc_id", "ord", "cat", "value", F.size("occurrences").alias("n"), "parentEntity")
+
+
+@register("o4_add_omissions")
+def o4(spark, d):
+    c = cases(spark, d)
+    found = detection.detect_entities(c, BLOCK_LIST)
+    chosen = omissions.find_omissions(c, found).select("doc_id", F.col("ord").alias("seq"), "value", "type")
+    return listed(omissions.add_omissions(found, chosen))
+
+
+# ── Curation ─────────────────────────────────────────────────────────────────
+
+
+@register("c1_view", f"{WITH_ENTITIES} SELECT doc_id, id, value FROM e WHERE type = 'NOM' AND (contains(lower(value), 'dup') OR contains(lower(alias_1), 'dup') OR contains(lower(alias_2), 'dup'))")
+def c1(spark, d):
+    return curation.view(entities(spark, d), "NOM", "Dup", True).select("doc_id", "id", "value")
+
+
+@register("c2_counts", f"{WITH_ENTITIES} SELECT doc_id, count(*) FILTER (active) AS active, count(*) AS total FROM e GROUP BY doc_id")
+def c2(spark, d):
+    return curation.counts(entities(spark, d))
+
+
+_CHOSEN = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS STRING) AS id FROM customer WHERE c_mktsegment = 'BUILDING'"
+
+
+@register("c3_toggle", f"{WITH_ENTITIES}, x AS ({_CHOSEN}) SELECT e.doc_id, e.id, CASE WHEN x.id IS NULL THEN active ELSE NOT active END AS active FROM e LEFT JOIN x ON x.doc_id = e.doc_id AND x.id = e.id")
+def c3(spark, d):
+    return curation.toggle(entities(spark, d), C.frame(spark, d, _CHOSEN)).select("doc_id", "id", "active")
+
+
+@register("c4_block", f"{WITH_ENTITIES}, x AS ({_CHOSEN}), g AS (SELECT e.* FROM e SEMI JOIN x ON x.doc_id = e.doc_id AND x.id = e.id), w AS (SELECT value AS w FROM g UNION ALL SELECT alias_1 FROM g UNION ALL SELECT alias_2 FROM g) SELECT DISTINCT strip_accents({Q.trim('lower(w)')}) AS word FROM w")
+def c4(spark, d):
+    e = entities(spark, d)
+    return curation.block(e, spark.createDataFrame([], "word string"), C.frame(spark, d, _CHOSEN))[1]
+
+
+@register("c5_delete", f"{WITH_ENTITIES}, x AS ({_CHOSEN}) SELECT e.doc_id, e.id FROM e ANTI JOIN x ON x.doc_id = e.doc_id AND x.id = e.id")
+def c5(spark, d):
+    return curation.delete(entities(spark, d), C.frame(spark, d, _CHOSEN)).select("doc_id", "id")
+
+
+@register("c6_bulk_to_block_list", f"{WITH_ENTITIES} SELECT doc_id, id FROM e WHERE active")
+def c6(spark, d):
+    return curation.bulk_to_block_list(entities(spark, d), spark.createDataFrame([], "word string"), "unchecked")[0].select("doc_id", "id")
+
+
+@register("c7_bulk_remove", f"{WITH_ENTITIES} SELECT doc_id, id FROM e WHERE type <> 'ENTITE'")
+def c7(spark, d):
+    return curation.bulk_remove(entities(spark, d), "type", "ENTITE").select("doc_id", "id")
+
+
+@register(
+    "c8_merge",
+    f"{WITH_ENTITIES}, m AS (SELECT *, id = first_value(id) OVER (PARTITION BY doc_id ORDER BY ord) AS canonical FROM e WHERE type = 'DEMANDEUR_1') SELECT doc_id, id, value FROM e WHERE type <> 'DEMANDEUR_1' UNION ALL SELECT doc_id, id, value FROM m WHERE canonical",
+)
+def c8(spark, d):
+    from pyspark.sql import Window as W
+
+    e = entities(spark, d)
+    g = e.where("type = 'DEMANDEUR_1'").select("doc_id", "id", F.lit(1).alias("group_no"), (F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) == 1).alias("canonical"))
+    return curation.merge(e, g).select("doc_id", "id", "value")
+
+
+@register("c9_aliases", f"{WITH_ENTITIES}, x AS ({_CHOSEN}) SELECT e.doc_id, e.id, concat_ws('|', alias_1, CASE WHEN x.id IS NULL THEN alias_2 END) AS aliases FROM e LEFT JOIN x ON x.doc_id = e.doc_id AND x.id = e.id")
+def c9(spark, d):
+    e = entities(spark, d)
+    gone = e.join(C.frame(spark, d, _CHOSEN), ["doc_id", "id"]).select("doc_id", "id", F.col("aliases")[1].alias("alias"))
+    return listed(curation.remove_alias(e, gone).select("doc_id", "id", "aliases"))
+
+
+_TYPE_ID = "coalesce(nullif(regexp_replace(regexp_replace(upper(strip_accents({})), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'CUSTOM')"
+
+
+@register("c10_types", f"{WITH_ENTITIES} SELECT DISTINCT {_TYPE_ID.format('type')} AS id, type AS label FROM e")
+def c10(spark, d):
+    return curation.add_types(spark.createDataFrame([], "id string, label string"), entities(spark, d).select("label").distinct())
+
+
+_MANUAL = "SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(c_custkey AS INT) AS seq, CASE WHEN c_custkey % 2 = 0 THEN 'dupont' ELSE c_name END AS value, 'NOM' AS type FROM customer WHERE c_acctbal > 9000"
+
+
+@register(
+    "c11_manual",
+    f"{WITH_ENTITIES}, m AS ({_MANUAL}), n AS (SELECT m.*, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY seq) AS k FROM m ANTI JOIN e ON e.doc_id = m.doc_id AND lower(e.value) = lower(m.value)), f AS (SELECT doc_id, min(ord) AS first FROM e GROUP BY doc_id) SELECT doc_id, ord, value FROM e UNION ALL SELECT n.doc_id, CAST(coalesce(first, 0) - row_number() OVER (PARTITION BY n.doc_id ORDER BY seq) AS INT), value FROM n LEFT JOIN f ON f.doc_id = n.doc_id WHERE k = 1",
+)
+def c11(spark, d):
+    return curation.add_manual(entities(spark, d), C.frame(spark, d, _MANUAL)).select("doc_id", "ord", "value")
+
+
+@register("c14_run_analysis")
+def c14(spark, d):
+    c = cases(spark, d)
+    found = detection.detect_entities(c, BLOCK_LIST)
+    return listed(curation.append_new(found, identity.resolve(c, found)))
+
+
+@register(
+    "s15_merge_concordance",
+    f"{WITH_ENTITIES}, m AS ({_MANUAL}), n AS (SELECT m.*, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY seq) AS k FROM m ANTI JOIN e ON e.doc_id = m.doc_id AND lower(e.value) = lower(m.value)), u AS (SELECT DISTINCT doc_id, lower(value) AS low FROM m) SELECT e.doc_id, e.value, concat_ws('|', alias_1, alias_2, CASE WHEN u.low IS NOT NULL THEN 'nouvel alias' END) AS aliases FROM e LEFT JOIN u ON u.doc_id = e.doc_id AND u.low = lower(e.value) UNION ALL SELECT doc_id, value, 'nouvel alias' FROM n WHERE k = 1",
+)
+def s15(spark, d):
+    rows = C.frame(spark, d, _MANUAL).select("*", F.col("type").alias("label"), F.array(F.lit("nouvel alias")).alias("aliases"))
+    return listed(curation.merge_concordance(entities(spark, d), rows).select("doc_id", "value", "aliases"))
+
+
+# ── Spans and pages ──────────────────────────────────────────────────────────
+
+
+@register("h1_segments")
+def h1(spark, d):
+    c = cases(spark, d)
+    terms = [(1, 0, "Dupont", True), (1, 1, "rue de Vaugirard", True), (3, 0, "dup", False)]
+    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("pass"), F.lit(s).alias("seq"), F.lit(t).alias("term"), F.lit(f).alias("flexible"), F.lit(False).alias("case_sensitive")) for p, s, t, f in terms]))
+    return spans.segment_documents(c, c.select("doc_id", rows.alias("t")).select("doc_id", "t.*"))
+
+
+@register("h2_overlaps", f'WITH s AS ({SPANS}), a AS (SELECT * FROM s WHERE n % 2 = 0), b AS (SELECT * FROM s WHERE n % 2 = 1) SELECT a.doc_id, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"')
+def h2(spark, d):
+    s = C.frame(spark, d, SPANS)
+    return spans.overlapping(s.where("n % 2 = 0"), s.where("n % 2 = 1"))
+
+
+@register("h4_search_coverage")
+def h4(spark, d):
+    return spans.search_coverage(h1(spark, d))
+
+
+@register("h5_fragment_words", f"{WITH_CASES} SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {Q.quote(T.render('[^{ws}]+', 're2'))})) AS w FROM c) GROUP BY doc_id")
+def h5(spark, d):
+    return cases(spark, d).select("doc_id", F.size(spans.fragment_words(F.col("text"))).cast("long").alias("n"))
+
+
+@register("h6_word_boxes", f'WITH b AS ({BOXES}) SELECT doc_id, page, word_no, x0 / page_width AS "left", y0 / page_height AS top, (x1 - x0) / page_width AS width, (y1 - y0) / page_height AS height FROM b')
+def h6(spark, d):
+    return spans.ocr_words(C.frame(spark, d, BOXES)).drop("text")
+
+
+@register("h7_page_tokens", f"WITH b AS ({BOXES}) SELECT doc_id, page, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') AS tok, string_agg(word_no, ',' ORDER BY word_no) AS places FROM b GROUP BY ALL")
+def h7(spark, d):
+    b = C.frame(spark, d, BOXES).withColumn("tok", spans.token_key(F.col("text")))
+    return b.groupBy("doc_id", "page", "tok").agg(F.array_join(F.transform(F.array_sort(F.collect_list("word_no")), lambda x: x.cast("string")), ",").alias("places"))
+
+
+@register(
+    "h8_page_rectangles",
+    f"""WITH b AS ({BOXES}), w AS (SELECT doc_id, page, word_no, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') AS tok, x0 / page_width AS l, y0 / page_height AS t, (x1 - x0) / page_width AS w, (y1 - y0) / page_height AS h FROM b),
+    m AS (SELECT x.doc_id, x.page, x.word_no AS begin, abs(y.t - x.t) >= x.h * 0.6 AS cut, x.l AS l1, x.t AS t1, x.l + x.w AS r1, x.t + x.h AS b1, y.l AS l2, y.t AS t2, y.l + y.w AS r2, y.t + y.h AS b2 FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.page = y.page AND y.word_no = x.word_no + 1 AND x.tok = 'monsieur' AND y.tok = 'dupont')
+    SELECT doc_id, page, begin, 0 AS line, round(CASE WHEN cut THEN l1 ELSE least(l1, l2) END, 6) AS "left", round(CASE WHEN cut THEN r1 - l1 ELSE greatest(r1, r2) - least(l1, l2) END, 6) AS width FROM m
+    UNION ALL SELECT doc_id, page, begin, 1, round(l2, 6), round(r2 - l2, 6) FROM m WHERE cut""",
+)
+def h8(spark, d):
+    words = spans.ocr_words(C.frame(spark, d, BOXES))
+    e = words.select("doc_id").distinct().select("doc_id", F.lit("1").alias("id"), F.lit("NOM").alias("type"), F.lit("Monsieur Dupont").alias("value"), F.array().cast("array<string>").alias("aliases"))
+    return spans.page_rectangles(words, e).select("doc_id", "page", "begin", "line", F.round("left", 6).alias("left"), F.round("width", 6).alias("width"))
+
+
+# ── Sources and sinks ────────────────────────────────────────────────────────
+
+
+@register("s5_router", "SELECT page_id, CASE WHEN length(url) * 10 >= 50 * greatest(1, (length(html) - length(replace(html, '<p>', ''))) / 3) THEN 'native' ELSE 'ocr_unavailable' END AS method FROM pages")
+def s5(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    raw = F.replace("html", F.lit("<p>"), F.lit(files.PAGE_MARK))
+    return p.select("page_id", files.route_pdf(F.repeat("url", 10), raw, F.lit(""), F.lit(False))["method"].alias("method"))
+
+
+@register("s8_decode", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text FROM documents")
+def s8(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(files.decode(F.encode("text", "UTF-8"))).alias("text"))
+
+
+@register("s9_ingest", f"SELECT doc_id, length(text) AS n_chars, len(list_filter(regexp_split_to_array({Q.trim('text')}, '[\\s\\x{{a0}}]+'), lambda w: w <> '')) AS n_words, len(string_split(text, chr(10))) AS n_lines FROM documents")
+def s9(spark, d):
+    done = files.ingest(docs(spark, d).withColumn("method", F.lit("docx")))
+    return done.select("doc_id", *[F.col(c).cast("long") for c in ("n_chars", "n_words", "n_lines")])
+
+
+_CSV_ROWS = f"{WITH_ENTITIES} SELECT doc_id, string_agg(value || ';' || type || ';' || alias_1 || ',' || alias_2, chr(10) ORDER BY ord) AS body FROM e GROUP BY doc_id"
+
+
+@register("s12_import_entities", f"{WITH_ENTITIES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY ord) AS r FROM e) SELECT doc_id, value, type, alias_1 || '|' || alias_2 AS aliases FROM k WHERE r = 1")
+def s12(spark, d):
+    e = entities(spark, d)
+    line = F.concat_ws(";", "value", "type", F.array_join("aliases", ","))
+    body = e.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("x")))), lambda x: x["x"]), "\n").alias("body"))
+    made = body.select("doc_id", F.lit("a.csv").alias("filename"), F.concat(F.lit("Valeur;Type;Alias\n"), "body").alias("content"))
+    return listed(tables.import_entities(made).select("doc_id", "value", "type", "aliases"))
+
+
+@register("s14_import_block_list", f"{WITH_CASES} SELECT DISTINCT w AS word FROM (SELECT {Q.trim('w')} AS w FROM (SELECT unnest(regexp_split_to_array(text, '[\\n,;]+')) AS w FROM c)) WHERE length(w) > 1")
+def s14(spark, d):
+    made = cases(spark, d).select(F.lit("a.txt").alias("filename"), F.col("text").alias("content"))
+    return tables.import_block_list(made).distinct()
+
+
+@register("s16_session_round_trip")
+def s16(spark, d):
+    states = docs(spark, d).select("doc_id", F.col("text").alias("rawText"), F.array(F.lit("le")).alias("blacklist"))
+    made = sinks.sessions(states, F.lit("2024-01-31 12:05:00").cast("timestamp")).select("doc_id", F.lit("s.json").alias("filename"), F.col("json").alias("content"))
+    return tables.load_sessions(made).select("doc_id", "version", F.md5("rawText").alias("text"), F.array_join("blacklist", "|").alias("blacklist"))
+
+
+ORACLES["s16_session_round_trip"] = "SELECT doc_id, '2.9' AS version, md5(text) AS text, 'le' AS blacklist FROM documents"
+
+
+@register("k2_concordance_csv")
+def k2(spark, d):
+    t = docs(spark, d)
+    return sinks.concordance_csv(anonymise.concordance(anonymise.anonymise(t, _email_entities(t))))
+
+
+_FIELD = "CASE WHEN regexp_matches({0}, '[;\"\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
+
+
+@register(
+    "k4_entities_csv",
+    f"{WITH_ENTITIES} SELECT doc_id, chr(65279) || '{E.ENTITIES_HEADER}' || chr(10) || string_agg({_FIELD.format('value')} || ';' || {_FIELD.format('type')} || ';' || {_FIELD.format('(alias_1 || chr(32) || chr(124) || chr(32) || alias_2)')} || ';' || CASE WHEN active THEN 'oui' ELSE 'non' END || ';' || CASE WHEN blocked THEN 'oui' ELSE 'non' END, chr(10) ORDER BY ord) AS csv FROM e GROUP BY doc_id",
+)
+def k4(spark, d):
+    return sinks.entities_csv(entities(spark, d))
+
+
+@register("k7_block_list", f"{WITH_ENTITIES} SELECT DISTINCT {Q.trim('lower(v)')} AS word FROM (SELECT ' ' || value || ' ' AS v FROM e) WHERE {Q.trim('lower(v)')} <> ''")
+def k7(spark, d):
+    return curation.save_block_list(entities(spark, d).select(F.concat(F.lit(" "), "value", F.lit(" ")).alias("word")))
+
+
+@register("k10_file_names", "SELECT event_id, CASE WHEN event_type <> '' THEN event_type || '_' ELSE '' END || 'entites_' || strftime(ts, '%Y-%m-%d_%Hh%M') || '.csv' AS name FROM events")
+def k10(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", sinks.file_name(F.col("event_type"), "entites", "csv", F.col("ts")).alias("name"))
+
+
+@register("k11_highlight")
+def k11(spark, d):
+    c = cases(spark, d)
+    r = anonymise.anonymise(c, detection.detect_entities(c, BLOCK_LIST))
+    return r.select("doc_id", sinks.highlight_html(F.col("anonymized"), F.col("initiales")).alias("html"))
