@@ -28,6 +28,10 @@ ACCENTED, PLAIN = "".join(PLAIN_OF), "".join(PLAIN_OF.values())
 def render(pattern: str, engine: str = "java", ignore_case: bool = False) -> str:
     """The pattern for an engine: java, python or re2."""
     bound = r"\b" if engine == "re2" else BOUNDARY
+    if engine != "re2":
+        # Beside a character that is known to be of a word half the test is enough.
+        pattern = re.sub(r"\{B\}(?=\(?(?:[A-Za-z0-9]|\[[A-Za-z0-9_-]+\]))", f"(?<![{WORD}])", pattern)
+        pattern = re.sub(r"(?<=[A-Za-z0-9])\{B\}", f"(?![{WORD}])", pattern)
     ws = WS if engine != "re2" else r"\t\n\x{0b}\x{0c}\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
     out = pattern.replace("{B}", bound).replace("{ws}", ws).replace("{s}", f"[{ws}]").replace("{line_ws}", f"[{ws.replace(chr(92) + 'n', '') if engine == 're2' else ws.replace(chr(10), '')}]")
     return ("(?iu)" if engine == "java" else "(?i)") + out if ignore_case else out

@@ -36,7 +36,11 @@ def typed_matches(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] |
     """(doc_id, type, label, place, value, key): every typed value of a document once,
     with the first type in pattern order. A birth date counts as REF."""
     wanted = [(k, *p) for k, p in enumerate(E.PATTERNS) if kinds is None or p[0] in kinds]
-    found = F.concat(*[F.transform(matches(F.coalesce(F.col(text), F.lit("")), p, i), lambda m, n, k=k, t=t: F.struct(F.lit(k).alias("rank"), n.alias("place"), F.lit(t).alias("kind"), m.alias("raw"))) for k, t, p, i in wanted])
+
+    def placed(rank: int, kind: str, pattern: str, ignore: bool) -> Column:
+        return F.transform(matches(F.coalesce(F.col(text), F.lit("")), pattern, ignore), lambda m, n: F.struct(F.lit(rank).alias("rank"), n.alias("place"), F.lit(kind).alias("kind"), m.alias("raw")))
+
+    found = F.concat(*[placed(*w) for w in wanted])
     rows = docs.select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.rank", "m.place", "m.kind", normal_value(F.col("m.raw")).alias("value"))
     first = rows.where("value <> ''").withColumn("key", F.lower("value")).groupBy("doc_id", "key").agg(F.min(F.struct("rank", "place", "kind", "value")).alias("f"))
     birth = F.col("f.kind") == "NAISSANCE"

@@ -227,7 +227,8 @@ def attach_singles(people: DataFrame) -> DataFrame:
     full = keyed.where("words >= 2").dropDuplicates(["doc_id", "key"])
     n = F.count("*").over(W.partitionBy("doc_id", "surname"))
     alone = full.withColumn("n", n).where("n = 1").select("doc_id", F.col("surname").alias("single"), F.col("key").alias("owner"))
-    return keyed.join(alone, (keyed["doc_id"] == alone["doc_id"]) & (keyed["key"] == alone["single"]) & (keyed["words"] == 1), "left").select(keyed["doc_id"], "ord", "value", "owner")
+    single = keyed.withColumn("single", F.when(F.col("words") == 1, F.col("key")))
+    return single.join(alone, ["doc_id", "single"], "left").select("doc_id", "ord", "value", "owner")
 
 
 def surname_groups(people: DataFrame) -> DataFrame:

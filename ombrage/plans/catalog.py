@@ -405,9 +405,9 @@ _STRIP = Q.squeeze(f"regexp_replace({Q.squeeze('v')}, {Q.quote(_HEAD)}, '')")
 
 @register(
     "a3_rules",
-    f"{_NUMBERED}, v AS (SELECT doc_id, ord, placeholder, 0 AS at, value AS v FROM n UNION ALL SELECT doc_id, ord, placeholder, 1, alias_1 FROM n UNION ALL SELECT doc_id, ord, placeholder, 2, alias_2 FROM n), s AS (SELECT doc_id, ord, placeholder, at, {_STRIP} AS val FROM v WHERE placeholder IS NOT NULL),"
-    f" u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, placeholder, lower(val) ORDER BY ord, at, val) AS k FROM s WHERE length(val) > 1 AND lower(val) NOT IN ({_TITLE_LIST})), b AS (SELECT doc_id, ord, at, placeholder, val, t.with_title FROM u, (VALUES (TRUE), (FALSE)) t(with_title) WHERE k = 1)"
-    " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(val) DESC, with_title DESC, ord, at) AS INT) AS rule_no, val, placeholder, with_title FROM b",
+    f"{_NUMBERED}, v AS (SELECT doc_id, ord, placeholder, 0 AS pos, value AS v FROM n UNION ALL SELECT doc_id, ord, placeholder, 1, alias_1 FROM n UNION ALL SELECT doc_id, ord, placeholder, 2, alias_2 FROM n), s AS (SELECT doc_id, ord, placeholder, pos, {_STRIP} AS val FROM v WHERE placeholder IS NOT NULL),"
+    f" u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, placeholder, lower(val) ORDER BY ord, pos, val) AS k FROM s WHERE length(val) > 1 AND lower(val) NOT IN ({_TITLE_LIST})), b AS (SELECT doc_id, ord, pos, placeholder, val, t.with_title FROM u, (VALUES (TRUE), (FALSE)) t(with_title) WHERE k = 1)"
+    " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(val) DESC, with_title DESC, ord, pos) AS INT) AS rule_no, val, placeholder, with_title FROM b",
 )
 def a3(spark, d):
     return anonymise.plain_rules(anonymise.number_placeholders(entities(spark, d)))
