@@ -278,7 +278,8 @@ def test_counts_within_a_text(spark, values):
 
 
 def test_common_lines_and_copies(spark):
-    own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    name = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    own = lambda k: " ".join(f"w{name(k)}x{name(j)}" for j in range(30))
     data = [(k, "s", f"{own(k)}\nSame  LINE {k % 10}") for k in range(200)] + [(1000 + k, "s", own(0)) for k in range(500)] + [(2000 + k, "s", f"Same line 7\nsame line 8 {'' if k else own(9)}") for k in range(2)]
     docs = spark.createDataFrame(data, "doc_id long, source string, text string").withColumn("n_chars", F.length("text"))
     m = {r["doc_id"]: r for r in measured(spark, docs)}
