@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import entity_rules as E
 from ..functions.text import WS, fold, py_squeeze, python_pattern, render, squeeze
 from .cleaning import SPECIAL
-from .detection import Found, from_row
+from .detection import Detector, Found, from_row, levenshtein1
 
 
 def is_active(entities: DataFrame) -> DataFrame:
@@ -81,9 +80,9 @@ def flex(value: str) -> str:
 
 
 ANY_LETTER = "[A-Za-zÀ-ÿ]"
+RUNS = re.compile(f"{ANY_LETTER}+|[{E.L}]+")
 
 
-@lru_cache(maxsize=4096)
 def fuzzy(word: str) -> str:
     """A word of six letters and more, or a form of it with one letter lost, added or
     changed; shorter ones as they are."""
@@ -97,6 +96,31 @@ def fuzzy(word: str) -> str:
     return "(?:" + "|".join(dict.fromkeys([escaped(w), *lost, *added, *changed])) + ")"
 
 
+class Runs:
+    """The distinct runs of letters of a text, by their ends.
+
+    Between the boundaries of a rule a word of letters can only match a whole run, so
+    the forms of it that a text has are all that its pattern must name. One edit in
+    six letters leaves the first or the last three as they are."""
+
+    def __init__(self, text: str):
+        self.head: dict[str, list[str]] = {}
+        self.tail: dict[str, list[str]] = {}
+        for t in {m[0] for m in RUNS.finditer(text.lower())}:
+            if len(t) >= 5:
+                self.head.setdefault(t[:3], []).append(t)
+                self.tail.setdefault(t[-3:], []).append(t)
+
+    def forms(self, word: str) -> str | None:
+        """Pattern of the text's forms of a word; None if it has none."""
+        w = word.strip()
+        if len(w) < 6 or not w.isalpha():
+            return fuzzy(w)
+        low = w.lower()
+        near = {t for t in (*self.head.get(low[:3], ()), *self.tail.get(low[-3:], ())) if levenshtein1(t, low)}
+        return "(?:" + "|".join(map(escaped, sorted(near, key=lambda t: (-len(t), t)))) + ")" if near else None
+
+
 def strip_title(value: str) -> str:
     return py_squeeze(python_pattern(E.TITLE_HEAD, True).sub("", value))
 
@@ -109,6 +133,7 @@ class Rule:
     with_title: bool
     initial: str | None = None
     combined: bool = False
+    near: str | None = None  # a word whose forms follow the pattern
 
     @property
     def rank(self) -> tuple:
@@ -145,16 +170,15 @@ def rules_of(active: list[Found]) -> tuple[list[Rule], list[dict]]:
             for titled in (True, False):
                 rules.setdefault((ph, titled, v.lower()), [Rule(v, flex(v), ph, titled)])
             if person and " " not in v and len(v) >= 6:
-                rules.setdefault((ph, "fuzzy", v.lower()), [Rule(v, fuzzy(v), ph, False)])
+                rules.setdefault((ph, "fuzzy", v.lower()), [Rule(v, "", ph, False, near=v)])
         if person:
             for f in dict.fromkeys(f for f in (e.prenom, *e.variants) if f and len(f) >= 2):
                 sign, exact = f[0].upper() + ".", escaped(f)
                 for titled in (False, True):
                     rules.setdefault(("first", titled, f.lower()), [Rule(f, exact, None, titled, sign)])
                 if len(e.value) >= 3:
-                    whole = f"{exact}[{WS},\\-]+{fuzzy(e.value)}"
-                    rules.setdefault(("both", f.lower(), e.value.lower()), [Rule(f, whole, ph, titled, sign, True) for titled in (True, False)])
-        rows.append({"placeholder": ph, "entity": e, "label": e.label, "initialPrefix": None, "forms": []})
+                    rules.setdefault(("both", f.lower(), e.value.lower()), [Rule(f, f"{exact}[{WS},\\-]+", ph, titled, sign, True, e.value) for titled in (True, False)])
+        rows.append({"placeholder": ph, "entity": e, "label": e.label or e.type, "initialPrefix": None, "forms": []})
     return sorted((r for group in rules.values() for r in group), key=lambda r: r.rank), rows
 
 
@@ -167,8 +191,13 @@ def substitute(text: str, entities: list[Found]) -> tuple[str, list[dict], list[
     by_placeholder = {r["placeholder"]: r for r in rows}
     initials: dict[str, None] = {}
     title = render(E.TITLE_BEFORE, "python") + f"[{WS}]+"
+    runs = Runs(text)
+    forms = {w: runs.forms(w) for w in dict.fromkeys(r.near for r in rules if r.near)}
+    rules = [r for r in rules if not r.near or forms[r.near]]
+    if not rules:
+        return text, [], []
     # Each rule has a group for its title and one for the name; lastindex is the latter's.
-    whole = "|".join(f"({title if r.with_title else ''})({r.pattern})" for r in rules)
+    whole = "|".join(f"({title if r.with_title else ''})({r.pattern}{forms[r.near] if r.near else ''})" for r in rules)
     rx = re.compile(f"{E.LEFT_BOUND}(?:{whole}){E.RIGHT_BOUND}", re.I)
 
     def replaced(m: re.Match[str]) -> str:
@@ -255,13 +284,34 @@ def anonymise(docs: DataFrame, entities: DataFrame, redactions: DataFrame | None
             rows = []
             for doc_id, t, ents, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities", "cuts")), strict=True):
                 done, conc, initials = substitute(redact_text(t or "", cuts or []), [from_row(e) for e in ents or []])
-                table = [{"placeholder": r["placeholder"], "value": r["entity"].value, "aliases": r["entity"].aliases, "type": r["entity"].type, "label": r["label"], "initialPrefix": r["initialPrefix"], "replacedForms": r["forms"]} for r in conc]
-                rows.append({"doc_id": doc_id, "anonymized": done, "initiales": initials, "concordance": table})
+                rows.append({"doc_id": doc_id, "anonymized": done, "initiales": initials, "concordance": [table_row(r) for r in conc]})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return joined.where("entities IS NOT NULL OR cuts IS NOT NULL").mapInArrow(run, RESULT).unionByName(plain)
 
 
+def pseudonymise(docs: DataFrame, block_list: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
+    """Detection and substitution of each document in one map, nothing shuffled: the
+    form for large tables where no one curates the entities in between."""
+    shared = docs.sparkSession.sparkContext.broadcast(block_list)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector = Detector(shared.value)
+        for batch in batches:
+            rows = []
+            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                done, conc, initials = substitute(t or "", detector.detect(t or ""))
+                rows.append({"doc_id": doc_id, "anonymized": done, "initiales": initials, "concordance": [table_row(r) for r in conc]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col(text)).mapInArrow(run, RESULT)
+
+
+def table_row(r: dict) -> dict:
+    e = r["entity"]
+    return {"placeholder": r["placeholder"], "value": e.value, "aliases": e.aliases, "type": e.type, "label": r["label"], "initialPrefix": r["initialPrefix"], "replacedForms": r["forms"]}
+
+
 def concordance(result: DataFrame) -> DataFrame:
     """One row a placeholder met, in order within its document."""
     return result.select("doc_id", F.posexplode("concordance").alias("ord", "c")).select("doc_id", "ord", "c.*")

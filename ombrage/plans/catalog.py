@@ -436,6 +436,17 @@ def a8(spark, d):
     return r.select("doc_id", "anonymized", F.array_join("initiales", "|").alias("initiales"), F.size("concordance").alias("n_rows"))
 
 
+@register("e3_pseudonymise")
+def e3(spark, d):
+    r = anonymise.pseudonymise(cases(spark, d), BLOCK_LIST)
+    return r.select("doc_id", "anonymized", F.array_join("initiales", "|").alias("initiales"), F.size("concordance").alias("n_rows"))
+
+
+@register("e3_pseudonymise_documents")
+def e3_documents(spark, d):
+    return anonymise.pseudonymise(docs(spark, d), BLOCK_LIST).select("doc_id", F.md5("anonymized").alias("anonymized"), F.size("concordance").alias("n_rows"))
+
+
 REDACTED = [("Dupont", "[SUPPRIMÉ]"), ("rue de Vaugirard", "████████"), ("exemple-droit", "")]
 
 

@@ -1,8 +1,7 @@
 """Streaming use of the batch operators.
 
 Counters and merges are per document, so a stream of documents needs no state: each
-micro-batch goes through the same operators. Detection and substitution are maps; what
-joins a document with its own entities does so within foreachBatch.
+micro-batch goes through the same operators, detection and substitution in one map.
 """
 
 from __future__ import annotations
@@ -12,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.anonymise import anonymise
-from ..operators.detection import detect_entities
+from ..operators.anonymise import pseudonymise
 
 
 def read_documents(spark: SparkSession, path: str, schema: str = "doc_id long, text string", files_a_trigger: int = 1000) -> DataFrame:
@@ -26,6 +24,6 @@ def anonymise_stream(docs: DataFrame, sink: Callable[[DataFrame, int], None], ch
     A repeated batch gives the same rows, so an idempotent sink makes it exactly once."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(anonymise(batch, detect_entities(batch, block_list)), number)
+        sink(pseudonymise(batch, block_list), number)
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -91,3 +91,28 @@ def test_apply_initial(spark):
     once = A.apply_initial(e, choice)
     twice = A.apply_initial(once, choice.withColumn("initiale", F.lit("JE.")))
     assert [(r["value"], r["type"], r["initialeValue"]) for r in twice.orderBy("ord").collect()] == [("Dupont", "NOM", None), ("Jean", "PRENOM", "JE.")]
+
+
+def test_one_map_equals_two_steps(spark, texts):
+    docs = texts("Monsieur Mahidine BOUCHAABA et Madame Dupont. OUCHAABA, Mabhidine BOUCHAABBA, Bouchaaba.", "", None, "Dupont-Durand Dupont")
+    words = frozenset(["monsieur", "madame"])
+    two = A.anonymise(docs, detect_entities(docs, words))
+    assert sorted(map(str, A.pseudonymise(docs, words).collect())) == sorted(map(str, two.collect()))
+
+
+def test_forms_of_a_text_equal_the_full_pattern():
+    import random
+    import re
+
+    rng = random.Random(4)
+    word = "BOUCHAABA"
+    for _ in range(300):
+        t = list("bouchaaba")
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randrange(2)] = rng.choice(["", "é", "z", "-", "b"])
+        text = "x " + "".join(t) + rng.choice([" y", ".", "z", ""])
+        full = re.compile(f"{A.E.LEFT_BOUND}(?:{A.fuzzy(word)}){A.E.RIGHT_BOUND}", re.I)
+        form = A.Runs(text).forms(word)
+        short = re.compile(f"{A.E.LEFT_BOUND}(?:{form}){A.E.RIGHT_BOUND}", re.I) if form else None
+        assert [m.span() for m in full.finditer(text)] == ([m.span() for m in short.finditer(text)] if short else [])
