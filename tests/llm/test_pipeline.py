@@ -2,7 +2,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from ombrage.llm import ORACLES, QUERIES, piece_coding, secret_scan, simhash
+from ombrage.llm import ORACLES, QUERIES, near_text, piece_coding, secret_scan
 
 from .helpers import empty, odd
 
@@ -24,21 +24,14 @@ def test_run_against_plain_steps(spark):
     kept = corpus_pipeline.quality(spark, docs, SF)
     near = corpus_pipeline.near_duplicates(spark, kept, SF).toPandas()
     rows = kept.toPandas()
-    fps = {int(i): simhash.fingerprint(t) for i, t in zip(rows.doc_id, rows.text, strict=True)}
-    ids = sorted(fps)
-    up = {i: i for i in ids}
-
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for n, a in enumerate(ids):
-        for b in ids[:n]:
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
-    assert sorted(near.doc_id) == sorted({root(i) for i in ids})
+    text_of = dict(zip(rows.doc_id, rows.text, strict=True))
+    shingles = {i: set(near_text.shingle_hashes(t).tolist()) for i, t in text_of.items()}
+    stays, ids = set(near.doc_id), sorted(text_of)
+    for i in set(ids) - stays:  # what goes is like something
+        assert max(len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j]) for j in ids if j != i) > 0.6
+    pairs = [(i, j) for i in stays for j in stays if i < j and len(shingles[i] & shingles[j]) >= 0.9 * len(shingles[i] | shingles[j])]
+    assert pairs == []
+    assert len({text_of[i] for i in stays}) == len(stays)
     clean = corpus_pipeline.secrets(spark, spark.createDataFrame(near, schema=docs.schema), SF).toPandas()
     assert dict(zip(clean.doc_id, clean.text, strict=True)) == {i: secret_scan.redact_text(t) for i, t in zip(near.doc_id, near.text, strict=True)}
     lib = piece_coding.coder(piece_coding.MODEL).lib
