@@ -356,3 +356,26 @@ def apply_initial(entities: DataFrame, choices: DataFrame) -> DataFrame:
     }
     rows = new.select(*[(values[c] if c in values else F.col("doc_id") if c == "doc_id" else F.lit(None)).cast(entities.schema[c].dataType).alias(c) for c in entities.columns])
     return changed.unionByName(rows)
+
+
+# ── Forms of a name ──────────────────────────────────────────────────────────
+
+#: Words that open a name but are no first name.
+ARTICLES = ("la", "le", "les", "du", "de", "des", "un", "une", "au", "aux", "l", "d", "sur", "en")
+
+
+def first_name(value: Column) -> Column:
+    """First word of a name of several, if it looks like a first name: a capital, 2 to
+    12 characters, not all capitals, no article; else null."""
+    parts = F.split(squeeze(value), " ")
+    first = F.element_at(parts, 1)
+    fine = F.rlike(first, F.lit("^[A-ZÀ-Ö]")) & F.length(first).between(2, 12) & (first != F.upper(first)) & F.rlike(first, F.lit("[a-zà-öø-ÿ]")) & ~F.lower(first).isin(*ARTICLES)
+    return F.when((F.size(parts) >= 2) & fine, first)
+
+
+def graphic_variants(value: Column) -> Column:
+    """All capitals of a mixed value; of one in capitals the form with small letters."""
+    v = F.trim(value)
+    mixed = F.array_join(F.transform(F.split(squeeze(v), " "), lambda w: F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+    forms = F.array(F.when(F.upper(v) != v, F.upper(v)), F.when((F.upper(v) == v) & (mixed != v), mixed))
+    return F.when(F.length(v) < 2, F.array().cast("array<string>")).otherwise(F.filter(forms, lambda x: x.isNotNull()))

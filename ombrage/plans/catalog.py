@@ -737,3 +737,81 @@ def k11(spark, d):
     c = cases(spark, d)
     r = anonymise.anonymise(c, detection.detect_entities(c, BLOCK_LIST))
     return r.select("doc_id", sinks.highlight_html(F.col("anonymized"), F.col("initiales")).alias("html"))
+
+
+# ── Smaller operators ────────────────────────────────────────────────────────
+
+
+@register("n13_replace", "SELECT doc_id, md5(regexp_replace(text, '(?i)\\bthe\\b', '[$1]', 'g')) AS text FROM documents")
+def n13_replace(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(spans.replace_all(F.col("text"), T.render("{B}the{B}"), "[$1]", literal=False)).alias("text"))
+
+
+@register("l5_fix_breaks_from")
+def l5(spark, d):
+    return cases(spark, d).select("doc_id", lines.fix_breaks_from("text", F.lit(3)).alias("text"))
+
+
+@register("l4_merge_line")
+def l4(spark, d):
+    first = l2(spark, d).groupBy("doc_id").agg(F.min(F.struct("lineIdx", "skipCount")).alias("b"))
+    return cases(spark, d).join(first, "doc_id").select("doc_id", lines.merge_line("text", "b.lineIdx", "b.skipCount").alias("text"))
+
+
+@register("a10_first_names", f"{WITH_ENTITIES} SELECT doc_id, ord, CASE WHEN contains(value, ' ') AND string_split(value, ' ')[1] <> upper(string_split(value, ' ')[1]) THEN string_split(value, ' ')[1] END AS first FROM e")
+def a10(spark, d):
+    return entities(spark, d).select("doc_id", "ord", anonymise.first_name(F.col("value")).alias("first"))
+
+
+@register("a10_variants", f"{WITH_ENTITIES} SELECT doc_id, ord, CASE WHEN upper(value) <> value THEN upper(value) ELSE value[1] || lower(value[2:]) END AS variants FROM e")
+def a10_variants(spark, d):
+    return listed(entities(spark, d).select("doc_id", "ord", anonymise.graphic_variants(F.col("value")).alias("variants")))
+
+
+@register("s11_type_ids", f"{WITH_ENTITIES} SELECT DISTINCT {_TYPE_ID.format('type')} AS id, type AS label FROM e")
+def s11(spark, d):
+    made = entities(spark, d).select("type").distinct().select(F.to_json(F.array("type")).alias("content"))
+    return tables.load_types(made).distinct()
+
+
+@register("s13_import_step_entities", f"{WITH_ENTITIES}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY ord) AS r FROM e) SELECT doc_id, value, type, alias_1 || '|' || alias_2 AS aliases FROM k WHERE r = 1")
+def s13(spark, d):
+    e = entities(spark, d)
+    line = F.concat_ws(";", F.concat(F.lit('"'), "value", F.lit('"')), "type", F.array_join("aliases", " | "))
+    body = e.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("x")))), lambda x: x["x"]), "\n").alias("body"))
+    made = body.select("doc_id", F.lit("a.csv").alias("filename"), F.concat(F.lit("Valeur;Type;Alias\n"), "body").alias("content"))
+    return listed(tables.import_step_entities(made).select("doc_id", "value", "type", "aliases"))
+
+
+@register("s17_latest_session", "SELECT doc_id, md5(text) AS text FROM documents")
+def s17(spark, d):
+    one = docs(spark, d).select("doc_id", F.col("text").alias("rawText"))
+    old, new = (one.withColumn("rawText", F.concat("rawText", F.lit(x))).withColumn("savedAt", F.lit(t)) for x, t in (("old", "2024-01-01"), ("", "2024-02-01")))
+    return tables.latest_sessions(new.unionByName(old)).select("doc_id", F.md5("rawText").alias("text"))
+
+
+@register("r2_accept_parties", f"WITH p AS ({_PARTIES}) SELECT doc_id, side, entity_id, CAST(row_number() OVER (PARTITION BY doc_id, side ORDER BY entity_id) AS INT) AS ordre FROM p")
+def r2(spark, d):
+    p = C.frame(spark, d, _PARTIES)
+    return parties.accept_parties(p.limit(0), p.drop("ordre")).select("doc_id", "side", "entity_id", "ordre")
+
+
+@register("h9_tokens", f"WITH b AS ({BOXES}) SELECT DISTINCT text, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '', 'g') AS tok, 'pdfov-hl-' || lower(text) AS class FROM b")
+def h9(spark, d):
+    return C.frame(spark, d, BOXES).select("text", spans.token_key(F.col("text")).alias("tok"), spans.type_class(F.col("text")).alias("class")).distinct()
+
+
+@register("h10_word_at", f"{WITH_CASES} SELECT doc_id, regexp_extract(text, '^([A-Za-z0-9_À-ÿ]*)', 1) AS word FROM c")
+def h10(spark, d):
+    return cases(spark, d).select("doc_id", spans.word_at(F.col("text"), F.lit(1)).alias("word"))
+
+
+@register("k3_concordance_json")
+def k3(spark, d):
+    t = docs(spark, d)
+    return sinks.concordance_json(anonymise.concordance(anonymise.anonymise(t, _email_entities(t))))
+
+
+@register("k4_entities_json")
+def k4_json(spark, d):
+    return sinks.entities_json(entities(spark, d))

@@ -151,3 +151,23 @@ def session_entities(sessions: DataFrame) -> DataFrame:
 def session_parties(sessions: DataFrame) -> DataFrame:
     side = lambda name: sessions.select("doc_id", F.lit(name).alias("side"), F.posexplode(f"parties.{name}").alias("k", "p"))
     return side("demandeurs").unionByName(side("defendeurs")).select("doc_id", "side", (F.col("k") + 1).alias("ordre"), F.col("p.entityId").alias("entity_id"), F.col("p.label").alias("label"), F.col("p.civilite").alias("civilite"))
+
+
+def latest_sessions(sessions: DataFrame) -> DataFrame:
+    """Of several saved states of a document the one saved last."""
+    best = sessions.groupBy("doc_id").agg(F.max_by(F.struct(*sessions.columns), F.col("savedAt")).alias("s"))
+    return best.select("s.*")
+
+
+def add_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """User rules (rule_no, id, from, to, caseSensitive, createdAt) with new ones after
+    them; a rule without `from` is none."""
+    from pyspark.sql import Window as W
+
+    both = rules.withColumn("_new", F.lit(0)).unionByName(new.where(F.coalesce("from", F.lit("")) != "").withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    n = F.row_number().over(W.orderBy("_new", "rule_no", "createdAt", "id")) - 1  # a handful of rules, typed by hand
+    return both.withColumn("rule_no", n.cast("int")).select(*rules.columns)
+
+
+def remove_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    return rules.join(gone.select("id").distinct(), "id", "left_anti").select(*rules.columns)
