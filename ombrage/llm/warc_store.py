@@ -79,6 +79,12 @@ def record_bytes(header: Column, payload: Column) -> Column:
     return F.concat(header, payload, F.lit("\r\n\r\n").cast("binary"))
 
 
+def export_warc(spark: SparkSession, path: str, target: str) -> None:
+    """The archive's records as gzipped WARC files, put together again, one a task."""
+    whole = F.decode(F.concat("header", "payload"), "UTF-8")
+    read_archive(spark, path).select(whole.alias("value")).write.text(target, compression="gzip", lineSep="\r\n\r\n")
+
+
 def field(header: Column, name: str) -> Column:
     """A header field's value; null where the record has no such field."""
     found = F.regexp_extract(F.decode(header, "UTF-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
