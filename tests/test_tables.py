@@ -153,3 +153,63 @@ def test_stream(spark, tmp_path, texts):
     query = anonymise_stream(read_documents(spark, str(tmp_path / "in")), lambda df, n: df.write.mode("overwrite").parquet(str(tmp_path / f"out{n}")), str(tmp_path / "cp"), frozenset(["monsieur"]))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out0")).first()["anonymized"] == "Monsieur [NOM_1] écrit"
+
+
+def test_smaller_operators(spark):
+    from ombrage.operators import anonymise
+
+    one = spark.createDataFrame([("Isabelle MERVOYER", "La Poste", "DUPONT Jean")], "a string, b string, c string")
+    assert list(one.select(*[anonymise.first_name(F.col(c)) for c in "abc"]).first()) == ["Isabelle", None, None]
+    assert list(one.select(*[anonymise.graphic_variants(F.col(c)) for c in "abc"]).first()) == [["ISABELLE MERVOYER"], ["LA POSTE"], ["DUPONT JEAN"]]
+    assert one.select(spans.replace_at(F.col("a"), F.lit(0), F.lit(8), F.lit("I."))).first()[0] == "I. MERVOYER"
+    assert one.select(spans.replace_all(F.col("a"), "ER", "$1")).first()[0] == "Isabelle M$1VOY$1"
+    assert one.select(spans.word_at(F.col("a"), F.lit(3))).first()[0] == "Isabelle"
+    schema = "rule_no int, id string, from string, to string, caseSensitive boolean, createdAt long"
+    rules = spark.createDataFrame([(0, "a", "x", "y", True, 5)], schema)
+    more = spark.createDataFrame([(None, "c", "z", "", True, 7), (None, "b", "w", "", True, 6), (None, "d", "", "", True, 6)], schema)
+    both = tables.add_rules(rules, more)
+    assert [(r["rule_no"], r["id"]) for r in both.orderBy("rule_no").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    assert tables.remove_rules(both, spark.createDataFrame([("a",)], "id string")).count() == 2
+
+
+def test_types_removed_fall_back(spark):
+    e = table(spark, Found("X", "ECROU"), Found("Y", "NOM"))
+    types = spark.createDataFrame([("ECROU", "Écrou"), ("B", "b")], "id string, label string")
+    left, back = curation.remove_types(types, e, spark.createDataFrame([("ECROU",)], "id string"))
+    assert [r["id"] for r in left.collect()] == ["B"] and {r["type"] for r in back.collect()} == {"NOM"}
+
+
+def test_parties_added_and_removed(spark):
+    p = spark.createDataFrame([(1, "demandeurs", 1, "a")], "doc_id long, side string, ordre int, entity_id string")
+    more = parties.accept_parties(p, spark.createDataFrame([(1, "demandeurs", "b"), (1, "demandeurs", "a")], "doc_id long, side string, entity_id string"))
+    assert sorted((r["ordre"], r["entity_id"]) for r in more.collect()) == [(1, "a"), (2, "b")]
+    less = parties.remove_parties(more, spark.createDataFrame([(1, "demandeurs", "a")], "doc_id long, side string, entity_id string"))
+    assert [(r["ordre"], r["entity_id"]) for r in less.collect()] == [(1, "b")]
+
+
+def test_omissions_become_aliases_or_entities(spark):
+    e = table(spark, Found("Dupont", "NOM"))
+    chosen = spark.createDataFrame([(1, 0, "Monsieur Dupont", "NOM"), (1, 1, "75011 PARIS", "ADRESSE")], "doc_id long, seq int, value string, type string")
+    got = omissions.add_omissions(e, chosen).orderBy("ord").collect()
+    assert [(r["value"], r["aliases"]) for r in got] == [("Dupont", ["Monsieur Dupont"]), ("75011 PARIS", [])]
+
+
+def test_concordance_merge_and_exports(spark):
+    e = table(spark, Found("Dupont", "NOM", aliases=["D"]))
+    rows = spark.createDataFrame([(1, 0, "dupont ", "NOM", None, ["d", "E"]), (1, 1, "Neuf", None, None, [])], "doc_id long, seq int, value string, type string, label string, aliases array<string>")
+    got = {r["value"]: (r["type"], r["aliases"]) for r in curation.merge_concordance(e, rows).collect()}
+    assert got == {"Dupont": ("NOM", ["D", "E"]), "Neuf": ("NOM", [])}
+    csv = sinks.entities_csv(e).first()["csv"]
+    assert csv == "﻿Valeur;Type;Alias;Actif;Bloqué\nDupont;NOM;D;oui;non"
+    back = tables.import_step_entities(content(spark, "x.csv", csv)).first()
+    assert (back["value"], back["aliases"]) == ("Dupont", ["D"])
+
+
+def test_export_all(spark, tmp_path):
+    c = spark.createDataFrame([(1, 0, "[NOM_1]", "A", ["B"], "NOM", "NOM", None, ["A"])], "doc_id long, ord int, placeholder string, value string, aliases array<string>, type string, label string, initialPrefix string, replacedForms array<string>")
+    r = spark.createDataFrame([(1, "x", "raw")], "doc_id long, anonymized string, text string")
+    sinks.export_all(r, c, r, r.select("doc_id", F.col("text").alias("rawText")), F.lit("2024-01-31 12:05:00").cast("timestamp"), str(tmp_path / "e"))
+    assert next((tmp_path / "e/anonymised/doc_id=1").glob("*.txt")).read_text() == "x\n"
+    assert "[NOM_1];A;B;A;NOM;;" in next((tmp_path / "e/concordance/doc_id=1").glob("*.txt")).read_text()
+    sinks.zip_document({"a.txt": "x"}, str(tmp_path / "e.zip"))
+    assert zipfile.ZipFile(tmp_path / "e.zip").read("a.txt") == b"x"
