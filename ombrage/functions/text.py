@@ -97,10 +97,12 @@ def py_deaccent(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not "\u0300" <= c <= "\u036f")
 
 
+@lru_cache(maxsize=1 << 16)
 def py_fold(s: str | None) -> str:
     return py_deaccent(py_squeeze(s)).lower()
 
 
+@lru_cache(maxsize=1 << 16)
 def py_title(s: str | None) -> str:
     parts = re.split("([-' ])", py_squeeze(s))
     return "".join(p[:1].upper() + p[1:].lower() if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", p) else p for p in parts)

@@ -111,14 +111,20 @@ class Runs:
                 self.head.setdefault(t[:3], []).append(t)
                 self.tail.setdefault(t[-3:], []).append(t)
 
+    def found(self, word: str) -> list[str]:
+        """The runs within one edit of a word, itself if it is short, longest first."""
+        low = word.strip().lower()
+        if len(low) < 6:
+            return [low]
+        near = {t for t in (*self.head.get(low[:3], ()), *self.tail.get(low[-3:], ())) if levenshtein1(t, low)}
+        return sorted(near, key=lambda t: (-len(t), t))
+
     def forms(self, word: str) -> str | None:
         """Pattern of the text's forms of a word; None if it has none."""
         w = word.strip()
         if len(w) < 6 or not w.isalpha():
             return fuzzy(w)
-        low = w.lower()
-        near = {t for t in (*self.head.get(low[:3], ()), *self.tail.get(low[-3:], ())) if levenshtein1(t, low)}
-        return "(?:" + "|".join(map(escaped, sorted(near, key=lambda t: (-len(t), t)))) + ")" if near else None
+        return "(?:" + "|".join(map(escaped, near)) + ")" if (near := self.found(w)) else None
 
 
 def strip_title(value: str) -> str:
@@ -182,36 +188,84 @@ def rules_of(active: list[Found]) -> tuple[list[Rule], list[dict]]:
     return sorted((r for group in rules.values() for r in group), key=lambda r: r.rank), rows
 
 
+class Matcher:
+    """The rule that fits at a place of a text: the first in order, with its title.
+
+    Trying every rule at every place would cost their product. Rules are compiled by the
+    first character that they can have, those after a title apart from the others, so
+    that a place only tries what can begin there."""
+
+    def __init__(self, rules: list[Rule], text: str):
+        runs = Runs(text)
+        self.rules = rules
+        groups: dict[tuple[bool, str], list[tuple[int, str]]] = {}
+        anywhere: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        for k, r in enumerate(rules):
+            forms = runs.forms(r.near) if r.near else ""
+            if forms is None:
+                continue
+            heads: set[str] | None = {r.val[0].lower()[0]}
+            if r.near and not r.pattern:  # begins with a form of the word, or with any letter
+                heads = {f[0] for f in runs.found(r.near)} if r.near.strip().isalpha() else None
+            for c in heads or ():
+                groups.setdefault((r.with_title, c), []).append((k, r.pattern + forms))
+            if heads is None:
+                anywhere[r.with_title].append((k, r.pattern + forms))
+        self.compiled = {}
+        for titled in (True, False):
+            for c in {c for t, c in groups if t == titled} | ({""} if anywhere[titled] else set()):
+                both = sorted([*groups.get((titled, c), ()), *anywhere[titled]])
+                rx = re.compile("(?:" + "|".join(f"({p})" for _, p in both) + ")" + E.RIGHT_BOUND, re.I)
+                self.compiled[titled, c] = (rx, [k for k, _ in both])
+        self.title = re.compile(f"{render(E.TITLE_BEFORE, 'python')}[{WS}]+", re.I)
+        heads = {c for t, c in self.compiled if not t} | ({"m", "d", "p"} if any(t for t, _ in self.compiled) else set())
+        self.start = re.compile(E.LEFT_BOUND + ("[" + "".join(map(escaped_in_class, sorted(heads))) + "]" if heads and "" not in heads else "."), re.I | re.S) if heads else None
+
+    def fit(self, text: str, at: int, titled: bool) -> tuple[int, int] | None:
+        """(number of the rule, end) at a place."""
+        if at >= len(text):
+            return None
+        found = self.compiled.get((titled, text[at].lower()[0])) or self.compiled.get((titled, ""))
+        m = found[0].match(text, at) if found else None
+        return (found[1][m.lastindex - 1], m.end()) if m else None
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, int, Rule]]:
+        """(start, start of the name, end, rule) from left to right, none overlapping."""
+        at = 0
+        while self.start and (s := self.start.search(text, at)):
+            begin = s.start()
+            best = [(*f, begin) for f in [self.fit(text, begin, False)] if f]
+            if t := self.title.match(text, begin):
+                best += [(*f, t.end()) for f in [self.fit(text, t.end(), True)] if f]
+            if best:
+                k, end, name = min(best)
+                yield begin, name, end, self.rules[k]
+                at = end
+            else:
+                at = begin + 1
+
+
+def escaped_in_class(c: str) -> str:
+    return "\\" + c if c in "\\]^-[" else c
+
+
 def substitute(text: str, entities: list[Found]) -> tuple[str, list[dict], list[str]]:
     """The text with every mention replaced, the concordance rows that were met, and
     the initials written."""
     rules, rows = rules_of([e for e in entities if e.active and not e.blocked and py_squeeze(e.value)])
-    if not rules:
-        return text, [], []
     by_placeholder = {r["placeholder"]: r for r in rows}
     initials: dict[str, None] = {}
-    title = render(E.TITLE_BEFORE, "python") + f"[{WS}]+"
-    runs = Runs(text)
-    forms = {w: runs.forms(w) for w in dict.fromkeys(r.near for r in rules if r.near)}
-    rules = [r for r in rules if not r.near or forms[r.near]]
-    if not rules:
-        return text, [], []
-    # Each rule has a group for its title and one for the name; lastindex is the latter's.
-    whole = "|".join(f"({title if r.with_title else ''})({r.pattern}{forms[r.near] if r.near else ''})" for r in rules)
-    rx = re.compile(f"{E.LEFT_BOUND}(?:{whole}){E.RIGHT_BOUND}", re.I)
-
-    def replaced(m: re.Match[str]) -> str:
-        k = m.lastindex // 2 - 1
-        rule, before = rules[k], m[2 * k + 1]
+    out, done = [], 0
+    for start, name, end, rule in Matcher(rules, text).matches(text):
         row = by_placeholder.get(rule.placeholder) if rule.placeholder else None
-        form = (before + m[2 * k + 2]).strip()
+        form = text[start:end].strip()
         if row is not None and form not in row["forms"]:
             row["forms"].append(form)
         if rule.initial:
             initials[rule.initial] = None
-        return before + (f"{rule.initial} {rule.placeholder}" if rule.combined else rule.initial or rule.placeholder)
-
-    return rx.sub(replaced, text), [r for r in rows if r["forms"]], list(initials)
+        out += [text[done:name], f"{rule.initial} {rule.placeholder}" if rule.combined else rule.initial or rule.placeholder or ""]
+        done = end
+    return "".join([*out, text[done:]]), [r for r in rows if r["forms"]], list(initials)
 
 
 # ── Redactions ───────────────────────────────────────────────────────────────

@@ -114,6 +114,11 @@ def levenshtein1(a: str, b: str) -> bool:
     return len(a) <= 1 and len(b) <= 1
 
 
+def cut_forms(word: str) -> list[str]:
+    """A word and, from five letters, its forms with one letter left out."""
+    return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))] if len(word) >= 5 else [word]
+
+
 class Detector:
     """Detection on one text, given the folded words that name nobody."""
 
@@ -279,16 +284,21 @@ class Detector:
                 have.aliases += [a for a in e.aliases if low(a) not in {low(x) for x in have.aliases}]
         result = list(by_key.values())
         people, gone = [e for e in result if e.type == "NOM"], set()
-        for e in people:
-            if id(e) in gone:
-                continue
-            for o in people:
-                if o is e or id(o) in gone or o.key not in {low(a) for a in e.aliases}:
-                    continue
+        place = {e.key: k for k, e in enumerate(people)}
+        for k, e in enumerate(people):
+            at = -1
+            while k not in gone or at >= 0:
+                # The next name that an alias stands for; joining one may add aliases.
+                later = [p for p in (place.get(low(a)) for a in e.aliases) if p is not None and p > at and p != k and p not in gone]
+                if not later:
+                    break
+                at = min(later)
+                o = people[at]
                 pivot, lost = (e, o) if len(e.value) >= len(o.value) else (o, e)
                 self.absorb(pivot, lost, max)
-                gone.add(id(lost))
-        return [e for e in result if id(e) not in gone]
+                gone.add(at if lost is o else k)
+        kept = {id(e) for k, e in enumerate(people) if k not in gone}
+        return [e for e in result if e.type != "NOM" or id(e) in kept]
 
     def absorb(self, pivot: Found, lost: Found, combine) -> None:
         self.alias(pivot, lost.value)
@@ -319,16 +329,24 @@ class Detector:
         """Less frequent near spellings join the most frequent; occurrences add up."""
         people = sorted((e for e in out if e.type == "NOM"), key=lambda e: -(e.occurrences or 1))
         gone: set[int] = set()
-        for cand in people:
-            if id(cand) in gone or len(cand.value) < 5:
+        # Words within one edit share the word or a form of it with a letter left out.
+        index: dict[str, list[int]] = {}
+        for k, e in enumerate(people):
+            for form in {f for p in blanks(e.value) for f in cut_forms(low(p))}:
+                index.setdefault(form, []).append(k)
+        for k, cand in enumerate(people):
+            if k in gone or len(cand.value) < 5:
                 continue
-            for pivot in people:
-                if pivot is cand or id(pivot) in gone or (pivot.occurrences or 1) <= (cand.occurrences or 1):
+            first = low(blanks(cand.value)[0])
+            for j in sorted({j for f in cut_forms(first) for j in index.get(f, ())}):
+                pivot = people[j]
+                if j == k or j in gone or (pivot.occurrences or 1) <= (cand.occurrences or 1):
                     continue
                 if self.alike(cand, pivot):
                     self.absorb(pivot, cand, int.__add__)
-                    gone.add(id(cand))
+                    gone.add(k)
                     break
+        gone = {id(people[k]) for k in gone}
         return [e for e in out if e.type == "NOM" and id(e) not in gone] + [e for e in out if e.type != "NOM"]
 
     @staticmethod

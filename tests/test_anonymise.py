@@ -116,3 +116,32 @@ def test_forms_of_a_text_equal_the_full_pattern():
         form = A.Runs(text).forms(word)
         short = re.compile(f"{A.E.LEFT_BOUND}(?:{form}){A.E.RIGHT_BOUND}", re.I) if form else None
         assert [m.span() for m in full.finditer(text)] == ([m.span() for m in short.finditer(text)] if short else [])
+
+
+def plain_substitute(text, entities):
+    """One alternation of all rules in order."""
+    import re
+
+    rules, _ = A.rules_of(entities)
+    title = A.render(A.E.TITLE_BEFORE, "python") + f"[{A.WS}]+"
+    whole = "|".join(f"({title if r.with_title else ''})({r.pattern}{A.fuzzy(r.near) if r.near else ''})" for r in rules)
+    rx = re.compile(f"{A.E.LEFT_BOUND}(?:{whole}){A.E.RIGHT_BOUND}", re.I)
+
+    def new(m):
+        k = m.lastindex // 2 - 1
+        r = rules[k]
+        return m[2 * k + 1] + (f"{r.initial} {r.placeholder}" if r.combined else r.initial or r.placeholder)
+
+    return rx.sub(new, text)
+
+
+def test_matcher_equals_one_alternation():
+    import random
+
+    rng = random.Random(6)
+    names = ["Dupont", "DUPONT", "Dupond", "Jean Dupont", "O'Connor-Smith", "Li", "Bouchaaba", "BOUCHAABA", "Maître Corbeau", "12 Rue Verte", "Émile", "a@b.fr", "Jean", "Marie"]
+    glue = [" ", ", ", " Monsieur ", " Mme ", " M. ", "-", "\n", " madame  ", " [", "] ", "x", "_1] ", " et Me. "]
+    for _ in range(400):
+        entities = [Found(n, rng.choice(["NOM", "ENTITE", "DEMANDEUR_1", "PRENOM"]), aliases=rng.sample(names, rng.randrange(2)), prenom=rng.choice([None, "Jean", "Marie"])) for n in rng.sample(names, rng.randrange(1, 6))]
+        text = "".join(rng.choice([n, n.upper(), n.lower(), n[1:], n + "s"]) + rng.choice(glue) for n in rng.choices(names, k=8))
+        assert A.substitute(text, entities)[0] == plain_substitute(text, entities), (text, entities)

@@ -63,3 +63,48 @@ def test_block_list_anti_join(spark):
     words = spark.createDataFrame([(1, "Écrou"), (1, "Jean Ecrou"), (1, "Jean")], "doc_id long, word string")
     block = spark.createDataFrame([("ecrou",)], "word string")
     assert [r["word"] for r in D.not_blocked(words, "word", block).collect()] == ["Jean"]
+
+
+def plain_merge(detector, people):
+    """All pairs, in order."""
+    ordered = sorted(people, key=lambda e: -e.occurrences)
+    gone = set()
+    for cand in ordered:
+        if id(cand) in gone or len(cand.value) < 5:
+            continue
+        for pivot in ordered:
+            if pivot is not cand and id(pivot) not in gone and pivot.occurrences > cand.occurrences and detector.alike(cand, pivot):
+                detector.absorb(pivot, cand, int.__add__)
+                gone.add(id(cand))
+                break
+    return [e for e in people if id(e) not in gone]
+
+
+def plain_consolidate(detector, people):
+    gone = set()
+    for e in people:
+        if id(e) in gone:
+            continue
+        for o in people:
+            if o is e or id(o) in gone or o.key not in {D.low(a) for a in e.aliases}:
+                continue
+            pivot, lost = (e, o) if len(e.value) >= len(o.value) else (o, e)
+            detector.absorb(pivot, lost, max)
+            gone.add(id(lost))
+    return [e for e in people if id(e) not in gone]
+
+
+def test_merges_equal_all_pairs():
+    import copy
+    import random
+
+    rng, detector = random.Random(3), Detector(frozenset())
+    parts = ["dupont", "dupond", "duponts", "durand", "jean", "jeanne", "marie", "mariee", "li", "bouchaaba", "ouchaaba"]
+    for _ in range(200):
+        values = dict.fromkeys(" ".join(rng.sample(parts, rng.randrange(1, 4))).title() for _ in range(14))
+        people = [Found(v, "NOM", occurrences=rng.randrange(1, 9), aliases=[a.title() for a in rng.sample(parts, rng.randrange(3)) if a != v.lower()]) for v in values]
+        show = lambda es: [(e.value, e.occurrences, e.aliases) for e in es]
+        a, b = copy.deepcopy(people), copy.deepcopy(people)
+        assert show(detector.merge_fuzzy(a)) == show(plain_merge(detector, b))
+        a, b = copy.deepcopy(people), copy.deepcopy(people)
+        assert show(detector.consolidate(a)) == show(plain_consolidate(detector, b))
