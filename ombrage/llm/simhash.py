@@ -88,23 +88,35 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataF
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-#: The mask of each block's bits, and the flips that keep within radius 1 of the rest.
-MASKS = [((1 << BITS) - 1) << (BITS * b) for b in range(BLOCKS)]
-FLIPS = [np.array([0] + [1 << i for i in range(64) if not MASKS[b] >> i & 1], np.uint64) for b in range(BLOCKS)]
-#: The 16-bit strings with one to three ones.
+REST = 64 - BITS
+LOW = np.uint64((1 << REST) - 1)
+#: What keeps within radius 1 of the kept bits: no flip, or one of REST.
+FLIPS = np.array([0] + [1 << i for i in range(REST)], np.uint64)
+#: The strings of one block with one to three ones.
 NEAR = [m for m in range(1, 1 << BITS) if m.bit_count() <= RADIUS]
 
 
+def turned(x: np.ndarray, block: int | np.ndarray, back: bool = False) -> np.ndarray:
+    """x rotated so that the block's bits come to the top (back: from there)."""
+    k = (np.uint64(BITS) * (np.asarray(block).astype(np.uint64) + np.uint64(1))) % np.uint64(64)
+    k = (np.uint64(64) - k) % np.uint64(64) if back else k
+    return (x >> k) | (x << ((np.uint64(64) - k) % np.uint64(64)))
+
+
 def emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp) to (block, variant, fp): the punctured fingerprints within radius 1."""
+    """(fp) to (variant, rest): for each block, the other bits within radius 1 with the
+    block's number above them, and which bit was flipped with the block's own bits.
+    Together they give the fingerprint back, in little more than its own size."""
     for batch in batches:
         fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for k in range(0, len(fps), 2048):
-            part = fps[k : k + 2048]
+        for k in range(0, len(fps), 4096):
+            part = fps[k : k + 4096]
             for b in range(BLOCKS):
-                kept = part & np.uint64(~MASKS[b] & (1 << 64) - 1)
-                keys = (kept[:, None] ^ FLIPS[b][None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int8)), pa.array(keys.view(np.int64)), pa.array(np.repeat(part, len(FLIPS[b])).view(np.int64))], ["block", "variant", "fp"])
+                x = turned(part, b)
+                keys = ((x & LOW)[:, None] ^ FLIPS[None, :]) | np.uint64(b << REST)
+                rest = (x >> np.uint64(REST))[:, None] | (np.arange(len(FLIPS), dtype=np.uint64) << np.uint64(BITS))[None, :]
+                order = np.argsort(keys, axis=None)  # neighbours share their first bytes, which packs better
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()[order].view(np.int64)), pa.array(rest.ravel()[order].astype(np.int32))], ["variant", "rest"])
 
 
 class Forest:
@@ -126,9 +138,9 @@ class Forest:
             self.up[max(i, j)] = min(i, j)
 
 
-def link_bucket(block: int, variant: int, fps: np.ndarray) -> np.ndarray:
-    """For the distinct sorted fps of a bucket, the position of a smaller or equal
-    member that each is joined to.
+def link_bucket(variant: int, fps: np.ndarray) -> np.ndarray:
+    """For the distinct fps of a bucket, turned, the position of a smaller or equal one
+    that each is joined to.
 
     Up to PAIRS members every pair is held against the radius. Beyond, three kinds of
     pairs cover all linked pairs of all buckets together. With p and q the differing
@@ -144,7 +156,7 @@ def link_bucket(block: int, variant: int, fps: np.ndarray) -> np.ndarray:
         for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
             forest.join(int(i), int(j))
     else:
-        inside = ((fps >> np.uint64(BITS * block)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+        inside = (fps >> np.uint64(REST)).astype(np.int64)
         for bit in range(BITS):
             left_out = inside & ~(1 << bit)
             order = np.argsort(left_out, kind="stable")
@@ -154,7 +166,7 @@ def link_bucket(block: int, variant: int, fps: np.ndarray) -> np.ndarray:
                     head = b
                 else:
                     forest.join(int(head), b)
-        same = np.nonzero((fps & np.uint64(~MASKS[block] & (1 << 64) - 1)) == np.uint64(variant))[0]
+        same = np.nonzero((fps & LOW) == np.uint64(variant) & LOW)[0]
         at = np.full(1 << BITS, -1, np.int64)
         at[inside[same]] = same
         for m in NEAR:
@@ -166,39 +178,41 @@ def link_bucket(block: int, variant: int, fps: np.ndarray) -> np.ndarray:
 
 
 def link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, variant, fp) to edges (a < b) of a spanning forest of
-    each bucket. What is carried from batch to batch is one bucket."""
+    """Rows sorted by (variant, rest) to edges (a < b) of a spanning forest of each
+    bucket. What is carried from batch to batch is one bucket."""
 
-    def edges(blocks, variants, fps):
+    def edges(variants: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
         """Of whole buckets."""
-        new = np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (variants[1:] != variants[:-1])))
-        starts = np.nonzero(new)[0]
+        fps = (((variants & LOW) ^ FLIPS[rest >> BITS]) | (rest.astype(np.uint64) & np.uint64((1 << BITS) - 1)) << np.uint64(REST))
+        starts = np.nonzero(np.concatenate(([True], variants[1:] != variants[:-1])))[0]
         sizes = np.diff(np.concatenate((starts, [len(fps)])))
-        a, b = [], []
+        a, b, of = [], [], []
         # Buckets of two, nearly all, at once.
         two = starts[sizes == 2]
-        near = np.bitwise_count(fps[two] ^ fps[two + 1]) <= RADIUS
-        a.append(fps[two[near]])
-        b.append(fps[two[near] + 1])
+        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= RADIUS]
+        a.append(fps[two])
+        b.append(fps[two + 1])
+        of.append(variants[two])
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             own = fps[s : s + n]
-            root = link_bucket(int(blocks[s]), int(variants[s]), own)
+            root = link_bucket(int(variants[s]), own)
             inner = root != np.arange(n)
             a.append(own[root[inner]])
             b.append(own[inner])
-        a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+            of.append(np.full(int(inner.sum()), variants[s], np.uint64))
+        block = np.concatenate(of) >> np.uint64(REST)
+        a, b = (turned(np.concatenate(x), block, True).view(np.int64) for x in (a, b))
         pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     kept: tuple | None = None
     for batch in batches:
-        cols = (batch.column("block").to_numpy(zero_copy_only=False), batch.column("variant").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+        cols = (batch.column("variant").to_numpy(zero_copy_only=False).view(np.uint64), batch.column("rest").to_numpy(zero_copy_only=False))
         if kept is not None:
             cols = tuple(np.concatenate(x) for x in zip(kept, cols, strict=True))
         if not len(cols[0]):
             continue
-        last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-        cut = len(last) if not last.any() else int(np.argmax(last))
+        cut = int(np.searchsorted(cols[0].view(np.int64), cols[0].view(np.int64)[-1]))
         kept = tuple(x[cut:] for x in cols)
         if cut:
             yield edges(*(x[:cut] for x in cols))
@@ -210,9 +224,9 @@ def links(nodes: DataFrame) -> DataFrame:
     """Distinct (fp) to edges (a < b) that connect what links at RADIUS or less."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        nodes.mapInArrow(emit_variants, "block byte, variant long, fp long")
-        .repartition(n, "block", "variant")
-        .sortWithinPartitions("block", "variant", "fp")
+        nodes.mapInArrow(emit_variants, "variant long, rest int")
+        .repartition(n, "variant")
+        .sortWithinPartitions("variant", "rest")
         .mapInArrow(link_buckets, "a long, b long")
         .distinct()
     )
