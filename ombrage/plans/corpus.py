@@ -21,6 +21,7 @@ SPACED = ["a u Barreau  de Paris", "la r  etraite et 2  lits", "articles 5 - 1 e
 
 def case(key: str, values: list[str], replace: dict[str, str] | None = None) -> str:
     """CASE expression that picks a value by key modulo their number."""
+
     def text(v: str) -> str:
         out = "'" + v.replace("'", "''") + "'"
         for mark, expr in (replace or {}).items():

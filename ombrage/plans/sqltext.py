@@ -23,7 +23,7 @@ def quote(s: str) -> str:
 
 
 def pattern(p: str) -> str:
-    return quote(render(p, "re2").replace("\\A", "\\A").replace("\\Z", "\\z"))
+    return quote(render(p, "re2").replace("\\Z", "\\z"))
 
 
 def chain(expr: str, rules: list[tuple[str, str, str]]) -> str:
@@ -31,7 +31,7 @@ def chain(expr: str, rules: list[tuple[str, str, str]]) -> str:
     for pat, rep, flags in rules:
         for p, r in WITHOUT_LOOKAROUND.get(pat, [(pat, rep)]):
             new = re.sub(r"\$(\d)", r"\\\1", r.replace("\\", "\\\\"))
-            opts = ("" if "1" in flags else "g") + ("i" if "i" in flags else "") + ("" if "m" in flags else "")
+            opts = ("" if "1" in flags else "g") + ("i" if "i" in flags else "")
             prefix = "(?m)" if "m" in flags else ""
             expr = f"regexp_replace({expr}, {quote(prefix + render(p, 're2'))}, {quote(new)}, '{opts}')"
     return expr
