@@ -188,6 +188,7 @@ def train(sample: list[tuple[str, int]], share: float) -> Network:
         s = windows(len(d))
         starts.append(s if len(s) <= SAMPLE_WINDOWS else [s[k] for k in sorted(rng.choice(len(s), SAMPLE_WINDOWS, replace=False))])
     idx, ok, owner = layout(ids, starts)
+    idx = idx.astype(np.int32)
     of = np.split(np.arange(len(owner)), np.cumsum([len(s) for s in starts])[:-1])
     toxic, clean = ([k for k in np.nonzero(label == y)[0] if len(of[k])] for y in (1, 0))
     if not toxic or not clean:
@@ -196,7 +197,7 @@ def train(sample: list[tuple[str, int]], share: float) -> Network:
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
 
     def logits() -> np.ndarray:
-        px, _ = net.inputs(words)
+        px = np.concatenate([net.inputs(words[k : k + 4096])[0] for k in range(0, len(words), 4096)])
         return np.concatenate([net.forward(px, idx[k : k + 2048], ok[k : k + 2048])[0] for k in range(0, len(idx), 2048)])
 
     best: np.ndarray | None = None
