@@ -211,12 +211,12 @@ class Matcher:
                 groups.setdefault((r.with_title, c), []).append((k, r.pattern + forms))
             if heads is None:
                 anywhere[r.with_title].append((k, r.pattern + forms))
-        self.compiled = {}
+        self.compiled: dict[tuple[bool, str], list[tuple[int, str]]] = {}
         for titled in (True, False):
             for c in {c for t, c in groups if t == titled} | ({""} if anywhere[titled] else set()):
                 both = sorted([*groups.get((titled, c), ()), *anywhere[titled]])
-                rx = re.compile("(?:" + "|".join(f"({p})" for _, p in both) + ")" + E.RIGHT_BOUND, re.I)
-                self.compiled[titled, c] = (rx, [k for k, _ in both])
+                self.compiled[titled, c] = both
+        self.ready: dict[tuple[bool, str], tuple[re.Pattern[str], list[int]]] = {}
         self.title = re.compile(f"{render(E.TITLE_BEFORE, 'python')}[{WS}]+", re.I)
         heads = {c for t, c in self.compiled if not t} | ({"m", "d", "p"} if any(t for t, _ in self.compiled) else set())
         self.start = re.compile(E.LEFT_BOUND + ("[" + "".join(map(escaped_in_class, sorted(heads))) + "]" if heads and "" not in heads else "."), re.I | re.S) if heads else None
@@ -225,9 +225,17 @@ class Matcher:
         """(number of the rule, end) at a place."""
         if at >= len(text):
             return None
-        found = self.compiled.get((titled, text[at].lower()[0])) or self.compiled.get((titled, ""))
-        m = found[0].match(text, at) if found else None
-        return (found[1][m.lastindex - 1], m.end()) if m else None
+        key = (titled, text[at].lower()[0])
+        if key not in self.compiled:
+            key = (titled, "")
+            if key not in self.compiled:
+                return None
+        if key not in self.ready:  # compiled when a place first asks for it
+            both = self.compiled[key]
+            self.ready[key] = (re.compile("(?:" + "|".join(f"({p})" for _, p in both) + ")" + E.RIGHT_BOUND, re.I), [k for k, _ in both])
+        rx, numbers = self.ready[key]
+        m = rx.match(text, at)
+        return (numbers[m.lastindex - 1], m.end()) if m else None
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, Rule]]:
         """(start, start of the name, end, rule) from left to right, none overlapping."""
