@@ -1,25 +1,26 @@
-"""Near duplicates by text similarity, through SimHash ball hashing.
+"""Near duplicates by text similarity: candidates through SimHash and MinHash, exact check.
 
 op5's fingerprints link what differs in a few words of a long text. This form of the
 operator finds texts whose sets of five-word shingles have a similarity (Jaccard) of
-0.8 or more. Its sketch is TABLES SimHash fingerprints of 32 bits each over the distinct
-shingles. At a similarity of 0.8 two sketches differ in 15 % of their bits, so some of
-their fingerprints are within 2 bits: each fingerprint emits all variants within
-half that radius (33 rows), variants are shuffled, and pairs that share one are
-verified on all bits of the sketch, at most LIMIT of 256 differing.
-
-LIMIT is where a pair at 0.8 still passes with its sampling error (expected 48, standard
-error 6). Chances to meet and pass, by the binomial: 0.6 at 0.8, 0.88 at 0.85, 0.98 at
-0.9, over 0.99 at 0.95; below 0.6 under 0.01 pass, and unrelated texts (160 bits apart)
-never do. Equal sets of shingles always meet.
-
-A pair shares 33 variants of a table or 2, and is judged in one of them. A variant's
-bucket of up to PAIRS members is verified pair by pair. In a larger one the members with
-one fingerprint are held against the leaders so far, and lead where none is near; then
-leaders of different fingerprints are compared. A crowd of near copies has few leaders,
-so it costs its size. Only edges of a forest or to leaders leave a bucket, and what
-is kept of one from batch to batch is at most CARRY rows or its leaders. Before sketches
-are moved, buckets of one (nearly all) are dropped by their keys alone.
+ALIKE = 0.8 or more. Candidates meet in two ways: in BALLS tables of 32-bit SimHash
+fingerprints over the distinct shingles (each emits all variants within one bit, 33
+rows, so what is within 2 bits meets), and in BANDS keys of ROWS least hashes each. A
+pair at 0.8 shares a band with chance 0.9995, one at 0.85 with 0.99999, by the binomial.
+
+Pairs that share a key are held against a sketch of TABLES fingerprints, 320 bits. LIMIT
+is a filter of candidates and no verdict: at 0.8 a pair differs in 48 bits on average,
+standard error 6. The groups that candidates connect are then linked exactly, on
+the sets of shingle hashes, at ALIKE or more; nothing else makes a link.
+
+A pair shares 33 variants of a table or 2, and is judged in one of them; it is judged in
+every band it shares. A bucket of up to PAIRS members is verified pair by pair. In a
+larger one, and in the exact step, each row is held against the leaders so far, and leads
+where none is near. By the triangle inequality a row near a member is within twice the
+limit of the member's leader, so it is held against the members of such leaders
+too where these aren't connected to it yet. So no link is lost, a crowd of near copies has
+few leaders and costs little more than its size, and only edges of a forest leave a
+bucket. The exact step takes a connected group whole into one task. Before sketches are
+moved, buckets of one (nearly all) are dropped by their keys alone.
 
 Defined results: null and blank texts are one group; texts with fewer than `width`
 words have one shingle; rows that repeat are one group; an empty table gives no
@@ -28,7 +29,7 @@ rows; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,12 @@ from .common import written
 from .simhash import SEED, Forest, components
 
 WIDTH = 5
+ALIKE = 0.8
 TABLES = 10
-LIMIT = 55
+BALLS = 3
+BANDS = 32
+ROWS = 7
+LIMIT = 88
 PAIRS = 64
 CARRY = 50_000
 WORDS64 = TABLES // 2
@@ -72,8 +77,7 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([h(line[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def sketch(text: str | None, width: int = WIDTH) -> bytes:
-    hashes = shingle_hashes(text, width)
+def sketch_of(hashes: np.ndarray) -> bytes:
     ones = np.zeros(64 * WORDS64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -82,12 +86,43 @@ def sketch(text: str | None, width: int = WIDTH) -> bytes:
     return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").tobytes()
 
 
+def sketch(text: str | None, width: int = WIDTH) -> bytes:
+    return sketch_of(shingle_hashes(text, width))
+
+
+#: Odd multipliers, each of which orders the hashes anew.
+FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 0) | np.uint64(1)
+
+
+def bands_of(hashes: np.ndarray) -> bytes:
+    """BANDS 32-bit keys, each of ROWS least hashes; no shingles, no keys."""
+    if not len(hashes):
+        return b""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        part = mixed(hashes[at : at + (1 << 10)], WORDS64)
+        least = np.minimum(least, (part[:, None] * FACTORS[None, :]).min(0))
+    key = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        key = mixed(key ^ least[k::ROWS], k)
+    return (key >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def set_hash(hashes: np.ndarray) -> int:
+    """The node of a set of shingles, as a signed long."""
+    from xxhash import xxh64_intdigest as h
+
+    return int(np.uint64(h(hashes.tobytes(), SEED)).astype(np.int64))
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sketch(t, width) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "sketch"])
+            rows = [(set_hash(x), sketch_of(x), bands_of(x)) for x in (shingle_hashes(t, width) for t in batch.column("text").to_pylist())]
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "node", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, sketch binary, bands binary")
 
 
 def bits_of(column: pa.Array) -> np.ndarray:
@@ -96,18 +131,29 @@ def bits_of(column: pa.Array) -> np.ndarray:
 
 
 def emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sketch) to (variant, node): of every table's fingerprint all strings within
-    one bit, the table's number above them."""
+    """(node, sketch) to (variant, node): of the fingerprints of BALLS tables all strings
+    within one bit, the table's number above them."""
     for batch in batches:
         nodes, bits = batch.column("node").to_numpy(zero_copy_only=False), bits_of(batch.column("sketch"))
         prints = np.ascontiguousarray(bits).view("<u4").astype(np.uint64)
         for k in range(0, len(nodes), 4096):
-            for t in range(TABLES):
+            for t in range(BALLS):
                 keys = ((prints[k : k + 4096, t, None] ^ FLIPS32[None, :]) | np.uint64(t << 32)).ravel().view(np.int64)
                 order = np.argsort(keys)  # neighbours share their first bytes, which packs better
                 yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(np.repeat(nodes[k : k + 4096], len(FLIPS32))[order])], ["variant", "node"])
 
 
+def emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, sketch, bands) to (variant, node): variants, and bands as negative numbers."""
+    for batch in batches:
+        yield from emit_variants(iter([batch]))
+        nodes, bands = batch.column("node").to_numpy(zero_copy_only=False), batch.column("bands").to_pylist()
+        some = np.array([len(x) > 0 for x in bands], bool)
+        keys = np.frombuffer(b"".join(bands), "<u4").reshape(-1, BANDS).astype(np.int64)
+        keys |= np.arange(BANDS, dtype=np.int64)[None, :] << 32 | np.iinfo(np.int64).min
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[some], BANDS))], ["variant", "node"])
+
+
 def shared_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by variant those whose variant another row has too."""
     kept: tuple | None = None
@@ -136,24 +182,50 @@ def shared_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield several(*kept)
 
 
+def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
 def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= LIMIT
-
-
-def lead(bits: np.ndarray) -> list[tuple[int, int]]:
-    """(position, leader) of each row: the first row before it that leads and is near,
-    else itself."""
-    leaders: list[int] = []
-    table = np.zeros((0, WORDS64), np.uint64)
-    out = []
-    for i in range(len(bits)):
-        hit = np.nonzero(near(table, bits[i]))[0]
-        if len(hit):
-            out += [(i, leaders[j]) for j in hit.tolist()]
+    return far(a, b) <= LIMIT
+
+
+Distance = Callable[[int, np.ndarray], np.ndarray]
+
+
+def lead(rows: list[int], apart: Distance, limit: float, forest: Forest) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Rows joined to the nearest leader before them where one is within limit, as
+    edges, and the rows of each leader, itself first."""
+    heads, members, out = np.zeros(len(rows), np.int64), [], []
+    for i in rows:
+        d = apart(i, heads[: len(members)])
+        k = int(d.argmin()) if len(d) else 0
+        if len(d) and d[k] <= limit:
+            members[k].append(i)
+            forest.join(i, int(heads[k]))
+            out.append((i, int(heads[k])))
         else:
-            leaders.append(i)
-            table = np.concatenate((table, bits[i : i + 1]))
-            out.append((i, i))
+            heads[len(members)] = i
+            members.append([i])
+    return out, members
+
+
+def cross(rows: list[int], members: list[list[int]], apart: Distance, limit: float, forest: Forest, judged: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges that connect rows with the members of other leaders within limit, as far as
+    judged allows and nothing connects them yet. Distances are a metric."""
+    heads, out = np.array([m[0] for m in members], np.int64), []
+    for i in rows:
+        on = apart(i, heads) <= 2 * limit
+        if judged is not None:
+            on &= judged(i, heads)
+        for k in np.nonzero(on)[0].tolist():
+            if forest.root(i) == forest.root(int(heads[k])):
+                continue
+            js = np.array(members[k], np.int64)
+            hit = js[apart(i, js) <= limit]
+            if len(hit):  # the members of a leader are connected
+                forest.join(i, int(hit[0]))
+                out.append((i, int(hit[0])))
     return out
 
 
@@ -164,28 +236,34 @@ def own_here(variant: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a == b, variant == a, variant < (a ^ b ^ variant))
 
 
-def bucket_edges(variant: int, prints: np.ndarray, bits: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Edges (position, position) of a bucket, and the positions that still stand for
-    the others where it has more than PAIRS rows."""
-    v = np.uint64(variant)
-    if len(bits) <= PAIRS:
-        on = np.triu(near(bits[:, None, :], bits[None, :, :]) & own_here(v, prints[:, None], prints[None, :]), 1)
-        forest = Forest(len(bits))
-        for i, j in zip(*np.nonzero(on), strict=True):
+def bucket_edges(variant: int | None, prints: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (position, position) that connect a bucket's near rows; without a variant
+    (bands) every pair is judged here."""
+    forest, n = Forest(len(bits)), len(bits)
+    v = None if variant is None else np.uint64(variant)
+    if n <= PAIRS:
+        on = near(bits[:, None, :], bits[None, :, :])
+        if v is not None:
+            on &= own_here(v, prints[:, None], prints[None, :])
+        for i, j in zip(*np.nonzero(np.triu(on, 1)), strict=True):
             forest.join(int(i), int(j))
-        return [(i, forest.root(i)) for i in range(len(bits)) if forest.root(i) != i], []
-    out, heads = [], []
+        return [(i, forest.root(i)) for i in range(n) if forest.root(i) != i]
+
+    def apart(i: int, js: np.ndarray) -> np.ndarray:
+        return far(bits[js], bits[i])
+
+    if v is None:
+        out, members = lead(list(range(n)), apart, LIMIT, forest)
+        return out + cross(list(range(n)), members, apart, LIMIT, forest)
+    # Rows of one fingerprint are connected alike in all their variants, and put out in one.
+    out, members = [], []
     for p in np.unique(prints):
-        at = np.nonzero(prints == p)[0]
-        led = [(int(at[i]), int(at[j])) for i, j in lead(bits[at])]
-        heads += [i for i, j in led if i == j]
-        out += [(i, j) for i, j in led if i != j and p == v]
-    table, of, forest = bits[heads], prints[heads], Forest(len(heads))
-    for k in range(len(heads)):
-        hit = near(table[:k], table[k]) & own_here(v, of[:k], of[k]) & (of[:k] != of[k])
-        for j in np.nonzero(hit)[0].tolist():
-            forest.join(k, j)
-    return out + [(heads[k], heads[forest.root(k)]) for k in range(len(heads)) if forest.root(k) != k], heads
+        rows = np.nonzero(prints == p)[0].tolist()
+        led, own = lead(rows, apart, LIMIT, forest)
+        led += cross(rows, own, apart, LIMIT, forest)
+        members += own
+        out += led if p == v else []
+    return out + cross(list(range(n)), members, apart, LIMIT, forest, lambda i, js: (prints[js] != prints[i]) & own_here(v, prints[js], prints[i]))
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,17 +276,18 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def whole(keys: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         """Of whole buckets."""
-        table = (keys >> 32).astype(np.int64)
+        ball = keys >= 0
+        table = np.where(ball, keys >> 32, 0)
         prints = np.ascontiguousarray(bits).view("<u4")[np.arange(len(keys)), table].astype(np.uint64)
         variant = keys.astype(np.uint64) & np.uint64(0xFFFFFFFF)
         starts = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
         two = starts[sizes == 2]
-        two = two[own_here(variant[two], prints[two], prints[two + 1])]
+        two = two[~ball[two] | own_here(variant[two], prints[two], prints[two + 1])]
         two = two[near(bits[two], bits[two + 1])]
         a, b = [nodes[two]], [nodes[two + 1]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            got = np.array(bucket_edges(int(variant[s]), prints[s : s + n], bits[s : s + n])[0], np.int64).reshape(-1, 2) + s
+            got = np.array(bucket_edges(int(variant[s]) if ball[s] else None, prints[s : s + n], bits[s : s + n]), np.int64).reshape(-1, 2) + s
             a.append(nodes[got[:, 0]])
             b.append(nodes[got[:, 1]])
         return edges(np.concatenate(a), np.concatenate(b))
@@ -224,34 +303,87 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield whole(*(x[:cut] for x in cols))
         kept = tuple(x[cut:] for x in cols)
-        if len(kept[0]) > CARRY:
-            # A bucket so large goes on with those of its rows that lead.
-            keys, nodes, bits = kept
-            prints = np.ascontiguousarray(bits).view("<u4")[:, int(keys[0]) >> 32].astype(np.uint64)
-            got, heads = bucket_edges(int(keys[0]) & 0xFFFFFFFF, prints, bits)
-            pair = np.array(got, np.int64).reshape(-1, 2)
-            yield edges(nodes[pair[:, 0]], nodes[pair[:, 1]])
-            kept = tuple(x[sorted(heads)] for x in kept)
     if kept is not None:
         yield whole(*kept)
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """(node, sketch) to distinct edges between nodes whose sketches are near."""
+    """(node, sketch, bands) to distinct edges that connect nodes whose sketches are near."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.mapInArrow(emit_variants, "variant long, node long").repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(shared_variants, "variant long, node long")
-    return met.join(nodes, "node").select("variant", "node", "sketch").repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(verify, "a long, b long").distinct()
+    met = nodes.mapInArrow(emit_keys, "variant long, node long").repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(shared_variants, "variant long, node long")
+    return met.join(nodes.select("node", "sketch"), "node").select("variant", "node", "sketch").repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(verify, "a long, b long").distinct()
+
+
+def exact_roots(sets: list[np.ndarray]) -> list[int]:
+    """For distinct sorted sets the least position that links of ALIKE or more connect
+    each to."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
+    marks, of = np.zeros(int(sizes.sum()) + 1, bool), [-1]
+
+    def apart(i: int, js: np.ndarray) -> np.ndarray:
+        """Jaccard distances. Empty sets are distinct from all others."""
+        if of[0] != i:
+            if of[0] >= 0:
+                marks[ids[of[0]]] = False
+            marks[ids[i]] = True
+            of[0] = i
+        both = np.fromiter((np.count_nonzero(marks[ids[j]]) for j in js.tolist()), np.int64, len(js))
+        return 1 - both / np.maximum(sizes[i] + sizes[js] - both, 1)
+
+    # The limit is loosened by less than one shingle of any set, against rounding.
+    limit, forest, rows = 1 - ALIKE + 1e-12, Forest(len(sets)), list(range(len(sets)))
+    cross(rows, lead(rows, apart, limit, forest)[1], apart, limit, forest)
+    return [forest.root(i) for i in rows]
+
+
+def link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, node, shingles) sorted by (group, node) to (node, root)."""
+
+    def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[i] for i in exact_roots(sets)], pa.int64())], ["node", "root"])
+
+    group, nodes, sets = None, [], []
+    for batch in batches:
+        for g, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "shingles")), strict=True):
+            if g != group:
+                if nodes:
+                    yield linked(nodes, sets)
+                group, nodes, sets = g, [], []
+            if not nodes or nodes[-1] != node:
+                nodes.append(node)
+                sets.append(np.frombuffer(shingles, "<u8"))
+    if nodes:
+        yield linked(nodes, sets)
+
+
+def exact(docs: DataFrame, groups: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text) and (first_id, node, group) to (node, root), linked at ALIKE."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                rows = [(g, node, x.tobytes()) for g, node, x in zip(part.column("group").to_pylist(), part.column("node").to_pylist(), (shingle_hashes(t, width) for t in part.column("text").to_pylist()), strict=True) if set_hash(x) == node]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["group", "node", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
+    sets = texts.join(groups, "first_id").select("group", "node", "text").mapInArrow(shingled, "group long, node long, shingles binary")
+    return sets.repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(link_groups, "node long, root long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text) to (doc_id, component_id), one row for each of docs."""
-    marked = written(sketches(docs, width).withColumn("node", F.xxhash64("sketch")), "sketches")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch")), "nodes")
-    roots = components(links(nodes.select("node", "sketch"))).withColumnRenamed("node", "_node")
+    marked = written(sketches(docs, width), "sketches")
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "nodes")
+    led = written(components(links(nodes.select("node", "sketch", "bands"))).select("node", F.col("root").alias("group")), "groups")
+    groups = led.union(led.select(F.col("group").alias("node"), "group").distinct())  # the least node has no row of its own
+    roots = written(exact(docs, nodes.select("node", "first_id").join(groups, "node"), width), "roots").withColumnRenamed("node", "_node")
     placed = nodes.join(roots, nodes["node"] == F.col("_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = placed.join(least, "root").select("node", "component_id")
-    return marked.join(classes, "node").select("doc_id", "component_id")
+    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

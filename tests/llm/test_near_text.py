@@ -87,3 +87,35 @@ def test_odd_rows(spark):
     assert kept.columns == odd(spark).columns
     assert sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect()) == [(False, None), *((True, i) for i in (1, 4, 5, 7, 8, 9, 10))]
     assert N.near_duplicates(empty(spark)).count() == 0 and len(ODD) == odd(spark).count()
+
+
+def test_linked_at_the_limit_and_not_below(spark):
+    """Pairs at 0.8 to 0.85 are linked, pairs at 0.7 to just below 0.8 aren't."""
+    rng = np.random.default_rng(8)
+    data, similar = [], []
+    for g in range(240):
+        base = words(rng, 240)
+        for c in range(2):
+            text = list(base)
+            # A block of k words changed alters k + 4 of 236 shingles.
+            text[100 : 100 + c * (18 + g % 17)] = words(rng, c * (18 + g % 17))
+            data.append((len(data), " ".join(text)))
+        a, b = (set(N.shingle_hashes(t).tolist()) for _, t in data[-2:])
+        similar.append(len(a & b) / len(a | b))
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    linked = [got[2 * g + 1] == 2 * g for g in range(240)]
+    assert sum(s >= 0.8 for s in similar) > 40 and sum(s < 0.8 for s in similar) > 100
+    assert not any(on for on, s in zip(linked, similar, strict=True) if s < 0.8)
+    assert all(on for on, s in zip(linked, similar, strict=True) if s >= 0.8)
+
+
+def test_exact_groups_against_all_pairs():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = []
+    for _ in range(150):
+        keep = rng.random(len(base)) > rng.choice([0.02, 0.1, 0.15])
+        sets.append(np.unique(np.concatenate((base[keep], rng.integers(0, 1 << 63, int(rng.integers(0, 30)), dtype=np.uint64)))))
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = joined(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
+    assert groups(N.exact_roots(sets)) == groups(want) and len(groups(want)) > 1
