@@ -3,8 +3,8 @@
 Prose and identifiers made of words take few tokens of a byte-pair vocabulary: four
 characters and more a token. Random strings find no long entries and take one token
 for every one or two characters. A candidate is a maximal run of letters, digits and
-+ / _ = - of at least min_chars characters with a letter and a digit; it is a secret
-when it has fewer than `ratio` characters a token. Excluded before the test: hex
++ / _ = - with a letter, of at least min_chars characters, or of MIXED_CHARS where it has
+a digit too; it is a secret when it has fewer than `ratio` characters a token. Excluded before the test: hex
 strings of a digest's length (MD5, SHA-1, SHA-2), UUIDs, plain numbers and dates, and
 dashed or snake-case identifiers whose parts each are one word or one number.
 
@@ -34,6 +34,7 @@ from .common import read_table
 KINDS = ("assign", "access", "hex", "token")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MIN_CHARS = 20
+MIXED_CHARS = 16
 RATIO = 2.2
 MARK = "[SECRET]"
 #: Hex lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -83,9 +84,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def token_spans(text: str, base: list[tuple[int, int, int]], vocabulary: str, min_chars: int, ratio: float) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the runs that the token-efficiency test exposes."""
     out = []
-    for m in _candidates(min_chars).finditer(text):
+    for m in _candidates(min(min_chars, MIXED_CHARS)).finditer(text):
         run, a, b = m[0], m.start(), m.end()
-        if not (re.search("[A-Za-z]", run) and re.search("[0-9]", run)) or known(run):
+        if not re.search("[A-Za-z]", run) or len(run) < min_chars and not re.search("[0-9]", run) or known(run):
             continue
         if any(s < b and a < e for s, _, e in base):
             continue

@@ -132,6 +132,13 @@ def test_token_efficiency():
     assert found("password=q7Zk2LxV9bTfR3mWsY8pHc1D") == []
 
 
+def test_token_efficiency_of_letters_and_short_runs():
+    found = lambda t: [t[a:b] for a, k, b in secret_scan.scan(t)[1] if k == 3]
+    for key in ("qZkLxVbTfRmWsYpHcDjKgN", "xqzjkvwpfbgtmhcdyrlnsqkv", "q7Zk2LxV9bTfR3mW"):
+        assert found(f"key {key} end") == [key]
+    assert found("internationalization Donaudampfschifffahrtsgesellschaft user_name_field_2 2024-01-31/12-05 qZkLxVbTfRmWsYpH") == []
+
+
 def test_redaction(spark):
     secret = "x password=abcdef12 y"
     docs = spark.createDataFrame([(1, secret, "k"), (2, None, "k"), (3, "clean", None)], "doc_id long, text string, spans string")
