@@ -7,17 +7,21 @@ over MAX_REPEAT percent of its words in repeated windows.
 Across documents: normalised lines (lower case, digits as 0, blanks collapsed) are
 hashed, and the distinct documents with each line are counted for each host (the
 source). Exact copies of a text count as one document, so a group of copies doesn't
-make its own lines common. A line in over max(MIN_DOCS, SHARE of the host's distinct
-texts) documents is removed wherever it stands on that host; a document that loses over
-MAX_LOST percent of its words, or is left with fewer than MIN_WORDS, is depleted and
-goes.
+make its own lines common. A document that loses over MAX_LOST percent of its words to
+common lines, or is left with fewer than MIN_WORDS, is depleted and goes.
+
+op8's query, which its SQL defines, calls a line common in over max(MIN_DOCS, SHARE of
+the host's distinct texts) documents. apply_rules(), the pipeline's stage, removes a line
+in over MIN_DOCS documents of the host, however large the host is.
 
 Scale: hashes are reduced to distinct (host, line, text) rows before they are counted,
-so a hot host or line is spread over its texts. A host can have at most
+so a hot host or line is spread over its texts. With SHARE a host can have at most
 lines-per-document / SHARE lines over the limit, and that list is what documents are
 joined with: a broadcast where the written list is under Catalyst's limit, a
-sort-merge join with skew splitting else. Everything within a text is done in that
-text's row, in n log n steps.
+sort-merge join with skew splitting else. Without SHARE a host's list grows with the host,
+so (host, line) rows of the texts are joined with those of the list, and a document meets
+only its own text's common lines. Everything within a text is done in that text's row,
+in n log n steps.
 
 Defined results: null and empty texts have no words and fail; a null source is a host
 of its own; rows that repeat count once across documents and are judged alike; an
@@ -54,18 +58,37 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(normal_line(line))
 
 
+def host_of() -> Column:
+    return F.coalesce("source", F.lit(""))
+
+
+def copy_of() -> Column:
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text, F.length(text))
+
+
+def line_hashes() -> Column:
+    return F.array_distinct(F.transform(F.filter(text_lines(F.col("text")), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), line_hash))
+
+
 def common_lines(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
     """(source, text) to (host, common): the hashes of each host's common lines."""
-    host, text = F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))
-    hashes = F.transform(F.filter(text_lines(text), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), line_hash)
     # Null stands for the text itself, so that one pass also counts a host's texts.
-    rows = docs.select(host.alias("host"), F.xxhash64(text, F.length(text)).alias("copy"), F.explode(F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(hashes))).alias("line"))
+    rows = docs.select(host_of().alias("host"), copy_of().alias("copy"), F.explode(F.concat(F.array(F.lit(None).cast("long")), line_hashes())).alias("line"))
     counts = written(rows.groupBy("host", "line").agg(F.count_distinct("copy").alias("n")).where((F.col("n") > min_docs) | F.col("line").isNull()), "lines")
     totals = counts.where("line IS NULL").select("host", F.col("n").alias("texts"))
     often = counts.where("line IS NOT NULL").join(totals, "host").where(F.col("n") > F.lit(share) * F.col("texts"))
     return written(often.groupBy("host").agg(F.collect_list("line").alias("common")), "common")
 
 
+def common_of_texts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(source, text) to (host, copy, common): of each text that has some, the hashes of its
+    lines that over min_docs distinct texts of the host have."""
+    rows = written(docs.select(host_of().alias("host"), copy_of().alias("copy"), F.explode(line_hashes()).alias("line")), "rows")
+    often = written(rows.groupBy("host", "line").agg(F.count_distinct("copy").alias("n")).where(F.col("n") > min_docs).select("host", "line"), "often")
+    return written(rows.join(often, ["host", "line"]).groupBy("host", "copy").agg(F.collect_set("line").alias("common")), "common")
+
+
 def repeated_words(words: Column, n: Column) -> Column:
     """Words in WINDOW-word windows found twice or more in the text, first included."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))
@@ -90,10 +113,13 @@ def repeated_words(words: Column, n: Column) -> Column:
 
 def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     """docs with column _m: a struct of the counts and verdicts, and _clean, the text
-    without common lines. docs must have source and text."""
+    without common lines. docs must have source and text; common is of hosts, or of texts
+    where it has a column copy."""
     words = words_of(F.col("text"))
     lines = F.filter(text_lines(F.col("text")), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    joined = docs.withColumn("_host", F.coalesce("source", F.lit(""))).join(common.select(F.col("host").alias("_of"), F.col("common").alias("_common")), F.col("_host") == F.col("_of"), "left")
+    given = common.select(*[F.col(c).alias(f"_of_{c}") for c in common.columns if c != "common"], F.col("common").alias("_common"))
+    same = [F.col(f"_{c}") == F.col(f"_of_{c}") for c in common.columns if c != "common"]
+    joined = docs.withColumns({"_host": host_of()} | ({"_copy": copy_of()} if "copy" in common.columns else {})).join(given, same, "left")
     drop = lambda x: F.array_contains(F.col("_common"), line_hash(x))
     clean = F.when(F.col("_common").isNull(), F.col("text")).otherwise(
         bind(text_lines(F.col("text")), lambda ls: F.when(F.exists(ls, drop), F.array_join(F.filter(ls, lambda x: ~drop(x)), "\n")).otherwise(F.col("text")))
@@ -127,7 +153,7 @@ def apply_rules(docs: DataFrame) -> DataFrame:
     """docs that the rules keep, text without the common lines and n_chars to fit;
     columns as given."""
     out = {"text": F.col("_clean")} | ({"n_chars": F.when(F.col("_clean") != F.col("text"), F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    done = measure(docs, common_lines(docs)).where("_m.kept")
+    done = measure(docs, common_of_texts(docs)).where("_m.kept")
     return done.select(*[out.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 

@@ -312,6 +312,16 @@ def test_common_lines_and_copies(spark):
     assert first["text"] == own(5) and first["n_chars"] == len(own(5))
 
 
+def test_common_lines_of_a_large_host(spark):
+    """A line in 25 of 400 texts, 6 % of the host, goes; one in 20 stays, and so does one
+    that is common on another host."""
+    name = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    own = lambda k: " ".join(f"w{name(k)}x{name(j)}" for j in range(30))
+    data = [(k, "s", own(k) + ("\nsubscribe to our letter" if k < 25 else "\nread on" if k < 45 else "")) for k in range(400)] + [(400, "t", own(400) + "\nsubscribe to our letter")]
+    got = {r["doc_id"]: r["text"] for r in quality_rules.apply_rules(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()}
+    assert got == {k: own(k) if k < 25 else t for k, _, t in data}
+
+
 def test_rules_on_odd_rows(spark):
     got = measured(spark, odd(spark))
     assert len(got) == len(ODD)
