@@ -119,3 +119,15 @@ def test_exact_groups_against_all_pairs():
     alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
     want = joined(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
     assert groups(N.exact_roots(sets)) == groups(want) and len(groups(want)) > 1
+
+
+def test_chain_in_a_crowded_bucket():
+    """A near B, B near C, A not near C, among more than PAIRS copies of A."""
+    flips = N.LIMIT - 5
+    a = np.zeros(64 * N.WORDS64, np.uint8)
+    b, c = a.copy(), a.copy()
+    b[32 : 32 + flips] = 1
+    c[32 : 32 + 2 * flips] = 1
+    rows = [np.packbits(x, bitorder="little").tobytes() for x in [a] * (N.PAIRS + 6) + [b, c]]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["variant", "node", "sketch"])
+    assert len(groups(joined(len(rows), edges_of(N.verify(iter([batch])))))) == 1
