@@ -1,33 +1,41 @@
 """Content-addressed WARC archive.
 
-An archive is two Parquet tables in one folder. payloads has each payload's bytes
-once, under their SHA-256. records has the exact header block of every record and
-the digest of its payload. A record is put together again by a join on the digest;
-the bytes are verified against it both when stored and when read back.
+An archive is three Parquet tables in one folder. payloads has each payload's bytes
+once, under their SHA-256, in buckets sorted by that digest. records has the exact
+header block of every record and the digest of its payload. layout says how many
+buckets there are. A record is put together again by a join on the digest; the bytes
+are verified against it when read back.
 
 Of records with equal payloads of at least revisit_from bytes (100), those with the
 smallest page_id are responses and others revisit them; smaller payloads are always
 responses. Header blocks follow WARC/1.1 and hold nothing that varies between runs,
 so a repeated task writes the same bytes.
 
-Skew: which record is first is an aggregate over (digest, page_id) only, partial
-before the shuffle; payloads are reduced to one a digest within each input
-partition before they move. The joins that follow are sort-merge joins whose one
-side is unique, and adaptive execution splits a hot digest.
+Scale: payload bytes are shuffled once, when they are stored, after copies within an
+input partition are reduced to one. Reading doesn't move them: the buckets are the
+join's partitions, and only records (headers) are shuffled to them. A digest with over
+SPREAD records is marked when stored; its records are dealt by salt over one task for
+each SPREAD of them, with a copy of the payload for each salt, which adds at most one
+payload for SPREAD records. Which record is first is an aggregate over (digest,
+page_id) only; digests of one record need no join.
 
 Defined results: null html is an empty payload; null url is written as an empty
 target; rows that repeat a page_id with the same payload count as one first record
-(all are responses); an empty table gives empty tables; other columns are ignored.
+(all are responses); a record without its payload, or with another, fails the read; an
+empty table gives empty tables; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, fresh_path, read_table
+from .common import bind, fresh_path, read_table, written
 
 REVISIT_FROM = 100
+SPREAD = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -50,28 +58,50 @@ def header_block(page_id: Column, url: Column, digest: Column, n: Column, kind:
 
 
 def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None:
-    """Store (page_id, url, html) rows under path as tables records and payloads."""
+    """Store (page_id, url, html) rows under path as tables records, payloads and layout."""
+    spark = pages.sparkSession
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     full = pages.select("page_id", "url", body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     light = full.select("page_id", "url", "digest", F.length("payload").cast("long").alias("n"))
-    first = light.where(F.col("n") >= revisit_from).groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    parts = F.ceil(F.count("*") / F.lit(SPREAD)).cast("int").alias("parts")
+    several = written(light.groupBy("digest").agg(F.min(F.when(F.col("n") >= revisit_from, F.col("page_id"))).alias("first_id"), parts, F.count("*").alias("c")).where("c > 1").drop("c"), "several")
     kind = F.when(F.col("first_id").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
     (
-        light.join(first, "digest", "left")
+        light.join(several, "digest", "left")
         .withColumn("kind", kind)
-        .select("page_id", "digest", header_block(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n"), F.col("kind"), F.col("first_id")).alias("header"))
+        .select("page_id", "digest", F.coalesce("parts", F.lit(1)).alias("parts"), header_block(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n"), F.col("kind"), F.col("first_id")).alias("header"))
         .write.parquet(f"{path}/records")
     )
-    full.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = full.groupBy("digest").agg(F.first("payload").alias("payload"), parts)
+    name = f"ombrage_{uuid.uuid4().hex}"
+    once.write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").option("path", f"{path}/payloads").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the folder stays
+    spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/layout")
+
+
+def payload_table(spark: SparkSession, path: str) -> DataFrame:
+    """The stored payloads (digest, payload, parts) in their buckets, verified."""
+    buckets = spark.read.schema("buckets int").parquet(f"{path}/layout").first()[0]
+    name, folder = f"ombrage_{uuid.uuid4().hex}", f"{path}/payloads".replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} (digest STRING, payload BINARY, parts INT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    stored = spark.table(name)
+    stored.schema  # resolved here; then the catalogue's entry is no longer needed
+    spark.sql(f"DROP TABLE {name}")
+    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is not what its digest says: "), F.col("digest"))))
+    return stored.select("digest", sound.alias("payload"), "parts")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """digest, header and payload bytes of every record; raises where stored bytes
-    do not have the digest they are stored under."""
-    records = spark.read.schema("page_id long, digest string, header binary").parquet(f"{path}/records")
-    payloads = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    sound = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload is not what its digest says: "), F.col("digest"))))
-    return records.join(payloads.select("digest", sound.alias("payload")), "digest", "left").select("digest", "header", "payload")
+    do not have the digest they are stored under, or are missing."""
+    records = spark.read.schema("page_id long, digest string, parts int, header binary").parquet(f"{path}/records")
+    payloads = payload_table(spark, path)
+    plain = records.where("parts = 1").select("digest", "header").join(payloads.where("parts = 1").select("digest", "payload"), "digest", "left")
+    salted = records.where("parts > 1").select("digest", F.pmod(F.xxhash64("page_id", "header"), "parts").cast("int").alias("salt"), "header")
+    copies = payloads.where("parts > 1").select("digest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "payload")
+    both = plain.select("digest", "header", "payload").unionByName(salted.join(copies, ["digest", "salt"], "left").select("digest", "header", "payload"))
+    return both.withColumn("payload", F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload for "), F.col("digest"))).cast("binary")))
 
 
 def record_bytes(header: Column, payload: Column) -> Column:

@@ -82,10 +82,39 @@ def test_warc_files(spark, tmp_path):
 
 
 def test_warc_damage_is_seen(spark, tmp_path):
-    warc_store.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), str(tmp_path / "a"))
-    spark.createDataFrame([(hashlib.sha256(b"text").hexdigest(), bytearray(b"tent"))], "digest string, payload binary").write.mode("overwrite").parquet(str(tmp_path / "a/payloads"))
-    with pytest.raises(Exception, match="not what its digest says"):
-        warc_store.read_archive(spark, str(tmp_path / "a")).collect()
+    pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    for name, value in (("other", b"tent"), ("lost", None)):
+        warc_store.write_archive(pages, str(tmp_path / name))
+        rows = [] if value is None else [(hashlib.sha256(b"text").hexdigest(), bytearray(value), 1)]
+        table = spark.createDataFrame(rows, "digest string, payload binary, parts int").write.mode("overwrite").format("parquet").bucketBy(8, "digest").sortBy("digest")
+        table.option("path", str(tmp_path / name / "payloads")).saveAsTable(f"damaged_{name}")
+        spark.sql(f"DROP TABLE damaged_{name}")
+        with pytest.raises(Exception, match="not what its digest says" if value else "no payload for"):
+            warc_store.read_archive(spark, str(tmp_path / name)).collect()
+
+
+def test_warc_hot_digest_long_payload_and_empty_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc_store, "SPREAD", 3)
+    data = [(k, "u", "hot" * 50) for k in range(40)] + [(100, "u", "z" * 1_000_000), (101, "u", None)] + [(200 + k, "u", f"page {k} " * 20) for k in range(9)]
+    warc_store.write_archive(spark.createDataFrame(data, "page_id long, url string, html string"), str(tmp_path / "a"))
+    stored = spark.read.parquet(str(tmp_path / "a/payloads"))
+    assert stored.count() == 12 and stored.where("parts = 14").count() == 1
+    back = warc_store.read_archive(spark, str(tmp_path / "a")).collect()
+    page = lambda r: int(re.search(rb"WARC-Record-ID: <urn:page:(\w+)>", r["header"])[1])
+    assert sorted((page(r), bytes(r["payload"])) for r in back) == sorted((i, (t or "").encode()) for i, _, t in data)
+    warc_store.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e"))
+    assert warc_store.read_archive(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_warc_payloads_are_read_without_an_exchange(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(50)], "page_id long, url string, html string")
+        warc_store.write_archive(pages, str(tmp_path / "a"))
+        plan = warc_store.read_archive(spark, str(tmp_path / "a")).where("digest <> ''")._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 8 out of 8" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 # ── Sharding ─────────────────────────────────────────────────────────────────
