@@ -284,7 +284,7 @@ def test_raking_meets_the_margins(spark):
     cells = spark.createDataFrame(data, "source string, lang string, topic string, own double")
     shared_dir(spark)
     targets = {"lang": {"en": 0.3}, "topic": {"x": 0.2, "y": 0.5, "z": 0.3}}
-    got = mixing.rake(cells, targets, 12).toPandas()
+    got = mixing.rake(cells, targets).toPandas()
     assert got.groupby("lang")["fitted"].sum()["en"] == pytest.approx(0.3, abs=1e-6)
     assert got.groupby("topic")["fitted"].sum().to_dict() == pytest.approx(targets["topic"], abs=1e-6)
     share = got.groupby("source")["own"].sum() / got["own"].sum()
@@ -292,13 +292,43 @@ def test_raking_meets_the_margins(spark):
     assert got.groupby("source")["fitted"].sum().to_dict() == pytest.approx(want.to_dict(), abs=1e-4)
 
 
+def test_targets_that_cannot_be_met_fail(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 10.0), ("b", "fr", "x", 90.0)], "source string, lang string, topic string, own double")
+    shared_dir(spark)
+    with pytest.raises(ValueError, match="together"):
+        mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.2, "fr": 0.8}}, rounds=6)
+    assert mixing.rake(cells).count() == 2 and mixing.rake(cells.limit(0)).count() == 0
+
+
+def test_mixed_words_meet_the_targets(spark):
+    """Shares of the output against the aims, within four standard errors of the sampling."""
+    rng = np.random.default_rng(11)
+    sources = ["hot"] * 10 + list("abcdefgh")
+    data = [(k, "w " * int(rng.integers(20, 300)), ["en", "en", "en", "fr"][int(rng.integers(4))], sources[int(rng.integers(len(sources)))], ["x", "x", "y"][int(rng.integers(3))]) for k in range(4000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, kind string")
+    targets = {"lang": {"fr": 0.5}, "topic": {"x": 0.4, "y": 0.6}}
+    words = lambda t: len(t.split())
+    own = docs.toPandas().assign(n=lambda d: d.text.map(words))
+    share = own.groupby("source")["n"].sum() / own["n"].sum()
+    aim = {**(share**mixing.ALPHA / (share**mixing.ALPHA).sum()).to_dict(), "en": 0.5, "fr": 0.5, "x": 0.4, "y": 0.6}
+    for repeat in (True, False):
+        out = mixing.mix(docs, targets=targets, topic=F.col("kind"), repeat=repeat).toPandas().assign(n=lambda d: d.text.map(words))
+        total = out["n"].sum()
+        assert repeat == out.doc_id.duplicated().any() and len(out) > 500
+        bound = 4 * np.sqrt((0.25 * own["n"] ** 2).sum()) / total
+        for column in ("source", "lang", "kind"):
+            for k, v in (out.groupby(column)["n"].sum() / total).items():
+                assert abs(v - aim[k]) < bound, (repeat, k, v, aim[k])
+
+
 def test_mix_of_odd_rows(spark):
     kept = mixing.mix(odd(spark))
-    assert kept.columns == odd(spark).columns and kept.count() <= len(ODD)
+    rows = lambda df: {str(r) for r in df.collect()}
+    assert kept.columns == odd(spark).columns and rows(kept) <= rows(odd(spark))
     assert mixing.mix(empty(spark)).count() == 0
     plan = mixing.sample_plan(mixing.weigh(odd(spark)))
     assert plan.count() == len(ODD)
-    assert plan.where("kept <> (probability > 0) AND probability = 1").count() == 0
+    assert plan.where("copies NOT IN (floor(ratio), floor(ratio) + 1) OR probability NOT BETWEEN 0 AND 1").count() == 0
 
 
 # ── Quality rules ────────────────────────────────────────────────────────────
