@@ -2,25 +2,28 @@
 
 op5's fingerprints link what differs in a few words of a long text. This form of the
 operator finds texts whose sets of five-word shingles have a similarity (Jaccard) of
-ALIKE = 0.8 or more. Candidates meet in two ways: in BALLS tables of 32-bit SimHash
-fingerprints over the distinct shingles (each emits all variants within one bit, 33
-rows, so what is within 2 bits meets), and in BANDS keys of ROWS least hashes each. A
-pair at 0.8 shares a band with chance 0.9995, one at 0.85 with 0.99999, by the binomial.
-
-Pairs that share a key are held against a sketch of TABLES fingerprints, 320 bits. LIMIT
-is a filter of candidates and no verdict: at 0.8 a pair differs in 48 bits on average,
-standard error 6. The groups that candidates connect are then linked exactly, on
-the sets of shingle hashes, at ALIKE or more; nothing else makes a link.
-
-A pair shares 33 variants of a table or 2, and is judged in one of them; it is judged in
-every band it shares. A bucket of up to PAIRS members is verified pair by pair. In a
-larger one, and in the exact step, each row is held against the leaders so far, and leads
-where none is near. By the triangle inequality a row near a member is within twice the
-limit of the member's leader, so it is held against the members of such leaders
-too where these aren't connected to it yet. So no link is lost, a crowd of near copies has
-few leaders and costs little more than its size, and only edges of a forest leave a
-bucket. The exact step takes a connected group whole into one task. Before sketches are
-moved, buckets of one (nearly all) are dropped by their keys alone.
+ALIKE = 0.8 or more, in three steps.
+
+Keys. BALLS fingerprints of BITS SimHash bits over the distinct shingles emit all variants
+within one bit, so what is within 2 bits meets. At 0.8 that is rare, so BANDS keys of
+ROWS least hashes each are emitted too: a pair at 0.8 shares one of these with chance
+0.9995, one at 0.85 with 0.99999, by the binomial. Keys have 48 and 58 bits, so that
+strangers hardly meet in 10 billion texts either.
+
+Groups. Rows that share a key are held against a sketch of 320 SimHash bits. LIMIT is a
+filter of candidates and no verdict: at 0.8 a pair differs in 48 bits on average, standard
+error 6. Only edges of a forest leave a key. Crowds are grouped without a comparison, which
+loses nothing, as groups are judged exactly: a key that over CROWD of SLICE rows of one
+task have is shuffled once for these rows, and they follow under a key of their own; a
+key of over BUCKET rows is a star that streams through.
+
+Links. Within a group all sketches are compared and all pairs within LIMIT that aren't
+connected yet are judged by their shingle sets, at ALIKE or more; nothing else makes a
+link. A group of over BLOCK_ROWS rows or BLOCK_BYTES is dealt into blocks. Each block is
+linked by itself, then the heads of what is linked; of the classes that result the largest
+is known to hang together, so only rows outside it are held against all blocks, in
+tasks of two blocks each. So no task holds more than two blocks, however large a crowd,
+and a crowd of near copies costs little more than its size.
 
 Defined results: null and blank texts are one group; texts with fewer than `width`
 words have one shingle; rows that repeat are one group; an empty table gives no
@@ -29,28 +32,27 @@ rows; other columns pass through.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import written
-from .simhash import SEED, Forest, components
+from .simhash import SEED, classes, components
 
 WIDTH = 5
 ALIKE = 0.8
-TABLES = 10
-BALLS = 3
-BANDS = 32
-ROWS = 7
+WORDS64 = 5
+BALLS, BITS = 2, 48
+BANDS, ROWS, BAND_BITS = 32, 7, 58
 LIMIT = 88
 PAIRS = 64
-CARRY = 50_000
-WORDS64 = TABLES // 2
-FLIPS32 = np.array([0] + [1 << i for i in range(32)], np.uint64)
+SLICE, CROWD, BUCKET, CARRY = 4096, 32, 2048, 50_000
+BLOCK_ROWS, BLOCK_BYTES = 8192, 32 << 20
+FLIPS = np.array([0] + [1 << i for i in range(BITS)], np.uint64)
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -95,7 +97,7 @@ FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64), 0) | np.uint64(
 
 
 def bands_of(hashes: np.ndarray) -> bytes:
-    """BANDS 32-bit keys, each of ROWS least hashes; no shingles, no keys."""
+    """BANDS keys of BAND_BITS, each of ROWS least hashes; no shingles, no keys."""
     if not len(hashes):
         return b""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
@@ -105,7 +107,7 @@ def bands_of(hashes: np.ndarray) -> bytes:
     key = np.zeros(BANDS, np.uint64)
     for k in range(ROWS):
         key = mixed(key ^ least[k::ROWS], k)
-    return (key >> np.uint64(32)).astype("<u4").tobytes()
+    return (key >> np.uint64(64 - BAND_BITS)).astype("<u8").tobytes()
 
 
 def set_hash(hashes: np.ndarray) -> int:
@@ -115,14 +117,20 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(h(hashes.tobytes(), SEED)).astype(np.int64))
 
 
+def table_of(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text) to (doc_id, node, size, sketch, bands); size counts shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_hash(x), sketch_of(x), bands_of(x)) for x in (shingle_hashes(t, width) for t in batch.column("text").to_pylist())]
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "node", "sketch", "bands"])
+            rows = [(set_hash(x), len(x), sketch_of(x), bands_of(x)) for x in (shingle_hashes(t, width) for t in batch.column("text").to_pylist())]
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "node", "size", "sketch", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, sketch binary, bands binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, size long, sketch binary, bands binary")
 
 
 def bits_of(column: pa.Array) -> np.ndarray:
@@ -130,41 +138,70 @@ def bits_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, WORDS64)
 
 
-def emit_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sketch) to (variant, node): of the fingerprints of BALLS tables all strings
-    within one bit, the table's number above them."""
-    for batch in batches:
-        nodes, bits = batch.column("node").to_numpy(zero_copy_only=False), bits_of(batch.column("sketch"))
-        prints = np.ascontiguousarray(bits).view("<u4").astype(np.uint64)
-        for k in range(0, len(nodes), 4096):
-            for t in range(BALLS):
-                keys = ((prints[k : k + 4096, t, None] ^ FLIPS32[None, :]) | np.uint64(t << 32)).ravel().view(np.int64)
-                order = np.argsort(keys)  # neighbours share their first bytes, which packs better
-                yield pa.RecordBatch.from_arrays([pa.array(keys[order]), pa.array(np.repeat(nodes[k : k + 4096], len(FLIPS32))[order])], ["variant", "node"])
+def prints_of(bits: np.ndarray) -> np.ndarray:
+    """Of sketches the BALLS fingerprints."""
+    raw = np.ascontiguousarray(bits).view(np.uint8)
+    out = np.zeros((len(bits), BALLS, 8), np.uint8)
+    out[:, :, : BITS // 8] = raw[:, : BALLS * BITS // 8].reshape(len(bits), BALLS, BITS // 8)
+    return out.view("<u8")[:, :, 0]
+
+
+def ball_keys(bits: np.ndarray) -> np.ndarray:
+    """Of each sketch all strings within one bit of its fingerprints, the table's number
+    above them."""
+    keys = (prints_of(bits)[:, :, None] ^ FLIPS) | (np.arange(BALLS, dtype=np.uint64) << np.uint64(BITS))[:, None]
+    return keys.reshape(len(bits), -1).view(np.int64)
+
+
+def band_keys(bands: list[bytes]) -> np.ndarray:
+    """Bands as negative numbers, the band's number above the key."""
+    keys = np.frombuffer(b"".join(bands), "<u8").reshape(-1, BANDS)
+    return (keys | np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND_BITS) | np.uint64(1 << 63)).view(np.int64)
+
+
+KEYS = "variant long, node long, crowd boolean"
+
+
+def keyed(variant: np.ndarray, node: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(variant), pa.array(node), pa.array(crowd)], ["variant", "node", "crowd"])
 
 
 def emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, sketch, bands) to (variant, node): variants, and bands as negative numbers."""
+    """(node, sketch, bands) to (variant, node, crowd). Where over CROWD rows of a slice
+    have a key, its least node alone is put out under it, and all of them under a key
+    of this slice; both are marked as crowds."""
     for batch in batches:
-        yield from emit_variants(iter([batch]))
-        nodes, bands = batch.column("node").to_numpy(zero_copy_only=False), batch.column("bands").to_pylist()
-        some = np.array([len(x) > 0 for x in bands], bool)
-        keys = np.frombuffer(b"".join(bands), "<u4").reshape(-1, BANDS).astype(np.int64)
-        keys |= np.arange(BANDS, dtype=np.int64)[None, :] << 32 | np.iinfo(np.int64).min
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes[some], BANDS))], ["variant", "node"])
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            nodes, bands = part.column("node").to_numpy(zero_copy_only=False), part.column("bands").to_pylist()
+            some = nodes[np.array([len(x) > 0 for x in bands], bool)]
+            balls = ball_keys(bits_of(part.column("sketch")))
+            key = np.concatenate((balls.ravel(), band_keys(bands).ravel()))
+            node = np.concatenate((np.repeat(nodes, balls.shape[1]), np.repeat(some, BANDS)))
+            order = np.lexsort((node, key))  # neighbours share their first bytes, which packs better
+            key, node = key[order], node[order]
+            starts = np.nonzero(np.concatenate(([True], key[1:] != key[:-1])))[0]
+            sizes = np.diff(np.concatenate((starts, [len(key)])))
+            many = np.repeat(sizes > CROWD, sizes)
+            yield keyed(key[~many], node[~many], np.zeros(int((~many).sum()), bool))
+            heads = starts[sizes > CROWD]
+            if len(heads):
+                own = mixed(key[heads].view(np.uint64) ^ mixed(node[heads].view(np.uint64), 1), 2).view(np.int64)
+                keys = np.concatenate((key[heads], np.repeat(own, sizes[sizes > CROWD])))
+                yield keyed(keys, np.concatenate((node[heads], node[many])), np.ones(len(keys), bool))
 
 
 def shared_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by variant those whose variant another row has too."""
     kept: tuple | None = None
 
-    def several(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    def several(keys: np.ndarray, nodes: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
         same = keys[1:] == keys[:-1]
         on = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        return pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(nodes[on])], ["variant", "node"])
+        return keyed(keys[on], nodes[on], crowd[on])
 
     for batch in batches:
-        cols = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "node"))
+        cols = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "node", "crowd"))
         if kept is not None:
             cols = tuple(np.concatenate(x) for x in zip(kept, cols, strict=True))
         if not len(cols[0]):
@@ -190,111 +227,64 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return far(a, b) <= LIMIT
 
 
-Distance = Callable[[int, np.ndarray], np.ndarray]
-
-
-def lead(rows: list[int], apart: Distance, limit: float, forest: Forest) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """Rows joined to the nearest leader before them where one is within limit, as
-    edges, and the rows of each leader, itself first."""
-    heads, members, out = np.zeros(len(rows), np.int64), [], []
-    for i in rows:
-        d = apart(i, heads[: len(members)])
-        k = int(d.argmin()) if len(d) else 0
-        if len(d) and d[k] <= limit:
-            members[k].append(i)
-            forest.join(i, int(heads[k]))
-            out.append((i, int(heads[k])))
-        else:
-            heads[len(members)] = i
-            members.append([i])
-    return out, members
-
-
-def cross(rows: list[int], members: list[list[int]], apart: Distance, limit: float, forest: Forest, judged: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Edges that connect rows with the members of other leaders within limit, as far as
-    judged allows and nothing connects them yet. Distances are a metric."""
-    heads, out = np.array([m[0] for m in members], np.int64), []
-    for i in rows:
-        on = apart(i, heads) <= 2 * limit
-        if judged is not None:
-            on &= judged(i, heads)
-        for k in np.nonzero(on)[0].tolist():
-            if forest.root(i) == forest.root(int(heads[k])):
-                continue
-            js = np.array(members[k], np.int64)
-            hit = js[apart(i, js) <= limit]
-            if len(hit):  # the members of a leader are connected
-                forest.join(i, int(hit[0]))
-                out.append((i, int(hit[0])))
-    return out
-
-
 def own_here(variant: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether a pair with fingerprints a and b is this variant's to judge. Equal ones
-    share 33 variants, and the fingerprint itself has them; others share two, of
-    which the smaller has them. So a pair is judged once a table."""
+    share BITS + 1 variants, and the fingerprint itself has them; others share two, of
+    which the smaller has them. So a pair of a small bucket is judged once a table."""
     return np.where(a == b, variant == a, variant < (a ^ b ^ variant))
 
 
-def bucket_edges(variant: int | None, prints: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (position, position) that connect a bucket's near rows; without a variant
-    (bands) every pair is judged here."""
-    forest, n = Forest(len(bits)), len(bits)
-    v = None if variant is None else np.uint64(variant)
-    if n <= PAIRS:
-        on = near(bits[:, None, :], bits[None, :, :])
-        if v is not None:
-            on &= own_here(v, prints[:, None], prints[None, :])
-        for i, j in zip(*np.nonzero(np.triu(on, 1)), strict=True):
-            forest.join(int(i), int(j))
-        return [(i, forest.root(i)) for i in range(n) if forest.root(i) != i]
-
-    def apart(i: int, js: np.ndarray) -> np.ndarray:
-        return far(bits[js], bits[i])
-
-    if v is None:
-        out, members = lead(list(range(n)), apart, LIMIT, forest)
-        return out + cross(list(range(n)), members, apart, LIMIT, forest)
-    # Rows of one fingerprint are connected alike in all their variants, and put out in one.
-    out, members = [], []
-    for p in np.unique(prints):
-        rows = np.nonzero(prints == p)[0].tolist()
-        led, own = lead(rows, apart, LIMIT, forest)
-        led += cross(rows, own, apart, LIMIT, forest)
-        members += own
-        out += led if p == v else []
-    return out + cross(list(range(n)), members, apart, LIMIT, forest, lambda i, js: (prints[js] != prints[i]) & own_here(v, prints[js], prints[i]))
+def bucket_edges(bits: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (position, position) of a forest that connects a bucket's near rows."""
+    label = np.arange(len(bits))
+    for i in range(1, len(bits)):
+        met = np.unique(label[:i][near(bits[:i], bits[i])])
+        if len(met):
+            label[: i + 1][np.isin(label[: i + 1], met)] = met[0]
+            label[i] = met[0]
+    return [(int(k), i) for i, k in enumerate(label) if k != i]
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (variant, node, sketch) sorted by (variant, node) to edges (a < b)."""
+    """Rows (variant, node, crowd, sketch) sorted by (variant, node) to edges (a < b)."""
 
     def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         pair = np.stack((np.minimum(a, b), np.maximum(a, b)), 1)
         pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    def whole(keys: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    def whole(keys: np.ndarray, nodes: np.ndarray, crowd: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         """Of whole buckets."""
         ball = keys >= 0
-        table = np.where(ball, keys >> 32, 0)
-        prints = np.ascontiguousarray(bits).view("<u4")[np.arange(len(keys)), table].astype(np.uint64)
-        variant = keys.astype(np.uint64) & np.uint64(0xFFFFFFFF)
+        table = np.where(ball & (keys >> BITS < BALLS), keys >> BITS, 0)
+        prints = prints_of(bits)[np.arange(len(keys)), table]
+        variant = keys.view(np.uint64) & np.uint64((1 << BITS) - 1)
         starts = np.nonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[0]
         sizes = np.diff(np.concatenate((starts, [len(keys)])))
-        two = starts[sizes == 2]
+        star = np.logical_or.reduceat(crowd, starts) | (sizes > BUCKET)
+        a, b = [np.repeat(nodes[starts[star]], sizes[star])], [nodes[np.repeat(star, sizes)]]
+        two = starts[(sizes == 2) & ~star]
         two = two[~ball[two] | own_here(variant[two], prints[two], prints[two + 1])]
         two = two[near(bits[two], bits[two + 1])]
-        a, b = [nodes[two]], [nodes[two + 1]]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            got = np.array(bucket_edges(int(variant[s]) if ball[s] else None, prints[s : s + n], bits[s : s + n]), np.int64).reshape(-1, 2) + s
-            a.append(nodes[got[:, 0]])
-            b.append(nodes[got[:, 1]])
+        a.append(nodes[two])
+        b.append(nodes[two + 1])
+        more = (sizes > 2) & ~star
+        for s, n in zip(starts[more].tolist(), sizes[more].tolist(), strict=True):
+            own, at = bits[s : s + n], slice(s, s + n)
+            if n <= PAIRS:
+                on = near(own[:, None, :], own[None, :, :])
+                if ball[s]:
+                    on &= own_here(variant[s], prints[at][:, None], prints[at][None, :])
+                i, j = np.nonzero(np.triu(on, 1))
+            else:
+                i, j = np.array(bucket_edges(own), np.int64).reshape(-1, 2).T
+            a.append(nodes[at][i])
+            b.append(nodes[at][j])
         return edges(np.concatenate(a), np.concatenate(b))
 
     kept: tuple | None = None
     for batch in batches:
-        cols = (batch.column("variant").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False), bits_of(batch.column("sketch")))
+        cols = (*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "node", "crowd")), bits_of(batch.column("sketch")))
         if kept is not None:
             cols = tuple(np.concatenate(x) for x in zip(kept, cols, strict=True))
         if not len(cols[0]):
@@ -303,6 +293,9 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if cut:
             yield whole(*(x[:cut] for x in cols))
         kept = tuple(x[cut:] for x in cols)
+        if len(kept[0]) > BUCKET:  # a star: only its first row has to wait
+            yield edges(np.repeat(kept[1][:1], len(kept[1])), kept[1])
+            kept = (kept[0][:1], kept[1][:1], np.ones(1, bool), kept[3][:1])
     if kept is not None:
         yield whole(*kept)
 
@@ -310,80 +303,163 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(nodes: DataFrame) -> DataFrame:
     """(node, sketch, bands) to distinct edges that connect nodes whose sketches are near."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.mapInArrow(emit_keys, "variant long, node long").repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(shared_variants, "variant long, node long")
-    return met.join(nodes.select("node", "sketch"), "node").select("variant", "node", "sketch").repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(verify, "a long, b long").distinct()
-
-
-def exact_roots(sets: list[np.ndarray]) -> list[int]:
-    """For distinct sorted sets the least position that links of ALIKE or more connect
-    each to."""
+    met = nodes.mapInArrow(emit_keys, KEYS).repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(shared_variants, KEYS)
+    full = met.join(nodes.select("node", "sketch"), "node").select("variant", "node", "crowd", "sketch")
+    return full.repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(verify, "a long, b long").distinct()
+
+
+def exact_roots(bits: np.ndarray, sets: list[np.ndarray], known: list[int] | None = None) -> list[int]:
+    """For rows of sketches and sets, of which those with equal known values are known to be
+    connected, the first position that links of ALIKE or more connect each to."""
+    n = len(sets)
+    label = np.arange(n)
+    if known is not None:
+        _, first, of = np.unique(np.array(known, np.int64), return_index=True, return_inverse=True)
+        label = first[of]
     sizes = np.array([len(x) for x in sets], np.int64)
-    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(sizes)[:-1])
-    marks, of = np.zeros(int(sizes.sum()) + 1, bool), [-1]
-
-    def apart(i: int, js: np.ndarray) -> np.ndarray:
-        """Jaccard distances. Empty sets are distinct from all others."""
-        if of[0] != i:
-            if of[0] >= 0:
-                marks[ids[of[0]]] = False
-            marks[ids[i]] = True
-            of[0] = i
-        both = np.fromiter((np.count_nonzero(marks[ids[j]]) for j in js.tolist()), np.int64, len(js))
-        return 1 - both / np.maximum(sizes[i] + sizes[js] - both, 1)
-
-    # The limit is loosened by less than one shingle of any set, against rounding.
-    limit, forest, rows = 1 - ALIKE + 1e-12, Forest(len(sets)), list(range(len(sets)))
-    cross(rows, lead(rows, apart, limit, forest)[1], apart, limit, forest)
-    return [forest.root(i) for i in rows]
-
-
-def link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, node, shingles) sorted by (group, node) to (node, root)."""
-
-    def linked(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[i] for i in exact_roots(sets)], pa.int64())], ["node", "root"])
-
-    group, nodes, sets = None, [], []
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(flat) + 1, np.int32)
+
+    def alike(i: int, js: np.ndarray) -> np.ndarray:
+        """Which of the sets js, none of them empty, are alike to i's, which is marked."""
+        ends = np.cumsum(sizes[js])
+        at = np.arange(ends[-1]) + np.repeat(starts[js] - ends + sizes[js], sizes[js])
+        both = np.add.reduceat(mark[flat[at]], ends - sizes[js])
+        return both >= ALIKE * (sizes[i] + sizes[js] - both) - 1e-9
+
+    for i in range(1, n):
+        d = far(bits[:i], bits[i])
+        fit = np.minimum(sizes[:i], sizes[i]) >= ALIKE * np.maximum(sizes[:i], sizes[i]) - 1e-9
+        js = np.nonzero((d <= LIMIT) & (label[:i] != label[i]) & fit & (sizes[:i] > 0))[0]
+        js = js[np.argsort(d[js], kind="stable")]  # the likeliest first
+        own = flat[starts[i] : starts[i + 1]]
+        mark[own] = 1
+        take = 8
+        while len(js):
+            for j in js[:take][alike(i, js[:take])].tolist():
+                lo, hi = sorted((int(label[i]), int(label[j])))
+                label[label == hi] = lo
+            js = js[take:]
+            js, take = js[label[js] != label[i]], 256
+        mark[own] = 0
+    return label.tolist()
+
+
+def link_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, node, label, sketch, shingles) sorted by (task, node) to (node, root)."""
+
+    def linked(rows: list[tuple]) -> pa.RecordBatch:
+        nodes, known, prints, sets = zip(*rows, strict=True)
+        roots = exact_roots(np.frombuffer(b"".join(prints), "<u8").reshape(-1, WORDS64), [np.frombuffer(x, "<u8") for x in sets], known)
+        return table_of({"node": (nodes, pa.int64()), "root": ([nodes[i] for i in roots], pa.int64())})
+
+    task, rows = None, []
     for batch in batches:
-        for g, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("group", "node", "shingles")), strict=True):
-            if g != group:
-                if nodes:
-                    yield linked(nodes, sets)
-                group, nodes, sets = g, [], []
-            if not nodes or nodes[-1] != node:
-                nodes.append(node)
-                sets.append(np.frombuffer(shingles, "<u8"))
-    if nodes:
-        yield linked(nodes, sets)
-
-
-def exact(docs: DataFrame, groups: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, text) and (first_id, node, group) to (node, root), linked at ALIKE."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "node", "label", "sketch", "shingles")), strict=True):
+            if t != task:
+                if rows:
+                    yield linked(rows)
+                task, rows = t, []
+            if not rows or rows[-1][0] != row[0]:
+                rows.append(tuple(row))
+    if rows:
+        yield linked(rows)
+
+
+def link(rows: DataFrame, *task: Column | str) -> DataFrame:
+    """(node, label, sketch, shingles) rows to (node, root), those of a task held against
+    each other."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.xxhash64(*task).alias("task"), "node", "label", "sketch", "shingles")
+    return dealt.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(link_tasks, "node long, root long")
+
+
+def shingled(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(doc_id, text) and (first_id, node, ...) to members with the shingles of their text."""
+    names = [c for c in members.columns if c != "first_id"]
+    schema = ", ".join(f"{c} {members.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                rows = [(g, node, x.tobytes()) for g, node, x in zip(part.column("group").to_pylist(), part.column("node").to_pylist(), (shingle_hashes(t, width) for t in part.column("text").to_pylist()), strict=True) if set_hash(x) == node]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["group", "node", "shingles"])
+                sets = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
+                own = pa.array([set_hash(x) == n for x, n in zip(sets, part.column("node").to_pylist(), strict=True)], pa.bool_())
+                full = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array([x.tobytes() for x in sets], pa.binary())], [*names, "shingles"])
+                yield full.filter(own)  # rows that repeat an id may have other texts
 
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text")
-    sets = texts.join(groups, "first_id").select("group", "node", "text").mapInArrow(shingled, "group long, node long, shingles binary")
-    return sets.repartition(n, "group").sortWithinPartitions("group", "node").mapInArrow(link_groups, "node long, root long")
+    return texts.join(members, "first_id").select(*names, "text").mapInArrow(run, schema + ", shingles binary")
+
+
+def blocks_of(rows: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(BLOCK_ROWS)), F.ceil(8 * size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+
+
+def block(k: int, blocks: str) -> Column:
+    """A row's block, the k-th dealing."""
+    return F.pmod(F.xxhash64("node", F.lit(k)), F.col(blocks)).cast("int")
+
+
+def link_large(sets: DataFrame) -> DataFrame:
+    """(group, blocks, node, sketch, shingles) of groups of several blocks to (node, root)."""
+    alone = sets.withColumn("label", F.col("node"))
+    first = written(link(alone, "group", block(0, "blocks")), "blocks")
+    heads = alone.join(first.where("node = root").select("node"), "node")
+    count = written(heads.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("heads")), "heads")
+    second = written(link(heads.join(count, "group"), "group", block(1, "heads")), "seconds")
+    edges = lambda *parts: components(reduce_union([p.select(F.col("node").alias("a"), F.col("root").alias("b")) for p in parts]))
+    known = written(edges(first, second), "known").withColumnRenamed("node", "_node")
+    light = sets.select("group", "blocks", "node")
+    labelled = written(light.join(known, light["node"] == F.col("_node"), "left").select("group", "blocks", "node", F.coalesce("root", "node").alias("label")), "labelled")
+    by_label = labelled.groupBy("group", "blocks", "label").count()
+    top = by_label.groupBy("group", "blocks").agg(F.max(F.struct("count", "label")).alias("t"), F.sum("count").alias("rows"))
+    # Blocks of the largest class and of the rest, in proportion to their rows.
+    part = lambda c: F.ceil(c / F.col("rows") * F.col("blocks")).cast("int")
+    plan = written(top.select("group", F.col("t.label").alias("top"), part(F.col("t.count")).alias("inner"), part(F.col("rows") - F.col("t.count")).alias("outer")).where("outer > 0"), "plan")
+    placed = labelled.join(plan, "group").withColumn("_node", F.col("node"))
+    inside = F.col("label") == F.col("top")
+    u, m = block(2, "outer"), block(3, "inner")
+    each = lambda n, one: F.transform(F.sequence(F.lit(0), F.col(n) - 1), one)
+    with_rest = each("outer", lambda v: F.struct(F.lit("rest").alias("of"), F.least(u, v).alias("i"), F.greatest(u, v).alias("j")))
+    with_top = each("inner", lambda v: F.struct(F.lit("top").alias("of"), u.alias("i"), v.alias("j")))
+    from_top = each("outer", lambda v: F.struct(F.lit("top").alias("of"), v.alias("i"), m.alias("j")))
+    dealt = placed.select("group", "_node", "label", F.explode(F.when(inside, from_top).otherwise(F.concat(with_rest, with_top))).alias("pair"))
+    third = link(sets.select("node", "sketch", "shingles").join(dealt, F.col("node") == F.col("_node")), "group", "pair")
+    # A task returns the first position of each class; known classes connect what tasks share.
+    return edges(first, second, written(third, "thirds"))
+
+
+def reduce_union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def exact(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, text) and (first_id, node, group, size, sketch) to (node, root), linked at
+    ALIKE."""
+    sizes = written(members.groupBy("group").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks")), "sizes")
+    members = written(members.join(sizes, "group").drop("size"), "members")
+    small = shingled(docs, members.where("blocks = 1").withColumn("label", F.col("node")).drop("blocks"), width)
+    out = link(small, "group").where("node <> root")
+    large = members.where("blocks > 1")
+    if large.limit(1).count():
+        out = out.unionByName(link_large(written(shingled(docs, large, width), "sets")))
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text) to (doc_id, component_id), one row for each of docs."""
     marked = written(sketches(docs, width), "sketches")
-    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("sketch").alias("sketch"), F.min("bands").alias("bands")), "nodes")
+    least = [F.min(c).alias(c) for c in ("size", "sketch", "bands")]
+    nodes = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), *least), "nodes")
     led = written(components(links(nodes.select("node", "sketch", "bands"))).select("node", F.col("root").alias("group")), "groups")
     groups = led.union(led.select(F.col("group").alias("node"), "group").distinct())  # the least node has no row of its own
-    roots = written(exact(docs, nodes.select("node", "first_id").join(groups, "node"), width), "roots").withColumnRenamed("node", "_node")
-    placed = nodes.join(roots, nodes["node"] == F.col("_node"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = placed.join(least, "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    roots = written(exact(docs, nodes.drop("bands").join(groups, "node"), width), "roots")
+    return marked.select("doc_id", "node").join(classes(nodes, "node", roots), "node").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

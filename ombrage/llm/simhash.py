@@ -22,8 +22,8 @@ edges of a spanning forest leave a bucket. A bucket holds 49 * 65 536 distinct
 fingerprints at most, 25 MB, whatever the corpus.
 
 Components. Edges between distinct fingerprints, alternately hooked to the smallest
-neighbour (large and small star) until nothing changes, each round a checkpoint in
-the shared folder. Equal fingerprints are one node, so crowds of exact copies cost
+neighbour (large and small star) until nothing changes (number and sum of hashes of the
+edges stay), each round a checkpoint in the shared folder. Equal fingerprints are one node, so crowds of exact copies cost
 one.
 
 Defined results: null and blank texts have fingerprint zero and link like any other;
@@ -233,33 +233,47 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Edges (a, b) to (node, root): the smallest node connected to each."""
+    """Edges (a, b) to (node, root): the smallest node connected to each, of all but the
+    smallest nodes themselves. The small side of each join is a checkpoint, so that
+    adaptive execution can split the rows of a node with very many neighbours."""
     edges = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct().checkpoint()
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+    now = state(edges)
     for _ in range(rounds):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         # Large star: larger neighbours go to the smallest neighbour.
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct().checkpoint()
         # Small star: smaller neighbours and the node itself go to the smallest.
-        small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small_least = large.groupBy("hi").agg(F.min("lo").alias("m")).checkpoint()
         small = large.join(small_least, "hi").select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         after = small.checkpoint()
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        edges, before, now = after, now, state(after)
+        if now == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def classes(nodes: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """Nodes (key, first_id) and the (node, root) of those that are linked to (key,
+    component_id), the least first_id of each component; a written table, one row a node.
+
+    Least ids are written before they are joined: both sides of that join, and of one
+    with the result, are then plain shuffles, whose hot keys adaptive execution splits."""
+    labelled = written(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "labelled").withColumnRenamed("node", "_node")
+    placed = written(nodes.select(key, "first_id").join(labelled, F.col(key) == F.col("_node")).select(key, "first_id", "root"), "placed")
+    least = written(placed.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    linked = written(placed.join(least, "root").select(F.col(key).alias("_key"), "component_id"), "linked")
+    alone = nodes.join(linked, F.col(key) == F.col("_key"), "left")
+    return written(alone.select(key, F.coalesce("component_id", "first_id").alias("component_id")), "classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(doc_id, text) to (doc_id, fp, component_id), one row for each of docs."""
     marked = written(fingerprints(docs, width, seed), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(classes(nodes, "fp", roots), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp):

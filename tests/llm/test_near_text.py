@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from ombrage.llm import near_text as N
 from ombrage.llm.common import shared_dir
@@ -48,29 +49,37 @@ def joined(n, edges):
     return [root(i) for i in range(n)]
 
 
-def test_buckets_large_and_small(monkeypatch):
-    """All buckets of crowds and strays, in sorted batches, against all pairs."""
+def crowds():
+    """Sketches of three crowds of near ones and of strays."""
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 63, (3, N.WORDS64), dtype=np.uint64)
     bits = np.stack([centres[k % 3] for k in range(700)])
     for k in range(700):
         for b in rng.choice(64 * N.WORDS64, int(rng.integers(0, 12)), replace=False):
             bits[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    bits = np.concatenate((bits, rng.integers(0, 1 << 63, (20, N.WORDS64), dtype=np.uint64)))
+    return np.concatenate((bits, rng.integers(0, 1 << 63, (20, N.WORDS64), dtype=np.uint64)))
+
+
+@pytest.mark.parametrize(("crowd", "bucket", "carry", "pairs"), [(10**6, 10**6, 50_000, 64), (10**6, 10**6, 90, 8), (10**6, 30, 90, 8), (5, 2048, 50_000, 64), (5, 30, 90, 8)])
+def test_groups_have_all_near_pairs(monkeypatch, crowd, bucket, carry, pairs):
+    """Keys of crowds and strays, in sorted batches: groups are those of all pairs, or, where
+    crowds are grouped unseen, unions of these."""
+    for name, value in (("CROWD", crowd), ("BUCKET", bucket), ("CARRY", carry), ("PAIRS", pairs), ("SLICE", 200)):
+        monkeypatch.setattr(N, name, value)
+    bits = crowds()
     n = len(bits)
-    nodes = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([x.tobytes() for x in bits], pa.binary())], ["node", "sketch"])
-    rows = sorted(r for b in N.emit_variants(iter([nodes])) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-    keyed = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at : at + 7000]], pa.int64()) for c in (0, 1)], ["variant", "node"]) for at in range(0, len(rows), 7000)]
-    often = collections.Counter(v for v, _ in rows)
-    want = groups(joined(n, [(i, j) for i in range(n) for j in range(i) if N.near(bits[i], bits[j])]))
-    for carry in (50_000, 90):
-        monkeypatch.setattr(N, "CARRY", carry)
-        met = [r for b in N.shared_variants(iter(keyed)) for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        assert sorted(met) == [r for r in rows if often[r[0]] > 1]
-        full = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([bits[r[1]].tobytes() for r in part], pa.binary())], ["variant", "node", "sketch"]) for part in (met[at : at + 5000] for at in range(0, len(met), 5000))]
-        found = edges_of(N.verify(iter(full)))
-        assert groups(joined(n, found)) == want and len(found) < 20 * n
-        assert all(N.near(bits[a], bits[b]) for a, b in found)
+    nodes = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([x.tobytes() for x in bits], pa.binary()), pa.array([b""] * n, pa.binary())], ["node", "sketch", "bands"])
+    rows = sorted(r for b in N.emit_keys(iter([nodes])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    batch = lambda part: N.keyed(*(np.array(c) for c in zip(*part, strict=True)))
+    often = collections.Counter(r[0] for r in rows)
+    met = [r for b in N.shared_variants(batch(rows[at : at + 7000]) for at in range(0, len(rows), 7000)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(met) == [r for r in rows if often[r[0]] > 1]
+    full = (batch(part).append_column("sketch", pa.array([bits[r[1]].tobytes() for r in part], pa.binary())) for part in (met[at : at + 5000] for at in range(0, len(met), 5000)))
+    found = edges_of(N.verify(full))
+    want, got = (groups(joined(n, e)) for e in ([(i, j) for i in range(n) for j in range(i) if N.near(bits[i], bits[j])], found))
+    assert all(any(w <= g for g in got) for w in want) and len(found) < 30 * n
+    if crowd == bucket == 10**6:
+        assert got == want and all(N.near(bits[a], bits[b]) for a, b in found)
 
 
 def groups(roots):
@@ -109,16 +118,50 @@ def test_linked_at_the_limit_and_not_below(spark):
     assert all(on for on, s in zip(linked, similar, strict=True) if s >= 0.8)
 
 
-def test_exact_groups_against_all_pairs():
+def loose(n):
+    """A loose group: sets of one base, of similarities around the limit, in chains."""
     rng = np.random.default_rng(9)
     base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
     sets = []
-    for _ in range(150):
+    for _ in range(n):
         keep = rng.random(len(base)) > rng.choice([0.02, 0.1, 0.15])
         sets.append(np.unique(np.concatenate((base[keep], rng.integers(0, 1 << 63, int(rng.integers(0, 30)), dtype=np.uint64)))))
-    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
-    want = joined(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])])
-    assert groups(N.exact_roots(sets)) == groups(want) and len(groups(want)) > 1
+    same = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    return sets, groups(joined(n, [(i, j) for i in range(n) for j in range(i) if same(sets[i], sets[j])]))
+
+
+def test_exact_groups_against_all_pairs():
+    sets, want = loose(150)
+    bits = np.stack([np.frombuffer(N.sketch_of(x), "<u8") for x in sets])
+    assert groups(N.exact_roots(bits, sets)) == want and len(want) > 1
+    known = [0, *range(1, 149), 0]  # of the first and the last it is known
+    assert groups(N.exact_roots(bits, sets, known)) == groups(joined(150, [(0, 149), *((min(g), x) for g in want for x in g)]))
+
+
+def test_large_groups_in_blocks_against_all_pairs(spark, monkeypatch):
+    shared_dir(spark)
+    sets, want = loose(150)
+    rows = [(5, 8, i, N.sketch_of(x), x.tobytes()) for i, x in enumerate(sets)]
+    monkeypatch.setattr(N, "BLOCK_ROWS", 20)
+    got = N.link_large(spark.createDataFrame(rows, "group long, blocks int, node long, sketch binary, shingles binary")).collect()
+    assert groups(joined(150, [(r["node"], r["root"]) for r in got])) == want
+
+
+def test_all_steps_with_small_blocks(spark, monkeypatch):
+    """A crowd of near copies dealt into blocks, with chains that leave it."""
+    shared_dir(spark)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 12)
+    rng = np.random.default_rng(4)
+    base, data = words(rng, 240), []
+    for k in range(120):
+        text = list(base)
+        for at in rng.choice(240, int(rng.integers(0, 10)), replace=False):
+            text[at] = f"other{k}"
+        data.append((k, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    sets = [set(N.shingle_hashes(t).tolist()) for _, t in data]
+    want = joined(120, [(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert groups([got[i] for i in range(120)]) == groups(want) and 1 < len(groups(want)) < 120
 
 
 def test_chain_in_a_crowded_bucket():
@@ -126,8 +169,8 @@ def test_chain_in_a_crowded_bucket():
     flips = N.LIMIT - 5
     a = np.zeros(64 * N.WORDS64, np.uint8)
     b, c = a.copy(), a.copy()
-    b[32 : 32 + flips] = 1
-    c[32 : 32 + 2 * flips] = 1
+    b[96 : 96 + flips] = 1
+    c[96 : 96 + 2 * flips] = 1
     rows = [np.packbits(x, bitorder="little").tobytes() for x in [a] * (N.PAIRS + 6) + [b, c]]
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.binary())], ["variant", "node", "sketch"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array([False] * len(rows)), pa.array(rows, pa.binary())], ["variant", "node", "crowd", "sketch"])
     assert len(groups(joined(len(rows), edges_of(N.verify(iter([batch])))))) == 1
