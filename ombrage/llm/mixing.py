@@ -141,7 +141,7 @@ def scaled(ratios: DataFrame, rate: float, repeat: bool) -> float:
 
 def sample_plan(weighed: DataFrame, rate: float = RATE, targets: dict | None = None) -> DataFrame:
     """Weighed documents with ratio, the probability of a further copy, and copies."""
-    ratios = rake(cells_of(weighed), targets)
+    ratios = written(rake(cells_of(weighed), targets), "ratios")
     placed = weighed.join(ratios.select(*MARGINS, "ratio"), list(MARGINS), "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
     expected = F.lit(rate) * F.col("ratio")
     return placed.withColumns({"probability": expected - F.floor(expected), "copies": copies_of(F.col("doc_id"), expected)})
@@ -157,7 +157,8 @@ def mix(docs: DataFrame, rate: float = RATE, targets: dict | None = None, topic:
     as given."""
     names = docs.columns
     keys = {f"_mix_{m}": c for m, c in margins_of(topic).items()}
-    ratios = rake(cells_of(written(weigh(docs, topic), "weighed")), targets)
+    # Written, so that its size is known when the join is planned.
+    ratios = written(rake(cells_of(written(weigh(docs, topic), "weighed")), targets), "ratios")
     rate = scaled(ratios, rate, repeat)
     ratios = ratios.select(*[F.col(m).alias(f"_of_{m}") for m in MARGINS], F.col("ratio").alias("_mix_ratio"))
     same = [F.col(f"_mix_{m}") == F.col(f"_of_{m}") for m in MARGINS]
