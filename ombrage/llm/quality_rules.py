@@ -119,6 +119,8 @@ def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     lines = F.filter(text_lines(F.col("text")), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     given = common.select(*[F.col(c).alias(f"_of_{c}") for c in common.columns if c != "common"], F.col("common").alias("_common"))
     same = [F.col(f"_{c}") == F.col(f"_of_{c}") for c in common.columns if c != "common"]
+    if "copy" in common.columns:  # grows with the texts: one plan at every size
+        given = given.hint("merge")
     joined = docs.withColumns({"_host": host_of()} | ({"_copy": copy_of()} if "copy" in common.columns else {})).join(given, same, "left")
     drop = lambda x: F.array_contains(F.col("_common"), line_hash(x))
     clean = F.when(F.col("_common").isNull(), F.col("text")).otherwise(
