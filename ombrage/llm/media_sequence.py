@@ -12,10 +12,14 @@ form is lossless. Features are made from what is read back, in integers.
 
 The store keeps one copy a digest within each Arrow batch and moves no payload in a
 shuffle: a stored medium is decoded where it is read, and only its features (a few
-hundred bytes) are reduced to one row a digest and joined.
+hundred bytes) are reduced to one row a digest, written and joined. Both sides of that
+join are plain shuffles, so adaptive execution splits a digest with very many references.
+The query's pages hold their document's whole text, but of text parts only the length
+is shuffled.
 
 Defined results: null text and null html are empty (an empty text is one row of
-spaces; an empty page has no parts); rows that repeat give equal values; broken
+spaces; an empty page has no parts); rows that repeat a page_id are pages of their own
+and give equal values; broken
 markup is parsed as far as it goes; an empty table gives no rows; other columns are
 ignored.
 """
@@ -108,19 +112,24 @@ def parse_html(html: str | None) -> list[list]:
     return p.parts
 
 
-SEQUENCE = "page_id long, position int, kind string, text string, ref string, caption string"
+SEQUENCE = "page_row long, page_id long, position int, kind string, text string, ref string, caption string"
 
 
 def sequences(pages: DataFrame) -> DataFrame:
-    """(page_id, html) to one row a part: page_id, position, kind, text, ref, caption."""
+    """(page_id, html) to one row a part: page_row (which row of pages), page_id, position,
+    kind, text, ref, caption."""
+    names = [c.split()[0] for c in SEQUENCE.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, *part) for i, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True) for k, part in enumerate(parse_html(html))]
-            cols = zip(*rows, strict=True) if rows else ([],) * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()), strict=True)], ["page_id", "position", "kind", "text", "ref", "caption"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = [(r, i, k, *x) for r, i, html in zip(*(c.to_pylist() for c in part.columns), strict=True) for k, x in enumerate(parse_html(html))]
+                cols = zip(*rows, strict=True) if rows else ([],) * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, SEQUENCE)
+    return pages.select(F.monotonically_increasing_id().alias("page_row"), F.col("page_id").cast("long"), "html").mapInArrow(run, SEQUENCE)
 
 
 def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
@@ -129,10 +138,12 @@ def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
     return parts.withColumn("_digest", named).join(media.withColumnRenamed("digest", "_stored"), F.col("_digest") == F.col("_stored"), "left").drop("_stored").withColumnRenamed("_digest", "digest")
 
 
-def interleave(resolved: DataFrame, *media_columns: str) -> DataFrame:
-    """One row a page: its parts in order as an array of structs."""
-    part = F.struct("position", "kind", "text", "ref", "caption", *media_columns)
-    return resolved.groupBy("page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+def interleave(resolved: DataFrame, *columns: str) -> DataFrame:
+    """One row a page: its parts in order as an array of structs, by default of all that
+    a sequence has, then of columns."""
+    have = [c for c in ("position", "kind", "text", "ref", "caption") if c in resolved.columns]
+    part = F.struct(*have, *columns)
+    return resolved.groupBy("page_row", "page_id").agg(F.array_sort(F.collect_list(part)).alias("parts"))
 
 
 def padded(data: bytes) -> bytes:
@@ -211,26 +222,43 @@ def read_back(media: DataFrame) -> DataFrame:
     return seen.groupBy("digest").agg(F.min(F.struct(*names[1:])).alias("v")).select("digest", *[F.col(f"v.{n}").alias(n) for n in names[1:]])
 
 
+def document_page(doc_id: int | None, text: str | None) -> str:
+    """A page of a document: its lines as paragraphs; after the first a figure of the
+    text's medium, captioned with its length in bytes; at the end the medium once more."""
+    data = (text or "").encode()
+    ref = SCHEME + hashlib.sha256(padded(data)).hexdigest()
+    first, *rest = (text or "").split("\n")
+    figure = f'<figure><img src="{ref}" alt="text"><figcaption>{len(data)}</figcaption></figure>'
+    lines = "".join(f"<p>{escape(x)}</p>" for x in rest)
+    return f'<article><h1>Document {doc_id}</h1><p>{escape(first)}</p>{figure}{lines}<img src="{ref}" alt="again"></article>'
+
+
 def document_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (page_id, html): a page that shows the text's medium in a
-    figure, its caption the text's length in bytes."""
+    """(doc_id, text) to (page_id, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = (t or "").encode()
-                digest = hashlib.sha256(padded(data)).hexdigest()
-                out.append(f'<article><h1>{escape(f"Document {i}")}</h1><figure><img src="{SCHEME}{digest}" alt="text"><figcaption>{len(data)}</figcaption></figure></article>')
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["page_id", "html"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [document_page(i, t) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["page_id", "html"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "page_id long, html string")
 
 
+FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    media = read_back(written(store(docs), "media"))
-    parts = sequences(document_pages(docs)).where("kind = 'media'")
-    return resolve(parts, media).select(
-        F.col("page_id").alias("doc_id"), F.col("caption").cast("long").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position",
+    media = written(read_back(written(store(docs), "media")), "features")
+    parts = sequences(document_pages(docs)).withColumn("chars", F.length("text")).drop("text")
+    pages = interleave(resolve(parts, media), "chars", *FEATURES)
+    shown = F.filter("parts", lambda p: p["kind"] == "media")
+    aligned = F.forall(F.transform("parts", lambda p, i: p["position"] == i), lambda x: x)
+    # The captioned reference is the first; the one at the end must show the same medium.
+    one = F.when(aligned & (F.size(shown) == 2) & (F.element_at("parts", -1)["media_sha256"] == shown[0]["media_sha256"]), shown[0]).otherwise(F.raise_error(F.concat(F.lit("parts out of place on page "), F.col("page_id").cast("string"))))
+    return pages.select("page_id", "parts", one.alias("m")).select(
+        F.col("page_id").alias("doc_id"), F.col("m.caption").cast("long").alias("n_bytes"), *[F.col(f"m.{c}").alias(c) for c in FEATURES], F.col("m.position").alias("position"),
+        F.size("parts").alias("n_parts"), F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.coalesce(p["chars"], F.lit(0))).alias("text_chars"),
     )

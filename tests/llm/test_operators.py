@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
@@ -275,6 +276,40 @@ def test_references_resolve_in_place(spark):
     assert [(p["position"], p["kind"], p["text"], p["caption"], p["payload_bytes"]) for p in got[0]["parts"]] == [(0, "text", "a", None, None), (1, "media", None, None, 192), (2, "text", "b", None, None), (3, "media", None, "lost", None)]
 
 
+def test_media_query_against_plain_steps(spark, tmp_path):
+    """The whole query on odd rows: payloads, captions and places, one text at a time."""
+    odd(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = media_sequence.query(spark, str(tmp_path)).toPandas()
+    key = lambda r: (r[0] is None, r)
+    want = []
+    for i, text in ODD:
+        data = (text or "").encode()
+        payload = media_sequence.padded(data)
+        lines = [" ".join(x.split()) for x in (text or "").split("\n")]
+        texts = [f"Document {i}", *(x for x in lines if x)]
+        want.append((i, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), media_sequence.feature(payload), 1 + bool(lines[0]), len(texts) + 2, sum(map(len, texts))))
+    got["doc_id"] = got["doc_id"].astype(object).where(got["doc_id"].notna(), None)
+    rows = [tuple(None if x is None else int(x) if isinstance(x, (float, np.integer)) else x for x in r) for r in got[["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "feature", "position", "n_parts", "text_chars"]].itertuples(index=False)]
+    assert sorted(rows, key=key) == sorted(want, key=key)
+
+
+def test_real_pages_keep_their_texts_in_order(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = media_sequence.interleave(media_sequence.sequences(pages)).collect()
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert {r["page_id"] for r in got} == {i for i, h in html.items() if media_sequence.parse_html(h)}
+    for r in got:
+        plain = re.sub(r"(?s)<(script|style|noscript|template)\b.*?</\1>|<!--.*?-->", "", html[r["page_id"]])
+        letters = lambda s: re.sub(r"\W", "", s)
+        shown = letters(unescape(re.sub(r"<[^>]*>", " ", plain)))
+        assert [p["position"] for p in r["parts"]] == list(range(len(r["parts"])))
+        at = 0
+        for p in r["parts"]:
+            if p["kind"] == "text":
+                at = shown.index(letters(p["text"]), at) + len(letters(p["text"]))
+        assert at == len(shown)
+
+
 # ── Mixing ───────────────────────────────────────────────────────────────────
 
 
