@@ -115,21 +115,25 @@ def parse_html(html: str | None) -> list[list]:
 SEQUENCE = "page_row long, page_id long, position int, kind string, text string, ref string, caption string"
 
 
-def sequences(pages: DataFrame) -> DataFrame:
-    """(page_id, html) to one row a part: page_row (which row of pages), page_id, position,
-    kind, text, ref, caption."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
+def parse_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_row, page_id, html) batches to SEQUENCE batches."""
     names = [c.split()[0] for c in SEQUENCE.split(", ")]
     types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+    for batch in slices(batches):
+        rows = [(r, i, k, *x) for r, i, html in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, x in enumerate(parse_html(html))]
+        cols = zip(*rows, strict=True) if rows else ([],) * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [(r, i, k, *x) for r, i, html in zip(*(c.to_pylist() for c in part.columns), strict=True) for k, x in enumerate(parse_html(html))]
-                cols = zip(*rows, strict=True) if rows else ([],) * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return pages.select(F.monotonically_increasing_id().alias("page_row"), F.col("page_id").cast("long"), "html").mapInArrow(run, SEQUENCE)
+def sequences(pages: DataFrame) -> DataFrame:
+    """(page_id, html) to one row a part: page_row (which row of pages), page_id, position,
+    kind, text, ref, caption."""
+    return pages.select(F.monotonically_increasing_id().alias("page_row"), F.col("page_id").cast("long"), "html").mapInArrow(parse_pages, SEQUENCE)
 
 
 def resolve(parts: DataFrame, media: DataFrame) -> DataFrame:
@@ -233,17 +237,16 @@ def document_page(doc_id: int | None, text: str | None) -> str:
     return f'<article><h1>Document {doc_id}</h1><p>{escape(first)}</p>{figure}{lines}<img src="{ref}" alt="again"></article>'
 
 
-def document_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (page_id, html)."""
+def document_sequences(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to the sequences of the documents' pages, page_id the doc_id."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = [document_page(i, t) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["page_id", "html"])
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            html = [document_page(i, t) for i, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(html, pa.string())], ["page_row", "page_id", "html"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "page_id long, html string")
+    rows = docs.select(F.monotonically_increasing_id().alias("page_row"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(lambda batches: parse_pages(pages(batches)), SEQUENCE)
 
 
 FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -252,7 +255,7 @@ FEATURES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "med
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     media = written(read_back(written(store(docs), "media")), "features")
-    parts = sequences(document_pages(docs)).withColumn("chars", F.length("text")).drop("text")
+    parts = document_sequences(docs).withColumn("chars", F.length("text")).drop("text")
     pages = interleave(resolve(parts, media), "chars", *FEATURES)
     shown = F.filter("parts", lambda p: p["kind"] == "media")
     aligned = F.forall(F.transform("parts", lambda p, i: p["position"] == i), lambda x: x)
