@@ -2,8 +2,12 @@
 
 Numbers and rules are relations (windows over doc_id). The substitution itself must
 take, at the leftmost place, the first rule that fits, and never look at its own
-output; that is one compiled alternation applied in one pass over a document, in a
-map over Arrow batches. Documents without an active entity don't get there.
+output; that is one pass over a document, in a map over Arrow batches. Rules are steps
+over the lower-cased text and not patterns, since compiling these for each document
+costs more than its matches. Documents without an active entity don't get there.
+
+Rows of one doc_id, null being an id like any other, share one list of entities and
+redactions: what is detected in one of them is replaced in all.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import entity_rules as E
 from ..functions.text import WS, fold, py_squeeze, python_pattern, render, squeeze
 from .cleaning import SPECIAL
-from .detection import Detector, Found, from_row, levenshtein1
+from .detection import Detector, Found, by_document, from_row, levenshtein1, shared_words
 
 
 def is_active(entities: DataFrame) -> DataFrame:
@@ -79,52 +83,100 @@ def flex(value: str) -> str:
     return re.sub("([0-9]),", r"\1,?", p)
 
 
-ANY_LETTER = "[A-Za-zÀ-ÿ]"
-RUNS = re.compile(f"{ANY_LETTER}+|[{E.L}]+")
+LETTERS = re.compile("[A-Za-zÀ-ÿ]")
+RUNS = re.compile(f"[A-Za-zÀ-ÿ]+|[{E.L}]+")
+GAP = frozenset(chr(c) for c in range(0x10000) if re.match(f"[{WS},\\-]", chr(c)))
+RIGHT = re.compile(E.RIGHT_BOUND)
+STARTS = re.compile(E.LEFT_BOUND + ".", re.S)
+TITLE = re.compile(f"{render(E.TITLE_BEFORE, 'python')}[{WS}]+", re.I)
+
+#: A step of a rule: ("is", text), ("comma?", ""), ("gap", "") or ("near", word).
+Step = tuple[str, str]
+
+
+def lowered(s: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    out = s.lower()
+    return out if len(out) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
 
-def fuzzy(word: str) -> str:
-    """A word of six letters and more, or a form of it with one letter lost, added or
-    changed; shorter ones as they are."""
-    w = word.strip()
-    if len(w) < 6:
-        return escaped(w)
-    cuts = [(escaped(w[:k]), escaped(w[k:])) for k in range(len(w) + 1)]
-    lost = [escaped(w[:k] + w[k + 1 :]) for k in range(len(w))]
-    added = [a + ANY_LETTER + b for a, b in cuts]
-    changed = [cuts[k][0] + ANY_LETTER + cuts[k + 1][1] for k in range(len(w))]
-    return "(?:" + "|".join(dict.fromkeys([escaped(w), *lost, *added, *changed])) + ")"
+def steps_of(value: str) -> tuple[Step, ...]:
+    """A value's words, with a gap between them; a comma after a digit may be missing."""
+    out: list[Step] = []
+    for k, word in enumerate(lowered(py_squeeze(value)).split(" ")):
+        if k:
+            out.append(("gap", ""))
+        for piece in re.split("(?<=[0-9])(,)", word):
+            if piece:
+                out.append(("comma?", "") if piece == "," and out and out[-1][1][-1:].isdigit() else ("is", piece))
+    return tuple(out)
 
 
 class Runs:
     """The distinct runs of letters of a text, by their ends.
 
     Between the boundaries of a rule a word of letters can only match a whole run, so
-    the forms of it that a text has are all that its pattern must name. One edit in
+    the forms of it that a text has are all that its rule must name. One edit in
     six letters leaves the first or the last three as they are."""
 
-    def __init__(self, text: str):
+    def __init__(self, low: str):
         self.head: dict[str, list[str]] = {}
         self.tail: dict[str, list[str]] = {}
-        for t in {m[0] for m in RUNS.finditer(text.lower())}:
+        for t in {m[0] for m in RUNS.finditer(low)}:
             if len(t) >= 5:
                 self.head.setdefault(t[:3], []).append(t)
                 self.tail.setdefault(t[-3:], []).append(t)
 
     def found(self, word: str) -> list[str]:
         """The runs within one edit of a word, itself if it is short, longest first."""
-        low = word.strip().lower()
+        low = lowered(word.strip())
         if len(low) < 6:
             return [low]
         near = {t for t in (*self.head.get(low[:3], ()), *self.tail.get(low[-3:], ())) if levenshtein1(t, low)}
         return sorted(near, key=lambda t: (-len(t), t))
 
-    def forms(self, word: str) -> str | None:
-        """Pattern of the text's forms of a word; None if it has none."""
-        w = word.strip()
-        if len(w) < 6 or not w.isalpha():
-            return fuzzy(w)
-        return "(?:" + "|".join(map(escaped, near)) + ")" if (near := self.found(w)) else None
+
+def near_ends(low: str, at: int, word: str) -> Iterator[int]:
+    """Where a form of a word of six characters and more, not all letters, ends that
+    begins here: as it is, with one character less, one letter more, or one changed."""
+    n = len(word)
+    if low.startswith(word, at):
+        yield at + n
+    for size in (n - 1, n + 1, n):
+        part = low[at : at + size]
+        if len(part) == size and part != word and levenshtein1(part, word):
+            k = next((k for k in range(min(size, n)) if part[k] != word[k]), min(size, n))
+            if size < n or LETTERS.match(part[k]):
+                yield at + size
+
+
+def ends_of(low: str, at: int, steps: tuple[Step, ...], forms: dict[str, list[str] | None]) -> Iterator[int]:
+    """Where the steps can end that begin here, the longest gap first."""
+    if not steps:
+        yield at
+        return
+    (kind, text), rest = steps[0], steps[1:]
+    if kind == "is":
+        if low.startswith(text, at):
+            yield from ends_of(low, at + len(text), rest, forms)
+    elif kind == "comma?":
+        if low.startswith(",", at):
+            yield from ends_of(low, at + 1, rest, forms)
+        yield from ends_of(low, at, rest, forms)
+    elif kind == "gap":
+        end = at
+        while end < len(low) and low[end] in GAP:
+            end += 1
+        for k in range(end, at, -1):
+            yield from ends_of(low, k, rest, forms)
+    else:
+        known = forms[text]
+        if known is None:
+            for end in near_ends(low, at, text):
+                yield from ends_of(low, end, rest, forms)
+        for form in known or ():
+            if low.startswith(form, at):
+                yield from ends_of(low, at + len(form), rest, forms)
 
 
 def strip_title(value: str) -> str:
@@ -134,18 +186,22 @@ def strip_title(value: str) -> str:
 @dataclass(frozen=True)
 class Rule:
     val: str
-    pattern: str
+    steps: tuple[Step, ...]
     placeholder: str | None
     with_title: bool
     initial: str | None = None
     combined: bool = False
-    near: str | None = None  # a word whose forms follow the pattern
 
     @property
     def rank(self) -> tuple:
         return (-(2 if self.combined else 1 if self.initial else 0), -len(self.val), not self.with_title)
 
 
+def near_step(word: str) -> Step:
+    w = lowered(word.strip())
+    return ("near", w) if len(w) >= 6 else ("is", w)
+
+
 def placeholder_prefix(kind: str) -> str | None:
     if kind.upper() == "PRENOM":
         return None
@@ -163,7 +219,7 @@ def rules_of(active: list[Found]) -> tuple[list[Rule], list[dict]]:
             sign = e.initial or e.value[0].upper() + "."
             for v in dict.fromkeys(v for v in flat if v and v.lower() not in E.TITLE_WORDS):
                 for titled in (True, False):
-                    rules.setdefault(("initial", titled, v.lower()), [Rule(v, flex(v), None, titled, sign)])
+                    rules.setdefault(("initial", titled, v.lower()), [Rule(v, steps_of(v), None, titled, sign)])
             rows.append({"placeholder": sign, "entity": e, "label": "Initiale", "initialPrefix": sign, "forms": []})
             continue
         prefix = placeholder_prefix(e.type)
@@ -174,16 +230,16 @@ def rules_of(active: list[Found]) -> tuple[list[Rule], list[dict]]:
             if len(v) < 2 or v.lower() in E.TITLE_WORDS:
                 continue
             for titled in (True, False):
-                rules.setdefault((ph, titled, v.lower()), [Rule(v, flex(v), ph, titled)])
+                rules.setdefault((ph, titled, v.lower()), [Rule(v, steps_of(v), ph, titled)])
             if person and " " not in v and len(v) >= 6:
-                rules.setdefault((ph, "fuzzy", v.lower()), [Rule(v, "", ph, False, near=v)])
+                rules.setdefault((ph, "fuzzy", v.lower()), [Rule(v, (near_step(v),), ph, False)])
         if person:
             for f in dict.fromkeys(f for f in (e.prenom, *e.variants) if f and len(f) >= 2):
-                sign, exact = f[0].upper() + ".", escaped(f)
+                sign, exact = f[0].upper() + ".", ("is", lowered(f))
                 for titled in (False, True):
-                    rules.setdefault(("first", titled, f.lower()), [Rule(f, exact, None, titled, sign)])
+                    rules.setdefault(("first", titled, f.lower()), [Rule(f, (exact,), None, titled, sign)])
                 if len(e.value) >= 3:
-                    rules.setdefault(("both", f.lower(), e.value.lower()), [Rule(f, f"{exact}[{WS},\\-]+", ph, titled, sign, True, e.value) for titled in (True, False)])
+                    rules.setdefault(("both", f.lower(), e.value.lower()), [Rule(f, (exact, ("gap", ""), near_step(e.value)), ph, titled, sign, True) for titled in (True, False)])
         rows.append({"placeholder": ph, "entity": e, "label": e.label or e.type, "initialPrefix": None, "forms": []})
     return sorted((r for group in rules.values() for r in group), key=lambda r: r.rank), rows
 
@@ -191,70 +247,53 @@ def rules_of(active: list[Found]) -> tuple[list[Rule], list[dict]]:
 class Matcher:
     """The rule that fits at a place of a text: the first in order, with its title.
 
-    Trying every rule at every place would cost their product. Rules are compiled by the
+    Trying every rule at every place would cost their product. Rules are kept by the
     first character that they can have, those after a title apart from the others, so
     that a place only tries what can begin there."""
 
     def __init__(self, rules: list[Rule], text: str):
-        runs = Runs(text)
-        self.rules = rules
-        groups: dict[tuple[bool, str], list[tuple[int, str]]] = {}
-        anywhere: dict[bool, list[tuple[int, str]]] = {True: [], False: []}
+        self.rules, self.low = rules, lowered(text)
+        runs = Runs(self.low)
+        self.forms = {t: runs.found(t) if t.isalpha() else None for r in rules for kind, t in r.steps if kind == "near"}
+        self.by_head: dict[tuple[bool, str], list[int]] = {}
         for k, r in enumerate(rules):
-            forms = runs.forms(r.near) if r.near else ""
-            if forms is None:
-                continue
-            heads: set[str] | None = {r.val[0].lower()[0]}
-            if r.near and not r.pattern:  # begins with a form of the word, or with any letter
-                heads = {f[0] for f in runs.found(r.near)} if r.near.strip().isalpha() else None
-            for c in heads or ():
-                groups.setdefault((r.with_title, c), []).append((k, r.pattern + forms))
-            if heads is None:
-                anywhere[r.with_title].append((k, r.pattern + forms))
-        self.compiled: dict[tuple[bool, str], list[tuple[int, str]]] = {}
-        for titled in (True, False):
-            for c in {c for t, c in groups if t == titled} | ({""} if anywhere[titled] else set()):
-                both = sorted([*groups.get((titled, c), ()), *anywhere[titled]])
-                self.compiled[titled, c] = both
-        self.ready: dict[tuple[bool, str], tuple[re.Pattern[str], list[int]]] = {}
-        self.title = re.compile(f"{render(E.TITLE_BEFORE, 'python')}[{WS}]+", re.I)
-        heads = {c for t, c in self.compiled if not t} | ({"m", "d", "p"} if any(t for t, _ in self.compiled) else set())
-        self.start = re.compile(E.LEFT_BOUND + ("[" + "".join(map(escaped_in_class, sorted(heads))) + "]" if heads and "" not in heads else "."), re.I | re.S) if heads else None
+            kind, first = r.steps[0] if r.steps else ("is", "")
+            if kind == "near":
+                known = self.forms[first]
+                heads = {f[0] for f in known} if known is not None else {""}  # "": any character
+            else:
+                heads = {first[:1]}
+            for c in heads:
+                self.by_head.setdefault((r.with_title, c), []).append(k)
 
     def fit(self, text: str, at: int, titled: bool) -> tuple[int, int] | None:
         """(number of the rule, end) at a place."""
         if at >= len(text):
             return None
-        key = (titled, text[at].lower()[0])
-        if key not in self.compiled:
-            key = (titled, "")
-            if key not in self.compiled:
-                return None
-        if key not in self.ready:  # compiled when a place first asks for it
-            both = self.compiled[key]
-            self.ready[key] = (re.compile("(?:" + "|".join(f"({p})" for _, p in both) + ")" + E.RIGHT_BOUND, re.I), [k for k, _ in both])
-        rx, numbers = self.ready[key]
-        m = rx.match(text, at)
-        return (numbers[m.lastindex - 1], m.end()) if m else None
+        own, anywhere = self.by_head.get((titled, self.low[at]), []), self.by_head.get((titled, ""), [])
+        for k in sorted({*own, *anywhere}) if anywhere else own:
+            for end in ends_of(self.low, at, self.rules[k].steps, self.forms):
+                if RIGHT.match(text, end):
+                    return k, end
+        return None
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int, Rule]]:
         """(start, start of the name, end, rule) from left to right, none overlapping."""
-        at = 0
-        while self.start and (s := self.start.search(text, at)):
+        heads = {c for _, c in self.by_head}
+        titled, some = any(t for t, _ in self.by_head), "" in heads
+        done = 0
+        for s in STARTS.finditer(text) if heads else ():
             begin = s.start()
+            c = self.low[begin]
+            if begin < done or not (some or c in heads or titled and c in "mdp"):
+                continue
             best = [(*f, begin) for f in [self.fit(text, begin, False)] if f]
-            if t := self.title.match(text, begin):
+            if titled and c in "mdp" and (t := TITLE.match(text, begin)):
                 best += [(*f, t.end()) for f in [self.fit(text, t.end(), True)] if f]
             if best:
                 k, end, name = min(best)
                 yield begin, name, end, self.rules[k]
-                at = end
-            else:
-                at = begin + 1
-
-
-def escaped_in_class(c: str) -> str:
-    return "\\" + c if c in "\\]^-[" else c
+                done = end
 
 
 def substitute(text: str, entities: list[Found]) -> tuple[str, list[dict], list[str]]:
@@ -333,12 +372,11 @@ def anonymise(docs: DataFrame, entities: DataFrame, redactions: DataFrame | None
     """Every document with its text anonymised, its concordance and its initials.
     Redactions (doc_id, ord, word, replacement, scope, position) come first."""
     listed = is_active(entities).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("entities"))
-    joined = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).join(listed, "doc_id", "left")
-    if redactions is not None:
-        cuts = redactions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "word", "replacement", "scope", "position"))).alias("cuts"))
-        joined = joined.join(cuts, "doc_id", "left")
+    none = F.lit(None).cast("array<struct<ord:int,word:string,replacement:string,scope:string,position:int>>")
+    if redactions is None:
+        joined = by_document(docs, text, listed).withColumn("cuts", none)
     else:
-        joined = joined.withColumn("cuts", F.lit(None).cast("array<struct<ord:int,word:string,replacement:string,scope:string,position:int>>"))
+        joined = by_document(docs, text, listed, redactions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "word", "replacement", "scope", "position"))).alias("cuts")))
     plain = joined.where("entities IS NULL AND cuts IS NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("anonymized"), F.array().cast("array<string>").alias("initiales"), F.array().cast(RESULT.split("concordance ")[1]).alias("concordance"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +393,7 @@ def anonymise(docs: DataFrame, entities: DataFrame, redactions: DataFrame | None
 def pseudonymise(docs: DataFrame, block_list: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
     """Detection and substitution of each document in one map, nothing shuffled: the
     form for large tables where no one curates the entities in between."""
-    shared = docs.sparkSession.sparkContext.broadcast(block_list)
+    shared = shared_words(docs.sparkSession, block_list)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(shared.value)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
@@ -403,9 +403,40 @@ def entity_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=ARROW_ENTITY)
 
 
+def by_document(docs: DataFrame, text: str, *given: DataFrame, how: str = "left") -> DataFrame:
+    """(doc_id, text) with the columns of given tables (one row a doc_id, null being an id
+    like any other), dealt out for a heavy map: the texts are shuffled once, to a number of
+    partitions that adaptive execution doesn't join by bytes."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
+    out = docs.select(key, F.col("doc_id").cast("long"), F.col(text).alias("text")).repartition(n, "_key")
+    for table in given:
+        out = out.join(table.select(key, *[c for c in table.columns if c != "doc_id"]), "_key", how)
+    return out.drop("_key")
+
+
+#: Words of a list that is broadcast, at most; longer lists are joined (not_blocked).
+MAX_WORDS = 500_000
+
+
+def shared_words(spark: SparkSession, words: frozenset[str]):
+    """A word list as a broadcast, its size checked."""
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"a list of {len(words)} words is too long to broadcast; join it (not_blocked)")
+    return spark.sparkContext.broadcast(words)
+
+
+def word_set(words: DataFrame) -> frozenset[str]:
+    """(word) rows, a table of bounded size, as the folded set that detection takes."""
+    rows = words.select(fold(F.col("word")).alias("word")).where("word <> ''").distinct().limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"a list of over {MAX_WORDS} words is too long to broadcast; join it (not_blocked)")
+    return frozenset(r[0] for r in rows)
+
+
 def detect_entities(docs: DataFrame, block_list: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
     """(doc_id, text) to entities in order. block_list: folded words, a bounded table."""
-    shared = docs.sparkSession.sparkContext.broadcast(block_list)
+    shared = shared_words(docs.sparkSession, block_list)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(shared.value)

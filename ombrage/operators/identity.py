@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
 from ..functions.text import fold, py_fold, py_title, python_pattern
-from .detection import ARROW_ENTITY, ENTITY, Found, entity_rows, from_row, id_of
+from .detection import ARROW_ENTITY, ENTITY, Found, by_document, entity_rows, from_row, id_of
 
 
 def bare(value: str) -> str:
@@ -179,7 +179,7 @@ def resolve_document(doc_id: object, text: str, entities: list[Found], prefix: s
 def _grouped(docs: DataFrame, entities: DataFrame, text: str) -> DataFrame:
     """One row a document with its entities as an array: the text isn't repeated."""
     one = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "value", "type", "label", "occurrences", "aliases", "active", "blocked", "prenom", "prenomVariants", "members", "isInitiale", "initialeValue"))).alias("entities"))
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).join(one, "doc_id")
+    return by_document(docs, text, one, how="inner")
 
 
 def resolve(docs: DataFrame, entities: DataFrame, prefix: str = "COUPLE", text: str = "text") -> DataFrame:

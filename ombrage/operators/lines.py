@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import BOUNDARY, WS, js_trim, py_trim
+from .detection import shared_words
 
 #: Fixed values.
 ENDS_WORD = f"[a-zA-Z0-9À-ÖØ-öø-ÿ][{WS}]*\\z"
@@ -255,7 +256,7 @@ SUSPECT = "array<struct<start:int,end:int,original:string,merged:string>>"
 def find_spacing(docs: DataFrame, words: frozenset[str] = frozenset(), from_line: int = 0, text: str = "text") -> DataFrame:
     """One row a suspect. words: the dictionary, a bounded table of short words that
     each executor gets once."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = shared_words(docs.sparkSession, words)
 
     @F.pandas_udf(SUSPECT)
     def scan(column: pd.Series) -> pd.Series:
@@ -265,7 +266,7 @@ def find_spacing(docs: DataFrame, words: frozenset[str] = frozenset(), from_line
 
 
 def fix_spacing(docs: DataFrame, words: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = shared_words(docs.sparkSession, words)
 
     @F.pandas_udf("string")
     def fix(column: pd.Series) -> pd.Series:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import entity_rules as E
 from ..functions.text import WS, py_squeeze, py_trim, python_pattern
 from .anonymise import escaped
+from .detection import by_document
 
 SCAN_CONTEXT, PANEL_CONTEXT = 65, 50
 EXACT_ONLY = ("adresse", "codepostal")
@@ -73,11 +74,9 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("ord", pa.int32()), ("cat", pa.stri
 def find_omissions(docs: DataFrame, entities: DataFrame, redactions: DataFrame | None = None, ignored: DataFrame | None = None, panel: bool = False, text: str = "text") -> DataFrame:
     """Suspects of each document. parentEntity (panel) is the active entity whose value
     is a word of the suspect."""
-    spark = docs.sparkSession
     listed = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "value", "aliases", "active", "blocked"))).alias("entities"))
-    cuts = (redactions if redactions is not None else spark.createDataFrame([], "doc_id long, word string")).groupBy("doc_id").agg(F.collect_set("word").alias("cuts"))
-    skip = (ignored if ignored is not None else spark.createDataFrame([], "doc_id long, value string")).groupBy("doc_id").agg(F.collect_set("value").alias("skip"))
-    joined = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).join(listed, "doc_id", "left").join(cuts, "doc_id", "left").join(skip, "doc_id", "left")
+    others = {name: table.groupBy("doc_id").agg(F.collect_set(column).alias(name)) for name, column, table in (("cuts", "word", redactions), ("skip", "value", ignored)) if table is not None}
+    joined = by_document(docs, text, listed, *others.values()).withColumns({name: F.lit(None).cast("array<string>") for name in ("cuts", "skip") if name not in others})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import entity_rules as E
 from ..functions.text import py_deaccent, render
 from .anonymise import escaped
+from .detection import by_document
 
 FOUND = "doc_id long, ord int, name string, side string, entity_id string, context string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ord", pa.int32()), ("name", pa.string()), ("side", pa.string()), ("entity_id", pa.string()), ("context", pa.string())])
@@ -53,7 +54,7 @@ def detect_parties(docs: DataFrame, entities: DataFrame, keywords: dict[str, lis
     """Parties of each document with the entity they name, if any."""
     words = E.SIDE_KEYWORDS if keywords is None else keywords
     listed = entities.where("active AND NOT blocked").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "id", "value", "aliases"))).alias("entities"))
-    joined = docs.select(F.col("doc_id").cast("long"), F.col(text).alias("text")).join(listed, "doc_id", "left")
+    joined = by_document(docs, text, listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
