@@ -69,6 +69,12 @@ def extend_block_list(block_list: DataFrame, words: DataFrame) -> DataFrame:
     return folded(block_list).union(folded(words)).distinct()
 
 
+def start_block_list(internal: DataFrame, dictionary: DataFrame, saved: DataFrame) -> DataFrame:
+    """(word) lists that detection begins with: the words that name nobody, all words of the
+    dictionary, and the saved list, folded, each once."""
+    return extend_block_list(extend_block_list(internal, dictionary), saved)
+
+
 def shrink_block_list(block_list: DataFrame, words: DataFrame) -> DataFrame:
     return block_list.join(words.select(deaccent(js_trim(F.lower("word"))).alias("word")).distinct(), "word", "left_anti")
 

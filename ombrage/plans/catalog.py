@@ -43,11 +43,11 @@ DICTIONARY = frozenset("au de du la le et lit lits bail dans paris salle barre".
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return C.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
 
 
 def cases(spark: SparkSession, d: str) -> DataFrame:
-    return C.frame(spark, d, CASES)
+    return C.spread(C.frame(spark, d, CASES))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -102,16 +102,22 @@ def n6(spark, d):
     return docs(spark, d).groupBy(cleaning.noise_level(cleaning.noise_score(cleaning.noise_issues(F.col("text")))).alias("level")).agg(F.count("*").alias("n"))
 
 
-def _line_sql(source: str) -> str:
-    t = Q.trim("line")
+def _score_sql() -> str:
     exotic = f"({Q.count('t', R.EXOTIC)} / greatest(length(t), 1))"
     words = f"len(list_filter(regexp_extract_all(t, {Q.pattern(R.LONG_WORD)}), lambda w: NOT regexp_matches(w, '{R.VOWEL}')))"
     crazy = Q.count("t", R.CRAZY_CASE)
-    score = (
+    return (
         f"CASE WHEN length(t) < 8 OR regexp_matches(t, {Q.pattern(R.NUMERIC_LINE)}) THEN 0 ELSE CASE WHEN {exotic} > 0.12 THEN 4 WHEN {exotic} > 0.06 THEN 2 ELSE 0 END + 3 * {Q.count('t', R.HARD_RUN)}"
         f" + CASE WHEN {words} >= 2 THEN 2 * {words} ELSE 0 END + CASE WHEN regexp_matches(t, '{R.FILL}') THEN 4 ELSE 0 END + CASE WHEN {crazy} >= 2 THEN 2 ELSE 0 END END"
     )
-    return f"l AS (SELECT doc_id, idx, line, {t} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS idx FROM {source})), s AS (SELECT doc_id, CAST(idx AS INT) AS index, line, t, CAST({score} AS INT) AS score FROM l)"
+
+
+_SCORE = _score_sql()
+
+
+def _line_sql(source: str) -> str:
+    t = Q.trim("line")
+    return f"l AS (SELECT doc_id, idx, line, {t} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS idx FROM {source})), s AS (SELECT doc_id, CAST(idx AS INT) AS index, line, t, CAST({_SCORE} AS INT) AS score FROM l)"
 
 
 _LEVEL = "CASE WHEN score >= 6 THEN 'gibberish' WHEN score >= 3 THEN 'moyen' ELSE 'clean' END"
@@ -135,7 +141,22 @@ def n8(spark, d):
     return cleaning.line_statistics(cleaning.scored_lines(cases(spark, d)))
 
 
-@register("n8_scored_lines")
+def _scored_sql() -> str:
+    words = f"list_filter(regexp_extract_all(t, {Q.pattern(R.LONG_WORD)}), lambda w: NOT regexp_matches(w, '{R.VOWEL}'))"
+    ratio = f"({Q.count('t', R.EXOTIC)} / greatest(length(t), 1))"
+    hard, crazy = (f"regexp_extract_all(t, {Q.pattern(p)})" for p in (R.HARD_RUN, R.CRAZY_CASE))
+    flags = f"""concat_ws('|', CASE WHEN {ratio} > 0.06 THEN 'exotic=' || CAST(round({ratio} * 100) AS INT) || '%' END, CASE WHEN len({hard}) > 0 THEN 'consonnes=' || CAST(to_json({hard}) AS VARCHAR) END,
+      CASE WHEN len({words}) >= 2 THEN 'sans_voyelle=' || CAST(to_json(({words})[1:3]) AS VARCHAR) END, CASE WHEN regexp_matches(t, '{R.FILL}') THEN 'underscores_remplissage' END, CASE WHEN len({crazy}) >= 2 THEN 'casse_aléatoire=' || CAST(to_json(({crazy})[1:2]) AS VARCHAR) END)"""
+    skipped = f"length(t) < 8 OR regexp_matches(t, {Q.pattern(R.NUMERIC_LINE)})"
+    emoji = "CASE WHEN score >= 6 THEN '{gibberish}' WHEN score >= 3 THEN '{moyen}' ELSE '{clean}' END".format(**R.EMOJI)
+    both = "SELECT doc_id, string_split(raw, chr(10)) AS a, string_split(regexp_replace(clean, '\\r\\n|\\r', chr(10), 'g'), chr(10)) AS b FROM c0"
+    return f"""WITH c0 AS (SELECT doc_id, text AS raw, {_CLEAN} AS clean FROM documents WHERE text <> ''), two AS ({both}),
+    rows AS (SELECT doc_id, unnest(range(greatest(len(a), len(b)))) AS i, a, b FROM two), paired AS (SELECT doc_id, CAST(i AS INT) AS i, coalesce(a[i + 1], '') AS raw, coalesce(b[i + 1], '') AS text FROM rows),
+    m AS (SELECT doc_id, i, raw, text, text AS line, {Q.trim('text')} AS t FROM paired), g AS (SELECT *, CAST({_SCORE} AS INT) AS score FROM m)
+    SELECT doc_id, i AS index, raw, text, score AS "lineScore", {_LEVEL} AS "lineLevel", {emoji} AS "lineEmoji", score >= 6 AS "isGibberish", CASE WHEN {skipped} THEN '' ELSE {flags} END AS "lineFlags" FROM g"""
+
+
+@register("n8_scored_lines", _scored_sql())
 def n8_lines(spark, d):
     return listed(cleaning.scored_lines(docs(spark, d)))
 
@@ -208,18 +229,22 @@ def l1(spark, d):
     return pairs.where(F.col("nxt").isNotNull() & lines.suspect_break(F.col("line"), F.col("nxt"))).select("doc_id", "index")
 
 
-@register(
-    "l2_suspect_breaks",
-    f"""WITH RECURSIVE c AS ({CASES}), {_SPLIT.format('c')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY index) AS r FROM ln WHERE {Q.trim('line')} <> ''),
+_BREAKS = f"""{_SPLIT.format('c')}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY index) AS r FROM ln WHERE {Q.trim('line')} <> ''),
     p AS (SELECT a.doc_id, a.r, a.index, b.index AS nxt, {_suspect_sql('a.line', 'b.line')} AS s FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.r = a.r + 1),
-    w AS (SELECT *, TRUE AS tested FROM p WHERE r = 1 UNION ALL SELECT p.*, NOT (w.tested AND w.s AND w.nxt - w.index > 1) FROM w JOIN p ON p.doc_id = w.doc_id AND p.r = w.r + 1)
-    SELECT doc_id, index AS "lineIdx", nxt - index + 1 AS "skipCount" FROM w WHERE tested AND s""",
-)
+    w AS (SELECT *, TRUE AS tested FROM p WHERE r = 1 UNION ALL SELECT p.*, NOT (w.tested AND w.s AND w.nxt - w.index > 1) FROM w JOIN p ON p.doc_id = w.doc_id AND p.r = w.r + 1),
+    found AS (SELECT doc_id, index AS "lineIdx", nxt - index + 1 AS "skipCount" FROM w WHERE tested AND s)"""
+
+
+@register("l2_suspect_breaks", f"WITH RECURSIVE c AS ({CASES}), {_BREAKS} SELECT * FROM found")
 def l2(spark, d):
     return lines.suspect_breaks(lines.split_lines(cases(spark, d)))
 
 
-@register("l3_suspects_with_noise")
+@register(
+    "l3_suspects_with_noise",
+    f"""WITH RECURSIVE c AS ({CASES}), {_BREAKS}, late AS (SELECT * FROM found WHERE "lineIdx" >= 2), cc AS (SELECT doc_id, {_CLEAN} AS text FROM c), scored AS (WITH {_line_sql('cc')} SELECT * FROM s)
+    SELECT * FROM late UNION ALL SELECT doc_id, index, 1 FROM scored WHERE score >= 6 AND NOT EXISTS (SELECT 1 FROM late WHERE late.doc_id = scored.doc_id AND late."lineIdx" = scored.index)""",
+)
 def l3(spark, d):
     c = cases(spark, d)
     return lines.suspects_with_noise(lines.suspect_breaks(lines.split_lines(c)), cleaning.scored_lines(c), 2)
@@ -259,7 +284,7 @@ def _typed_sql(source: str, kinds: tuple[str, ...] | None = None) -> str:
         for k, (t, p, i) in enumerate(E.PATTERNS)
         if kinds is None or t in kinds
     ]
-    return f"raw AS ({' UNION ALL '.join(parts)}), v AS (SELECT doc_id, rank, place, kind, {Q.value('raw')} AS value FROM raw), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY rank, place) AS n FROM v WHERE value <> ''), typed AS (SELECT doc_id, CASE WHEN kind = 'NAISSANCE' THEN 'REF' ELSE kind END AS type, CASE WHEN kind = 'NAISSANCE' THEN '{E.BIRTH_LABEL}' ELSE kind END AS label, value, rank * 1000000 + place AS place FROM k WHERE n = 1)"
+    return f"raw AS ({' UNION ALL '.join(parts)}), v AS (SELECT doc_id, rank, place, kind, raw AS form, {Q.value('raw')} AS value FROM raw), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY rank, place) AS n FROM v WHERE value <> ''), typed AS (SELECT doc_id, CASE WHEN kind = 'NAISSANCE' THEN 'REF' ELSE kind END AS type, CASE WHEN kind = 'NAISSANCE' THEN '{E.BIRTH_LABEL}' ELSE kind END AS label, value, rank * 1000000 + place AS place FROM k WHERE n = 1)"
 
 
 @register("d2_typed", f"{WITH_CASES}, {_typed_sql('c')} SELECT doc_id, type, label, value FROM typed")
@@ -298,6 +323,16 @@ def d14(spark, d):
     return detection.not_blocked(detection.word_counts(cases(spark, d)), "word", block_list)
 
 
+_DICTIONARY_SQL = "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part"
+
+
+@register("d15_start_block_list", f"SELECT DISTINCT strip_accents({Q.trim('lower(word)')}) AS word FROM (SELECT word FROM {BLOCK_SQL} UNION ALL {_DICTIONARY_SQL} UNION ALL SELECT n_name FROM nation) WHERE {Q.trim('word')} <> ''")
+def d15(spark, d):
+    internal = spark.createDataFrame([(w,) for w in sorted(BLOCK_LIST)], "word string")
+    dictionary = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    return curation.start_block_list(internal, dictionary, spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("word")))
+
+
 @register("d11_near_names", "WITH n AS (SELECT DISTINCT n_regionkey AS k, n_name AS a FROM nation UNION SELECT DISTINCT n_regionkey, n_name[2:] FROM nation) SELECT x.k, x.a, y.a AS b FROM n x JOIN n y ON x.k = y.k AND x.a < y.a AND levenshtein(x.a, y.a) <= 1")
 def d11(spark, d):
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name"))
@@ -337,7 +372,14 @@ def i5(spark, d):
     return identity.attach_singles(entities(spark, d).where("type = 'NOM'"))
 
 
-@register("i8_ambiguous_aliases")
+_BARE_OF = lambda c: _BARE.format(Q.fold(c), Q.quote(identity._TITLES_RX))
+
+
+@register(
+    "i8_ambiguous_aliases",
+    f"{WITH_ENTITIES}, k AS (SELECT *, {_SURNAME} AS s FROM e), n AS (SELECT *, s <> '' AND count(*) OVER (PARTITION BY doc_id, s) > 1 AS shared FROM k)"
+    f" SELECT doc_id, ord, id, value, type, label, occurrences, active, blocked, concat_ws('|', CASE WHEN NOT shared OR {_BARE_OF('alias_1')} <> s THEN alias_1 END, CASE WHEN NOT shared OR {_BARE_OF('alias_2')} <> s THEN alias_2 END) AS aliases FROM n",
+)
 def i8(spark, d):
     return listed(identity.ambiguous_aliases(entities(spark, d)))
 
@@ -704,7 +746,10 @@ def s16(spark, d):
 ORACLES["s16_session_round_trip"] = "SELECT doc_id, '2.9' AS version, md5(text) AS text, 'le' AS blacklist FROM documents"
 
 
-@register("k2_concordance_csv")
+_MET = f"WITH {_typed_sql('documents', ('EMAIL',))}, o AS (SELECT doc_id, lower(value) AS low, form, min(place) AS pl FROM v GROUP BY ALL), f AS (SELECT doc_id, low, list(form ORDER BY pl) AS forms FROM o GROUP BY ALL), r AS (SELECT t.*, forms, row_number() OVER (PARTITION BY t.doc_id ORDER BY place) AS n FROM typed t JOIN f ON f.doc_id = t.doc_id AND f.low = lower(t.value))"
+
+
+@register("k2_concordance_csv", f"{_MET} SELECT doc_id, chr(65279) || '{E.CONCORDANCE_HEADER}' || chr(10) || string_agg('[EMAIL_' || n || '];' || value || ';;' || array_to_string(forms, ' | ') || ';' || label || ';;', chr(10) ORDER BY n) AS csv FROM r GROUP BY doc_id")
 def k2(spark, d):
     t = docs(spark, d)
     return sinks.concordance_csv(anonymise.concordance(anonymise.anonymise(t, _email_entities(t))))
@@ -752,7 +797,11 @@ def l5(spark, d):
     return cases(spark, d).select("doc_id", lines.fix_breaks_from("text", F.lit(3)).alias("text"))
 
 
-@register("l4_merge_line")
+@register(
+    "l4_merge_line",
+    f"""WITH RECURSIVE c AS ({CASES}), {_BREAKS}, one AS (SELECT doc_id, min("lineIdx") AS i, arg_min("skipCount", "lineIdx") AS k FROM found GROUP BY doc_id), x AS (SELECT doc_id, string_split(text, chr(10)) AS ls, i, k FROM c JOIN one USING (doc_id))
+    SELECT doc_id, array_to_string(list_concat(ls[1:i], [regexp_replace(ls[i + 1], {Q.quote(_WS + '+$')}, '') || ' ' || regexp_replace(ls[i + k], {Q.quote('^' + _WS + '+')}, '')], ls[i + k + 1:]), chr(10)) AS text FROM x""",
+)
 def l4(spark, d):
     first = l2(spark, d).groupBy("doc_id").agg(F.min(F.struct("lineIdx", "skipCount")).alias("b"))
     return cases(spark, d).join(first, "doc_id").select("doc_id", lines.merge_line("text", "b.lineIdx", "b.skipCount").alias("text"))
@@ -806,12 +855,12 @@ def h10(spark, d):
     return cases(spark, d).select("doc_id", spans.word_at(F.col("text"), F.lit(1)).alias("word"))
 
 
-@register("k3_concordance_json")
+@register("k3_concordance_json", f"{_MET} SELECT doc_id, '[' || string_agg(CAST(to_json({{'placeholder': '[EMAIL_' || n || ']', 'value': value, 'aliases': CAST([] AS VARCHAR[]), 'type': type, 'label': label, 'replacedForms': forms}}) AS VARCHAR), ',' ORDER BY n) || ']' AS json FROM r GROUP BY doc_id")
 def k3(spark, d):
     t = docs(spark, d)
     return sinks.concordance_json(anonymise.concordance(anonymise.anonymise(t, _email_entities(t))))
 
 
-@register("k4_entities_json")
+@register("k4_entities_json", f"{WITH_ENTITIES} SELECT doc_id, '[' || string_agg(CAST(to_json({{'value': value, 'type': type, 'label': label, 'aliases': [alias_1, alias_2], 'active': active, 'blocked': blocked}}) AS VARCHAR), ',' ORDER BY ord) || ']' AS json FROM e GROUP BY doc_id")
 def k4_json(spark, d):
     return sinks.entities_json(entities(spark, d))

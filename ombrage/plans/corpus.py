@@ -76,6 +76,14 @@ def word_boxes() -> str:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the table has fewer files than there are cores: a file
+    of one row group is one task, whatever its rows cost. Tables of many files stay as
+    they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A corpus as a DataFrame: its SQL over the Parquet tables, by path."""
     for t in ("customer", "lineitem", "orders"):

@@ -105,6 +105,14 @@ def import_block_list(files: DataFrame) -> DataFrame:
     return files.select(F.explode(words).alias("word")).where("word IS NOT NULL")
 
 
+def load_words(spark: SparkSession, path: str) -> DataFrame:
+    """A word list in text files, words divided by line ends, commas, semicolons and blanks,
+    quotes around them dropped; lines that begin with # or // are remarks."""
+    lines = spark.read.text(path).where(~F.rlike("value", F.lit(r"^\s*(#|//)")))
+    words = lines.select(F.explode(F.split("value", "[\\s,;]+")).alias("word"))
+    return words.select(F.regexp_replace("word", "^['\"]+|['\"]+$", "").alias("word")).where("word <> ''").distinct()
+
+
 def load_block_list(files: DataFrame) -> DataFrame:
     """A saved list; anything that is no JSON array is an empty one."""
     return files.select(F.explode(F.from_json("content", "array<string>")).alias("word")).where("word IS NOT NULL")

@@ -213,3 +213,27 @@ def test_export_all(spark, tmp_path):
     assert "[NOM_1];A;B;A;NOM;;" in next((tmp_path / "e/concordance/doc_id=1").glob("*.txt")).read_text()
     sinks.zip_document({"a.txt": "x"}, str(tmp_path / "e.zip"))
     assert zipfile.ZipFile(tmp_path / "e.zip").read("a.txt") == b"x"
+
+
+def test_word_lists(spark, tmp_path):
+    from ombrage.operators import curation, detection
+
+    (tmp_path / "words.txt").write_text("# remark\n'Été', \"le\"\nLA;du  du\n// none\n")
+    words = tables.load_words(spark, str(tmp_path / "words.txt"))
+    assert {r["word"] for r in words.collect()} == {"Été", "le", "LA", "du"}
+    none = words.limit(0)
+    start = curation.start_block_list(words, spark.createDataFrame([("Zoé",), ("ETE",), (" ",), (None,)], "word string"), none)
+    assert detection.word_set(start) == {"ete", "le", "la", "du", "zoe"}
+    assert detection.word_set(none) == frozenset()
+
+
+def test_long_word_lists_are_refused(spark, monkeypatch):
+    import pytest
+
+    from ombrage.operators import detection
+
+    monkeypatch.setattr(detection, "MAX_WORDS", 2)
+    with pytest.raises(ValueError, match="too long"):
+        detection.detect_entities(spark.createDataFrame([(1, "x")], "doc_id long, text string"), frozenset("abc"))
+    with pytest.raises(ValueError, match="too long"):
+        detection.word_set(spark.createDataFrame([("a",), ("b",), ("c",)], "word string"))
