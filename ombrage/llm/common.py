@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(given)
         return given.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = getattr(sc, "_ombrage_shared", None)
     if own is None:
         own = sc._ombrage_shared = "file://" + tempfile.mkdtemp(prefix="ombrage-")

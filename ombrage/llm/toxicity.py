@@ -9,16 +9,17 @@ The logit is calibrated to a probability by logistic regression on the sample,
 weighted back to the class shares of all labelled rows.
 
 Training is in numpy, on the driver, over a sample bounded by MAX_TOXIC and MAX_CLEAN
-documents (the labelled rows of the training folds with the smallest hashes of
-their ids) and SAMPLE_WINDOWS windows of each, spread over the text. A label holds
-for a document, so after a first round on all windows each step learns from the
+documents and MAX_BYTES of text of either class (the labelled rows of the training folds
+with the smallest hashes of their ids; all parameters) and SAMPLE_WINDOWS windows of each,
+drawn from the whole text. A label holds for a document, so after a first round on all windows each step learns from the
 window of a document that scores highest. Everything is seeded.
 
 Scoring runs in Arrow batches on the executors; projected word inputs are remembered
 in a table bounded by CACHE rows.
 
 Defined results: null texts and texts without a word have score 0; labels of null
-documents, null labels and labels without a document are left out; an unlabelled or
+documents, null labels and labels without a document are left out; of repeated labels
+that disagree 1 wins; other columns of labels are never read; an unlabelled or
 one-class sample gives score 0 for all; rows that repeat are scored alike; an empty
 table gives no rows; other columns are never read.
 """
@@ -33,11 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read_table
 
-MAX_TOXIC, MAX_CLEAN, SAMPLE_WINDOWS = 1200, 2400, 24
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES, SAMPLE_WINDOWS = 1200, 2400, 48 << 20, 24
 WINDOW, STRIDE = 48, 36
 WORDS, TRIGRAMS = 4000, 4096
 WORD_DIM, CHAR_DIM, HIDDEN = 12, 12, 10
@@ -284,7 +286,9 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]]
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL")
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).collect()
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = once.withColumn("upto", F.sum(F.octet_length("text")).over(order)).where(F.col("upto") <= MAX_BYTES).collect()
     rows.sort(key=lambda r: r["doc_id"])
     share = n.get(1, 0) / max(1, sum(n.values()))
     return [(r["text"], r["toxic"]) for r in rows], min(0.99, max(0.01, share))
