@@ -250,7 +250,26 @@ def l3(spark, d):
     return lines.suspects_with_noise(lines.suspect_breaks(lines.split_lines(c)), cleaning.scored_lines(c), 2)
 
 
-@register("l6_fix_all_breaks")
+def _fixed_sql(passes: int, from_line: int = 0) -> str:
+    """Merging walked line by line, a pass after another: `held` is that a line isn't tested,
+    since blank lines before it went into a merge, `used` the first line no merge has taken."""
+    full = Q.trim("ls[i + 1]")
+    take = f"(s AND i >= {from_line})"
+    joined = f"regexp_replace(a, {Q.quote(_WS + '+' + chr(92) + 'z')}, '') || ' ' || regexp_replace(b, {Q.quote('^' + _WS + '+')}, '')"
+    last = f"(n = 0 OR pass = {passes})"
+    return f"""WITH RECURSIVE c AS ({CASES}), w AS (
+      SELECT doc_id, 1 AS pass, string_split(text, chr(10)) AS ls, 0 AS i, FALSE AS held, 0 AS used, CAST([] AS VARCHAR[]) AS done, 0 AS n FROM c
+      UNION ALL
+      SELECT * FROM (SELECT doc_id, pass + 1, done, 0, FALSE, 0, CAST([] AS VARCHAR[]), 0 FROM w WHERE i = len(ls) AND NOT {last}
+      UNION ALL
+      SELECT doc_id, pass, ls, i + 1, CASE WHEN b IS NULL THEN held ELSE s AND nxt - i > 1 END, CASE WHEN i >= used AND {take} THEN nxt + 1 ELSE used END,
+        CASE WHEN i < used THEN done WHEN {take} THEN list_append(done, {joined}) ELSE list_append(done, a) END, n + CASE WHEN i >= used AND {take} THEN 1 ELSE 0 END
+      FROM (SELECT *, b IS NOT NULL AND NOT held AND coalesce({_suspect_sql('a', 'b')}, FALSE) AS s FROM (SELECT *, ls[nxt + 1] AS b FROM (
+        SELECT *, ls[i + 1] AS a, CAST(CASE WHEN {full} <> '' THEN list_filter(range(i + 1, len(ls)), lambda k: {Q.trim('ls[k + 1]')} <> '')[1] END AS INT) AS nxt FROM w WHERE i < len(ls))))))
+    SELECT doc_id, array_to_string(done, chr(10)) AS text FROM w WHERE i = len(ls) AND {last}"""
+
+
+@register("l6_fix_all_breaks", _fixed_sql(lines.MAX_PASSES))
 def l6(spark, d):
     return cases(spark, d).select("doc_id", lines.fix_all_breaks("text").alias("text"))
 
@@ -423,7 +442,16 @@ def r4(spark, d):
     return parties.assign_roles(entities(spark, d), C.frame(spark, d, _ROLES)).select("doc_id", "id", "type")
 
 
-@register("r5_initials")
+@register(
+    "r5_initials",
+    f"""WITH RECURSIVE e AS ({ENTITIES}), n AS (SELECT doc_id, list(split_part(value, ' ', 1) ORDER BY ord) AS names FROM e GROUP BY doc_id),
+    w AS (SELECT doc_id, names, 0 AS i, CAST([] AS STRUCT(name VARCHAR, sign VARCHAR)[]) AS used, CAST([] AS VARCHAR[]) AS signs FROM n
+      UNION ALL SELECT doc_id, names, i + 1, list_append(others, {{'name': lower(name), 'sign': lower(sign)}}), list_append(signs, sign)
+      FROM (SELECT *, coalesce(list_filter(forms, lambda f: NOT list_contains(list_transform(others, lambda u: u.sign), lower(f)))[1], forms[1]) AS sign
+        FROM (SELECT *, list_filter(used, lambda u: u.name <> lower(name)) AS others, list_transform(range(1, least(length(name), 4) + 1), lambda k: upper(name)[1:k] || '.') AS forms
+          FROM (SELECT *, names[i + 1] AS name FROM w WHERE i < len(names)))))
+    SELECT doc_id, array_to_string(signs, '|') AS initials FROM w WHERE i = len(names)""",
+)
 def r5(spark, d):
     e = entities(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: F.element_at(F.split(x["value"], " "), 1)).alias("names"))
     return e.select("doc_id", F.array_join(anonymise.assign_initials("names"), "|").alias("initials"))
@@ -649,7 +677,23 @@ def s15(spark, d):
 # ── Spans and pages ──────────────────────────────────────────────────────────
 
 
-@register("h1_segments")
+def _segments_sql() -> str:
+    """Marked pieces: \\1 and \\2 about an entity, \\3 and \\4 about a search hit."""
+    wide = Q.quote(T.render("(rue[{ws},-]+de[{ws},-]+Vaugirard)", "re2"))
+    mark = lambda t, p, a, b: f"regexp_replace({t}, {p}, chr({a}) || '\\1' || chr({b}), 'gi')"
+    pieces = lambda t, a, b: f"regexp_extract_all({t}, {Q.quote(f'{chr(a)}[^{chr(b)}]*{chr(b)}|[^{chr(a)}{chr(b)}]+')})"
+    return f"""{WITH_CASES}, m AS (SELECT doc_id, {pieces(mark(mark('text', "'(Dupont)'", 1, 2), wide, 1, 2), 1, 2)} AS ps FROM c),
+    p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS j FROM m), q AS (SELECT doc_id, j, CASE WHEN piece[1] = chr(1) THEN [piece] ELSE {pieces(mark('piece', "'(dup)'", 3, 4), 3, 4)} END AS ps FROM p),
+    r AS (SELECT doc_id, j, unnest(ps) AS piece, generate_subscripts(ps, 1) AS k FROM q), t AS (SELECT *, regexp_replace(piece, {Q.quote('[' + chr(1) + chr(2) + chr(3) + chr(4) + ']')}, '', 'g') AS text FROM r),
+    v AS (SELECT *, CASE WHEN piece[1] = chr(3) THEN 'hl-search' WHEN piece[1] <> chr(1) THEN 'normal' WHEN regexp_matches(piece, '(?i)dup') THEN 'hl-search-in-rule' ELSE 'hl-entity' END AS type,
+      CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY j, k) AS INT) AS "end" FROM t),
+    seg AS (SELECT doc_id, "end" - CAST(length(text) AS INT) AS start, "end", text, type, CASE type WHEN 'hl-entity' THEN 1 WHEN 'hl-search' THEN 3 END AS priority, CASE WHEN type = 'hl-search-in-rule' THEN 'hl-entity' END AS origin FROM v)"""
+
+
+_SEGMENTS = _segments_sql()
+
+
+@register("h1_segments", f"{_SEGMENTS} SELECT * FROM seg")
 def h1(spark, d):
     c = cases(spark, d)
     terms = [(1, 0, "Dupont", True), (1, 1, "rue de Vaugirard", True), (3, 0, "dup", False)]
@@ -663,7 +707,7 @@ def h2(spark, d):
     return spans.overlapping(s.where("n % 2 = 0"), s.where("n % 2 = 1"))
 
 
-@register("h4_search_coverage")
+@register("h4_search_coverage", f"{_SEGMENTS} SELECT doc_id, count(*) FILTER (type = 'hl-search-in-rule' AND origin = 'hl-entity') AS covered, count(*) FILTER (type = 'hl-search') AS uncovered, count(*) AS hits FROM seg WHERE type LIKE 'hl-search%' GROUP BY doc_id")
 def h4(spark, d):
     return spans.search_coverage(h1(spark, d))
 
@@ -792,7 +836,7 @@ def n13_replace(spark, d):
     return docs(spark, d).select("doc_id", F.md5(spans.replace_all(F.col("text"), T.render("{B}the{B}"), "[$1]", literal=False)).alias("text"))
 
 
-@register("l5_fix_breaks_from")
+@register("l5_fix_breaks_from", _fixed_sql(lines.MAX_PASSES_FROM, 3))
 def l5(spark, d):
     return cases(spark, d).select("doc_id", lines.fix_breaks_from("text", F.lit(3)).alias("text"))
 
