@@ -499,6 +499,58 @@ def a9(spark, d):
     return anonymise.concordance(anonymise.anonymise(t, _email_entities(t))).select("doc_id", "placeholder", "value", "type")
 
 
+# Names are given here, so that the substitution can be said in SQL: runs of letters and what
+# stands between them, each taken by the first rule that fits.
+_GIVEN_FIRST, _GIVEN_LAST = C.case("c_custkey", ["Mahidine", "Catherine", "Suhua", "Daniel", "Isabelle", "Annaïk", "Émile"]), C.case("c_custkey * 3", C.LAST)
+_GIVEN = f"SELECT CAST(c_custkey AS BIGINT) AS doc_id, {_GIVEN_FIRST} AS first, {_GIVEN_LAST} AS name FROM customer"
+
+
+def _given_sql() -> str:
+    gap = lambda x: f"regexp_full_match({x}, {Q.quote(T.render('[{ws},-]+', 're2'))})"
+    is_name = "(low[{0}] = lower(name) OR length(name) >= 6 AND levenshtein(low[{0}], lower(name)) <= 1)".format
+    both = lambda p: f"(low[{p}] = lower(first) AND coalesce({gap(f'parts[{p} + 1]')} AND {is_name(f'{p} + 2')}, FALSE))"
+    street = lambda p: f"(low[{p}] = 'rue' AND coalesce({gap(f'parts[{p} + 1]')} AND low[{p} + 2] = 'de' AND {gap(f'parts[{p} + 3]')} AND low[{p} + 4] = 'vaugirard', FALSE))"
+    taken = " OR ".join([*(f"(p > {n} AND {both(f'(p - {n})')})" for n in (1, 2)), *(f"(p > {n} AND {street(f'(p - {n})')})" for n in (1, 2, 3, 4))])
+    sign = "upper(first[1]) || '.'"
+    near_dupont = "levenshtein(low[p], 'dupont') <= 1"
+    step = f"CASE WHEN {taken} THEN '' WHEN {both('p')} THEN {sign} || ' [NOM_1]' WHEN {street('p')} THEN '[ADRESSE_1]' WHEN low[p] = lower(first) THEN {sign} WHEN {is_name('p')} THEN '[NOM_1]' WHEN {near_dupont} THEN '[NOM_2]' ELSE parts[p] END"
+    met = " + ".join(f"CAST(contains(anonymized, '[{x}]') AS INT)" for x in ("NOM_1", "NOM_2", "ADRESSE_1"))
+    return f"""{WITH_CASES}, g AS ({_GIVEN}), t AS (SELECT c.doc_id, first, name, regexp_extract_all(text, '[{E.L}]+|[^{E.L}]+') AS parts FROM c JOIN g ON g.doc_id = c.doc_id),
+    low AS (SELECT *, list_transform(parts, lambda x: lower(x)) AS low FROM t), o AS (SELECT doc_id, first, list_contains(low, lower(first)) AS signed, array_to_string(list_transform(range(1, len(parts) + 1), lambda p: {step}), '') AS anonymized FROM low),
+    done AS (SELECT doc_id, anonymized, CASE WHEN signed THEN {sign} ELSE '' END AS initiales, {met} AS n_rows FROM o)"""
+
+
+_DONE = _given_sql()
+
+
+def _given_result(spark: SparkSession, d: str) -> DataFrame:
+    g = C.frame(spark, d, _GIVEN)
+    none = F.array().cast("array<string>")
+    rows = [(1, F.col("name"), "NOM", F.col("first")), (2, F.lit("Dupont"), "NOM", F.lit(None).cast("string")), (3, F.lit("rue de Vaugirard"), "ADRESSE", F.lit(None).cast("string"))]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("ord"), v.alias("value"), F.lit(t).alias("type"), f.alias("prenom")) for n, v, t, f in rows]))
+    e = g.select("doc_id", each.alias("e")).select("doc_id", "e.*", F.col("e.type").alias("label"), F.lit(1).alias("occurrences"), none.alias("aliases"), F.lit(True).alias("active"), F.lit(False).alias("blocked"), none.alias("prenomVariants"), none.alias("members"), F.lit(False).alias("isInitiale"), F.lit(None).cast("string").alias("initialeValue"))
+    return anonymise.anonymise(cases(spark, d), e)
+
+
+@register("a8_given", f"{_DONE} SELECT * FROM done")
+def a8_given(spark, d):
+    return _given_result(spark, d).select("doc_id", "anonymized", F.array_join("initiales", "|").alias("initiales"), F.size("concordance").alias("n_rows"))
+
+
+def _marked_sql() -> str:
+    once = "regexp_replace({}, '(^|[\\s>])(' || replace(initiales, '.', '\\.') || ')($|[\\s<])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')".format
+    safe = "replace(replace(replace(anonymized, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    out = f"CASE WHEN initiales = '' THEN {safe} ELSE replace(replace({once(once(safe))}, chr(1), '<mark class=\"ph ph-initiale\">'), chr(2), '</mark>') END"
+    for name in ("NOM", "ADRESSE"):
+        out = f"regexp_replace({out}, '\\[({name}_[0-9]+)\\]', '<mark class=\"ph ph-{name.lower()}\">[\\1]</mark>', 'g')"
+    return f"{_DONE} SELECT doc_id, {out} AS html FROM done"
+
+
+@register("k11_given", _marked_sql())
+def k11_given(spark, d):
+    return _given_result(spark, d).select("doc_id", sinks.highlight_html(F.col("anonymized"), F.col("initiales")).alias("html"))
+
+
 @register("a8_anonymise")
 def a8(spark, d):
     c = cases(spark, d)
