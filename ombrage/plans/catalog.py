@@ -960,3 +960,99 @@ def k3(spark, d):
 @register("k4_entities_json", f"{WITH_ENTITIES} SELECT doc_id, '[' || string_agg(CAST(to_json({{'value': value, 'type': type, 'label': label, 'aliases': [alias_1, alias_2], 'active': active, 'blocked': blocked}}) AS VARCHAR), ',' ORDER BY ord) || ']' AS json FROM e GROUP BY doc_id")
 def k4_json(spark, d):
     return sinks.entities_json(entities(spark, d))
+
+
+# ── Branches that the tables don't reach by themselves ───────────────────────
+
+#: Letters of the case files and their bytes in Mac Roman.
+_MAC = {"é": 0x8E, "è": 0x8F, "à": 0x88, "ê": 0x90, "î": 0x94, "ï": 0x95, "ô": 0x99, "É": 0x83, "®": 0xA8, "™": 0xAA, "°": 0xA1}
+
+
+@register("s8_decode_mac", f"{WITH_CASES} SELECT doc_id, text FROM c")
+def s8_mac(spark, d):
+    content = F.encode(F.translate("text", "".join(_MAC), "".join(map(chr, _MAC.values()))), "ISO-8859-1")
+    return cases(spark, d).select("doc_id", files.decode(content).alias("text"))
+
+
+@register("s8_decode_windows", f"{WITH_CASES} SELECT doc_id, replace(text, '™', '€') AS text FROM c")
+def s8_windows(spark, d):
+    content = F.encode(F.translate("text", "™", chr(0x80)), "ISO-8859-1")
+    return cases(spark, d).select("doc_id", files.decode(content).alias("text"))
+
+
+@register("s9_ingest_txt", f"WITH c0 AS ({CASES}), c AS (SELECT doc_id, {_CLEAN} AS text FROM c0) SELECT doc_id, text, length(text) AS n_chars, len(list_filter(regexp_split_to_array({Q.trim('text')}, '[\\s\\x{{a0}}]+'), lambda w: w <> '')) AS n_words, len(string_split(text, chr(10))) AS n_lines FROM c")
+def s9_txt(spark, d):
+    done = files.ingest(cases(spark, d).withColumn("method", F.lit("txt")))
+    return done.select("doc_id", F.col("rawText").alias("text"), *[F.col(c).cast("long") for c in ("n_chars", "n_words", "n_lines")])
+
+
+@register("s14_import_block_list_json", f"{WITH_ENTITIES} SELECT value AS word FROM e UNION SELECT alias_1 FROM e")
+def s14_json(spark, d):
+    e = entities(spark, d).groupBy("doc_id").agg(F.to_json(F.collect_list("value")).alias("array"), F.to_json(F.map_from_entries(F.collect_set(F.struct(F.col("aliases")[0], F.lit(1))))).alias("object"))
+    return tables.import_block_list(e.select(F.lit("a.json").alias("filename"), F.explode(F.array("array", "object")).alias("content"))).distinct()
+
+
+@register(
+    "a11_current",
+    f"{WITH_CASES}, p AS (SELECT *, strpos(lower(substr(text, 41)), 'dupont') AS late, strpos(lower(text), 'dupont') AS first FROM c), q AS (SELECT *, CASE WHEN late > 0 THEN 40 + late ELSE first END AS spot FROM p)"
+    " SELECT doc_id, CASE WHEN spot = 0 THEN text ELSE substr(text, 1, spot - 1) || '[SUPPRIMÉ]' || substr(text, spot + 6) END AS text FROM q",
+)
+def a11_current(spark, d):
+    c = cases(spark, d)
+    cuts = c.select("doc_id", F.lit(0).alias("ord"), F.lit("Dupont").alias("word"), F.lit("[SUPPRIMÉ]").alias("replacement"), F.lit("current").alias("scope"), F.lit(40).alias("position"))
+    return anonymise.anonymise(c, entities(spark, d).where("FALSE").select("doc_id", "ord", "value", "type", "label", "occurrences", "aliases", "active", "blocked", F.lit(None).cast("string").alias("prenom"), *[F.array().cast("array<string>").alias(x) for x in ("prenomVariants", "members")], F.lit(False).alias("isInitiale"), F.lit(None).cast("string").alias("initialeValue")), cuts).select("doc_id", F.col("anonymized").alias("text"))
+
+
+@register(
+    "h5_fragment_places",
+    f"{WITH_CASES}, p AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, {Q.quote(T.render('[{ws}]+|[^{ws}]+', 're2'))}) AS ps FROM c), w AS (SELECT doc_id, n, unnest(ps) AS word, generate_subscripts(ps, 1) AS k FROM p),"
+    " e AS (SELECT *, CAST(sum(length(word)) OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS b FROM w)"
+    f' SELECT doc_id, word AS text, (b - length(word)) / n AS "startFrac", b / n AS "endFrac" FROM e WHERE regexp_matches(word, {Q.quote(T.render("^[^{ws}]", "re2"))})',
+)
+def h5_places(spark, d):
+    return cases(spark, d).select("doc_id", F.explode(spans.fragment_words(F.col("text"))).alias("w")).select("doc_id", "w.*")
+
+
+@register("h10_word_inside", f"{WITH_CASES} SELECT doc_id, regexp_extract(substr(text, 1, doc_id % 40 + 1), '([A-Za-z0-9_À-ÿ]*)\\z', 1) || regexp_extract(substr(text, doc_id % 40 + 2), '^([A-Za-z0-9_À-ÿ]*)', 1) AS word FROM c")
+def h10_inside(spark, d):
+    return cases(spark, d).select("doc_id", spans.word_at(F.col("text"), (F.col("doc_id") % 40 + 1).cast("int")).alias("word"))
+
+
+_HIT = "e LEFT JOIN x ON x.doc_id = e.doc_id AND x.id = e.id"
+
+
+@register("c9_add_alias", f"{WITH_ENTITIES}, x AS ({_CHOSEN}) SELECT e.doc_id, e.id, concat_ws('|', alias_1, alias_2, CASE WHEN x.id IS NOT NULL THEN 'Surnom' END) AS aliases FROM {_HIT}")
+def c9_add(spark, d):
+    x = C.frame(spark, d, _CHOSEN)
+    twice = x.select("*", F.explode(F.array(F.lit("Surnom"), F.lit("surnom"))).alias("alias"))
+    return listed(curation.add_alias(entities(spark, d), twice).select("doc_id", "id", "aliases"))
+
+
+@register("c10_change_type", f"{WITH_ENTITIES}, x AS ({_CHOSEN}) SELECT e.doc_id, e.id, CASE WHEN x.id IS NULL THEN type ELSE 'LIEU' END AS type, CASE WHEN x.id IS NULL THEN label ELSE 'LIEU' END AS label FROM {_HIT}")
+def c10_change(spark, d):
+    return curation.change_type(entities(spark, d), C.frame(spark, d, _CHOSEN).withColumn("type", F.lit("LIEU"))).select("doc_id", "id", "type", "label")
+
+
+@register("c10_remove_types", f"{WITH_ENTITIES} SELECT doc_id, id, CASE WHEN type = 'ENTITE' THEN 'NOM' ELSE type END AS type, CASE WHEN type = 'ENTITE' THEN 'NOM' ELSE label END AS label FROM e")
+def c10_remove(spark, d):
+    types = spark.createDataFrame([("ENTITE", "Entité"), ("LIEU", "Lieu")], "id string, label string")
+    return curation.remove_types(types, entities(spark, d), types.where("id = 'ENTITE'"))[1].select("doc_id", "id", "type", "label")
+
+
+@register("c2_set_active", f"{WITH_ENTITIES} SELECT doc_id, id, active AND NOT (type = 'NOM' AND contains(concat_ws(chr(10), lower(value), lower(alias_1), lower(alias_2)), 'dupont')) AS active FROM e")
+def c2_set(spark, d):
+    return curation.set_active(entities(spark, d), False, "NOM", "Dupont").select("doc_id", "id", "active")
+
+
+@register("c12_undo", f"{WITH_ENTITIES}, x AS ({_CHOSEN}) SELECT e.doc_id, e.id, active <> (x.id IS NOT NULL) AS active FROM {_HIT}")
+def c12(spark, d):
+    e, x = entities(spark, d), C.frame(spark, d, _CHOSEN)
+    once = curation.toggle(e, x)
+    history = curation.push_version(curation.push_version(curation.push_version(None, e, 1), once, 2), curation.toggle(once, x), 3)
+    return curation.undo(history, 2).select("doc_id", "id", "active")
+
+
+@register("c13_shrink_block_list", f"{WITH_ENTITIES} SELECT DISTINCT trim(lower(value)) AS word FROM e EXCEPT SELECT 'catherine dupont'")
+def c13(spark, d):
+    words = curation.save_block_list(entities(spark, d).select(F.col("value").alias("word")))
+    return curation.shrink_block_list(words, spark.createDataFrame([("catherine dupont",)], "word string"))
