@@ -1,5 +1,6 @@
 """Curation of the entity table: every manual step as an operator over parameter
-tables. All are joins, filters and windows by document; nothing leaves the JVM."""
+tables. All are joins, filters and windows by document; only pre_detect, which begins
+with detection, leaves the JVM."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import deaccent, fold, js_trim
+from .detection import detect_entities
 
 EMPTY = "array<string>"
 
@@ -167,18 +169,24 @@ def add_manual(entities: DataFrame, manual: DataFrame) -> DataFrame:
     return entities.unionByName(placed.select(*[given.get(c, F.lit(None)).cast(entities.schema[c].dataType).alias(c) for c in entities.columns]))
 
 
-def append_new(entities: DataFrame, found: DataFrame) -> DataFrame:
+def append_new(entities: DataFrame, found: DataFrame, repeats: bool = False) -> DataFrame:
     """Found entities whose value the document doesn't have yet, in any case, after
-    those it has; of found ones with one value the first."""
+    those it has; of found ones with one value the first, or all (repeats)."""
     have = entities.select("doc_id", F.lower("value").alias("_low"))
     new = found.withColumn("_low", F.lower("value")).join(have, ["doc_id", "_low"], "left_anti")
-    once = new.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_low").orderBy("ord"))).where("_k = 1")
+    once = new if repeats else new.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_low").orderBy("ord"))).where("_k = 1")
     last = entities.groupBy("doc_id").agg(F.max("ord").alias("_last"))
     n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
     placed = once.join(last, "doc_id", "left").withColumn("ord", (F.coalesce("_last", F.lit(-1)) + n).cast("int"))
     return entities.unionByName(placed.select(*entities.columns))
 
 
+def pre_detect(ingested: DataFrame, entities: DataFrame, block_list: frozenset[str] = frozenset()) -> DataFrame:
+    """What detection finds in the working text (rawText) of ingested documents, after the
+    entities that are there; what has one of their values, in any case, is left out."""
+    return append_new(entities, detect_entities(ingested, block_list, "rawText"), repeats=True)
+
+
 def merge_concordance(entities: DataFrame, rows: DataFrame) -> DataFrame:
     """rows(doc_id, seq, value, type, label, aliases): an existing value unites its
     aliases, another is appended as a manual entity."""

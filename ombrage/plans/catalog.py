@@ -1056,3 +1056,11 @@ def c12(spark, d):
 def c13(spark, d):
     words = curation.save_block_list(entities(spark, d).select(F.col("value").alias("word")))
     return curation.shrink_block_list(words, spark.createDataFrame([("catherine dupont",)], "word string"))
+
+
+@register("s9_pre_detect")
+def s9_detect(spark, d):
+    """Plain-text case files taken in, with what detection finds beside a known name."""
+    done = files.ingest(cases(spark, d).withColumn("method", F.lit("txt")))
+    known = detection.detect_entities(done.select("doc_id", F.lit("Madame Catherine DUPONT").alias("rawText")), BLOCK_LIST, "rawText")
+    return listed(curation.pre_detect(done, known, BLOCK_LIST))

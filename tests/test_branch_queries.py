@@ -5,7 +5,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from ombrage.operators import curation, detection
 from ombrage.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +33,20 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted(columns) == sorted(got.columns)
     rows = sorted(map(tuple, got.select(*[f"`{c}`" for c in columns]).collect()), key=repr)
     assert rows and rows == sorted(want.fetchall(), key=repr)
+
+
+def test_pre_detection_adds_what_is_not_known(spark):
+    """Known entities stay first; what detection finds follows in its order, without values
+    that are known in any case."""
+    made = [(1, "Madame Catherine DUPONT et Monsieur Jean LAPRÈS, contact@exemple.fr."), (2, None), (3, "Monsieur Jean LAPRÈS.")]
+    docs = spark.createDataFrame(made, "doc_id long, rawText string")
+    known = detection.detect_entities(spark.createDataFrame([(1, "Madame dupont. Madame Catherine DUPONT.")], "doc_id long, rawText string"), text="rawText")
+    known = known.withColumn("value", F.lower("value"))
+    have = [r["value"] for r in known.orderBy("ord").collect()]
+    found = detection.detect_entities(docs, text="rawText").orderBy("doc_id", "ord").collect()
+    got = {}
+    for r in curation.pre_detect(docs, known).orderBy("doc_id", "ord").collect():
+        got.setdefault(r["doc_id"], []).append(r["value"])
+    assert got[1] == have + [r["value"] for r in found if r["doc_id"] == 1 and r["value"].lower() not in have]
+    assert len(have) < len(got[1]) < len(have) + sum(r["doc_id"] == 1 for r in found)
+    assert got[3] == [r["value"] for r in found if r["doc_id"] == 3] and set(got) == {1, 3}
