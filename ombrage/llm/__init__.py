@@ -1,6 +1,6 @@
 """Operators that prepare training corpora; nothing else in the library imports them."""
 
-from . import chat_format, media_sequence, mixing, piece_coding, quality_rules, secret_scan, sharding, simhash, toxicity, warc_store
+from . import chat_format, decontamination, importance_sampling, media_sequence, mixing, piece_coding, quality_rules, secret_scan, sharding, simhash, toxicity, vector_codes, warc_store
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -13,10 +13,16 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_toxicity": toxicity.query,
     "op10_piece_coding": piece_coding.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_decontamination": decontamination.query,
+    "op13_importance_sampling": importance_sampling.query,
 }
 ORACLES = {
     "op1_chat_format": chat_format.SQL,
     "op2_warc_store": warc_store.SQL,
     "op7_mixing": mixing.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op11_vector_codes": vector_codes.SQL,
+    "op12_decontamination": decontamination.SQL,
+    "op13_importance_sampling": importance_sampling.SQL,
 }
