@@ -14,7 +14,7 @@ from ..functions import entity_rules as E
 from ..functions import ocr_rules as R
 from ..functions import text as T
 from ..operators import anonymise, cleaning, curation, detection, identity, lines, omissions, parties, spans
-from ..sources import files, sinks, tables
+from ..sources import files, pdf, sinks, tables
 from . import corpus as C
 from . import sqltext as Q
 
@@ -796,11 +796,49 @@ def h8(spark, d):
 # ── Sources and sinks ────────────────────────────────────────────────────────
 
 
-@register("s5_router", "SELECT page_id, CASE WHEN length(url) * 10 >= 50 * greatest(1, (length(html) - length(replace(html, '<p>', ''))) / 3) THEN 'native' ELSE 'ocr_unavailable' END AS method FROM pages")
+def _page_sql(table: str, key: str, text: str) -> str:
+    """f: the text of a PDF of each row, and how many pages it has."""
+    lines = f"string_split(coalesce({text}, ''), chr(10))"
+    return (
+        f"l AS (SELECT {key} AS k, unnest({lines}) AS line, unnest(range(len({lines}))) AS i FROM {table}),"
+        f" p AS (SELECT k, i // {C.PAGE_LINES} AS page, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '') AS t FROM l GROUP BY ALL),"
+        f" f AS (SELECT k, count(*) AS n_pages, {Q.trim('string_agg(t, chr(10) || chr(10) ORDER BY page)')} AS t FROM p GROUP BY k)"
+    )
+
+
+@register("s2_pdf_text", f"WITH {_page_sql('documents', 'doc_id', 'text')} SELECT CAST(k AS VARCHAR) AS filename, 'pdf' AS extension, md5(t) AS text, CASE WHEN length(t) >= 50 * n_pages THEN 'native' ELSE 'ocr_unavailable' END AS method FROM f")
+def s2(spark, d):
+    made = docs(spark, d).select(F.col("doc_id").cast("string").alias("filename"), F.lit("pdf").alias("extension"), C.pdf_content(F.col("text")).alias("content"))
+    return files.extract(made).withColumn("text", F.md5("text"))
+
+
+@register("s5_router", f"WITH {_page_sql('pages', 'page_id', 'html')} SELECT k AS doc_id, n_pages, md5(t) AS text, CASE WHEN length(t) >= 50 * n_pages THEN 'native' ELSE 'ocr_unavailable' END AS method FROM f")
 def s5(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet")
-    raw = F.replace("html", F.lit("<p>"), F.lit(files.PAGE_MARK))
-    return p.select("page_id", files.route_pdf(F.repeat("url", 10), raw, F.lit(""), F.lit(False))["method"].alias("method"))
+    made = C.spread(spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")).select("doc_id", C.pdf_content(F.col("html")).alias("content"))
+    texts = pdf.file_texts(pdf.page_texts(pdf.pdf_fragments(made))).withColumnRenamed("text", "native")
+    raw = made.select("doc_id", F.decode("content", "ISO-8859-1").alias("raw"))
+    routed = raw.join(texts, "doc_id").withColumn("r", files.route_pdf(F.col("native"), F.col("raw"), F.lit(""), F.lit(False)))
+    return routed.select("doc_id", "n_pages", F.md5("r.text").alias("text"), "r.method")
+
+
+_WIDE = "(length(line) + len(regexp_extract_all(line, '[\\x{10000}-\\x{10FFFF}]')))"
+
+
+@register(
+    "h6_native_words",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+    t AS (SELECT doc_id, i, {_WIDE} AS wide, length(line) AS n, unnest(toks) AS w, unnest(list_transform(range(len(toks)), lambda k: CAST(coalesce(list_sum(list_transform(toks[:k], lambda x: length(x))), 0) AS BIGINT))) AS a, unnest(range(len(toks))) AS k
+      FROM (SELECT *, regexp_extract_all(line, {Q.quote(T.render("{s}+|[^{ws}]+", "re2"))}) AS toks FROM l WHERE line <> '')),
+    w AS (SELECT doc_id, i // {C.PAGE_LINES} AS page, i, k, w, ({C.LEFT} + a / n * wide * {C.SIZE} * 0.5) / {C.PAGE_WIDE} AS l, ({C.PAGE_HIGH} - {C.TOP} + {C.LEADING} * (i % {C.PAGE_LINES}) - {C.SIZE} * 0.82) / {C.PAGE_HIGH} AS t, length(w) / n * wide * {C.SIZE} * 0.5 / {C.PAGE_WIDE} AS r
+      FROM t WHERE regexp_matches(w, {Q.quote(T.render("^[^{ws}]", "re2"))}))
+    SELECT doc_id, page, count(*) AS n_words, md5(string_agg(w || ':' || CAST(round(l * 1000000) AS BIGINT) || ':' || CAST(round(t * 1000000) AS BIGINT) || ':' || CAST(round(r * 1000000) AS BIGINT), ' ' ORDER BY i, k)) AS boxes FROM w GROUP BY doc_id, page""",
+)
+def h6_native(spark, d):
+    made = docs(spark, d).select("doc_id", C.pdf_content(F.col("text")).alias("content"))
+    words = spans.native_words(pdf.pdf_fragments(made))
+    whole = lambda c: F.round(F.col(c) * 1000000).cast("long").cast("string")
+    box = F.struct("word_no", F.concat_ws(":", "text", whole("left"), whole("top"), whole("width")).alias("b"))
+    return words.groupBy("doc_id", "page").agg(F.count("*").alias("n_words"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(box)), lambda x: x["b"]), " ")).alias("boxes"))
 
 
 @register("s8_decode", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text FROM documents")

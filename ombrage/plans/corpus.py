@@ -7,7 +7,8 @@ the SQL, and the same text serves both engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FIRST = ["Mahidine", "Catherine", "Jean-Pierre", "Suhua", "Daniel", "Isabelle", "Annaïk", "Émile"]
 LAST = ["BOUCHAABA", "Dupont", "Mervoyer", "Laprès", "SCHNEIDER", "Valois", "Lefèvre", "Marchandeau", "OUVRARD", "Dupont", "Kermadec"]
@@ -77,11 +78,11 @@ def word_boxes() -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where the table has fewer files than there are cores: a file
-    of one row group is one task, whatever its rows cost. Tables of many files stay as
-    they are."""
+    """Rows dealt to all cores where the scan as planned has fewer partitions than there
+    are cores: a file of one row group is one task, whatever its rows cost. Any other table
+    stays as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -89,3 +90,39 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     for t in ("customer", "lineitem", "orders"):
         sql = sql.replace(f"FROM {t}", f"FROM parquet.`{sf_dir}/{t}.parquet`")
     return spark.sql(sql.replace('"end"', "`end`"))
+
+
+#: Lines of a page, and where text stands on it: multiples that fractions of the page show exactly.
+PAGE_LINES, PAGE_WIDE, PAGE_HIGH, LEFT, TOP, SIZE, LEADING = 90, 500, 1000, 40, 960, 8, 10
+
+
+def pdf_content(text: Column) -> Column:
+    """A PDF file of the text: its lines as they are, PAGE_LINES on a page, shown as UTF-16
+    codes through a composite font with a ToUnicode map."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    n = F.ceil(F.size(lines) / PAGE_LINES).cast("int")
+    shown = lambda x: F.concat(F.lit("<"), F.hex(F.encode(x, "UTF-16BE")), F.lit("> Tj T*"))
+    body = lambda k: F.array_join(F.transform(F.slice(lines, k * PAGE_LINES + 1, PAGE_LINES), shown), "\n")
+    start = f"BT /F1 {SIZE} Tf {LEADING} TL {LEFT} {TOP} Td\n"
+    obj = lambda num, *parts: F.concat(F.lit("\n"), num.cast("string"), F.lit(" 0 obj\n"), *parts, F.lit("\nendobj"))
+    stream = lambda data: F.concat(F.lit("<</Length "), F.length(data).cast("string"), F.lit(">>\nstream\n"), data, F.lit("\nendstream"))
+    pages = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda k: F.concat(
+            obj(6 + 2 * k, F.lit("<</Type /Page /Parent 2 0 R /Contents "), (7 + 2 * k).cast("string"), F.lit(" 0 R>>")),
+            obj(7 + 2 * k, stream(F.concat(F.lit(start), body(k), F.lit("\nET")))),
+        ),
+    )
+    kids = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.concat((6 + 2 * k).cast("string"), F.lit(" 0 R"))), " ")
+    cmap = F.lit("1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange")
+    whole = F.concat(
+        F.lit("%PDF-1.7"),
+        obj(F.lit(1), F.lit("<</Type /Catalog /Pages 2 0 R>>")),
+        obj(F.lit(2), F.lit(f"<</Type /Pages /MediaBox [0 0 {PAGE_WIDE} {PAGE_HIGH}] /Resources <</Font <</F1 3 0 R>>>> /Kids ["), kids, F.lit("] /Count "), n.cast("string"), F.lit(">>")),
+        obj(F.lit(3), F.lit("<</Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R>>")),
+        obj(F.lit(4), F.lit("<</Type /Font /Subtype /CIDFontType2 /DW 500>>")),
+        obj(F.lit(5), stream(cmap)),
+        F.array_join(pages, ""),
+        F.lit("\ntrailer <</Root 1 0 R>>\n%%EOF\n"),
+    )
+    return F.encode(whole, "ISO-8859-1")

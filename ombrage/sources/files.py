@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import js_trim
 from ..operators.cleaning import clean_text, scored_lines
+from .pdf import pdf_text
 
 #: Fixed values.
 MAX_BYTES = 100 * 1024 * 1024
@@ -48,7 +49,7 @@ def page_count(raw: Column) -> Column:
 
 def route_pdf(native: Column, raw: Column, ocr: Column, ocr_ready: Column) -> Column:
     """Struct(text, method): native text where there are 50 characters a page, else
-    the recognised text; native_unavailable where recognition isn't there."""
+    the recognised text; ocr_unavailable where recognition isn't there."""
     enough = F.length(native) >= NATIVE_CHARS_A_PAGE * page_count(raw)
     text = F.when(enough | ~ocr_ready, native).otherwise(ocr)
     method = F.when(enough, "native").when(~ocr_ready, "ocr_unavailable").otherwise("ocr")
@@ -87,11 +88,6 @@ def decode_text(content: bytes) -> str:
     return re.sub("\r\n?", "\n", text)
 
 
-def pdf_text(content: bytes) -> str:
-    """No PDF library is part of this project; give one to extract() as `native`."""
-    return ""
-
-
 Extractor = Callable[[bytes], str]
 EXTRACTED = "filename string, extension string, text string, method string"
 
