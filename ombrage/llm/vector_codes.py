@@ -69,10 +69,10 @@ def packed(part: np.ndarray) -> tuple[str, bytes]:
 def unpacked(kind: str, data: bytes, n: int) -> np.ndarray:
     """(components, rows), components filled up to a multiple of PARTS."""
     if kind == "text":
-        flat = np.array([int(v) for v in bytes(data).split(b",")], dtype=object)
+        flat = np.array([int(v) for v in bytes(data).split(b",") if v], dtype=object)
     else:
         flat = np.frombuffer(data, kind)
-    part = flat.reshape(-1, n)
+    part = flat.reshape(len(flat) // n, n)
     short = -part.shape[0] % PARTS
     return np.vstack([part, np.zeros((short, n), part.dtype)]) if short else part
 
@@ -127,7 +127,7 @@ def first_vectors(blocks: DataFrame, k: int) -> list[tuple]:
 
 def codebooks_from(vectors: list[tuple]) -> np.ndarray:
     """(parts, entries, components), of Python integers."""
-    whole = np.array(vectors, dtype=object).reshape(len(vectors), PARTS, -1)
+    whole = np.array(vectors, dtype=object).reshape(len(vectors), PARTS, len(vectors[0]) // PARTS)
     return whole.transpose(1, 0, 2)
 
 
@@ -143,7 +143,7 @@ def nearest(block: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Index of the nearest entry and squared distance to it, both (parts, rows)."""
     x, c = narrow(block, books)
     parts, entries, width = c.shape
-    x = x.reshape(parts, width, -1)
+    x = x.reshape(parts, width, block.shape[1])
     codes, errors = np.empty((parts, x.shape[2]), np.int64), np.empty((parts, x.shape[2]), x.dtype)
     for p in range(parts):
         away = np.zeros((entries, x.shape[2]), x.dtype)
@@ -166,7 +166,7 @@ def gathered(tensors: Tensors, block: np.ndarray, books: np.ndarray) -> Tensors:
     """tensors with the parts of one block added to their entries."""
     codes, _ = nearest(block, books)
     parts, entries, width = books.shape
-    x = block.reshape(parts, width, -1)
+    x = block.reshape(parts, width, block.shape[1])
     top = max((abs(int(v)) for v in (x.min(), x.max())), default=0) if x.size else 0
     sums = np.zeros(books.shape, np.int64 if top * x.shape[2] < 1 << 62 else object)
     counts = np.zeros((parts, entries), np.int64)
