@@ -6,7 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +80,34 @@ def word_count(text: Column) -> Column:
     """Number of words without building their array."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANKS}", "")
     return F.regexp_count(trimmed, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+ROWS_A_PARTITION, MAX_PARTITIONS = 200_000, 10_000
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partition's number and the row's place in it."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        places = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part), pa.int64()), places], [*batch.schema.names, "_part", "_place"])
+
+
+def in_order(rows: DataFrame, n: int, *order: Column) -> DataFrame:
+    """rows, about n of them, with column place: 0, 1, 2... in the given order.
+
+    They are dealt out by ranges of it and numbered within their partition; a table of one
+    row a partition gives each its offset. No task meets all rows, and equal leading
+    values are split by the ones after them."""
+    spark = rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, min(MAX_PARTITIONS, -(-n // ROWS_A_PARTITION)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _part long, _place long"
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = written(dealt.mapInArrow(_numbered, schema), "placed")
+    offsets, before = [], 0
+    for r in sorted(placed.groupBy("_part").count().collect()):  # one row a partition
+        offsets.append((r["_part"], before))
+        before += r["count"]
+    given = spark.createDataFrame(offsets, "_part long, _before long")
+    return placed.join(F.broadcast(given), "_part").select(*rows.columns, (F.col("_before") + F.col("_place")).alias("place"))

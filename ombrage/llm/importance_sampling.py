@@ -32,11 +32,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import in_order, read_table, written
 from .decontamination import words_of
 
 RUNS = 1
@@ -47,7 +46,6 @@ PERCENT = 10
 SCALE = 1000
 NODES = 300_000
 ARROW_ROWS = 256
-ROWS_A_PARTITION = 200_000
 
 
 def runs_of(words: list[bytes], runs: int) -> Counter:
@@ -166,29 +164,10 @@ def scores(docs: DataFrame, gains: list[int], runs: int = RUNS, seed: int = SEED
     return _body(docs, "doc_id").mapInArrow(run, "doc_id long, n_features long, weight long, score long, words long")
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition's number and the row's place in it."""
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        places = pa.array(np.arange(at, at + batch.num_rows), pa.int64())
-        at += batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part), pa.int64()), places], [*batch.schema.names, "part", "place"])
-
-
 def ranked(rows: DataFrame, drawn: int, n: int) -> DataFrame:
-    """rows (doc_id, n_features, weight, score) with rank: 1 to drawn by score, else null."""
-    parts = max(1, min(10_000, -(-n // ROWS_A_PARTITION)))
-    order = [F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight")]
-    # Catalyst drops a sort whose order nothing needs, but not one before a map over Arrow.
-    dealt = rows.repartitionByRange(max(parts, rows.sparkSession.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
-    placed = written(dealt.mapInArrow(_numbered, "doc_id long, n_features long, weight long, score long, part long, place long"), "placed")
-    offsets, before = [], 0
-    for r in sorted(placed.groupBy("part").count().collect()):  # one row a partition
-        offsets.append((r["part"], before))
-        before += r["count"]
-    given = rows.sparkSession.createDataFrame(offsets, "part long, before long")
-    rank = F.col("before") + F.col("place") + 1
-    return placed.join(F.broadcast(given), "part").select("doc_id", "n_features", "weight", "score", F.when(rank <= drawn, rank).alias("rank"))
+    """n rows (doc_id, n_features, weight, score) with rank: 1 to drawn by score, else null."""
+    placed = in_order(rows, n, F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("weight"))
+    return placed.select(*rows.columns, F.when(F.col("place") < drawn, F.col("place") + 1).alias("rank"))
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, runs: int = RUNS, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
