@@ -1,18 +1,16 @@
 """Longest-processing-time sharding of groups that must stay together.
 
 Groups (rows of one key) sorted by size, largest first, go one by one to the
-least-loaded shard, kept in a heap. To do so over any number of groups the schedule
-has two levels, both by the same rule:
+least-loaded shard, kept in a heap. Groups of one size are interchangeable, so the
+schedule needs only how many groups there are of each size: the driver meets the
+histogram of sizes (there are at most sqrt(2 * all bytes) distinct sizes, 14 million in
+100 TB) and schedules a run of equal groups at once, with the picks that the heap
+would make one by one. So it is the schedule of one heap over all groups, at every size
+of input.
 
-1. A group of at least 1/(shards * HEAVY) of the whole is heavy. There are at most
-   shards * HEAVY of these, whatever the input.
-2. The other groups are dealt by a hash of their key into buckets; within a bucket
-   they go, in order of size, to the least-loaded of `shards` bins. A task holds one
-   heap of `shards` loads, however many groups stream through it.
-3. Heavy groups and bins (at most shards * (HEAVY + MAX_BUCKETS) sizes, so bounded)
-   are scheduled on the driver onto the shards.
-
-Loads differ by at most the largest item of level 3.
+Executors then sort the groups by (size, key) into ranges, number them, and look up
+whose turn each number within its size is. A size that very many groups have is spread
+over ranges by their keys.
 
 Slots number a shard's rows from 0 without gaps. Rows are dealt by a hash of
 their own id, so that a hot group is numbered by many tasks: each numbers its share
@@ -26,72 +24,66 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import in_order, read_table, written
 
 SHARDS = 24
-HEAVY = 128
-MAX_BUCKETS = 1024
-ROWS_A_BUCKET = 20_000
-
-
-def least_loaded(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
-    """Shard of each (size, key), largest first onto the least-loaded shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        load, shard = heap[0]
-        out[key] = shard
-        heapq.heapreplace(heap, (load + size, shard))
-    return out
 
 
-def _bins(shards: int):
-    """Streams groups sorted by (bucket, size desc): a new heap at each new bucket."""
+def picks(heap: list[tuple[int, int]], size: int, count: int) -> list[int]:
+    """How many of count groups of one size each shard gets; heap (load, shard) is brought
+    up to date.
+
+    One group goes to the heap's top. Of several, the heap would give shard s its k-th
+    when the load reaches load(s) + (k - 1) * size, so together they are the count least of
+    these numbers, of equal ones those of the first shards."""
+    out = [0] * len(heap)
+    if count == 1 or size == 0:
+        load, s = heap[0]
+        out[s] = count
+        heapq.heapreplace(heap, (load + count * size, s))
+        return out
+    below = lambda bound: sum(max(0, -(-(bound - load) // size)) for load, _ in heap)  # noqa: E731  numbers under bound
+    low, high = heap[0][0], heap[0][0] + count * size + 1
+    while high - low > 1:  # the largest bound with at most count numbers under it
+        middle = (low + high) // 2
+        low, high = (middle, high) if below(middle) <= count else (low, middle)
+    for load, s in heap:
+        out[s] = max(0, -(-(low - load) // size))
+    left = count - sum(out)
+    for s in sorted(s for load, s in heap if load <= low and (low - load) % size == 0)[:left]:
+        out[s] += 1
+    heap[:] = [(load + out[s] * size, s) for load, s in heap]
+    heapq.heapify(heap)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, heap = None, []
-        for batch in batches:
-            bins = []
-            for b, size in zip(batch.column("bucket").to_pylist(), batch.column("group_size").to_pylist(), strict=True):
-                if b != bucket:
-                    bucket, heap = b, [(0, s) for s in range(shards)]
-                load, k = heap[0]
-                bins.append(k)
-                heapq.heapreplace(heap, (load + size, k))
-            yield pa.RecordBatch.from_arrays([batch.column("group_key"), batch.column("bucket"), batch.column("group_size"), pa.array(bins, pa.int32())], ["group_key", "bucket", "group_size", "bin"])
 
-    return run
+def schedule(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int, list[int]]]:
+    """(size, count) rows to (size, first, ends): the place of a size's first group in the
+    order of sizes, and the places within the size before which shard 0, 1... ends."""
+    heap, first, out = [(0, s) for s in range(shards)], 0, []
+    for size, count in sorted(histogram, reverse=True):
+        ends, end = [], 0
+        for n in picks(heap, size, count):
+            end += n
+            ends.append(end)
+        out.append((size, first, ends))
+        first += count
+    return out
 
 
 def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     """(group_key string, group_size long), one row a group, to (group_key, shard)."""
     spark = groups.sparkSession
-    total, n = groups.agg(F.sum("group_size"), F.count("*")).first()
-    floor = max(1, -(-(total or 0) // (shards * HEAVY)))
-    buckets = max(1, min(MAX_BUCKETS, n // ROWS_A_BUCKET))
-    heavy = [(r[1], r[0]) for r in groups.where(F.col("group_size") >= floor).select("group_key", "group_size").collect()]
-    binned = written(
-        groups.where(F.col("group_size") < floor)
-        .withColumn("bucket", F.pmod(F.xxhash64("group_key"), F.lit(buckets)).cast("int"))
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket", F.desc("group_size"), "group_key")
-        .select("group_key", "bucket", "group_size")
-        .mapInArrow(_bins(shards), "group_key string, bucket int, group_size long, bin int"),
-        "bins",
-    )
-    bins = [(r[2], (r[0], r[1])) for r in binned.groupBy("bucket", "bin").agg(F.sum("group_size")).collect()]
-    placed = least_loaded([*heavy, *bins], shards)
-    bin_rows = [(k[0], k[1], s) for k, s in placed.items() if isinstance(k, tuple)]
-    heavy_rows = [(k, s) for k, s in placed.items() if not isinstance(k, tuple)]
-    where = spark.createDataFrame(bin_rows, "bucket int, bin int, shard int")
-    return binned.join(F.broadcast(where), ["bucket", "bin"]).select("group_key", "shard").unionByName(spark.createDataFrame(heavy_rows, "group_key string, shard int"))
+    histogram = [tuple(r) for r in groups.groupBy("group_size").count().collect()]
+    plan = spark.createDataFrame(schedule(histogram, shards), "group_size long, first long, ends array<long>")
+    placed = in_order(groups.select("group_key", "group_size"), sum(n for _, n in histogram), F.desc("group_size"), F.asc("group_key"))
+    shard = F.size(F.filter("ends", lambda end: end <= F.col("place") - F.col("first")))
+    return placed.join(written(plan, "plan"), "group_size").select("group_key", shard.alias("shard"))
 
 
 def number_slots(rows: DataFrame, shards: int, chunks: int) -> DataFrame:

@@ -31,14 +31,13 @@ def test_sharding_query(spark, texts):
         load[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
     assert all(len(s) == 1 for s in shards.values())
-    # One heap over all groups; what is under 1/3072 of the whole goes by bins, so a shard differs by that at most.
     groups = collections.Counter()
     for i, t in texts.items():
         groups[t] += sizes[i]
     heap = [0] * 24
     for n in sorted(groups.values(), reverse=True):
         heapq.heapreplace(heap, heap[0] + n)
-    assert max(load.values()) <= max(heap) + sum(sizes.values()) / 3072 + 1
+    assert sorted(load.values()) == sorted(n for n in heap if n)
 
 
 def test_secret_query(spark, texts):
