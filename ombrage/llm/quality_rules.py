@@ -10,17 +10,12 @@ source). Exact copies of a text count as one document, so a group of copies does
 make its own lines common. A document that loses over MAX_LOST percent of its words to
 common lines, or is left with fewer than MIN_WORDS, is depleted and goes.
 
-op8's query, which its SQL defines, calls a line common in over max(MIN_DOCS, SHARE of
-the host's distinct texts) documents. apply_rules(), the pipeline's stage, removes a line
-in over MIN_DOCS documents of the host, however large the host is.
+A line in over MIN_DOCS documents of a host is common, however large the host is.
 
 Scale: hashes are reduced to distinct (host, line, text) rows before they are counted,
-so a hot host or line is spread over its texts. With SHARE a host can have at most
-lines-per-document / SHARE lines over the limit, and that list is what documents are
-joined with: a broadcast where the written list is under Catalyst's limit, a
-sort-merge join with skew splitting else. Without SHARE a host's list grows with the host,
-so (host, line) rows of the texts are joined with those of the list, and a document meets
-only its own text's common lines. Everything within a text is done in that text's row,
+so a hot host or line is spread over its texts. (host, line) rows of the texts are
+joined with those of the common lines, and a document meets only its own text's, by a
+sort-merge join with skew splitting. Everything within a text is done in that text's row,
 in n log n steps.
 
 Defined results: null and empty texts have no words and fail; a null source is a host
@@ -39,7 +34,6 @@ MIN_WORDS = 20
 MAX_REPEAT = 30
 WINDOW = 8
 MIN_DOCS = 20
-SHARE = 0.1
 MAX_LOST = 70
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -71,16 +65,6 @@ def line_hashes() -> Column:
     return F.array_distinct(F.transform(F.filter(text_lines(F.col("text")), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), line_hash))
 
 
-def common_lines(docs: DataFrame, share: float = SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(source, text) to (host, common): the hashes of each host's common lines."""
-    # Null stands for the text itself, so that one pass also counts a host's texts.
-    rows = docs.select(host_of().alias("host"), copy_of().alias("copy"), F.explode(F.concat(F.array(F.lit(None).cast("long")), line_hashes())).alias("line"))
-    counts = written(rows.groupBy("host", "line").agg(F.count_distinct("copy").alias("n")).where((F.col("n") > min_docs) | F.col("line").isNull()), "lines")
-    totals = counts.where("line IS NULL").select("host", F.col("n").alias("texts"))
-    often = counts.where("line IS NOT NULL").join(totals, "host").where(F.col("n") > F.lit(share) * F.col("texts"))
-    return written(often.groupBy("host").agg(F.collect_list("line").alias("common")), "common")
-
-
 def common_of_texts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(source, text) to (host, copy, common): of each text that has some, the hashes of its
     lines that over min_docs distinct texts of the host have."""
@@ -113,15 +97,12 @@ def repeated_words(words: Column, n: Column) -> Column:
 
 def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     """docs with column _m: a struct of the counts and verdicts, and _clean, the text
-    without common lines. docs must have source and text; common is of hosts, or of texts
-    where it has a column copy."""
+    without common lines. docs must have source and text; common is that of their texts."""
     words = words_of(F.col("text"))
     lines = F.filter(text_lines(F.col("text")), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    given = common.select(*[F.col(c).alias(f"_of_{c}") for c in common.columns if c != "common"], F.col("common").alias("_common"))
-    same = [F.col(f"_{c}") == F.col(f"_of_{c}") for c in common.columns if c != "common"]
-    if "copy" in common.columns:  # grows with the texts: one plan at every size
-        given = given.hint("merge")
-    joined = docs.withColumns({"_host": host_of()} | ({"_copy": copy_of()} if "copy" in common.columns else {})).join(given, same, "left")
+    given = common.select(F.col("host").alias("_of_host"), F.col("copy").alias("_of_copy"), F.col("common").alias("_common"))
+    same = [F.col("_host") == F.col("_of_host"), F.col("_copy") == F.col("_of_copy")]
+    joined = docs.withColumns({"_host": host_of(), "_copy": copy_of()}).join(given.hint("merge"), same, "left")  # grows with the texts: one plan at every size
     drop = lambda x: F.array_contains(F.col("_common"), line_hash(x))
     clean = F.when(F.col("_common").isNull(), F.col("text")).otherwise(
         bind(text_lines(F.col("text")), lambda ls: F.when(F.exists(ls, drop), F.array_join(F.filter(ls, lambda x: ~drop(x)), "\n")).otherwise(F.col("text")))
@@ -148,7 +129,7 @@ def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "source", "text")
-    return measure(docs, common_lines(docs)).select("doc_id", "_m.*")
+    return measure(docs, common_of_texts(docs)).select("doc_id", "_m.*")
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
@@ -166,11 +147,7 @@ ln AS (
   SELECT k, host, t, l, pos, regexp_replace(regexp_replace(regexp_replace(lower(l), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS nl
   FROM (SELECT k, host, t, unnest(ls) AS l, unnest(range(len(ls))) AS pos FROM w)
 ),
-tot AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-often AS (
-  SELECT host, nl FROM ln JOIN tot USING (host) WHERE nl <> ''
-  GROUP BY host, nl, texts HAVING count(DISTINCT t) > {MIN_DOCS} AND count(DISTINCT t) > {SHARE} * texts
-),
+often AS (SELECT host, nl FROM ln WHERE nl <> '' GROUP BY host, nl HAVING count(DISTINCT t) > {MIN_DOCS}),
 lost AS (
   SELECT k, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS lost FROM ln SEMI JOIN often ON ln.host = often.host AND ln.nl = often.nl GROUP BY k
 ),

@@ -1,6 +1,7 @@
 import collections
 import gzip
 import hashlib
+import heapq
 import re
 import zlib
 from html import unescape
@@ -133,13 +134,34 @@ def test_sharding_laws(spark):
     assert sharding.shard_documents(empty(spark), 8).count() == 0
 
 
-def test_lpt_is_greedy():
-    items = [(int(s), k) for k, s in enumerate(np.random.default_rng(1).integers(1, 100, 200))]
-    got = sharding.least_loaded(items, 5)
-    load = [0] * 5
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        assert load[got[key]] == min(load)
-        load[got[key]] += size
+def one_heap(sizes, shards):
+    heap = [(0, k) for k in range(shards)]
+    given = []
+    for size in sorted(sizes, reverse=True):
+        load, shard = heap[0]
+        given.append((size, shard))
+        heapq.heapreplace(heap, (load + size, shard))
+    return given, sorted(load for load, _ in heap)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 60)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.integers(1, 7))
+def test_runs_are_what_the_heap_picks(histogram, shards):
+    plain = collections.Counter(one_heap([s for s, n in histogram for _ in range(n)], shards)[0])
+    first = 0
+    for size, at, ends in sharding.schedule(histogram, shards):
+        assert at == first
+        assert [b - a for a, b in zip([0, *ends], ends, strict=False)] == [plain[size, k] for k in range(shards)]
+        first += ends[-1]
+
+
+def test_every_load_is_that_of_one_heap(spark):
+    rng = np.random.default_rng(1)
+    sizes = [int(s) for s in np.concatenate((rng.integers(8, 60, 3000), rng.integers(1000, 9000, 40), [300_000, 7, 7]))]
+    groups = spark.createDataFrame([(f"g{k}", s) for k, s in enumerate(sizes)], "group_key string, group_size long")
+    got = sharding.assign_groups(groups, 24).join(groups, "group_key").groupBy("shard").sum("group_size").collect()
+    assert sorted(r[1] for r in got) == one_heap(sizes, 24)[1]
+    assert sharding.assign_groups(groups, 24).count() == len(sizes)
 
 
 # ── Secrets ──────────────────────────────────────────────────────────────────
@@ -381,7 +403,7 @@ def plain_counts(text):
 
 
 def measured(spark, docs):
-    return quality_rules.measure(docs, quality_rules.common_lines(docs)).select("doc_id", "_m.*").collect()
+    return quality_rules.measure(docs, quality_rules.common_of_texts(docs)).select("doc_id", "_m.*").collect()
 
 
 @settings(max_examples=6, deadline=None)
@@ -538,7 +560,7 @@ def test_empty_tables(spark):
     assert secret_scan.scan_documents(empty(spark)).count() == 0
     assert media_sequence.read_back(media_sequence.store(empty(spark))).count() == 0
     assert toxicity.score_documents(empty(spark), toxicity.train([], 0.5)).count() == 0
-    assert quality_rules.measure(empty(spark), quality_rules.common_lines(empty(spark))).count() == 0
+    assert quality_rules.measure(empty(spark), quality_rules.common_of_texts(empty(spark))).count() == 0
     assert media_sequence.sequences(spark.createDataFrame([], "page_id long, html string")).count() == 0
     rows = media_sequence.read_back(media_sequence.store(odd(spark))).count()
     assert rows == len({media_sequence.padded((t or "").encode()) for _, t in ODD})
