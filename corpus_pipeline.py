@@ -29,8 +29,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by calibrated probabilities."""
-    return mixing.mix(docs)
+    """Documents sampled by calibrated probabilities; none comes twice."""
+    return mixing.mix(docs, repeat=False)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
