@@ -1,201 +1,32 @@
 """Resolution of variant spellings to one identity, per document.
 
-resolve() works on a document's entities in order and runs as a grouped map on
-doc_id: entities are small, the text travels with them once. The set-based parts
-(exact duplicates, unique surnames, shared surnames, roles) are also here as
-DataFrame operators.
+Everything is said on relations: an entity has a key of identity, rows of one key are
+one person, and a person's aliases are the distinct forms of an ordered list of what these
+rows bring. Nothing is decided in a loop, and no document's entities meet in one row: after
+one shuffle by document all steps are windows and groups within it.
+
+* Equal type and folded value: one entity, in the first one's spelling.
+* A full name's key is its first word and its surname. A single name takes the key of the
+  full name that alone in the document has it as surname, else its own.
+* A person's value is the first of its longest full names, in words.
+* A form becomes an alias where its folded form is new and isn't the value that the person
+  has by then.
+* Couples are matches in the text, joined with the persons that they name.
+
+Null is a document like any other. Entities of documents that aren't among docs are left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
-from ..functions.text import fold, py_fold, py_title, python_pattern
-from .detection import ARROW_ENTITY, ENTITY, Found, by_document, entity_rows, from_row, id_of
-
-
-def bare(value: str) -> str:
-    """The value without its leading titles."""
-    parts = value.split()
-    k = next((i for i, p in enumerate(parts) if py_fold(p) not in E.TITLES), len(parts))
-    return " ".join(parts[k:])
-
-
-def surname(value: str) -> str:
-    parts = [p for p in bare(value).split() if py_fold(p) not in E.PARTICLES]
-    return parts[-1] if parts else ""
-
-
-def person_like(e: Found) -> bool:
-    parts = bare(e.value).split()
-    name = python_pattern(f"\\A(?:{E.NAME_TOKEN})\\Z")
-    fine = lambda p: py_fold(p) not in E.TITLES and py_fold(p) not in E.COUPLE_WORDS and not p.isdigit() and name.search(p)
-    return e.active and not e.blocked and e.type == "NOM" and 1 <= len(parts) <= 4 and all(map(fine, parts))
-
-
-def alias(e: Found, text: str) -> None:
-    a = py_title(text)
-    if a and py_fold(a) != py_fold(e.value) and py_fold(a) not in {py_fold(x) for x in e.aliases}:
-        e.aliases.append(a)
-
-
-def merge_into(target: Found, source: Found) -> None:
-    """source joins target, whose value becomes the one with more words."""
-    target.occurrences = max(target.occurrences or 1, source.occurrences or 1)
-    if len(bare(source.value).split()) > len(bare(target.value).split()):
-        alias(target, target.value)
-        target.value = py_title(source.value)
-    else:
-        alias(target, source.value)
-    for a in list(source.aliases):
-        alias(target, a)
-
-
-def first_of_each(entities: list[Found], key, join=merge_into) -> list[Found]:
-    out: dict = {}
-    for e in entities:
-        have = out.setdefault(key(e), e)
-        if have is not e:
-            join(have, e)
-    return list(out.values())
-
-
-def same_value(have: Found, e: Found) -> None:
-    have.occurrences = max(have.occurrences or 1, e.occurrences or 1)
-    for a in e.aliases:
-        alias(have, a)
-
-
-def merge_people(people: list[Found]) -> list[Found]:
-    words = lambda e: len(bare(e.value).split())
-    full = first_of_each([p for p in people if words(p) >= 2], lambda p: py_fold(bare(p.value)))
-    of: dict[str, list[Found]] = defaultdict(list)
-    for p in full:
-        if s := py_fold(surname(p.value)):
-            of[s].append(p)
-    for single in (p for p in people if words(p) == 1):
-        owners = of.get(py_fold(bare(single.value)), [])
-        if len(owners) == 1:
-            merge_into(owners[0], single)
-            alias(owners[0], single.value)
-        else:
-            full.append(single)
-
-    def identity(p: Found) -> tuple:
-        v = bare(p.value)
-        return ("FULL", py_fold(v.split()[0]), py_fold(surname(v))) if words(p) >= 2 else ("SIMPLE", py_fold(v))
-
-    return first_of_each(full, identity)
-
-
-def enrich(people: list[Found]) -> None:
-    for p in people:
-        clean = bare(p.value)
-        parts, last = clean.split(), surname(clean)
-        if not parts:
-            continue
-        forms = [parts[0], last] + ([f.format(last) for f in E.SURNAME_ALIASES] if last else [])
-        if len(parts) >= 2:
-            forms += [clean, f"{last} {parts[0]}", *(f.format(clean) for f in E.FULL_NAME_ALIASES)]
-        for f in forms:
-            if f:
-                alias(p, f)
-
-
-def find_person(people: list[Found], name: str) -> Found | None:
-    target = py_fold(bare(name))
-    return next((p for p in people if target == py_fold(bare(p.value)) or target in {py_fold(bare(a)) for a in p.aliases}), None)
-
-
-def find_couples(doc_id: object, text: str, people: list[Found], known: list[Found], prefix: str = "COUPLE") -> list[Found]:
-    seen = {py_fold(bare(e.value)) for e in known}
-    of: dict[str, list[Found]] = defaultdict(list)
-    for p in people:
-        if s := py_fold(surname(p.value)):
-            of[s].append(p)
-    out: list[Found] = []
-
-    def couple(value: str, templates: list[str], name: str, members: list[Found], close: list[Found]) -> None:
-        if py_fold(value) in seen:
-            return
-        seen.add(py_fold(value))
-        out.append(ent := Found(py_title(value), prefix, prefix))
-        for a in (*(t.format(name) for t in templates), *(p.value for p in close)):
-            alias(ent, a)
-        ent.members = [id_of(doc_id, p) for p in members]
-
-    pairs, both, spouses = (python_pattern(p, i) for p, i in E.RESOLVED_COUPLES)
-    for m in pairs.finditer(text):
-        if py_fold(m[1]) in E.TITLES or py_fold(m[2]) in E.TITLES:
-            continue
-        a, b, name = (py_title(x) for x in m.groups())
-        found = [p for p in (find_person(people, f"{a} {name}"), find_person(people, f"{b} {name}")) if p]
-        couple(f"{a} et {b} {name}", E.RESOLVED_COUPLE_ALIASES[0], name, found, found)
-    for k, (rx, form) in enumerate(((both, "Monsieur et Madame {}"), (spouses, "Les époux {}")), 1):
-        for m in rx.finditer(text):
-            name = py_title(m[1])
-            couple(form.format(name), E.RESOLVED_COUPLE_ALIASES[k], name, of.get(py_fold(name), [])[:2], of.get(py_fold(name), []))
-    return out
-
-
-def drop_shared_surnames(people: list[Found]) -> None:
-    """Where several share a surname, no alias of any stands for it alone, titled or not."""
-    n = Counter(py_fold(surname(p.value)) for p in people)
-    for p in people:
-        s = py_fold(surname(p.value))
-        if s and n[s] > 1:
-            p.aliases = [a for a in p.aliases if py_fold(bare(a)) != s]
-
-
-def suggestions_of(people: list[Found]) -> list[tuple[str, list[Found]]]:
-    of: dict[str, list[Found]] = defaultdict(list)
-    for p in people:
-        if len(s := py_fold(surname(p.value))) >= 2:
-            of[s].append(p)
-    return [(py_title(surname(m[0].value)), m) for m in of.values() if len(m) > 1]
-
-
-def resolve_document(doc_id: object, text: str, entities: list[Found], prefix: str = "COUPLE") -> tuple[list[Found], list[tuple[str, list[Found]]]]:
-    """Resolved entities (others, people, couples known, couples new) and suggestions.
-    First names do not come through, by specification."""
-    copies = [Found(py_title(e.value), e.type or "NOM", e.label or e.type or "NOM", e.occurrences or 1, [a for a in map(py_title, e.aliases) if a], e.active, e.blocked) for e in entities]
-    once = first_of_each([e for e in copies if e.value], lambda e: (e.type, py_fold(e.value)), same_value)
-    likely = [person_like(e) for e in once]
-    people = merge_people([e for e, p in zip(once, likely, strict=True) if p])
-    others = [e for e, p in zip(once, likely, strict=True) if not p]
-    enrich(people)
-    known = [e for e in others if e.type == "COUPLE"]
-    new = find_couples(doc_id, text, people, known, prefix)
-    drop_shared_surnames(people)
-    return [*(e for e in others if e.type != "COUPLE"), *people, *known, *new], suggestions_of(people)
-
-
-def _grouped(docs: DataFrame, entities: DataFrame, text: str) -> DataFrame:
-    """One row a document with its entities as an array: the text isn't repeated."""
-    one = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "value", "type", "label", "occurrences", "aliases", "active", "blocked", "prenom", "prenomVariants", "members", "isInitiale", "initialeValue"))).alias("entities"))
-    return by_document(docs, text, one, how="inner")
-
-
-def resolve(docs: DataFrame, entities: DataFrame, prefix: str = "COUPLE", text: str = "text") -> DataFrame:
-    """Resolved entities of every document that has some, in order."""
+from ..functions.text import fold, render, squeeze, title_case
+from .detection import ENTITY
 
-    def run(batches):
-        for batch in batches:
-            rows: list[dict] = []
-            for doc_id, t, ents in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities")), strict=True):
-                rows += entity_rows(doc_id, resolve_document(doc_id, t or "", [from_row(e) for e in ents], prefix)[0])
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW_ENTITY)
-
-    return _grouped(docs, entities, text).mapInArrow(run, ENTITY)
-
-
-# ── Set-based parts ──────────────────────────────────────────────────────────
+# ── Names ────────────────────────────────────────────────────────────────────
 
 _TITLES_RX = "^(?:(?:" + "|".join(sorted((t.replace(".", "\\.") for t in E.TITLES), key=lambda t: (-len(t), t))) + ") )+"
 
@@ -210,6 +41,200 @@ def surname_key(value: Column) -> Column:
     return F.coalesce(F.element_at(F.when(F.size(parts) > 0, parts), -1), F.lit(""))
 
 
+def words_of(key: Column) -> Column:
+    """Words of a folded name; an empty one has none."""
+    return F.filter(F.split(key, " "), lambda w: w != "")
+
+
+def bare(value: Column) -> Column:
+    """A value without its leading titles, in its own spelling."""
+    parts = F.split(squeeze(value), " ")
+    rest = F.size(words_of(bare_key(value)))
+    return F.when(rest == 0, "").otherwise(F.array_join(F.slice(parts, F.size(parts) - rest + 1, rest), " "))
+
+
+def person_like() -> Column:
+    """An active name of one to four words that all look like parts of a name."""
+    parts = F.filter(F.split(bare(F.col("value")), " "), lambda w: w != "")
+    token = F.lit(f"\\A(?:{render(E.NAME_TOKEN)})\\z")
+    fine = lambda p: ~fold(p).isin(*sorted(E.TITLES | E.COUPLE_WORDS)) & F.rlike(p, token)
+    return F.col("active") & ~F.col("blocked") & (F.col("type") == "NOM") & F.size(parts).between(1, 4) & F.forall(parts, fine)
+
+
+def document() -> Column:
+    """What rows of one document share; null is an id too."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))
+
+
+def id_column(kind: Column, value: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.col("_d"), kind, fold(value)), 256)
+
+
+NAMES = "array<string>"
+
+
+# ── Identities ───────────────────────────────────────────────────────────────
+
+
+def displayed(entities: DataFrame) -> DataFrame:
+    """Entities in display spelling, one row by type and folded value: own holds the
+    first one's aliases, more what the others have."""
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("NOM"))
+    aliases = F.filter(F.transform(F.coalesce("aliases", F.array().cast(NAMES)), title_case), lambda a: a != "")
+    rows = entities.select(
+        "doc_id", document().alias("_d"), "ord", title_case(F.coalesce("value", F.lit(""))).alias("value"), kind.alias("type"), F.coalesce(F.nullif("label", F.lit("")), kind).alias("label"),
+        F.coalesce(F.nullif("occurrences", F.lit(0)), F.lit(1)).alias("occurrences"), aliases.alias("aliases"), F.coalesce("active", F.lit(True)).alias("active"), F.coalesce("blocked", F.lit(False)).alias("blocked"),
+    ).where("value <> ''")
+    first = lambda c: F.min_by(c, "ord").alias(c)
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("ord", "aliases"))), lambda x: x["aliases"])
+    one = rows.repartition("_d").groupBy("_d", "type", fold(F.col("value")).alias("_key")).agg(first("doc_id"), F.min("ord").alias("ord"), first("value"), first("label"), F.max("occurrences").alias("occurrences"), first("active"), first("blocked"), lists.alias("_lists"))
+    return one.select("*", F.element_at("_lists", 1).alias("own"), F.flatten(F.slice("_lists", 2, F.size("_lists"))).alias("more")).drop("_lists")
+
+
+def identified(one: DataFrame) -> DataFrame:
+    """Adds person, the identity _g, and the place (_lead) of the full name, or of the
+    first row, that a row comes with."""
+    rows = one.withColumns({"person": person_like(), "_bare": bare_key(F.col("value")), "_surname": surname_key(F.col("value"))})
+    rows = rows.withColumn("_words", F.when(F.col("person"), F.size(words_of(F.col("_bare")))).otherwise(0))
+    full, single = F.col("_words") >= 2, F.col("_words") == 1
+    named = F.when(full, F.concat_ws("\x01", F.lit("full"), F.element_at(words_of(F.col("_bare")), 1), F.col("_surname")))
+    rows = rows.withColumns({"_named": named, "_name": F.when(full, F.col("_surname")).when(single, F.col("_bare"))})
+    # A single name is held against the full names of that surname: alone is what all agree on.
+    near = W.partitionBy("_d", "_name")
+    told = lambda c: F.when(full, F.col(c))
+    alone = F.min(told("_bare")).over(near) == F.max(told("_bare")).over(near)
+    owner, owner_lead = F.min(told("_named")).over(near), F.min(told("ord")).over(near)
+    of = F.when(full, F.col("_named")).when(single & alone, owner).when(single, F.concat_ws("\x01", F.lit("single"), F.col("_bare"))).otherwise(F.concat_ws("\x01", F.lit("other"), "type", "_key"))
+    rows = rows.withColumns({"_g": of, "_owner_lead": F.when(single & alone, owner_lead)})
+    lead = F.when(full, F.min("ord").over(W.partitionBy("_d", "_g", "_bare"))).otherwise(F.coalesce("_owner_lead", F.min("ord").over(W.partitionBy("_d", "_g"))))
+    return rows.withColumn("_lead", lead).drop("_named", "_name", "_owner_lead")
+
+
+def forms_of(value: Column) -> Column:
+    """The further forms of a person, in order: first name and surname, titled, inverted."""
+    clean = bare(value)
+    parts = F.filter(F.split(clean, " "), lambda w: w != "")
+    named = F.filter(parts, lambda p: ~fold(p).isin(*sorted(E.PARTICLES)))
+    last = F.when(F.size(named) > 0, F.element_at(named, -1))
+    written = lambda form, x: F.replace(F.lit(form), F.lit("{}"), x)
+    some = [F.element_at(parts, 1), last, *(written(f, last) for f in E.SURNAME_ALIASES)]
+    several = [clean, F.concat_ws(" ", last, F.element_at(parts, 1)), *(written(f, clean) for f in E.FULL_NAME_ALIASES)]
+    all_forms = F.concat(F.array(*some), F.when(F.size(parts) >= 2, F.array(*several)).otherwise(F.array().cast(NAMES)))
+    return F.when(F.size(parts) == 0, F.array().cast(NAMES)).otherwise(F.filter(F.transform(all_forms, title_case), lambda a: a.isNotNull() & (a != "")))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """One row an identity: its value, its aliases, and those that stand for it alone."""
+    of = W.partitionBy("_d", "_g")
+    leads = F.when(F.col("ord") == F.col("_lead"), F.struct(F.col("_words"), (-F.col("_lead")).alias("at"), F.col("value")))
+    until = F.max(leads).over(of.orderBy("_lead").rangeBetween(W.unboundedPreceding, W.currentRow))
+    first = (F.col("ord") == F.col("_lead")) & (F.col("_lead") == F.min("_lead").over(of))
+    rows = rows.withColumns({"_then": fold(until["value"]), "_now": F.max(leads).over(of)["value"], "_first": first})
+    # What a row brings: its value and its aliases, those of the first row without condition.
+    said = F.transform(F.concat(F.array("value"), "own", "more"), lambda a, i: F.struct(a.alias("alias"), fold(a).alias("key"), (F.col("_first") & i.between(1, F.size("own"))).alias("own")))
+    fine = F.filter(said, lambda e: e["own"] | (e["key"] != F.col("_then")))
+    place = F.struct("_lead", (F.col("_words") == 1).alias("single"), "ord")
+    lead = lambda c: F.min_by(c, place).alias(c)
+    brought = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), fine.alias("fine")))), lambda x: x["fine"]))
+    whole = rows.groupBy("_d", "_g").agg(*map(lead, ("doc_id", "type", "label", "active", "blocked", "person")), F.first("_now").alias("value"), F.max("occurrences").alias("occurrences"), F.struct(F.startswith("_g", F.lit("single")).cast("int").alias("a"), F.min("_lead").alias("b")).alias("_place"), brought.alias("_brought"))
+    more = F.filter(F.transform(forms_of(F.col("value")), lambda a: F.struct(a.alias("alias"), fold(a).alias("key"), F.lit(False).alias("own"))), lambda e: e["key"] != fold(F.col("value")))
+    whole = whole.withColumn("_all", F.when(F.col("person"), F.concat("_brought", more)).otherwise(F.col("_brought")))
+    # The first row's own come first, so that a form's first place decides.
+    once = F.filter("_all", lambda e, i: e["own"] | (F.array_position(F.transform("_all", lambda x: x["key"]), e["key"]) == i + 1))
+    whole = whole.withColumns({"aliases": F.transform(once, lambda e: e["alias"]), "_surname": F.when(F.col("person"), surname_key(F.col("value")))})
+    shared = (F.count("*").over(W.partitionBy("_d", "_surname")) > 1) & (F.col("_surname") != "")
+    return whole.withColumn("kept", F.when(shared, F.filter("aliases", lambda a: bare_key(a) != F.col("_surname"))).otherwise(F.col("aliases"))).drop("_brought", "_all")
+
+
+# ── Couples ──────────────────────────────────────────────────────────────────
+
+#: A row of what is looked up within a document: an entity, a key that persons have, or
+#: what a couple in the text needs. Rows meet by (by, key).
+WHO = "struct<place:struct<a:int,b:int>,id:string,form:string>"
+COUPLE = "struct<at:struct<rule:int,i:int>,value:string,name:string>"
+ROW = f"array<struct<role:string,by:string,key:string,side:int,who:{WHO},couple:{COUPLE}>>"
+
+
+def _row(role: str, by: str, key: Column, side: int = 0, who: Column | None = None, couple: Column | None = None) -> Column:
+    nothing = F.lit(None)
+    return F.struct(F.lit(role).alias("role"), F.lit(by).alias("by"), key.alias("key"), F.lit(side).alias("side"), (nothing if who is None else who).cast(WHO).alias("who"), (nothing if couple is None else couple).cast(COUPLE).alias("couple"))
+
+
+def _couples_by(rule: int, pattern: str, ignore: bool, text: Column) -> Column:
+    """What the couples that one pattern finds in a text need."""
+    rx = render(pattern, "java", ignore)
+    untitled = lambda m: ~F.exists(F.array(F.regexp_extract(m, rx, 1), F.regexp_extract(m, rx, 2)), lambda w: fold(w).isin(*sorted(E.TITLES)))
+
+    def needs(m: Column, i: Column) -> Column:
+        group = lambda k: title_case(F.regexp_extract(m, rx, k))
+        if rule == 0:
+            name = group(3)
+            value = F.concat(group(1), F.lit(" et "), group(2), F.lit(" "), name)
+            wanted = [("form", bare_key(F.concat_ws(" ", group(k), name)), k - 1) for k in (1, 2)]
+        else:
+            name = group(1)
+            value = F.concat(F.lit("Monsieur et Madame " if rule == 1 else "Les époux "), name)
+            wanted = [("surname", fold(name), 0)]
+        couple = F.struct(F.struct(F.lit(rule).alias("rule"), i.alias("i")).alias("at"), value.alias("value"), name.alias("name"))
+        return F.array(_row("need", "known", fold(value), -1, None, couple), *[_row("need", by, key, side, None, couple) for by, key, side in wanted])
+
+    found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+    return F.flatten(F.transform(F.filter(found, untitled) if rule == 0 else found, needs)).cast(ROW)
+
+
+def _needs(docs: DataFrame, text: str) -> DataFrame:
+    """A row a document, and those that its couples need: the members by a folded name or
+    by a surname, and whether the couple is known."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    parts = [_couples_by(rule, pattern, ignore, body) for rule, (pattern, ignore) in enumerate(E.RESOLVED_COUPLES)]
+    return docs.select("doc_id", document().alias("_d"), F.explode(F.concat(F.array(_row("document", "", F.lit(""))).cast(ROW), *parts)).alias("r"))
+
+
+def _keys(whole: DataFrame) -> DataFrame:
+    """A row an entity, and those by which persons and known couples are found."""
+    who = F.struct(F.col("_place").alias("place"), id_column(F.col("type"), F.col("value")).alias("id"), F.col("value").alias("form"))
+    forms = F.array_distinct(F.transform(F.concat(F.array("value"), "aliases"), bare_key))
+    person = F.concat(F.transform(forms, lambda k: _row("key", "form", k, 0, who)), F.array(_row("key", "surname", F.col("_surname"), 0, who)))
+    known = F.array(_row("key", "known", bare_key(F.col("value"))))
+    keys = F.when(F.col("person"), person.cast(ROW)).when(F.col("type") == "COUPLE", known.cast(ROW)).otherwise(F.array().cast(ROW))
+    return whole.withColumn("r", F.explode(F.concat(F.array(_row("entity", "entity", F.col("_g"), 0, who)).cast(ROW), keys)))
+
+
+def resolve(docs: DataFrame, entities: DataFrame, prefix: str = "COUPLE", text: str = "text") -> DataFrame:
+    """Resolved entities of every document that has some, in order: others, people,
+    known couples, new couples. First names do not come through, by specification."""
+    whole = merged(identified(displayed(entities)))
+    rows = _keys(whole).unionByName(_needs(docs, text), allowMissingColumns=True).select("*", "r.*").drop("r").repartition("_d")
+    met, here = W.partitionBy("_d", "by", "key"), W.partitionBy("_d")
+    key, is_role = F.when(F.col("role") == "key", F.col("who")), lambda x: F.max(F.col("role") == x)
+    one = F.when(F.col("by") == "form", F.array(F.min(key).over(met))).when(F.col("by") == "surname", F.array_sort(F.collect_list(key).over(met)))
+    found = rows.withColumns({"_who": F.filter(one, lambda w: w.isNotNull()), "_known": is_role("key").over(met) & (F.col("by") == "known"), "_whole": is_role("document").over(here) & is_role("entity").over(here)})
+    found = found.where("_whole AND role IN ('entity', 'need')").withColumn("_key", F.when(F.col("role") == "entity", F.concat(F.lit("entity "), "_g")).otherwise(F.concat(F.lit("couple "), fold(F.col("couple.value")))))
+    # Of a couple met several times the first counts; each side's members in order.
+    only = F.col("couple.at") == F.min("couple.at").over(W.partitionBy("_d", "_key"))
+    own = lambda c: F.first(c, ignorenulls=True).alias(c)
+    members = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") >= 0, F.struct("side", "_who")))), lambda x: x["_who"]))
+    carried = ("type", "label", "active", "blocked", "value", "occurrences", "kept", "person", "couple", "_place")
+    done = found.withColumn("_only", F.coalesce(only, F.lit(True))).where("_only").groupBy("_d", "_key").agg(*map(own, ("doc_id", *carried)), F.max("_known").alias("_known"), members.alias("who"))
+    new = F.col("couple").isNotNull()
+    templates = [F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("couple.name")) for t in some]) for some in E.RESOLVED_COUPLE_ALIASES]
+    value = title_case(F.col("couple.value"))
+    given = F.when(F.col("couple.at.rule") == 0, templates[0]).when(F.col("couple.at.rule") == 1, templates[1]).otherwise(templates[2])
+    told = F.filter(F.transform(F.concat(given, F.transform("who", lambda w: w["form"])), title_case), lambda a: (a != "") & (fold(a) != fold(value)))
+    distinct = F.filter(told, lambda a, i: F.array_position(F.transform(told, fold), fold(a)) == i + 1)
+    section = F.when(new, 3).when(F.col("person"), 1).when(F.col("type") == "COUPLE", 2).otherwise(0)
+    place = F.when(new, F.struct(F.col("couple.at.rule").alias("a"), F.col("couple.at.i").alias("b"))).otherwise(F.col("_place"))
+    made = {"value": value, "type": F.lit(prefix), "label": F.lit(prefix), "occurrences": F.lit(1), "aliases": distinct, "active": F.lit(True), "blocked": F.lit(False)}
+    shown = done.where("couple IS NULL OR NOT _known").withColumns({c: F.when(new, x).otherwise(F.col("kept" if c == "aliases" else c)) for c, x in made.items()} | {"_section": section, "_order": place, "members": F.when(new, F.transform(F.slice("who", 1, 2), lambda w: w["id"])).otherwise(F.array().cast(NAMES))})
+    ranked = shown.withColumn("ord", F.row_number().over(W.partitionBy("_d").orderBy("_section", "_order")) - 1)
+    nothing = F.lit(None).cast("string")
+    out = {"id": id_column(F.col("type"), F.col("value")), "prenom": nothing, "prenomVariants": F.array().cast(NAMES), "isInitiale": F.lit(False), "initialeValue": nothing}
+    names = [(c.split()[0], c.split()[1]) for c in ENTITY.split(", ")]
+    return ranked.select(*[out.get(c, F.col(c)).cast(t).alias(c) for c, t in names])
+
+
+# ── Parts of resolution by themselves ────────────────────────────────────────
+
 def exact_duplicates(entities: DataFrame) -> DataFrame:
     """One row by (doc_id, type, folded value): the first one's value, the highest
     count, all aliases once by folded form in order."""
