@@ -15,6 +15,7 @@ from ..functions import ocr_rules as R
 from ..functions import text as T
 from ..operators import anonymise, cleaning, curation, detection, identity, lines, omissions, parties, spans
 from ..sources import files, pdf, sinks, tables
+from . import casesql as K
 from . import corpus as C
 from . import sqltext as Q
 
@@ -359,12 +360,12 @@ def d11(spark, d):
     return detection.near_names(both, "name", "k")
 
 
-@register("d_detect")
+@register("d_detect", K.detected(CASES, BLOCK_LIST))
 def detect(spark, d):
     return listed(detection.detect_entities(cases(spark, d), BLOCK_LIST))
 
 
-@register("d_detect_documents")
+@register("d_detect_documents", K.detected("SELECT doc_id, text FROM documents", BLOCK_LIST))
 def detect_documents(spark, d):
     return listed(detection.detect_entities(docs(spark, d), BLOCK_LIST))
 
@@ -416,7 +417,7 @@ def i10(spark, d):
     return identity.apply_parties(entities(spark, d), C.frame(spark, d, _PARTIES)).select("doc_id", "id", "type")
 
 
-@register("i_resolve")
+@register("i_resolve", K.resolved(CASES, BLOCK_LIST, identity._TITLES_RX))
 def resolve(spark, d):
     c = cases(spark, d)
     return listed(identity.resolve(c, detection.detect_entities(c, BLOCK_LIST)))
@@ -551,20 +552,20 @@ def k11_given(spark, d):
     return _given_result(spark, d).select("doc_id", sinks.highlight_html(F.col("anonymized"), F.col("initiales")).alias("html"))
 
 
-@register("a8_anonymise")
+@register("a8_anonymise", K.anonymised(CASES, BLOCK_LIST))
 def a8(spark, d):
     c = cases(spark, d)
     r = anonymise.anonymise(c, detection.detect_entities(c, BLOCK_LIST))
     return r.select("doc_id", "anonymized", F.array_join("initiales", "|").alias("initiales"), F.size("concordance").alias("n_rows"))
 
 
-@register("e3_pseudonymise")
+@register("e3_pseudonymise", K.anonymised(CASES, BLOCK_LIST))
 def e3(spark, d):
     r = anonymise.pseudonymise(cases(spark, d), BLOCK_LIST)
     return r.select("doc_id", "anonymized", F.array_join("initiales", "|").alias("initiales"), F.size("concordance").alias("n_rows"))
 
 
-@register("e3_pseudonymise_documents")
+@register("e3_pseudonymise_documents", K.anonymised("SELECT doc_id, text FROM documents", BLOCK_LIST, "doc_id, md5(anonymized) AS anonymized, n_rows"))
 def e3_documents(spark, d):
     return anonymise.pseudonymise(docs(spark, d), BLOCK_LIST).select("doc_id", F.md5("anonymized").alias("anonymized"), F.size("concordance").alias("n_rows"))
 
