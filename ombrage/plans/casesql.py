@@ -54,12 +54,9 @@ def detection(block_list: frozenset[str]) -> str:
     officers = " UNION ALL ".join(f"SELECT doc_id, unnest({found_all('text', p, 1, i)}) AS name FROM src" for p, i in E.OFFICERS)
     several = " UNION ALL ".join(f"SELECT doc_id, {k} AS p, unnest(range(len(m))) AS i, unnest(m) AS raw FROM (SELECT doc_id, {found_all('text', p, 1)} AS m FROM src)" for k, p in enumerate((E.THREE_WORDS, E.TWO_WORDS)))
     (c1, i1), (c2, i2), (c3, i3), (c4, i4) = E.COUPLES
-    template = lambda forms, name: "[" + ", ".join(" || ".join(f"'{a}'" if a else name for a in sum(([p, ""] for p in f.split("{}")), [])[:-1] if a or True) for f in forms).replace(" || ''", "") + "]"
-
     def filled(forms: list[str], name: str) -> str:
         return "[" + ", ".join(f"replace('{f}', '{{}}', {name})" for f in forms) + "]"
 
-    del template
     near = lambda a, b: f"(length({a}) >= 5 AND length({b}) >= 5 AND levenshtein({a}, {b}) <= 1)"
     # Aliases that an entity takes: spelt as values, of two letters, not listed, not the value.
     taken = lambda items, own: once(f"list_filter(list_transform({items}, lambda z: {value('z')}), lambda z: length(z) > 1 AND NOT {listed('z')} AND lower(z) <> lower({own}))", "lower({})")
@@ -370,3 +367,127 @@ done AS MATERIALIZED (
 
 def anonymised(source: str, block_list: frozenset[str], shown: str = "doc_id, anonymized, array_to_string(initiales, '|') AS initiales, n_rows") -> str:
     return f"WITH RECURSIVE src AS ({source}), {detection(block_list)}, {substitution()} SELECT {shown} FROM done"
+
+
+# ── Omissions and parties ────────────────────────────────────────────────────
+
+
+def places(text: str, pattern: str, group: int = 0, ignore: bool = False) -> str:
+    """Columns hits (the group), wholes and rest (the text between) of all matches."""
+    rx = Q.quote(("(?i)" if ignore else "") + T.render(pattern, "re2"))
+    return f"regexp_extract_all({text}, {rx}, {group}) AS hits, regexp_extract_all({text}, {rx}) AS wholes, string_split_regex({text}, {rx}) AS rest"
+
+
+#: Where the k-th match (from 0) begins, in code points.
+START = "(length(array_to_string(rest[:k + 1], '')) + length(array_to_string(wholes[:k], '')))"
+
+
+def omissions(redacted: tuple[str, ...] = (), panel: bool = False) -> str:
+    """CTEs from src and found to suspects."""
+    parts = []
+    for n, (cat, kind, pattern, ignore, group) in enumerate(E.OMISSIONS):
+        if "(?=" in pattern:  # what follows is consumed in place of looked at
+            head, tail = pattern.split("(?=")
+            pattern, group = f"({head})(?:{tail}", 1
+        parts.append(f"SELECT doc_id, text, {n} AS p, k, '{cat}' AS cat, '{kind}' AS type, hits[k + 1] AS raw, {START} AS start FROM (SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc_id, text, {places('text', pattern.replace(chr(92) + 'Z', chr(92) + 'z'), group, ignore)} FROM src))")
+    cut = sorted({w for word in redacted for w in (word.lower(), *(t for t in word.lower().split(" ") if len(t) >= 4))})
+    low = "lower(value)"
+    key = Q.squeeze(low) if panel else low
+    split = f"list_filter(regexp_split_to_array(key, {Q.quote(T.render('{s}+', 're2'))}), lambda w: length(w) >= 3)"
+    return f"""
+h0 AS ({" UNION ALL ".join(parts)}),
+h1 AS (SELECT doc_id, text, p, k, cat, type, start, {Q.trim('raw')} AS value FROM h0),
+h2 AS (SELECT *, {key} AS key FROM h1 WHERE length(value) >= 3),
+cap AS (SELECT doc_id, list_concat(list_distinct(flatten(list(list_transform(list_prepend(value, aliases), lambda z: {Q.trim('lower(z)')})))), {strings(w.lower() for w in redacted)}) AS known FROM found GROUP BY doc_id),
+h3 AS (SELECT h2.*, coalesce(known, {strings(w.lower() for w in redacted)}) AS known FROM h2 LEFT JOIN cap ON cap.doc_id = h2.doc_id),
+h4 AS (SELECT *, {split} AS ws FROM h3 WHERE NOT list_contains(known, key) AND len(list_filter({strings(cut)}, lambda w: contains(key, w))) = 0),
+h5 AS (SELECT * FROM h4 WHERE cat IN ('adresse', 'codepostal') OR NOT (list_has_any(ws, known) OR len(list_filter(known, lambda v: length(v) >= 8 AND (contains(v, key) OR contains(key, v)))) > 0)),
+h6 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY p, k) AS n FROM h5),
+suspects AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS INTEGER) AS ord FROM h6 WHERE n = 1)"""
+
+
+CONTEXT = f"regexp_replace({Q.squeeze('text[greatest(start - 65, 0) + 1 : start + length(value) + 65]')}, '(?i)\\Q' || value || '\\E', '<mark>' || value || '</mark>')"
+
+
+def omitted(source: str, block_list: frozenset[str], shown: str, panel: bool = False) -> str:
+    return f"WITH RECURSIVE src AS ({source}), {detection(block_list)}, {omissions((), panel)} {shown}"
+
+
+def parties(source: str, block_list: frozenset[str]) -> str:
+    parts = []
+    for s, (side, words_) in enumerate(E.SIDE_KEYWORDS.items()):
+        either = "|".join(sorted(words_, key=len, reverse=True))
+        before = f"{E.PARTY_TITLE}({E.PARTY_NAME}){{s}}*[,\\(]{{s}}*(?:{either})"
+        after = f"(?:{either}){{s}}*[:\\-,]?{{s}}+{E.PARTY_TITLE}({E.PARTY_NAME})"
+        for r, pattern in enumerate((before, after)):
+            parts.append(f"SELECT doc_id, text, {2 * s + r} AS p, k, '{side}' AS side, hits[k + 1] AS raw, wholes[k + 1] AS whole, {START} AS start FROM (SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc_id, text, {places('text', pattern, 1, True)} FROM src))")
+    fold = lambda x: f"lower(strip_accents({x}))"
+    return f"""WITH RECURSIVE src AS ({source}), {detection(block_list)},
+h0 AS ({" UNION ALL ".join(parts)}),
+h1 AS (SELECT *, trim(raw) AS name, {fold('trim(raw)')} AS key, start + length(whole) AS stop FROM h0),
+h2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side, key ORDER BY p, k) AS n FROM h1 WHERE length(key) >= 3),
+f0 AS (SELECT doc_id, id, ord * 1000 + unnest(range(len(aliases) + 1)) AS seq, {fold('unnest(list_prepend(value, aliases))')} AS key FROM found),
+f1 AS (SELECT doc_id, key, min(seq) AS pos, arg_max(id, seq) AS id FROM f0 GROUP BY doc_id, key),
+h3 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, k) - 1 AS ord FROM h2 WHERE n = 1),
+h4 AS (SELECT h3.doc_id, h3.ord, arg_min(f1.id, (f1.key <> h3.key, pos)) AS id FROM h3 JOIN f1 ON f1.doc_id = h3.doc_id AND (contains(f1.key, h3.key) OR contains(h3.key, f1.key)) GROUP BY h3.doc_id, h3.ord)
+SELECT h3.doc_id, CAST(h3.ord AS INTEGER) AS ord, name, side, h4.id AS entity_id, CASE WHEN start > 30 THEN '…' ELSE '' END || replace(text[greatest(start - 30, 0) + 1 : stop + 30], chr(10), ' ') || CASE WHEN stop + 30 < length(text) THEN '…' ELSE '' END AS context
+FROM h3 LEFT JOIN h4 ON h4.doc_id = h3.doc_id AND h4.ord = h3.ord"""
+
+
+def highlighted(source: str, block_list: frozenset[str]) -> str:
+    """The result with initials and placeholders marked."""
+    safe = "replace(replace(replace(anonymized, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    one = "regexp_replace({}, '(^|[\\s>' || chr(2) || '])(' || replace(i, '.', '\\.') || ')($|[\\s<' || chr(1) || '])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g')".format
+    out = f"list_reduce(list_prepend({safe}, list_sort(initiales)), lambda acc, i: {one(one('acc'))})"
+    out = f"replace(replace({out}, chr(1), '<mark class=\"ph ph-initiale\">'), chr(2), '</mark>')"
+    for name in ("NOM", "ADRESSE", "ENTITE", "REF", "AUTRE", "COUPLE", "SIREN", "IBAN", "EMAIL", "PHONE"):
+        out = f"regexp_replace({out}, '\\[({name}_[0-9]+)\\]', '<mark class=\"ph ph-{name.lower()}\">[\\1]</mark>', 'g')"
+    return anonymised(source, block_list, f"doc_id, {out} AS html")
+
+
+def redacted_then_anonymised(source: str, block_list: frozenset[str], word: str, new: str, position: int) -> str:
+    """The first of a word at or after a position, else the first, replaced; then the
+    substitution, with the entities of the whole text, and how many omissions that has."""
+    low = word.lower()
+    at = f"CASE WHEN strpos(lower(text[{position + 1}:]), '{low}') > 0 THEN {position} + strpos(lower(text[{position + 1}:]), '{low}') ELSE strpos(lower(text), '{low}') END"
+    cut = f"cut AS MATERIALIZED (SELECT doc_id, CASE WHEN p > 0 THEN text[:p - 1] || '{new}' || text[p + {len(word)}:] ELSE text END AS text FROM (SELECT *, {at} AS p FROM src))"
+    put = substitution().replace("FROM src)", "FROM cut)").replace("FROM src LEFT", "FROM cut src LEFT")
+    return f"WITH RECURSIVE src AS ({source}), {detection(block_list)}, {omissions((word,))}, {cut}, {put} SELECT done.doc_id, anonymized, coalesce(n_left, 0) AS omissions FROM done LEFT JOIN (SELECT doc_id, count(*) AS n_left FROM suspects GROUP BY doc_id) s ON s.doc_id = done.doc_id"
+
+
+_ROW = "doc_id, ord, id, value, type, label, occurrences, array_to_string(aliases, '|') AS aliases, active, blocked, prenom, array_to_string(variants, '|') AS \"prenomVariants\", array_to_string(members, '|') AS members, CASE WHEN variants IS NOT NULL THEN false END AS \"isInitiale\", CAST(NULL AS VARCHAR) AS \"initialeValue\""
+_OWN = "SELECT doc_id, ord, id, value, type, label, occurrences, aliases, true AS active, false AS blocked, prenom, variants, CAST([] AS VARCHAR[]) AS members FROM found"
+
+
+def analysed(source: str, block_list: frozenset[str], titles_rx: str) -> str:
+    """What detection finds, and after it what resolution has of new values."""
+    return f"""WITH RECURSIVE src AS ({source}), {detection(block_list)}, {resolution(titles_rx)},
+fresh AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY ord) AS k FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = r.doc_id AND lower(f.value) = lower(r.value))),
+total AS (SELECT doc_id, max(ord) AS top FROM found GROUP BY doc_id),
+rows_ AS ({_OWN} UNION ALL SELECT fresh.doc_id, CAST(coalesce(top, -1) + row_number() OVER (PARTITION BY fresh.doc_id ORDER BY ord) AS INTEGER), id, value, type, label, occurrences, aliases, true, false, NULL, [], members FROM fresh LEFT JOIN total ON total.doc_id = fresh.doc_id WHERE k = 1)
+SELECT {_ROW} FROM rows_"""
+
+
+def with_omissions(source: str, block_list: frozenset[str]) -> str:
+    """Entities with every suspect added: an alias of the first entity whose value is one of
+    its words, else an entity of its own."""
+    split = f"list_filter(regexp_split_to_array(lower(s.value), {Q.quote(T.render('{s}+', 're2'))}), lambda w: length(w) >= 3)"
+    return f"""WITH RECURSIVE src AS ({source}), {detection(block_list)}, {omissions()},
+hit AS (SELECT s.doc_id, s.ord, any_value(s.value) AS value, arg_min(f.id, f.ord) AS id FROM suspects s JOIN found f ON f.doc_id = s.doc_id AND list_contains({split}, lower(f.value)) GROUP BY s.doc_id, s.ord),
+more AS (SELECT doc_id, id, list(value ORDER BY ord) AS more FROM hit GROUP BY doc_id, id),
+own AS (SELECT f.* REPLACE (list_concat(aliases, list_filter(coalesce(more, []), lambda v: NOT list_contains(list_transform(aliases, lambda y: lower(y)), lower(v)) AND lower(v) <> lower(f.value))) AS aliases) FROM ({_OWN}) f LEFT JOIN more ON more.doc_id = f.doc_id AND more.id = f.id),
+total AS (SELECT doc_id, max(ord) AS top FROM found GROUP BY doc_id),
+fresh AS (SELECT * FROM suspects s WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = s.doc_id AND hit.ord = s.ord)),
+rows_ AS (SELECT * FROM own UNION ALL SELECT fresh.doc_id, CAST(coalesce(top, -1) + row_number() OVER (PARTITION BY fresh.doc_id ORDER BY ord) AS INTEGER), sha256(fresh.doc_id || '|' || type || '|' || lower(value)), value, type, type, 1, [], true, false, NULL, NULL, NULL FROM fresh LEFT JOIN total ON total.doc_id = fresh.doc_id)
+SELECT {_ROW} FROM rows_"""
+
+
+def pre_detected(source: str, clean: str, known: str, block_list: frozenset[str]) -> str:
+    """Entities known from one text, and after them what the cleaned text has of others."""
+    first = f"WITH RECURSIVE src AS (SELECT doc_id, '{known}' AS text FROM ({source})), {detection(block_list)} {_OWN}"
+    second = f"WITH RECURSIVE src AS (SELECT doc_id, {clean} AS text FROM ({source})), {detection(block_list)} {_OWN}"
+    return f"""WITH a AS ({first}), b AS ({second}),
+fresh AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND lower(a.value) = lower(b.value))),
+total AS (SELECT doc_id, max(ord) AS top FROM a GROUP BY doc_id),
+rows_ AS (SELECT * FROM a UNION ALL SELECT fresh.* REPLACE (CAST(coalesce(top, -1) + row_number() OVER (PARTITION BY fresh.doc_id ORDER BY ord) AS INTEGER) AS ord) FROM fresh LEFT JOIN total ON total.doc_id = fresh.doc_id)
+SELECT {_ROW} FROM rows_"""

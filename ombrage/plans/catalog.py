@@ -426,7 +426,7 @@ def resolve(spark, d):
 # ── Parties and roles ────────────────────────────────────────────────────────
 
 
-@register("r1_parties")
+@register("r1_parties", K.parties(CASES, BLOCK_LIST))
 def r1(spark, d):
     c = cases(spark, d)
     return parties.detect_parties(c, detection.detect_entities(c, BLOCK_LIST))
@@ -593,7 +593,7 @@ def a12(spark, d):
     return anonymise.redaction_counts(c, c.select("doc_id", F.lit("Dupont").alias("word"), F.lit("all").alias("scope")))
 
 
-@register("a13_pipeline")
+@register("a13_pipeline", K.redacted_then_anonymised(CASES, BLOCK_LIST, "Dupont", "[SUPPRIMÉ]", 40))
 def a13(spark, d):
     c = cases(spark, d)
     found = detection.detect_entities(c, BLOCK_LIST)
@@ -611,19 +611,19 @@ def o1(spark, d):
     return cases(spark, d).select("doc_id", F.explode(detection.matches(F.col("text"), E.OMISSIONS[2][2])).alias("value"))
 
 
-@register("o2_omissions")
+@register("o2_omissions", K.omitted(CASES, BLOCK_LIST, f"SELECT doc_id, ord, cat, type, value, {K.CONTEXT} AS ctx FROM suspects"))
 def o2(spark, d):
     c = cases(spark, d)
     return omissions.find_omissions(c, detection.detect_entities(c, BLOCK_LIST)).select("doc_id", "ord", "cat", "type", "value", F.col("occurrences")[0]["ctx"].alias("ctx"))
 
 
-@register("o3_omission_panel")
+@register("o3_omission_panel", K.omitted(CASES, BLOCK_LIST, "SELECT s.doc_id, s.ord, cat, s.value, CAST(len(regexp_extract_all(text, '(?i)\\Q' || s.value || '\\E')) AS INTEGER) AS n, (SELECT arg_min(f.value, f.ord) FROM found f WHERE f.doc_id = s.doc_id AND list_contains(ws0, lower(f.value))) AS \"parentEntity\" FROM (SELECT *, list_filter(regexp_split_to_array(lower(value), " + Q.quote(T.render("{s}+", "re2")) + "), lambda w: length(w) >= 3) AS ws0 FROM suspects) s", panel=True))
 def o3(spark, d):
     c = cases(spark, d)
     return omissions.find_omissions(c, detection.detect_entities(c, BLOCK_LIST), panel=True).select("doc_id", "ord", "cat", "value", F.size("occurrences").alias("n"), "parentEntity")
 
 
-@register("o4_add_omissions")
+@register("o4_add_omissions", K.with_omissions(CASES, BLOCK_LIST))
 def o4(spark, d):
     c = cases(spark, d)
     found = detection.detect_entities(c, BLOCK_LIST)
@@ -711,7 +711,7 @@ def c11(spark, d):
     return curation.add_manual(entities(spark, d), C.frame(spark, d, _MANUAL)).select("doc_id", "ord", "value")
 
 
-@register("c14_run_analysis")
+@register("c14_run_analysis", K.analysed(CASES, BLOCK_LIST, identity._TITLES_RX))
 def c14(spark, d):
     c = cases(spark, d)
     found = detection.detect_entities(c, BLOCK_LIST)
@@ -912,7 +912,7 @@ def k10(spark, d):
     return e.select("event_id", sinks.file_name(F.col("event_type"), "entites", "csv", F.col("ts")).alias("name"))
 
 
-@register("k11_highlight")
+@register("k11_highlight", K.highlighted(CASES, BLOCK_LIST))
 def k11(spark, d):
     c = cases(spark, d)
     r = anonymise.anonymise(c, detection.detect_entities(c, BLOCK_LIST))
@@ -1097,7 +1097,7 @@ def c13(spark, d):
     return curation.shrink_block_list(words, spark.createDataFrame([("catherine dupont",)], "word string"))
 
 
-@register("s9_pre_detect")
+@register("s9_pre_detect", K.pre_detected(CASES, _CLEAN, "Madame Catherine DUPONT", BLOCK_LIST))
 def s9_detect(spark, d):
     """Plain-text case files taken in, with what detection finds beside a known name."""
     done = files.ingest(cases(spark, d).withColumn("method", F.lit("txt")))
