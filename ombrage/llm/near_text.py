@@ -25,6 +25,12 @@ is known to hang together, so only rows outside it are held against all blocks,
 tasks of two blocks each. So no task holds more than two blocks, however large a crowd,
 and a crowd of near copies costs little more than its size.
 
+Before that, a large group is taken apart by rare shingles: two sets at ALIKE share one of the
+rarest 1 - ALIKE of either (the prefix filter, exact for any common order), so rows are
+grouped anew by these keys. Pages of one template, which share its shingles and little else,
+part here, for a fifth of their shingles a row; what meets all rows is only what is alike,
+or shares more than ALIKE of itself with very many others.
+
 Defined results: null and blank texts are one group; texts with fewer than `width`
 words have one shingle; rows that repeat are one group; an empty table gives no
 rows; other columns pass through.
@@ -300,10 +306,11 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(*kept)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """(node, sketch, bands) to distinct edges that connect nodes whose sketches are near."""
+def links(nodes: DataFrame, emit=emit_keys) -> DataFrame:
+    """(node, sketch, ...) to distinct edges that connect nodes whose sketches are near, of
+    those that share a key."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.mapInArrow(emit_keys, KEYS).repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(shared_variants, KEYS)
+    met = nodes.mapInArrow(emit, KEYS).repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(shared_variants, KEYS)
     full = met.join(nodes.select("node", "sketch"), "node").select("variant", "node", "crowd", "sketch")
     return full.repartition(n, "variant").sortWithinPartitions("variant", "node").mapInArrow(verify, "a long, b long").distinct()
 
@@ -438,16 +445,71 @@ def reduce_union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Counters of shingles, by their lowest bits: any order that all rows share will do.
+COUNTERS = 1 << 16
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each counter stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for x in batch.column("shingles").to_pylist():
+                total += np.bincount((np.frombuffer(x, "<u8") & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield table_of({"counter": (used.tolist(), pa.int64()), "n": (total[used].tolist(), pa.int64())})
+
+    out = np.zeros(COUNTERS, np.int64)
+    for counter, n in sets.select("shingles").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n")).collect():  # COUNTERS rows at most
+        out[counter] = n
+    return out
+
+
+def rarest(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, one of which any set at ALIKE has among its own."""
+    n = len(hashes) - int(np.ceil(ALIKE * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, counts[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:n]]
+
+
+def parted(sets: DataFrame) -> DataFrame:
+    """(node, sketch, shingles) rows of large groups to (node, group), grouped by rare
+    shingles; rows that share none with a near row have no group and no link."""
+    counts = shingle_counts(sets)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keys = [rarest(np.frombuffer(x, "<u8"), counts) for x in part.column("shingles").to_pylist()]
+                nodes = np.repeat(part.column("node").to_numpy(zero_copy_only=False), [len(k) for k in keys])
+                key = (mixed(np.concatenate([np.zeros(0, np.uint64), *keys]), 3) | np.uint64(1 << 63)).view(np.int64)
+                yield keyed(key, nodes, np.zeros(len(key), bool))
+
+    led = written(components(links(sets.select("node", "sketch", "shingles"), emit)).select("node", F.col("root").alias("group")), "parted")
+    return led.union(led.select(F.col("group").alias("node"), "group").distinct())
+
+
+def link_crowds(sets: DataFrame) -> DataFrame:
+    """(node, sketch, size, shingles) rows of large groups to (node, root)."""
+    rows = written(sets.join(parted(sets).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node"), "crowds")
+    sizes = written(rows.groupBy("group").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks")), "sizes")
+    rows = written(rows.join(sizes, "group"), "members")
+    out = link(rows.where("blocks = 1").withColumn("label", F.col("node")), "group").where("node <> root")
+    large = rows.where("blocks > 1")
+    return out.unionByName(link_large(large.select("group", "blocks", "node", "sketch", "shingles"))) if large.limit(1).count() else out
+
+
 def exact(docs: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text) and (first_id, node, group, size, sketch) to (node, root), linked at
     ALIKE."""
     sizes = written(members.groupBy("group").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks")), "sizes")
-    members = written(members.join(sizes, "group").drop("size"), "members")
-    small = shingled(docs, members.where("blocks = 1").withColumn("label", F.col("node")).drop("blocks"), width)
+    members = written(members.join(sizes, "group"), "members")
+    small = shingled(docs, members.where("blocks = 1").withColumn("label", F.col("node")).drop("blocks", "size"), width)
     out = link(small, "group").where("node <> root")
     large = members.where("blocks > 1")
     if large.limit(1).count():
-        out = out.unionByName(link_large(written(shingled(docs, large, width), "sets")))
+        out = out.unionByName(link_crowds(written(shingled(docs, large.drop("group", "blocks"), width), "sets")))
     return out
 
 

@@ -164,6 +164,40 @@ def test_all_steps_with_small_blocks(spark, monkeypatch):
     assert groups([got[i] for i in range(120)]) == groups(want) and 1 < len(groups(want)) < 120
 
 
+def test_pages_of_a_template_part(spark, monkeypatch):
+    """Pages of one template at similarity 0.5 to 0.66, all of one group by their bands: no
+    page is dealt out to pairs of blocks, and near copies among them are linked."""
+    shared_dir(spark)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 64)
+    dealt = []
+    link = N.link
+    monkeypatch.setattr(N, "link", lambda rows, *task: dealt.append(rows.count()) or link(rows, *task))
+    rng = np.random.default_rng(12)
+    template = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    for n in (300, 600):
+        sets = [np.unique(np.concatenate((template, rng.integers(0, 1 << 63, int(rng.integers(52, 100)), dtype=np.uint64)))) for _ in range(n)]
+        sets += [np.unique(np.concatenate((x[: int(0.95 * len(x))], rng.integers(0, 1 << 63, 9, dtype=np.uint64)))) for x in sets[:20]]
+        rows = spark.createDataFrame([(i, N.sketch_of(x), len(x), x.tobytes()) for i, x in enumerate(sets)], "node long, sketch binary, size long, shingles binary")
+        dealt.clear()
+        got = {r["node"]: r["root"] for r in N.link_crowds(rows).collect()}
+        want = joined(n + 20, [(i, j) for i in range(n, n + 20) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))])
+        assert sorted(map(want.count, want))[-40:] == [2] * 40 and len(set(want)) == n
+        assert groups(joined(n + 20, list(got.items()))) == groups(want)
+        assert sum(dealt) <= 60
+
+
+def test_sets_at_the_limit_share_a_rare_shingle():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 5, N.COUNTERS)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        k = int(rng.integers(0, len(base) + 1)) // 5
+        a, b = base[: len(base) - k], base[int(rng.integers(0, k + 1)) :]
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) and len(a) and len(b):
+            assert len(np.intersect1d(N.rarest(a, counts), N.rarest(b, counts)))
+
+
 def test_chain_in_a_crowded_bucket():
     """A near B, B near C, A not near C, among more than PAIRS copies of A."""
     flips = N.LIMIT - 5
