@@ -7,7 +7,8 @@ calibrates its documents: rate * ratio copies of each are expected. A document i
 out once for each whole copy and once more with the probability of the rest, decided by a
 uniform number made from the MD5 of its id. So no probability is clipped, and the
 words of the output meet the targets in expectation. Where no document may come twice
-(repeat=False) the rate is divided by the largest ratio instead.
+(repeat=False) the rate is lowered until probabilities over 1 would hold a hundredth of
+the words at most, so that a small cell with a high ratio doesn't thin out all others.
 
 Targets: shares by category for the margins that are given; any other margin is
 tempered, share ** ALPHA over the sum of these. Categories without a given share
@@ -46,6 +47,9 @@ ALPHA = 0.7
 TOLERANCE = 1e-10
 ROUNDS = 60
 RATE = 1.0
+#: Where no document comes twice: rates that are tried, each 2 ** (-1/4) of the one before,
+#: and the share of the expected words that may be lost to probabilities over 1.
+STEPS, CLIPPED = 48, 0.01
 #: Topics by the first pattern found in the lower-cased text; none: prose. What follows
 #: a pattern are strings of which each of its matches has one.
 TOPICS = (
@@ -135,8 +139,15 @@ def copies_of(doc_id: Column, expected: Column) -> Column:
 
 
 def scaled(ratios: DataFrame, rate: float, repeat: bool) -> float:
-    """The rate, divided by the largest ratio where no document may come twice."""
-    return rate if repeat else rate / max(1.0, ratios.agg(F.max("ratio")).first()[0] or 1.0)
+    """The rate; where no document may come twice, the largest of STEPS at which
+    probabilities over 1 would have had CLIPPED of the expected words at most."""
+    if repeat:
+        return rate
+    steps = [rate * 2.0 ** (-k / 4) for k in range(STEPS)]
+    words = lambda r: F.sum(F.lit(r) * F.col("ratio") * F.col("own"))
+    over = lambda r: F.sum(F.greatest(F.lit(0.0), F.lit(r) * F.col("ratio") - 1) * F.col("own"))
+    lost = ratios.agg(*[F.coalesce(over(r) / words(r), F.lit(0.0)).alias(str(k)) for k, r in enumerate(steps)]).first()
+    return next((r for k, r in enumerate(steps) if lost[k] <= CLIPPED), steps[-1])
 
 
 def sample_plan(weighed: DataFrame, rate: float = RATE, targets: dict | None = None) -> DataFrame:
