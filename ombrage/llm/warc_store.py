@@ -39,6 +39,10 @@ SPREAD = 1000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+#: Payload bytes of a bucket at most, on average: a bucket is one task when it is read.
+BUCKET_BYTES = 128 << 20
+
+
 def record_id(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
 
@@ -69,10 +73,11 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM)
     (
         light.join(several, "digest", "left")
         .withColumn("kind", kind)
-        .select("page_id", "digest", F.coalesce("parts", F.lit(1)).alias("parts"), header_block(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n"), F.col("kind"), F.col("first_id")).alias("header"))
+        .select("page_id", "digest", "n", F.coalesce("parts", F.lit(1)).alias("parts"), header_block(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n"), F.col("kind"), F.col("first_id")).alias("header"))
         .write.parquet(f"{path}/records")
     )
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = spark.read.schema("n long").parquet(f"{path}/records").agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     once = full.groupBy("digest").agg(F.first("payload").alias("payload"), parts)
     name = f"ombrage_{uuid.uuid4().hex}"
     once.write.format("parquet").bucketBy(buckets, "digest").sortBy("digest").option("path", f"{path}/payloads").saveAsTable(name)
