@@ -6,8 +6,8 @@ output; that is one pass over a document, in a map over Arrow batches. Rules are
 over the lower-cased text and not patterns, since compiling these for each document
 costs more than its matches. Documents without an active entity don't get there.
 
-Rows of one doc_id, null being an id like any other, share one list of entities and
-redactions: what is detected in one of them is replaced in all.
+Rows of one doc_id share one list of entities and redactions: what is detected in one of
+them is replaced in all. Rows without doc_id are refused where entities are joined.
 """
 
 from __future__ import annotations

@@ -403,15 +403,21 @@ def entity_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=ARROW_ENTITY)
 
 
+def key_of_document() -> Column:
+    """doc_id as a key; a null one fails, as its rows would share one unbounded list of
+    entities. pseudonymise() and detect_entities() need no ids."""
+    refused = F.raise_error(F.lit("rows without doc_id can't be joined with what was found in them: give each an id"))
+    return F.when(F.col("doc_id").isNull(), refused.cast("string")).otherwise(F.col("doc_id").cast("string")).alias("_key")
+
+
 def by_document(docs: DataFrame, text: str, *given: DataFrame, how: str = "left") -> DataFrame:
-    """(doc_id, text) with the columns of given tables (one row a doc_id, null being an id
-    like any other), dealt out for a heavy map: the texts are shuffled once, to a number of
-    partitions that adaptive execution doesn't join by bytes."""
+    """(doc_id, text) with the columns of given tables (one row a doc_id), dealt out for a
+    heavy map: the texts are shuffled once, to a number of partitions that adaptive
+    execution doesn't join by bytes."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")
-    out = docs.select(key, F.col("doc_id").cast("long"), F.col(text).alias("text")).repartition(n, "_key")
+    out = docs.select(key_of_document(), F.col("doc_id").cast("long"), F.col(text).alias("text")).repartition(n, "_key")
     for table in given:
-        out = out.join(table.select(key, *[c for c in table.columns if c != "doc_id"]), "_key", how)
+        out = out.join(table.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("_key"), *[c for c in table.columns if c != "doc_id"]), "_key", how)
     return out.drop("_key")
 
 

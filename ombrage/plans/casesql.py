@@ -491,3 +491,57 @@ fresh AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.d
 total AS (SELECT doc_id, max(ord) AS top FROM a GROUP BY doc_id),
 rows_ AS (SELECT * FROM a UNION ALL SELECT fresh.* REPLACE (CAST(coalesce(top, -1) + row_number() OVER (PARTITION BY fresh.doc_id ORDER BY ord) AS INTEGER) AS ord) FROM fresh LEFT JOIN total ON total.doc_id = fresh.doc_id)
 SELECT {_ROW} FROM rows_"""
+
+
+# ── Stray spaces ─────────────────────────────────────────────────────────────
+
+
+def spacing(source: str, dictionary: str) -> str:
+    """CTEs from a source of (doc_id, text) and a dictionary of (word) to kept: the suspects."""
+    letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+    token, wide = f"[{letters}'’()\\[\\]0-9°.,]+", f"([{letters}0-9][{letters}0-9]+|[0-9]+)( {{2,}})([{letters}0-9][{letters}0-9]+|[0-9]+)"
+    each = lambda pattern: f"SELECT doc_id, j, base, line, k, hits[k + 1] AS w, {START} AS a, hits, rest FROM (SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc_id, j, base, line, {places('line', pattern)} FROM sl))"
+    return f"""
+src AS MATERIALIZED ({source}), dict AS MATERIALIZED (SELECT list(DISTINCT word) AS ws FROM ({dictionary})),
+sl AS MATERIALIZED (SELECT doc_id, j, line, coalesce(CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS base FROM (SELECT doc_id, unnest(range(len(ls))) AS j, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM src))),
+tk AS MATERIALIZED ({each(token)}),
+sh AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, j ORDER BY k) AS island FROM tk WHERE length(w) <= 2),
+ru AS MATERIALIZED (
+  SELECT doc_id, j, island, any_value(base) AS base, any_value(line) AS line, min(a) AS a, max(a + length(w)) AS b, string_agg(w, ' ' ORDER BY k) AS plain, list(w ORDER BY k) AS ws FROM sh GROUP BY doc_id, j, island
+  HAVING count(*) >= CASE WHEN contains(any_value(line), '  ') THEN 2 ELSE 3 END
+),
+gp AS (SELECT sh.doc_id, sh.j, sh.island, bool_or(regexp_matches(rest[k + 1], '[-/]')) AS cut FROM sh JOIN ru ON ru.doc_id = sh.doc_id AND ru.j = sh.j AND ru.island = sh.island WHERE sh.a > ru.a GROUP BY sh.doc_id, sh.j, sh.island),
+r1 AS (SELECT ru.* FROM ru LEFT JOIN gp ON gp.doc_id = ru.doc_id AND gp.j = ru.j AND gp.island = ru.island WHERE NOT coalesce(cut, false)),
+-- Runs of single letters or digits; longer tokens stand alone, signs go with either.
+m0 AS (SELECT doc_id, j, island, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM r1),
+m1 AS (SELECT *, CASE WHEN length(w) > 1 THEN NULL WHEN w IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9') THEN 'digit' WHEN regexp_full_match(w, '[{letters}]') THEN 'letter' END AS own, sum(CASE WHEN length(w) > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, j, island ORDER BY i) * 2 + CASE WHEN length(w) > 1 THEN 0 ELSE 1 END AS stretch FROM m0),
+m2 AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, j, island, stretch ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM m1),
+m3 AS (SELECT *, sum(CASE WHEN own <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, j, island, stretch ORDER BY i) AS part FROM m2),
+m4 AS MATERIALIZED (SELECT doc_id, j, island, min(i) AS i, string_agg(w, '' ORDER BY i) AS s, max(own) = 'letter' AND count(*) > 2 AS split FROM m3 GROUP BY doc_id, j, island, stretch, part),
+sg AS (
+  SELECT DISTINCT s, s AS rest, CAST([] AS VARCHAR[]) AS words FROM m4 WHERE split
+  UNION ALL SELECT s, rest[:length(rest) - n], list_prepend(rest[length(rest) - n + 1:], words) FROM (
+    SELECT *, coalesce(list_filter([5, 4, 3, 2], lambda k: k <= length(rest) AND list_contains(ws, lower(rest[length(rest) - k + 1:])))[1], 1) AS n FROM sg, dict WHERE rest <> '')
+),
+m5 AS (SELECT doc_id, j, island, string_agg(coalesce(array_to_string(words, ' '), m4.s), ' ' ORDER BY i) AS merged FROM m4 LEFT JOIN (SELECT s, words FROM sg WHERE rest = '') w ON split AND w.s = m4.s GROUP BY doc_id, j, island),
+f1 AS (SELECT r1.doc_id, 1 AS rule, base + a AS start, base + b AS stop, line[a + 1:b] AS original, merged FROM r1 JOIN m5 ON m5.doc_id = r1.doc_id AND m5.j = r1.j AND m5.island = r1.island WHERE merged <> plain OR line[a + 1:b] <> plain),
+w0 AS (SELECT doc_id, text, hits[k + 1] AS w, {START} AS start FROM (SELECT *, unnest(range(len(hits))) AS k FROM (SELECT doc_id, text, {places('text', wide)} FROM src))),
+f2 AS (SELECT doc_id, 2 AS rule, start, start + length(w) AS stop, w AS original, regexp_extract(w, {Q.quote(wide)}, 1) || ' ' || regexp_extract(w, {Q.quote(wide)}, 3) AS merged FROM w0
+  WHERE NOT regexp_matches(text[greatest(start - 2, 0) + 1 : start + length(w) + 2], '[-/]') AND NOT EXISTS (SELECT 1 FROM f1 WHERE f1.doc_id = w0.doc_id AND f1.start <= w0.start AND f1.stop >= w0.start + length(w0.w))),
+l0 AS ({each(f'[{letters}]+')}),
+l1 AS (SELECT *, lead(w) OVER (PARTITION BY doc_id, j ORDER BY k) AS w2, lead(a) OVER (PARTITION BY doc_id, j ORDER BY k) AS a2 FROM l0),
+l2 AS (SELECT doc_id, 3 AS rule, base + a AS start, base + a2 + length(w2) AS stop, line[a + 1:a2 + length(w2)] AS original, w || w2 AS merged, a2 - a - 1 AS gap, lower(w) AS x FROM l1 WHERE length(w) = 1 AND length(w2) >= 3 AND regexp_full_match(line[a + 2:a2], ' {{1,3}}')),
+f3 AS (SELECT doc_id, rule, start, stop, original, merged FROM l2 WHERE NOT contains('aàyeoiu', x) AND NOT (contains('ldsnmcjt', x) AND gap < 2)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) o WHERE o.doc_id = l2.doc_id AND o.start <= l2.start AND o.stop >= l2.stop)),
+al AS (SELECT *, lag(stop) OVER (PARTITION BY doc_id ORDER BY start, rule, stop) AS before FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM f3)),
+kept AS (SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", original, merged FROM al WHERE before IS NULL OR start >= before)"""
+
+
+def spaced(source: str, dictionary: str) -> str:
+    return f"WITH RECURSIVE {spacing(source, dictionary)} SELECT * FROM kept"
+
+
+def respaced(source: str, dictionary: str) -> str:
+    """The text with all suspects mended, from the last to the first."""
+    step = "list_reduce(list_prepend({'a': CAST(-1 AS INTEGER), 'b': CAST(-1 AS INTEGER), 'm': text}, list_sort(found, 'DESC')), lambda acc, x: {'a': CAST(-1 AS INTEGER), 'b': CAST(-1 AS INTEGER), 'm': acc.m[:x.a] || x.m || acc.m[x.b + 1:]}).m"
+    return f"WITH RECURSIVE {spacing(source, dictionary)} SELECT src.doc_id, CASE WHEN found IS NULL THEN text ELSE {step} END AS text FROM src LEFT JOIN (SELECT doc_id, list({{'a': start, 'b': \"end\", 'm': merged}}) AS found FROM kept GROUP BY doc_id) f ON f.doc_id = src.doc_id"

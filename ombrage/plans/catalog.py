@@ -280,9 +280,19 @@ def l7(spark, d):
     return cases(spark, d).select("doc_id", lines.drop_blank_lines(F.col("text")).alias("text"))
 
 
-@register("p1_spacing_suspects")
+_SHORT_WORDS = "SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT unnest(" + K.strings(DICTIONARY) + ") AS w) WHERE length(w) BETWEEN 2 AND 5"
+
+
+def short_words(spark: SparkSession, d: str) -> frozenset[str]:
+    """The dictionary of the spacing queries: the short words of the parts' names, and more."""
+    named = spark.read.parquet(f"{d}/part.parquet").select(F.explode(F.split("p_name", " ")).alias("word"))
+    more = spark.createDataFrame([(w,) for w in sorted(DICTIONARY)], "word string")
+    return detection.word_set(named.union(more).select(F.lower("word").alias("word")).where("length(word) BETWEEN 2 AND 5").distinct())
+
+
+@register("p1_spacing_suspects", K.spaced(CASES, _SHORT_WORDS))
 def p1(spark, d):
-    return lines.find_spacing(cases(spark, d), DICTIONARY)
+    return lines.find_spacing(cases(spark, d), short_words(spark, d))
 
 
 @register("p5_overlap_filter", f'WITH s AS ({SPANS}), p AS (SELECT *, lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end") AS b FROM s) SELECT doc_id, start, "end" FROM p WHERE b IS NULL OR start >= b')
@@ -290,9 +300,9 @@ def p5(spark, d):
     return lines.without_overlaps(C.frame(spark, d, SPANS)).select("doc_id", "start", "end")
 
 
-@register("p6_fix_spacing")
+@register("p6_fix_spacing", K.respaced(CASES, _SHORT_WORDS))
 def p6(spark, d):
-    return lines.fix_spacing(cases(spark, d), DICTIONARY)
+    return lines.fix_spacing(cases(spark, d), short_words(spark, d))
 
 
 # ── Detection ────────────────────────────────────────────────────────────────

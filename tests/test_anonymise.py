@@ -131,20 +131,25 @@ def test_near_words_equal_the_full_pattern():
             assert [m.span() for m in full.finditer(text)] == [(a, b) for a, _, b, _ in A.Matcher([rule], text).matches(text)], text
 
 
-def test_null_and_repeated_ids_leak_nothing(spark):
-    """Rows of one id share their entities; a null id is one too."""
-    name = "Monsieur Jean DUPONT est venu."
-    docs = spark.createDataFrame([(None, name, 1), (None, f"{name} DUPONT part.", 1), (3, name, 1), (3, "Monsieur MARTIN et DUPONT.", 1), (4, None, 1)], "doc_id long, text string, ord int")
-    found = detect_entities(docs)
-    done = A.anonymise(docs, found).collect()
-    assert len(done) == 5 and not any("DUPONT" in r["anonymized"] or "MARTIN" in r["anonymized"] for r in done)
+def test_repeated_ids_leak_nothing_and_null_ids_are_refused(spark):
+    """Rows of one id share their entities; rows without one can't be told apart."""
     from ombrage.operators import identity, omissions, parties
 
+    name = "Monsieur Jean DUPONT est venu."
+    docs = spark.createDataFrame([(None, name, 1), (3, name, 1), (3, "Monsieur MARTIN et DUPONT.", 1), (4, None, 1)], "doc_id long, text string, ord int")
+    found = detect_entities(docs)
+    known = docs.where("doc_id IS NOT NULL")
+    done = A.anonymise(known, found).collect()
+    assert len(done) == 3 and not any("DUPONT" in r["anonymized"] or "MARTIN" in r["anonymized"] for r in done)
+    assert not any("DUPONT" in r["value"] for r in omissions.find_omissions(known, found).collect())
+    assert parties.detect_parties(known, found).count() >= 0
+    cuts = spark.createDataFrame([(None, 0, "venu", "x", "all", None), (3, 0, "venu", "parti", "all", None)], "doc_id long, ord int, word string, replacement string, scope string, position int")
+    assert sum("parti" in r["anonymized"] for r in A.anonymise(known, found, cuts).collect()) == 1
+    for operator in (A.anonymise, omissions.find_omissions, parties.detect_parties):
+        with pytest.raises(Exception, match="without doc_id"):
+            operator(docs, found).collect()
     assert {r["doc_id"] for r in identity.resolve(docs, found).collect()} == {None, 3}
-    assert not any("DUPONT" in r["value"] for r in omissions.find_omissions(docs, found).collect())
-    assert parties.detect_parties(docs, found).count() >= 0
-    cuts = spark.createDataFrame([(None, 0, "venu", "parti", "all", None)], "doc_id long, ord int, word string, replacement string, scope string, position int")
-    assert sum("parti" in r["anonymized"] for r in A.anonymise(docs.where("doc_id IS NULL"), found, cuts).collect()) == 2
+    assert not any("DUPONT" in r["anonymized"] for r in A.pseudonymise(docs).collect())
 
 
 def plain_substitute(text, entities):
