@@ -201,18 +201,3 @@ def merge_concordance(entities: DataFrame, rows: DataFrame) -> DataFrame:
     kind = F.coalesce("type", F.lit("NOM"))
     given = {"doc_id": F.col("doc_id"), "ord": F.col("ord"), "id": F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), kind, "_low"), 256), "value": js_trim(F.col("value")), "type": kind, "label": F.coalesce("label", kind), "occurrences": F.lit(0), "aliases": _once(F.col("_more"), F.lit("")), "active": F.lit(True), "blocked": F.lit(False)}
     return united.unionByName(placed.select(*[given.get(c, F.lit(None)).cast(entities.schema[c].dataType).alias(c) for c in entities.columns]))
-
-
-#: Fixed value: how many states can be undone.
-UNDO_DEPTH = 20
-
-
-def push_version(history: DataFrame | None, entities: DataFrame, version: int) -> DataFrame:
-    """The table as a version; the UNDO_DEPTH latest stay."""
-    new = entities.withColumn("version", F.lit(version))
-    both = new if history is None else history.unionByName(new)
-    return both.where(F.col("version") > version - UNDO_DEPTH)
-
-
-def undo(history: DataFrame, version: int) -> DataFrame:
-    return history.where(F.col("version") == version).drop("version")

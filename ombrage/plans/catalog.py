@@ -14,7 +14,7 @@ from ..functions import entity_rules as E
 from ..functions import ocr_rules as R
 from ..functions import text as T
 from ..operators import anonymise, cleaning, curation, detection, identity, lines, omissions, parties, spans
-from ..sources import files, pdf, sinks, tables
+from ..sources import files, pdf, sinks, store, tables
 from . import casesql as K
 from . import corpus as C
 from . import sqltext as Q
@@ -1097,8 +1097,54 @@ def c2_set(spark, d):
 def c12(spark, d):
     e, x = entities(spark, d), C.frame(spark, d, _CHOSEN)
     once = curation.toggle(e, x)
-    history = curation.push_version(curation.push_version(curation.push_version(None, e, 1), once, 2), curation.toggle(once, x), 3)
-    return curation.undo(history, 2).select("doc_id", "id", "active")
+    kept = store.entity_store(spark, store.scratch(spark, "entities"), e)
+    for state in (e, once, curation.toggle(once, x)):
+        kept.commit(state)
+    kept.undo()
+    return kept.read().select("doc_id", "id", "active")
+
+
+@register(
+    "s18_rules_stored",
+    "SELECT CAST(n_nationkey AS INT) AS rule_no, CAST(n_nationkey AS VARCHAR) AS id, n_name AS \"from\", CASE WHEN n_regionkey = 1 THEN upper(n_name) ELSE lower(n_name) END AS \"to\", n_regionkey = 2 AS \"caseSensitive\", CAST(n_nationkey * 10 AS BIGINT) AS \"createdAt\" FROM nation WHERE n_regionkey <> 0",
+)
+def s18(spark, d):
+    """Rules of the nations: put, some changed, some taken out and that undone, others taken out."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    rules = n.select(F.col("n_nationkey").cast("int").alias("rule_no"), F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("from"), F.lower("n_name").alias("to"), (F.col("n_regionkey") == 2).alias("caseSensitive"), (F.col("n_nationkey") * 10).cast("long").alias("createdAt"), "n_regionkey")
+    kept = store.rule_store(spark, store.scratch(spark, "rules"))
+    kept.commit(rules)
+    kept.commit(rules.where("n_regionkey = 1").withColumn("to", F.upper("to")))
+    kept.commit(gone=rules.where("n_regionkey = 3"))
+    kept.undo()
+    kept.commit(gone=rules.where("n_regionkey = 0"))
+    return kept.read()
+
+
+@register("k8_types_stored", f"{WITH_ENTITIES}, l AS (SELECT DISTINCT label FROM e) SELECT {_TYPE_ID.format('label')} AS id, label FROM l")
+def k8(spark, d):
+    """Types made of labels, saved twice with another label first: the last one counts."""
+    labels = entities(spark, d).select("label").distinct()
+    types = labels.select(tables.type_id(F.col("label")).alias("id"), "label")
+    kept = store.type_store(spark, store.scratch(spark, "types"))
+    kept.commit(types.withColumn("label", F.lower("label")))
+    kept.commit(types)
+    return kept.read()
+
+
+_ARCHIVED = "2024-05-06 07:08:00"
+
+
+@register(
+    "k5_archive",
+    f"""{WITH_CASES}, {Q.crc_table()}, p AS (SELECT doc_id, 'original_2024-05-06_07h08.txt' AS name, text AS x FROM c UNION ALL SELECT doc_id, 'session_2024-05-06_07h08.json', '{{"doc_id":' || doc_id || '}}' FROM c UNION ALL SELECT doc_id, 'vide.txt', '' FROM c)
+    SELECT doc_id, name, CAST(strlen(x) AS BIGINT) AS size, CASE WHEN x = '' THEN 0 ELSE {Q.crc32('encode(x)')} END AS crc32, true AS sound FROM p, crc_table""",
+)
+def k5(spark, d):
+    """Exports as ZIP files, made in columns and read again."""
+    at = F.to_timestamp(F.lit(_ARCHIVED))
+    parts = [(sinks.file_name(F.lit(""), "original", "txt", at), F.col("text")), (sinks.file_name(F.lit(""), "session", "json", at), F.to_json(F.struct("doc_id"))), (F.lit("vide.txt"), F.lit(None).cast("string"))]
+    return files.zip_entries(cases(spark, d).select("doc_id", sinks.zip_archive(parts).alias("content")))
 
 
 @register("c13_shrink_block_list", f"{WITH_ENTITIES} SELECT DISTINCT trim(lower(value)) AS word FROM e EXCEPT SELECT 'catherine dupont'")

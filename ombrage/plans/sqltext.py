@@ -62,3 +62,17 @@ def value(expr: str) -> str:
 
 def count(expr: str, p: str) -> str:
     return f"len(regexp_extract_all({expr}, {pattern(p)}))"
+
+
+def crc32(blob: str) -> str:
+    """CRC-32 of bytes, by the table of remainders (crc_table, a CTE of one row t)."""
+    h = f"lower(hex({blob}))"
+    bytes_ = f"list_transform(range(0, length({h}) // 2), lambda j: CAST('0x' || substr({h}, CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {bytes_}), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)), 4294967295)"
+
+
+def crc_table() -> str:
+    step = "SELECT i, i AS x0 FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)"
+    for k in range(8):
+        step = f"SELECT i, CASE WHEN x{k} & 1 = 1 THEN xor(x{k} >> 1, 3988292384) ELSE x{k} >> 1 END AS x{k + 1} FROM ({step})"
+    return f"crc_table AS MATERIALIZED (SELECT list(x8 ORDER BY i) AS t FROM ({step}))"

@@ -88,6 +88,29 @@ def decode_text(content: bytes) -> str:
     return re.sub("\r\n?", "\n", text)
 
 
+def zip_entries(archives: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, content) of ZIP files to (key, name, size, crc32, sound): their entries as the
+    directory has them, and whether the stored bytes agree; nothing for what is none."""
+    kind = archives.schema[key].dataType.simpleString()
+    names = ["name", "size", "crc32", "sound"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(batch.column(1)[k].as_py() or b"")) as z:
+                        bad = z.testzip()
+                        rows = [(i.filename, i.file_size, i.CRC, i.filename != bad) for i in z.infolist()]
+                except zipfile.BadZipFile:
+                    pass
+                ids = pa.array([batch.column(0)[k].as_py()] * len(rows), batch.schema.field(0).type)
+                types = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], [key, *names])
+
+    return archives.select(key, "content").mapInArrow(run, f"{key} {kind}, name string, size long, crc32 long, sound boolean")
+
+
 Extractor = Callable[[bytes], str]
 EXTRACTED = "filename string, extension string, text string, method string"
 

@@ -97,8 +97,6 @@ def test_curation(spark):
     assert [(r["ord"], r["value"]) for r in curation.add_manual(e, new).orderBy("ord").collect()][0] == (-1, "Neuf")
     assert [r["value"] for r in curation.append_new(e, table(spark, Found("DUPONT", "NOM"), Found("Z", "NOM"))).orderBy("ord").collect()][-1] == "Z"
     assert [r["value"] for r in curation.view(e, search="du", ascending=False).collect()] == ["Durand", "Dupont"]
-    h = curation.push_version(curation.push_version(None, e, 1), left, 2)
-    assert curation.undo(h, 1).count() == 3
 
 
 def test_parties(spark, texts):
@@ -211,8 +209,11 @@ def test_export_all(spark, tmp_path):
     sinks.export_all(r, c, r, r.select("doc_id", F.col("text").alias("rawText")), F.lit("2024-01-31 12:05:00").cast("timestamp"), str(tmp_path / "e"))
     assert next((tmp_path / "e/anonymised/doc_id=1").glob("*.txt")).read_text() == "x\n"
     assert "[NOM_1];A;B;A;NOM;;" in next((tmp_path / "e/concordance/doc_id=1").glob("*.txt")).read_text()
-    sinks.zip_document({"a.txt": "x"}, str(tmp_path / "e.zip"))
-    assert zipfile.ZipFile(tmp_path / "e.zip").read("a.txt") == b"x"
+    archives = sinks.export_archives(r, c, r, r.select("doc_id", F.col("text").alias("rawText")), F.lit("2024-01-31 12:05:00").cast("timestamp")).collect()
+    assert [a["filename"] for a in archives] == ["1_export_2024-01-31_12h05.zip"]
+    with zipfile.ZipFile(io.BytesIO(archives[0]["content"])) as z:
+        assert z.testzip() is None and [i.split("_")[0] for i in z.namelist()] == ["anonymise", "concordance", "original", "session"]
+        assert z.read(z.namelist()[0]).decode() == "x" and "[NOM_1];A;B;A;NOM;;" in z.read(z.namelist()[1]).decode()
 
 
 def test_word_lists(spark, tmp_path):
