@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
-from ..functions.text import WS, deaccent, fold, normal_value, py_deaccent, py_squeeze, py_trim, py_value, python_pattern, render
+from ..functions.text import WS, deaccent, fold, normal_value, py_deaccent, py_squeeze, py_trim, py_value, python_pattern, render, squeeze
 
 ENTITY = (
     "doc_id long, ord int, id string, value string, type string, label string, occurrences int, aliases array<string>, active boolean, blocked boolean,"
@@ -470,3 +471,56 @@ def variants_of(s: Column) -> Column:
     """A string and all strings with one of its characters left out."""
     cut = F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.length(s))))
     return F.array_distinct(F.concat(F.array(s), cut))
+
+
+# ── Near spellings ───────────────────────────────────────────────────────────
+
+
+def _near(a: Column, b: Column) -> Column:
+    return (F.length(a) >= 5) & (F.length(b) >= 5) & (F.levenshtein(a, b, 1) >= 0)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether words a are a damaged form of words b: one word near one of several or near the
+    only one; of as many words, each equal or near one of its own."""
+
+    def without(free: Column, x: Column) -> Column:
+        fits = F.transform(free, lambda y: (y == x) | _near(y, x))
+        at = F.array_position(fits, True).cast("int")
+        return F.when(at > 0, F.concat(F.slice(free, 1, at - 1), F.slice(free, at + 1, F.size(free))))
+
+    paired = F.aggregate(a, b, without).isNotNull()
+    return F.when(F.size(a) == 1, F.exists(b, lambda y: _near(y, F.element_at(a, 1)))).otherwise((F.size(a) == F.size(b)) & paired)
+
+
+def join_spellings(names: DataFrame) -> DataFrame:
+    """(doc_id, ord, value, occurrences) to the same with joined, the ord of the name that a
+    spelling joins (null: it stays), and occurrences as they are in the end.
+
+    In order of frequency, then ord, each spelling of five characters and more joins
+    the first name that it is alike to and that is more frequent by then, three times as
+    frequent where both are one word; what joins adds its occurrences. Pairs meet by
+    (document, word or the word less a letter), so only what can be alike does; the order
+    is then kept by one pass over a document's pairs."""
+    words = F.transform(F.filter(F.split(squeeze(F.col("value")), " "), lambda w: w != ""), lambda w: F.lower(deaccent(w)))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("occurrences"), "ord"))
+    ranked = names.select("doc_id", "ord", "value", F.col("occurrences").cast("long").alias("n"), words.alias("words"), place.alias("k"))
+    forms = lambda w: F.when(F.length(w) < 5, F.array(w)).otherwise(variants_of(w))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d")
+    a = ranked.where((F.size("words") > 0) & (F.length("value") >= 5)).select(key, "k", "words", F.explode(forms(F.element_at("words", 1))).alias("_form"))
+    b = ranked.select(key, F.col("k").alias("j"), F.col("words").alias("others"), F.explode(F.array_distinct(F.flatten(F.transform("words", forms)))).alias("_form"))
+    single = (F.size("words") == 1) & (F.size("others") == 1)
+    pairs = a.join(b, ["_d", "_form"]).where("k <> j").select("_d", "k", "j", "words", "others").distinct().where(_alike(F.col("words"), F.col("others"))).select("_d", "k", F.struct("j", single.alias("single")).alias("to"))
+    steps = pairs.groupBy("_d", "k").agg(F.array_sort(F.collect_list("to")).alias("to")).groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("k", "to"))).alias("steps"))
+    counts = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n", "ord"))), lambda x: F.struct(x["n"].alias("n"), F.lit(None).cast(names.schema["ord"].dataType).alias("joined"), x["ord"].alias("ord"))).alias("all"))
+
+    def step(state: Column, s: Column) -> Column:
+        own = F.element_at(state, s["k"])
+        fits = F.filter(s["to"], lambda t: F.element_at(state, t["j"])["joined"].isNull() & (F.element_at(state, t["j"])["n"] > own["n"]) & (~t["single"] | (F.element_at(state, t["j"])["n"] >= 3 * own["n"])))
+        to = F.get(fits, F.lit(0))["j"]
+        joins = F.transform(state, lambda e, i: F.struct((e["n"] + F.when(i + 1 == to, own["n"]).otherwise(0)).alias("n"), F.when(i + 1 == s["k"], F.element_at(state, to)["ord"]).otherwise(e["joined"]).alias("joined"), e["ord"].alias("ord")))
+        return F.when(to.isNull(), state).otherwise(joins)
+
+    done = counts.join(steps, "_d").select("_d", F.posexplode(F.aggregate("steps", F.col("all"), step)).alias("at", "e")).select("_d", (F.col("at") + 1).alias("_k"), "e")
+    found = ranked.withColumn("_key", key).join(done, (F.col("_key") == F.col("_d")) & (F.col("k") == F.col("_k")), "left")
+    return found.select("doc_id", "ord", "value", F.coalesce("e.n", "n").alias("occurrences"), F.col("e.joined").alias("joined"))

@@ -545,3 +545,25 @@ def respaced(source: str, dictionary: str) -> str:
     """The text with all suspects mended, from the last to the first."""
     step = "list_reduce(list_prepend({'a': CAST(-1 AS INTEGER), 'b': CAST(-1 AS INTEGER), 'm': text}, list_sort(found, 'DESC')), lambda acc, x: {'a': CAST(-1 AS INTEGER), 'b': CAST(-1 AS INTEGER), 'm': acc.m[:x.a] || x.m || acc.m[x.b + 1:]}).m"
     return f"WITH RECURSIVE {spacing(source, dictionary)} SELECT src.doc_id, CASE WHEN found IS NULL THEN text ELSE {step} END AS text FROM src LEFT JOIN (SELECT doc_id, list({{'a': start, 'b': \"end\", 'm': merged}}) AS found FROM kept GROUP BY doc_id) f ON f.doc_id = src.doc_id"
+
+
+def spellings(source: str) -> str:
+    """(doc_id, ord, value, occurrences): which near spelling joins which, step by step."""
+    low = "lower(strip_accents({}))".format
+    near = lambda a, b: f"(length({a}) >= 5 AND length({b}) >= 5 AND levenshtein({a}, {b}) <= 1)"
+    fits = f"list_filter(range(1, len(free) + 1), lambda i: free[i] = w[1] OR {near('free[i]', 'w[1]')})[1]"
+    return f"""WITH RECURSIVE n0 AS MATERIALIZED (SELECT *, {words(low('value'))} AS ws, row_number() OVER (PARTITION BY doc_id ORDER BY occurrences DESC, ord) AS k FROM ({source})),
+nf AS (SELECT DISTINCT doc_id, k, unnest(flatten(list_transform(ws, lambda w: CASE WHEN length(w) < 5 THEN [w] ELSE list_append(list_transform(range(1, length(w) + 1), lambda i: w[:i - 1] || w[i + 1:]), w) END))) AS form FROM n0),
+np AS (SELECT DISTINCT a.doc_id, a.k AS c, b.k AS j FROM nf a JOIN nf b ON a.doc_id = b.doc_id AND a.form = b.form AND a.k <> b.k),
+nl AS (SELECT np.doc_id, c, j, len(a.ws) = 1 AND len(b.ws) = 1 AS single FROM np JOIN n0 a ON a.doc_id = np.doc_id AND a.k = c JOIN n0 b ON b.doc_id = np.doc_id AND b.k = j
+  WHERE length(a.value) >= 5 AND CASE WHEN len(a.ws) = 1 THEN len(list_filter(b.ws, lambda w: {near('w', 'a.ws[1]')})) > 0 WHEN len(a.ws) <> len(b.ws) THEN false
+    ELSE list_reduce(list_prepend(b.ws, list_transform(a.ws, lambda w: [w])), lambda free, w: CASE WHEN free IS NULL OR {fits} IS NULL THEN NULL ELSE list_concat(free[:{fits} - 1], free[{fits} + 1:]) END) IS NOT NULL END),
+nt AS MATERIALIZED (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY c) AS step, list(struct_pack(j := j, single := single) ORDER BY j) AS js FROM nl GROUP BY doc_id, c),
+ns AS (SELECT doc_id, list(struct_pack(n := CAST(occurrences AS BIGINT), o := ord, t := CAST(NULL AS INTEGER)) ORDER BY k) AS p FROM n0 WHERE doc_id IN (SELECT doc_id FROM nt) GROUP BY doc_id),
+go AS (
+  SELECT doc_id, p, CAST(0 AS BIGINT) AS step FROM ns
+  UNION ALL SELECT doc_id, CASE WHEN j IS NULL THEN p ELSE list_transform(p, lambda e, i: struct_pack(n := e.n + CASE WHEN i = j THEN p[c].n ELSE 0 END, o := e.o, t := CASE WHEN i = c THEN p[j].o ELSE e.t END)) END, step
+  FROM (SELECT go.doc_id, p, nt.step, c, list_filter(js, lambda x: p[c].t IS NULL AND p[x.j].t IS NULL AND p[x.j].n > p[c].n AND (NOT x.single OR p[x.j].n >= 3 * p[c].n))[1].j AS j FROM go JOIN nt ON nt.doc_id = go.doc_id AND nt.step = go.step + 1)
+),
+en AS (SELECT doc_id, unnest(p) AS e, unnest(range(1, len(p) + 1)) AS k FROM (SELECT doc_id, arg_max(p, step) AS p FROM go GROUP BY doc_id))
+SELECT n0.doc_id, ord, value, coalesce(e.n, occurrences) AS occurrences, e.t AS joined FROM n0 LEFT JOIN en ON en.doc_id = n0.doc_id AND en.k = n0.k"""

@@ -370,6 +370,25 @@ def d11(spark, d):
     return detection.near_names(both, "name", "k")
 
 
+_COUNTED = "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY word) AS INTEGER) AS ord, word AS value, n AS occurrences FROM ({})"
+
+
+@register("d10_near_spellings", K.spellings(_COUNTED.format(_words_sql("documents"))))
+def d10(spark, d):
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("word"))
+    return detection.join_spellings(detection.word_counts(docs(spark, d)).select("doc_id", n.alias("ord"), F.col("word").alias("value"), F.col("n").alias("occurrences")))
+
+
+@register("d10_near_names", K.spellings(f"SELECT doc_id, ord, CASE ord % 7 WHEN 0 THEN replace(value, 'o', '') WHEN 1 THEN replace(value, 'a', 'e') ELSE value END AS value, CAST(occurrences + ord % 5 * 4 AS BIGINT) AS occurrences FROM ({ENTITIES})"))
+def d10_names(spark, d):
+    """Names of several words, of which some are spelt wrongly."""
+    e = entities(spark, d)
+    value = F.when(F.col("ord") % 7 == 0, F.replace("value", F.lit("o"), F.lit(""))).when(F.col("ord") % 7 == 1, F.replace("value", F.lit("a"), F.lit("e"))).otherwise(F.col("value"))
+    return detection.join_spellings(e.select("doc_id", "ord", value.alias("value"), (F.col("occurrences") + F.col("ord") % 5 * 4).cast("long").alias("occurrences")))
+
+
 @register("d_detect", K.detected(CASES, BLOCK_LIST))
 def detect(spark, d):
     return listed(detection.detect_entities(cases(spark, d), BLOCK_LIST))

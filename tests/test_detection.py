@@ -108,3 +108,27 @@ def test_merges_equal_all_pairs():
         assert show(detector.merge_fuzzy(a)) == show(plain_merge(detector, b))
         a, b = copy.deepcopy(people), copy.deepcopy(people)
         assert show(detector.consolidate(a)) == show(plain_consolidate(detector, b))
+
+
+def test_spellings_join_as_in_a_document(spark):
+    """The relation against the pass over one document's entities."""
+    import random
+
+    from ombrage.operators.detection import Detector, Found, join_spellings
+
+    rng = random.Random(3)
+    base = ["Dupontel", "Bouchaaba", "Jean Dupontel", "Marchandeau", "Li", "Anne Marie Kermadec", "Éric Valois"]
+
+    def damaged(name):
+        k = rng.randrange(len(name))
+        return rng.choice([name, name[:k] + name[k + 1 :], name[:k] + "x" + name[k:], name[:k] + "z" + name[k + 1 :]])
+
+    rows, want = [(7, 0, None, 1), (None, 0, "Dupontel", 9), (None, 1, "Dupontl", 1)], {(None, "Dupontel"): 10}
+    for doc in range(40):
+        names = list(dict.fromkeys(damaged(rng.choice(base)) for _ in range(14)))
+        found = [Found(n, "NOM", occurrences=rng.randrange(1, 12)) for n in names]
+        rows += [(doc + 10, k, e.value, e.occurrences) for k, e in enumerate(found)]
+        for e in Detector(frozenset()).merge_fuzzy(found):
+            want[doc + 10, e.value] = e.occurrences
+    got = join_spellings(spark.createDataFrame(rows, "doc_id long, ord int, value string, occurrences int")).where("joined IS NULL AND value IS NOT NULL").collect()
+    assert {(r["doc_id"], r["value"]): r["occurrences"] for r in got} == want
