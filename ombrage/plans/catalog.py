@@ -783,6 +783,40 @@ def h1(spark, d):
     return spans.segment_documents(c, c.select("doc_id", rows.alias("t")).select("doc_id", "t.*"))
 
 
+#: All passes: (pass, term, flexible). The spacing pass, which unmarks what it doesn't match, for odd documents.
+_PASSES = [(0, "te juge"), (0, "ta société"), (1, "Dupont"), (1, "rue de Vaugirard"), (1, "Catherine Dupont"), (1, "Jean-Pierre"), (1, "Laprès"), (2, "SARL"), (3, "dup"), (4, "et"), (5, "confirme"), (6, "tél.")]
+
+
+def _passes_sql() -> str:
+    steps, last = [f"{WITH_CASES}", "s0 AS (SELECT doc_id, [0] AS at, text, 'normal' AS label, CAST(NULL AS VARCHAR) AS origin FROM c)"], "s0"
+    for n, (p, term) in enumerate(_PASSES, 1):
+        kind = spans.PASSES[p]
+        body = "".join("\\" + ch if ch in ".*+?^${}()|[]\\" else ch for ch in term)
+        rx = Q.quote("(?i)" + (body.replace(" ", T.render("[{ws},\\-]+", "re2")) if p in (1, 2, 6) else body))
+        cut = f"list_filter(flatten(list_transform(range(len(regexp_extract_all(text, {rx})) + 1), lambda i: [struct_pack(t := string_split_regex(text, {rx})[i + 1], l := 'normal'), struct_pack(t := regexp_extract_all(text, {rx})[i + 1], l := '{kind}')])), lambda x: coalesce(x.t, '') <> '')"
+        whole = f"[struct_pack(t := text, l := CASE WHEN {'label <> ' + chr(39) + 'normal' + chr(39) + f' AND regexp_matches(text, {rx})' if p == 3 else 'false'} THEN 'hl-search-in-rule' ELSE label END)]"
+        split = "doc_id % 2 = 1" if p == 4 else "label = 'normal'"
+        steps.append(f"p{n} AS (SELECT doc_id, at, label, origin, {split} AS cut, CASE WHEN {split} THEN {cut} ELSE {whole} END AS ps FROM {last})")
+        steps.append(f"s{n} AS MATERIALIZED (SELECT doc_id, list_append(at, i) AS at, p.t AS text, p.l AS label, CASE WHEN cut THEN NULL WHEN p.l = 'hl-search-in-rule' AND label <> p.l THEN label ELSE origin END AS origin FROM (SELECT doc_id, at, label, origin, cut, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM p{n}))")
+        last = f"s{n}"
+    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(spans.PASSES))
+    head, rest = steps[0], [x.replace(" at,", " place,").replace("AS at", "AS place").replace("list_append(at,", "list_append(place,") for x in steps[1:]]
+    return f"""{head}, {", ".join(rest)}, e AS (SELECT *, CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY place) AS INT) AS stop FROM {last})
+    SELECT doc_id, stop - CAST(length(text) AS INT) AS start, stop AS "end", text, label AS type, CASE label {ranks} END AS priority, origin FROM e"""
+
+
+@register("h3_all_passes", _passes_sql())
+def h3(spark, d):
+    c = cases(spark, d)
+    of = lambda p: [t for k, t in _PASSES if k == p]
+    many = lambda p, name: c.select("doc_id", F.posexplode(F.array(*map(F.lit, of(p)))).alias("ord", name))
+    one = lambda p: c.select("doc_id", F.lit(of(p)[0]).alias("term"))
+    listed_ = many(1, "value").withColumns({"aliases": F.array().cast("array<string>"), "active": F.lit(True), "blocked": F.lit(False)})
+    rules = many(0, "from").select("doc_id", F.col("ord").alias("rule_no"), "from", F.lit(False).alias("caseSensitive"))
+    terms = spans.terms_of(rules, listed_, many(2, "word"), one(3), one(4).where("doc_id % 2 = 1"), one(5).withColumn("case_sensitive", F.lit(False)), one(6))
+    return spans.segment_documents(c, terms)
+
+
 @register("h2_overlaps", f'WITH s AS ({SPANS}), a AS (SELECT * FROM s WHERE n % 2 = 0), b AS (SELECT * FROM s WHERE n % 2 = 1) SELECT a.doc_id, a.start AS a_start, a."end" AS a_end, b.start AS b_start, b."end" AS b_end, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM a JOIN b ON a.doc_id = b.doc_id AND a.start < b."end" AND b.start < a."end"')
 def h2(spark, d):
     s = C.frame(spark, d, SPANS)
