@@ -111,3 +111,33 @@ def py_title(s: str | None) -> str:
 def py_value(s: str | None) -> str:
     flat = py_squeeze(s)
     return flat if flat == flat.upper() and len(flat) > 3 else py_title(flat)
+
+
+class Containing:
+    """Values by their grams of three characters: what a key contains or is contained in is
+    looked for among those that share the gram which decides it, not among all."""
+
+    GRAM = 3
+
+    def __init__(self, values: list[str]):
+        self.values = values
+        self.short: list[int] = []
+        self.begin: dict[str, list[int]] = {}
+        self.inside: dict[str, list[int]] = {}
+        q = self.GRAM
+        for k, v in enumerate(values):
+            if len(v) < q:
+                self.short.append(k)
+            else:
+                self.begin.setdefault(v[:q], []).append(k)
+            for gram in {v[i : i + q] for i in range(len(v) - q + 1)}:
+                self.inside.setdefault(gram, []).append(k)
+
+    def first(self, key: str) -> int | None:
+        """The first value that contains the key or is contained in it."""
+        q = self.GRAM
+        around = self.inside.get(key[:q], ()) if len(key) >= q else range(len(self.values))
+        best = next((k for k in around if key in self.values[k]), None)
+        within = {k for i in range(len(key) - q + 1) for k in self.begin.get(key[i : i + q], ())} | set(self.short)
+        fits = [k for k in within if (best is None or k < best) and self.values[k] in key]
+        return min(fits, default=best)

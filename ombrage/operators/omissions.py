@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
-from ..functions.text import WS, py_squeeze, py_trim, python_pattern
+from ..functions.text import WS, Containing, py_squeeze, py_trim, python_pattern
 from .anonymise import escaped
 from .detection import by_document
 
@@ -29,7 +29,7 @@ class Captured:
             self.known.add(w)
             self.cut |= {w, *(t for t in w.split(" ") if len(t) >= 4)}
         self.known |= {py_trim(v.lower()) for v in ignored}
-        self.long = [v for v in self.known if len(v) >= 8]
+        self.long = Containing([v for v in self.known if len(v) >= 8])
 
     def covers(self, category: str, key: str) -> bool:
         if key in self.known:
@@ -39,7 +39,7 @@ class Captured:
         if category in EXACT_ONLY:
             return False
         words = [w for w in re.split(f"[{WS}]+", key) if len(w) >= 3]
-        return any(w in self.known for w in words) or any(key in v or v in key for v in self.long)
+        return any(w in self.known for w in words) or self.long.first(key) is not None
 
 
 def marked(text: str, start: int, end: int, value: str, tag: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
-from ..functions.text import py_deaccent, render
+from ..functions.text import Containing, py_deaccent, render
 from .anonymise import escaped
 from .detection import by_document
 
@@ -29,6 +29,7 @@ def find_parties(text: str, entities: list[dict], keywords: dict[str, list[str]]
     for e in entities:
         for form in (e["value"], *(e["aliases"] or [])):
             index[folded(form)] = e["id"]
+    names, near = list(index), Containing(list(index))
     out, seen = [], set()
     title, name = render(E.PARTY_TITLE, "python"), render(E.PARTY_NAME, "python")
     for side, words in keywords.items():
@@ -43,7 +44,7 @@ def find_parties(text: str, entities: list[dict], keywords: dict[str, list[str]]
                 if len(key) < 3 or (side, key) in seen:
                     continue
                 seen.add((side, key))
-                who = index.get(key) or next((i for k, i in index.items() if key in k or k in key), None)
+                who = index.get(key) or (index[names[k]] if (k := near.first(key)) is not None else None)
                 a, b = max(0, m.start() - 30), min(len(text), m.end() + 30)
                 context = ("…" if a else "") + text[a:b].replace("\n", " ") + ("…" if b < len(text) else "")
                 out.append({"name": m["n"].strip(), "side": side, "entity_id": who, "context": context})
