@@ -167,6 +167,14 @@ def n9(spark, d):
     return cleaning.clean_with_scores(cases(spark, d)).select("doc_id", "cleaned")
 
 
+@register(
+    "n9_scores",
+    f"{WITH_CASES}, d AS (SELECT doc_id, CAST({_NOISE} AS INT) AS b, {_CLEAN} AS text FROM c), s AS (SELECT doc_id, b, CAST({_NOISE} AS INT) AS a FROM d) SELECT doc_id, b AS \"ocrScoreBefore\", a AS \"ocrScore\", CASE WHEN a <= 1 THEN 'clean' WHEN a <= 3 THEN 'moyen' ELSE 'bruite' END AS \"ocrLevel\" FROM s",
+)
+def n9_scores(spark, d):
+    return cleaning.clean_with_scores(cases(spark, d)).select("doc_id", "ocrScoreBefore", "ocrScore", "ocrLevel")
+
+
 @register("n10_suspicious", f"{WITH_CASES} SELECT doc_id, " + ", ".join(f'{Q.count("text", p)} AS "{n}"' for n, p in R.SUSPICIOUS) + " FROM c")
 def n10(spark, d):
     s = cleaning.suspicious(F.col("text"))
@@ -640,6 +648,28 @@ def o1(spark, d):
     return cases(spark, d).select("doc_id", F.explode(detection.matches(F.col("text"), E.OMISSIONS[2][2])).alias("value"))
 
 
+def _tagged(n: int, cat: str, kind: str, pattern: str, ignore: bool, group: int):
+    found = detection.matches(F.col("text"), pattern.replace("\\Z", "\\z"), ignore, group)
+    return F.transform(found, lambda v: F.struct(F.lit(n).alias("pattern"), F.lit(cat).alias("cat"), F.lit(kind).alias("type"), v.alias("value")))
+
+
+def _omission_patterns_sql() -> str:
+    parts = []
+    for n, (cat, kind, pattern, ignore, group) in enumerate(E.OMISSIONS):
+        if "(?=" in pattern:  # what follows is consumed in place of looked at
+            head, tail = pattern.split("(?=")
+            pattern, group = f"({head})(?:{tail.replace(chr(92) + 'Z', chr(92) + 'z')}", 1
+        parts.append(f"SELECT doc_id, {n} AS pattern, '{cat}' AS cat, '{kind}' AS type, unnest(regexp_extract_all(text, {Q.quote(('(?i)' if ignore else '') + T.render(pattern, 're2'))}, {group})) AS value FROM c")
+    return f"{WITH_CASES} " + " UNION ALL ".join(parts)
+
+
+@register("o1_patterns", _omission_patterns_sql())
+def o1_patterns(spark, d):
+    """Matches of all patterns of the omission scan."""
+    found = [_tagged(n, *rule) for n, rule in enumerate(E.OMISSIONS)]
+    return cases(spark, d).select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*")
+
+
 @register("o2_omissions", K.omitted(CASES, BLOCK_LIST, f"SELECT doc_id, ord, cat, type, value, {K.CONTEXT} AS ctx FROM suspects"))
 def o2(spark, d):
     c = cases(spark, d)
@@ -668,6 +698,15 @@ def c1(spark, d):
     return curation.view(entities(spark, d), "NOM", "Dup", True).select("doc_id", "id", "value")
 
 
+@register("c1_sorted", f"{WITH_ENTITIES} SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY lower(strip_accents(value)) DESC, value, ord) AS place FROM e")
+def c1_sorted(spark, d):
+    """The places of entities in the view in descending French order."""
+    from pyspark.sql import Window as W
+
+    shown = curation.view(entities(spark, d), ascending=False).withColumn("_at", F.monotonically_increasing_id())
+    return shown.select("doc_id", "id", F.row_number().over(W.partitionBy("doc_id").orderBy("_at")).alias("place"))
+
+
 @register("c2_counts", f"{WITH_ENTITIES} SELECT doc_id, count(*) FILTER (active) AS active, count(*) AS total FROM e GROUP BY doc_id")
 def c2(spark, d):
     return curation.counts(entities(spark, d))
@@ -944,6 +983,31 @@ def s16(spark, d):
 ORACLES["s16_session_round_trip"] = "SELECT doc_id, '2.9' AS version, md5(text) AS text, 'le' AS blacklist FROM documents"
 
 
+@register(
+    "s16_session_entities",
+    f"{WITH_ENTITIES} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INT) AS ord, id, value, type, label, occurrences, alias_1 || '|' || alias_2 AS aliases, active, blocked, CAST(NULL AS BOOLEAN) AS manual FROM e",
+)
+def s16_entities(spark, d):
+    """Entities through a session's JSON and back, in order."""
+    fields = ("id", "value", "type", "label", "occurrences", "aliases", "active", "blocked")
+    held = F.transform(F.array_sort(F.collect_list(F.struct("ord", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    states = entities(spark, d).groupBy("doc_id").agg(held.alias("entities")).withColumn("rawText", F.lit("x"))
+    made = sinks.sessions(states, F.lit("2024-01-31 12:05:00").cast("timestamp")).select("doc_id", F.lit("s.json").alias("filename"), F.col("json").alias("content"))
+    return listed(tables.session_entities(tables.load_sessions(made)))
+
+
+@register(
+    "s16_session_parties",
+    f"{WITH_ENTITIES} SELECT doc_id, CASE WHEN ord % 2 = 0 THEN 'demandeurs' ELSE 'defendeurs' END AS side, CAST(row_number() OVER (PARTITION BY doc_id, ord % 2 ORDER BY ord) AS INT) AS ordre, id AS entity_id, value AS label FROM e",
+)
+def s16_parties(spark, d):
+    """Parties through a session's JSON and back, numbered by side."""
+    side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") % 2 == k, F.struct("ord", "id", "value")))), lambda x: F.struct(x["id"].alias("entityId"), x["value"].alias("label")))
+    states = entities(spark, d).groupBy("doc_id").agg(F.struct(side(0).alias("demandeurs"), side(1).alias("defendeurs")).alias("parties")).withColumn("rawText", F.lit("x"))
+    made = sinks.sessions(states, F.lit("2024-01-31 12:05:00").cast("timestamp")).select("doc_id", F.lit("s.json").alias("filename"), F.col("json").alias("content"))
+    return tables.session_parties(tables.load_sessions(made)).select("doc_id", "side", "ordre", "entity_id", "label")
+
+
 _MET = f"WITH {_typed_sql('documents', ('EMAIL',))}, o AS (SELECT doc_id, lower(value) AS low, form, min(place) AS pl FROM v GROUP BY ALL), f AS (SELECT doc_id, low, list(form ORDER BY pl) AS forms FROM o GROUP BY ALL), r AS (SELECT t.*, forms, row_number() OVER (PARTITION BY t.doc_id ORDER BY place) AS n FROM typed t JOIN f ON f.doc_id = t.doc_id AND f.low = lower(t.value))"
 
 
