@@ -495,6 +495,20 @@ def r5(spark, d):
     return e.select("doc_id", F.array_join(anonymise.assign_initials("names"), "|").alias("initials"))
 
 
+@register(
+    "r6_apply_initials",
+    f"""{WITH_ENTITIES}, k AS (SELECT doc_id, lower(split_part(value, ' ', 1)) AS low, min(split_part(value, ' ', 1)) AS name FROM e GROUP BY ALL), top AS (SELECT doc_id, max(ord) AS top FROM e GROUP BY doc_id),
+    n AS (SELECT k.doc_id, CAST(top + row_number() OVER (PARTITION BY k.doc_id ORDER BY low) AS INT) AS ord, name FROM k JOIN top ON top.doc_id = k.doc_id)
+    SELECT doc_id, ord, value, type, NULL AS initial FROM e UNION ALL SELECT doc_id, ord, name, 'PRENOM', upper(name[1]) || '.' FROM n""",
+)
+def r6(spark, d):
+    """An initial for the first word of every value, as entities of their own."""
+    e = entities(spark, d).withColumns({"isInitiale": F.lit(False), "initialeValue": F.lit(None).cast("string")})
+    first = F.element_at(F.split("value", " "), 1)
+    chosen = e.groupBy("doc_id", F.lower(first).alias("_low")).agg(F.min(first).alias("prenom")).select("doc_id", "prenom", F.concat(F.upper(F.substring("prenom", 1, 1)), F.lit(".")).alias("initiale"))
+    return anonymise.apply_initial(e, chosen).select("doc_id", "ord", "value", "type", F.col("initialeValue").alias("initial"))
+
+
 # ── Anonymisation ────────────────────────────────────────────────────────────
 
 _PREFIX = "CASE WHEN upper(type) = 'PRENOM' THEN NULL WHEN type IN ('NOM', 'ENTITE', 'ADRESSE', 'REF', 'AUTRE', 'COUPLE') THEN type ELSE coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(upper(trim(type)), '[^A-Z0-9]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g'), ''), 'VAL') END"
@@ -944,6 +958,34 @@ def h6_native(spark, d):
     return words.groupBy("doc_id", "page").agg(F.count("*").alias("n_words"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(box)), lambda x: x["b"]), " ")).alias("boxes"))
 
 
+@register("s1_files", "SELECT 'txt' AS extension, CAST(strlen(n_name) + 1 AS BIGINT) AS length, 'txt' AS method, md5(n_name || chr(10)) AS text FROM nation")
+def s1(spark, d):
+    """Texts written as one file a document, listed and extracted again."""
+    path = store.scratch(spark, "texts")
+    sinks.write_texts(spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("doc_id"), "n_name"), "n_name", path)
+    read = files.read_files(spark, path)
+    texts = files.extract(read.select(F.concat_ws("/", F.md5("content"), "filename").alias("filename"), "extension", "content"))
+    return texts.join(read.select(F.concat_ws("/", F.md5("content"), "filename").alias("filename"), "length"), "filename").select("extension", "length", "method", F.md5("text").alias("text"))
+
+
+@register("s6_docx", f"{WITH_CASES}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM c) SELECT CAST(doc_id AS VARCHAR) AS filename, 'docx' AS extension, 'docx' AS method, trim(string_agg(x, chr(10) || chr(10) ORDER BY i), ' ' || chr(10)) AS text FROM l GROUP BY doc_id")
+def s6(spark, d):
+    """DOCX files of the case files, a paragraph a line, read again."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    part = lambda x: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), x, F.lit("</w:t></w:r></w:p>"))
+    body = F.array_join(F.transform(F.split(safe, "\n"), part), "")
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>'), body, F.lit("</w:body></w:document>"))
+    made = cases(spark, d).select(F.col("doc_id").cast("string").alias("filename"), F.lit("docx").alias("extension"), sinks.zip_archive([(F.lit("word/document.xml"), xml)]).alias("content"))
+    return files.extract(made)
+
+
+@register("s10_block_list", f"{WITH_ENTITIES} SELECT DISTINCT value AS word FROM e WHERE doc_id % 2 = 0")
+def s10(spark, d):
+    """Saved lists as JSON arrays; files that are none are empty lists."""
+    held = entities(spark, d).groupBy("doc_id").agg(F.to_json(F.collect_set("value")).alias("content"))
+    return tables.load_block_list(held.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")).otherwise("no list"))).distinct()
+
+
 @register("s8_decode", "SELECT doc_id, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text FROM documents")
 def s8(spark, d):
     return docs(spark, d).select("doc_id", F.md5(files.decode(F.encode("text", "UTF-8"))).alias("text"))
