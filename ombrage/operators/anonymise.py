@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import entity_rules as E
 from ..functions.text import WS, fold, py_squeeze, python_pattern, render, squeeze
 from .cleaning import SPECIAL
-from .detection import Detector, Found, by_document, from_row, levenshtein1, shared_words
+from .detection import Detector, Found, by_document, from_row, levenshtein1, shared_words, slices
 
 
 def is_active(entities: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ def anonymise(docs: DataFrame, entities: DataFrame, redactions: DataFrame | None
     plain = joined.where("entities IS NULL AND cuts IS NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("anonymized"), F.array().cast("array<string>").alias("initiales"), F.array().cast(RESULT.split("concordance ")[1]).alias("concordance"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, t, ents, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities", "cuts")), strict=True):
                 done, conc, initials = substitute(redact_text(t or "", cuts or []), [from_row(e) for e in ents or []])
@@ -397,7 +397,7 @@ def pseudonymise(docs: DataFrame, block_list: frozenset[str] = frozenset(), text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 done, conc, initials = substitute(t or "", detector.detect(t or ""))

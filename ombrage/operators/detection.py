@@ -404,6 +404,17 @@ def entity_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=ARROW_ENTITY)
 
 
+#: Rows of texts that a map turns into Python objects at once.
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces, so that what a map holds beside a batch is bounded."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def key_of_document() -> Column:
     """doc_id as a key; a null one fails, as its rows would share one unbounded list of
     entities. pseudonymise() and detect_entities() need no ids."""
@@ -447,7 +458,7 @@ def detect_entities(docs: DataFrame, block_list: frozenset[str] = frozenset(), t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         detector = Detector(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[dict] = []
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows += entity_rows(doc_id, detector.detect(t or ""))

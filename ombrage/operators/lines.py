@@ -127,10 +127,17 @@ def fix_breaks_from(text: pd.Series, from_line: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else fix_breaks(t, int(k), MAX_PASSES_FROM) for t, k in zip(text, from_line, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def merge_line(text: pd.Series, line: pd.Series, skip: pd.Series) -> pd.Series:
-    """One chosen break merged."""
-    return pd.Series([None if t is None else "\n".join(merge_pass(t.split("\n"), {int(i): int(k)})[0]) for t, i, k in zip(text, line, skip, strict=True)])
+def merge_line(text: Column | str, line: Column | str, skip: Column | str) -> Column:
+    """One chosen break merged: the line and the last of the skip lines from it become one,
+    a space between. Without a line, or with one beyond the text, the text stays."""
+    text, line, skip = (F.col(c) if isinstance(c, str) else c for c in (text, line, skip))
+    lines = F.split(text, "\n")
+    n = F.size(lines)
+    head = F.regexp_replace(F.get(lines, line), f"[{WS}]+\\z", "")
+    tail = F.regexp_replace(F.coalesce(F.get(lines, line + skip - 1), F.lit("")), f"\\A[{WS}]+", "")
+    rest = F.slice(lines, line + skip + 1, F.greatest(n - line - skip, F.lit(0)))
+    merged = F.array_join(F.concat(F.slice(lines, 1, line), F.array(F.concat(head, F.lit(" "), tail)), rest), "\n")
+    return F.when(line.isNull() | skip.isNull() | (line < 0) | (line >= n), text).otherwise(merged)
 
 
 # ── Stray spaces ─────────────────────────────────────────────────────────────

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import entity_rules as E
 from ..functions.text import WS, Containing, py_squeeze, py_trim, python_pattern
 from .anonymise import escaped
-from .detection import by_document
+from .detection import by_document, slices
 
 SCAN_CONTEXT, PANEL_CONTEXT = 65, 50
 EXACT_ONLY = ("adresse", "codepostal")
@@ -79,7 +79,7 @@ def find_omissions(docs: DataFrame, entities: DataFrame, redactions: DataFrame |
     joined = by_document(docs, text, listed, *others.values()).withColumns({name: F.lit(None).cast("array<string>") for name in ("cuts", "skip") if name not in others})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, t, ents, cut, ign in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities", "cuts", "skip")), strict=True):
                 ents = ents or []

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import entity_rules as E
 from ..functions.text import Containing, py_deaccent, render
 from .anonymise import escaped
-from .detection import by_document
+from .detection import by_document, slices
 
 FOUND = "doc_id long, ord int, name string, side string, entity_id string, context string"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("ord", pa.int32()), ("name", pa.string()), ("side", pa.string()), ("entity_id", pa.string()), ("context", pa.string())])
@@ -58,7 +58,7 @@ def detect_parties(docs: DataFrame, entities: DataFrame, keywords: dict[str, lis
     joined = by_document(docs, text, listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, t, ents in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities")), strict=True):
                 rows += [{"doc_id": doc_id, "ord": k, **p} for k, p in enumerate(find_parties(t or "", ents or [], words))]

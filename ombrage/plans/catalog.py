@@ -1103,12 +1103,12 @@ def l5(spark, d):
 
 @register(
     "l4_merge_line",
-    f"""WITH RECURSIVE c AS ({CASES}), {_BREAKS}, one AS (SELECT doc_id, min("lineIdx") AS i, arg_min("skipCount", "lineIdx") AS k FROM found GROUP BY doc_id), x AS (SELECT doc_id, string_split(text, chr(10)) AS ls, i, k FROM c JOIN one USING (doc_id))
-    SELECT doc_id, array_to_string(list_concat(ls[1:i], [regexp_replace(ls[i + 1], {Q.quote(_WS + '+$')}, '') || ' ' || regexp_replace(ls[i + k], {Q.quote('^' + _WS + '+')}, '')], ls[i + k + 1:]), chr(10)) AS text FROM x""",
+    f"""WITH RECURSIVE c AS ({CASES}), {_BREAKS}, one AS (SELECT doc_id, min("lineIdx") AS i, arg_min("skipCount", "lineIdx") AS k FROM found GROUP BY doc_id), x AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, i, k FROM c LEFT JOIN one USING (doc_id))
+    SELECT doc_id, CASE WHEN i IS NULL THEN text ELSE array_to_string(list_concat(ls[1:i], [regexp_replace(ls[i + 1], {Q.quote(_WS + '+$')}, '') || ' ' || regexp_replace(ls[i + k], {Q.quote('^' + _WS + '+')}, '')], ls[i + k + 1:]), chr(10)) END AS text FROM x""",
 )
 def l4(spark, d):
     first = l2(spark, d).groupBy("doc_id").agg(F.min(F.struct("lineIdx", "skipCount")).alias("b"))
-    return cases(spark, d).join(first, "doc_id").select("doc_id", lines.merge_line("text", "b.lineIdx", "b.skipCount").alias("text"))
+    return cases(spark, d).join(first, "doc_id", "left").select("doc_id", lines.merge_line("text", "b.lineIdx", "b.skipCount").alias("text"))
 
 
 @register("a10_first_names", f"{WITH_ENTITIES} SELECT doc_id, ord, CASE WHEN contains(value, ' ') AND string_split(value, ' ')[1] <> upper(string_split(value, ' ')[1]) THEN string_split(value, ' ')[1] END AS first FROM e")

@@ -51,3 +51,10 @@ def test_spacing():
 def test_overlap_with_immediate_predecessor(spark):
     spans = spark.createDataFrame([(1, 0, 10), (1, 5, 7), (1, 8, 9)], "doc_id long, start int, end int")
     assert sorted((r["start"], r["end"]) for r in L.without_overlaps(spans).collect()) == [(0, 10), (8, 9)]
+
+
+def test_merge_line_in_columns(spark):
+    rows = [("a-\nb\nc", 0, 2), ("a \n\n b\nc", 0, 3), ("x\ny", 1, 2), ("x\ny", 5, 2), ("x\ny", None, 2), ("x", 0, 2), (None, 0, 2), ("", 0, 2)]
+    df = spark.createDataFrame(rows, "text string, line int, skip int")
+    got = [r[0] for r in df.select(L.merge_line("text", "line", "skip")).collect()]
+    assert got == ["a- b\nc", "a b\nc", "x\ny ", "x\ny", "x\ny", "x ", None, " "]
