@@ -92,7 +92,6 @@ def export_all(result: DataFrame, concordance: DataFrame, originals: DataFrame,
 #: What begins a ZIP file's entry, its line in the directory, and the end, each
 #: with version 2.0, UTF-8 names, no compression, 1 January 1980.
 _ENTRY, _LINE, _END = "504B03041400000800000000" "2100", "504B010214001400000800000000" "2100", "504B050600000000"
-ZIP_LIMIT = (1 << 32) - 1
 
 
 def _little(n: Column, size: int) -> Column:
@@ -103,18 +102,23 @@ def _little(n: Column, size: int) -> Column:
 
 def zip_archive(parts: list[tuple[Column, Column]]) -> Column:
     """(file name, text) pairs as the bytes of one ZIP file, stored as they are."""
-    raw = lambda h: F.unhex(F.lit(h))
-    offset, entries, directory = F.lit(0).cast("bigint"), [], []
-    for name, text in parts:
-        data, title = F.encode(F.coalesce(text, F.lit("")), "UTF-8"), F.encode(name, "UTF-8")
-        size = F.length(data)
-        facts = F.concat(_little(F.crc32(data), 4), _little(size, 4), _little(size, 4), _little(F.length(title), 2), raw("0000"))
-        directory.append(F.concat(raw(_LINE), facts, raw("0000" * 3 + "00000000"), _little(offset, 4), title))
-        entries.append(F.concat(raw(_ENTRY), facts, title, data))
-        offset = offset + 30 + F.length(title) + size
-    lines = F.concat(*directory)
-    whole = F.concat(*entries, lines, raw(_END), _little(F.lit(len(parts)), 2), _little(F.lit(len(parts)), 2), _little(F.length(lines), 4), _little(offset, 4), raw("0000"))
-    return F.when(offset > ZIP_LIMIT, F.raise_error(F.lit("a ZIP file holds 4 GB at most")).cast("binary")).otherwise(whole)
+    raw, nothing = lambda h: F.unhex(F.lit(h)), F.lit(b"")
+    files = F.array(*[F.struct(F.encode(name, "UTF-8").alias("title"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("data")) for name, text in parts])
+
+    def with_facts(p: Column) -> Column:
+        size = F.length(p["data"])
+        facts = F.concat(_little(F.crc32(p["data"]), 4), _little(size, 4), _little(size, 4), _little(F.length(p["title"]), 2), raw("0000"))
+        return F.struct(p["title"].alias("title"), p["data"].alias("data"), facts.alias("facts"))
+
+    def put(done: Column, p: Column) -> Column:
+        line = F.concat(raw(_LINE), p["facts"], raw("0000" * 3 + "00000000"), _little(F.length(done["body"]), 4), p["title"])
+        return F.struct(F.concat(done["body"], raw(_ENTRY), p["facts"], p["title"], p["data"]).alias("body"), F.concat(done["lines"], line).alias("lines"))
+
+    def whole(done: Column) -> Column:
+        n = _little(F.lit(len(parts)), 2)
+        return F.concat(done["body"], done["lines"], raw(_END), n, n, _little(F.length(done["lines"]), 4), _little(F.length(done["body"]), 4), raw("0000"))
+
+    return F.aggregate(F.transform(files, with_facts), F.struct(nothing.alias("body"), nothing.alias("lines")), put, whole)
 
 
 def export_archives(result: DataFrame, concordance: DataFrame, originals: DataFrame, states: DataFrame, saved_at: Column) -> DataFrame:
