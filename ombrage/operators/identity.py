@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import entity_rules as E
-from ..functions.text import fold, render, squeeze, title_case
+from ..functions.text import fold, py_fold, render, title_case
+from .cleaning import once
 from .detection import ENTITY
 
 # ── Names ────────────────────────────────────────────────────────────────────
@@ -33,7 +34,12 @@ _TITLES_RX = "^(?:(?:" + "|".join(sorted((t.replace(".", "\\.") for t in E.TITLE
 
 def bare_key(value: Column) -> Column:
     """Folded value without leading titles; a value of titles only is empty."""
-    return F.trim(F.regexp_replace(F.concat(fold(value), F.lit(" ")), _TITLES_RX, ""))
+    return untitled(fold(value))
+
+
+def untitled(key: Column) -> Column:
+    """A folded value without leading titles."""
+    return F.trim(F.regexp_replace(F.concat(key, F.lit(" ")), _TITLES_RX, ""))
 
 
 def surname_key(value: Column) -> Column:
@@ -46,19 +52,12 @@ def words_of(key: Column) -> Column:
     return F.filter(F.split(key, " "), lambda w: w != "")
 
 
-def bare(value: Column) -> Column:
-    """A value without its leading titles, in its own spelling."""
-    parts = F.split(squeeze(value), " ")
-    rest = F.size(words_of(bare_key(value)))
-    return F.when(rest == 0, "").otherwise(F.array_join(F.slice(parts, F.size(parts) - rest + 1, rest), " "))
-
-
 def person_like() -> Column:
-    """An active name of one to four words that all look like parts of a name."""
-    parts = F.filter(F.split(bare(F.col("value")), " "), lambda w: w != "")
+    """An active name of one to four words (_said, folded _keys) that all look like parts of
+    a name."""
     token = F.lit(f"\\A(?:{render(E.NAME_TOKEN)})\\z")
-    fine = lambda p: ~fold(p).isin(*sorted(E.TITLES | E.COUPLE_WORDS)) & F.rlike(p, token)
-    return F.col("active") & ~F.col("blocked") & (F.col("type") == "NOM") & F.size(parts).between(1, 4) & F.forall(parts, fine)
+    fine = F.forall("_said", lambda p: F.rlike(p, token)) & ~F.exists("_keys", lambda k: k.isin(*sorted(E.TITLES | E.COUPLE_WORDS)))
+    return F.col("active") & ~F.col("blocked") & (F.col("type") == "NOM") & F.size("_keys").between(1, 4) & fine
 
 
 def document() -> Column:
@@ -94,8 +93,11 @@ def displayed(entities: DataFrame) -> DataFrame:
 def identified(one: DataFrame) -> DataFrame:
     """Adds person, the identity _g, and the place (_lead) of the full name, or of the
     first row, that a row comes with."""
-    rows = one.withColumns({"person": person_like(), "_bare": bare_key(F.col("value")), "_surname": surname_key(F.col("value"))})
-    rows = rows.withColumn("_words", F.when(F.col("person"), F.size(words_of(F.col("_bare")))).otherwise(0))
+    rows = one.withColumn("_bare", untitled(F.col("_key"))).withColumn("_keys", words_of(F.col("_bare")))
+    said = F.split("value", " ")  # display spelling has single spaces, so words stand as the folded ones do
+    named = F.filter("_keys", lambda k: ~k.isin(*sorted(E.PARTICLES)))
+    rows = rows.withColumns({"_said": F.slice(said, F.size(said) - F.size("_keys") + 1, F.size("_keys")), "_surname": F.coalesce(F.element_at(F.when(F.size(named) > 0, named), -1), F.lit(""))})
+    rows = rows.withColumn("person", person_like()).withColumn("_words", F.when(F.col("person"), F.size("_keys")).otherwise(0))
     full, single = F.col("_words") >= 2, F.col("_words") == 1
     named = F.when(full, F.concat_ws("\x01", F.lit("full"), F.element_at(words_of(F.col("_bare")), 1), F.col("_surname")))
     rows = rows.withColumns({"_named": named, "_name": F.when(full, F.col("_surname")).when(single, F.col("_bare"))})
@@ -110,40 +112,50 @@ def identified(one: DataFrame) -> DataFrame:
     return rows.withColumn("_lead", lead).drop("_named", "_name", "_owner_lead")
 
 
-def forms_of(value: Column) -> Column:
-    """The further forms of a person, in order: first name and surname, titled, inverted."""
-    clean = bare(value)
-    parts = F.filter(F.split(clean, " "), lambda w: w != "")
-    named = F.filter(parts, lambda p: ~fold(p).isin(*sorted(E.PARTICLES)))
-    last = F.when(F.size(named) > 0, F.element_at(named, -1))
-    written = lambda form, x: F.replace(F.lit(form), F.lit("{}"), x)
-    some = [F.element_at(parts, 1), last, *(written(f, last) for f in E.SURNAME_ALIASES)]
-    several = [clean, F.concat_ws(" ", last, F.element_at(parts, 1)), *(written(f, clean) for f in E.FULL_NAME_ALIASES)]
-    all_forms = F.concat(F.array(*some), F.when(F.size(parts) >= 2, F.array(*several)).otherwise(F.array().cast(NAMES)))
-    return F.when(F.size(parts) == 0, F.array().cast(NAMES)).otherwise(F.filter(F.transform(all_forms, title_case), lambda a: a.isNotNull() & (a != "")))
+def forms_of(said: Column, keys: Column) -> Column:
+    """The further forms of a person, given the words of its name and these folded: structs of
+    the form and its folded key, in order. First name and surname, titled, inverted."""
+    low = lambda form: py_fold(form.replace("{}", "")) + " "
+
+    def forms(p: Column) -> Column:
+        said, keys = p["said"], p["keys"]
+        plain = F.filter(F.zip_with(said, keys, lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda x: ~x["k"].isin(*sorted(E.PARTICLES)))
+        last, first = F.element_at(F.when(F.size(plain) > 0, plain), -1), F.struct(F.element_at(said, 1).alias("w"), F.element_at(keys, 1).alias("k"))
+        whole = F.struct(F.array_join(said, " ").alias("w"), F.array_join(keys, " ").alias("k"))
+        form = lambda text, key: F.struct(text.alias("alias"), key.alias("key"), F.lit(False).alias("own"))
+        titled = lambda f, x: form(F.concat(F.lit(f.replace("{}", "")), x["w"]), F.concat(F.lit(low(f)), x["k"]))
+        some = [form(first["w"], first["k"]), *(F.when(F.size(plain) > 0, y) for y in (form(last["w"], last["k"]), *(titled(f, last) for f in E.SURNAME_ALIASES)))]
+        inverted = form(F.concat_ws(" ", last["w"], first["w"]), F.concat_ws(" ", last["k"], first["k"]))
+        several = F.array(form(whole["w"], whole["k"]), inverted, *(titled(f, whole) for f in E.FULL_NAME_ALIASES))
+        none = F.filter(F.array(form(first["w"], first["k"])), lambda _: F.lit(False))
+        return F.when(F.size(said) == 0, none).otherwise(F.concat(F.filter(F.array(*some), lambda x: x.isNotNull()), F.when(F.size(said) >= 2, several).otherwise(none)))
+
+    return once(F.struct(said.alias("said"), keys.alias("keys")), forms)
 
 
 def merged(rows: DataFrame) -> DataFrame:
     """One row an identity: its value, its aliases, and those that stand for it alone."""
     of = W.partitionBy("_d", "_g")
-    leads = F.when(F.col("ord") == F.col("_lead"), F.struct(F.col("_words"), (-F.col("_lead")).alias("at"), F.col("value")))
+    leads = F.when(F.col("ord") == F.col("_lead"), F.struct("_words", (-F.col("_lead")).alias("at"), "value", "_key", "_said", "_keys", "_surname"))
     until = F.max(leads).over(of.orderBy("_lead").rangeBetween(W.unboundedPreceding, W.currentRow))
     first = (F.col("ord") == F.col("_lead")) & (F.col("_lead") == F.min("_lead").over(of))
-    rows = rows.withColumns({"_then": fold(until["value"]), "_now": F.max(leads).over(of)["value"], "_first": first})
+    rows = rows.withColumns({"_then": until["_key"], "_now": F.max(leads).over(of), "_first": first})
     # What a row brings: its value and its aliases, those of the first row without condition.
-    said = F.transform(F.concat(F.array("value"), "own", "more"), lambda a, i: F.struct(a.alias("alias"), fold(a).alias("key"), (F.col("_first") & i.between(1, F.size("own"))).alias("own")))
+    said = F.transform(F.concat(F.array("value"), "own", "more"), lambda a, i: F.struct(a.alias("alias"), F.when(i == 0, F.col("_key")).otherwise(fold(a)).alias("key"), (F.col("_first") & i.between(1, F.size("own"))).alias("own")))
     fine = F.filter(said, lambda e: e["own"] | (e["key"] != F.col("_then")))
     place = F.struct("_lead", (F.col("_words") == 1).alias("single"), "ord")
     lead = lambda c: F.min_by(c, place).alias(c)
     brought = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), fine.alias("fine")))), lambda x: x["fine"]))
-    whole = rows.groupBy("_d", "_g").agg(*map(lead, ("doc_id", "type", "label", "active", "blocked", "person")), F.first("_now").alias("value"), F.max("occurrences").alias("occurrences"), F.struct(F.startswith("_g", F.lit("single")).cast("int").alias("a"), F.min("_lead").alias("b")).alias("_place"), brought.alias("_brought"))
-    more = F.filter(F.transform(forms_of(F.col("value")), lambda a: F.struct(a.alias("alias"), fold(a).alias("key"), F.lit(False).alias("own"))), lambda e: e["key"] != fold(F.col("value")))
-    whole = whole.withColumn("_all", F.when(F.col("person"), F.concat("_brought", more)).otherwise(F.col("_brought")))
+    whole = rows.groupBy("_d", "_g").agg(*map(lead, ("doc_id", "type", "label", "active", "blocked", "person")), F.first("_now").alias("_now"), F.max("occurrences").alias("occurrences"), F.struct(F.startswith("_g", F.lit("single")).cast("int").alias("a"), F.min("_lead").alias("b")).alias("_place"), brought.alias("_brought"))
+    more = F.filter(forms_of(F.col("_now._said"), F.col("_now._keys")), lambda e: e["key"] != F.col("_now._key"))
+    told = F.when(F.col("person"), F.concat("_brought", more)).otherwise(F.col("_brought"))
     # The first row's own come first, so that a form's first place decides.
-    once = F.filter("_all", lambda e, i: e["own"] | (F.array_position(F.transform("_all", lambda x: x["key"]), e["key"]) == i + 1))
-    whole = whole.withColumns({"aliases": F.transform(once, lambda e: e["alias"]), "_surname": F.when(F.col("person"), surname_key(F.col("value")))})
+    distinct = lambda all_: once(F.transform(all_, lambda x: x["key"]), lambda keys: F.filter(all_, lambda e, i: e["own"] | (F.array_position(keys, e["key"]) == i + 1)))
+    whole = whole.withColumn("_once", once(told, distinct)).withColumns({"value": F.col("_now.value"), "_key": F.col("_now._key"), "_surname": F.when(F.col("person"), F.col("_now._surname"))})
+    whole = whole.withColumns({"aliases": F.transform("_once", lambda e: e["alias"]), "_akeys": F.transform("_once", lambda e: e["key"])})
     shared = (F.count("*").over(W.partitionBy("_d", "_surname")) > 1) & (F.col("_surname") != "")
-    return whole.withColumn("kept", F.when(shared, F.filter("aliases", lambda a: bare_key(a) != F.col("_surname"))).otherwise(F.col("aliases"))).drop("_brought", "_all")
+    alone = F.transform(F.filter("_once", lambda e: untitled(e["key"]) != F.col("_surname")), lambda e: e["alias"])
+    return whole.withColumn("kept", F.when(shared, alone).otherwise(F.col("aliases"))).drop("_brought", "_once", "_now")
 
 
 # ── Couples ──────────────────────────────────────────────────────────────────
@@ -166,17 +178,19 @@ def _couples_by(rule: int, pattern: str, ignore: bool, text: Column) -> Column:
     untitled = lambda m: ~F.exists(F.array(F.regexp_extract(m, rx, 1), F.regexp_extract(m, rx, 2)), lambda w: fold(w).isin(*sorted(E.TITLES)))
 
     def needs(m: Column, i: Column) -> Column:
-        group = lambda k: title_case(F.regexp_extract(m, rx, k))
-        if rule == 0:
-            name = group(3)
-            value = F.concat(group(1), F.lit(" et "), group(2), F.lit(" "), name)
-            wanted = [("form", bare_key(F.concat_ws(" ", group(k), name)), k - 1) for k in (1, 2)]
-        else:
-            name = group(1)
-            value = F.concat(F.lit("Monsieur et Madame " if rule == 1 else "Les époux "), name)
-            wanted = [("surname", fold(name), 0)]
-        couple = F.struct(F.struct(F.lit(rule).alias("rule"), i.alias("i")).alias("at"), value.alias("value"), name.alias("name"))
-        return F.array(_row("need", "known", fold(value), -1, None, couple), *[_row("need", by, key, side, None, couple) for by, key, side in wanted])
+        def rows(names: Column) -> Column:
+            name = F.element_at(names, -1)
+            if rule == 0:
+                first = [F.element_at(names, k) for k in (1, 2)]
+                value = F.concat(first[0], F.lit(" et "), first[1], F.lit(" "), name)
+                wanted = [("form", bare_key(F.concat_ws(" ", x, name)), k) for k, x in enumerate(first)]
+            else:
+                value = F.concat(F.lit("Monsieur et Madame " if rule == 1 else "Les époux "), name)
+                wanted = [("surname", fold(name), 0)]
+            couple = F.struct(F.struct(F.lit(rule).alias("rule"), i.alias("i")).alias("at"), value.alias("value"), name.alias("name"))
+            return F.array(_row("need", "known", fold(value), -1, None, couple), *[_row("need", by, key, side, None, couple) for by, key, side in wanted])
+
+        return once(F.transform(F.array(*[F.regexp_extract(m, rx, k) for k in ((1, 2, 3) if rule == 0 else (1,))]), title_case), rows)
 
     found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     return F.flatten(F.transform(F.filter(found, untitled) if rule == 0 else found, needs)).cast(ROW)
@@ -192,10 +206,10 @@ def _needs(docs: DataFrame, text: str) -> DataFrame:
 
 def _keys(whole: DataFrame) -> DataFrame:
     """A row an entity, and those by which persons and known couples are found."""
-    who = F.struct(F.col("_place").alias("place"), id_column(F.col("type"), F.col("value")).alias("id"), F.col("value").alias("form"))
-    forms = F.array_distinct(F.transform(F.concat(F.array("value"), "aliases"), bare_key))
+    who = F.struct(F.col("_place").alias("place"), F.sha2(F.concat_ws("|", "_d", "type", "_key"), 256).alias("id"), F.col("value").alias("form"))
+    forms = F.array_distinct(F.transform(F.concat(F.array("_key"), "_akeys"), untitled))
     person = F.concat(F.transform(forms, lambda k: _row("key", "form", k, 0, who)), F.array(_row("key", "surname", F.col("_surname"), 0, who)))
-    known = F.array(_row("key", "known", bare_key(F.col("value"))))
+    known = F.array(_row("key", "known", untitled(F.col("_key"))))
     keys = F.when(F.col("person"), person.cast(ROW)).when(F.col("type") == "COUPLE", known.cast(ROW)).otherwise(F.array().cast(ROW))
     return whole.withColumn("r", F.explode(F.concat(F.array(_row("entity", "entity", F.col("_g"), 0, who)).cast(ROW), keys)))
 
@@ -204,7 +218,7 @@ def resolve(docs: DataFrame, entities: DataFrame, prefix: str = "COUPLE", text:
     """Resolved entities of every document that has some, in order: others, people,
     known couples, new couples. First names do not come through, by specification."""
     whole = merged(identified(displayed(entities)))
-    rows = _keys(whole).unionByName(_needs(docs, text), allowMissingColumns=True).select("*", "r.*").drop("r").repartition("_d")
+    rows = _keys(whole).unionByName(_needs(docs, text), allowMissingColumns=True).select("*", "r.*").drop("r", "_akeys", "_surname", "aliases").repartition("_d")
     met, here = W.partitionBy("_d", "by", "key"), W.partitionBy("_d")
     key, is_role = F.when(F.col("role") == "key", F.col("who")), lambda x: F.max(F.col("role") == x)
     one = F.when(F.col("by") == "form", F.array(F.min(key).over(met))).when(F.col("by") == "surname", F.array_sort(F.collect_list(key).over(met)))
@@ -214,7 +228,8 @@ def resolve(docs: DataFrame, entities: DataFrame, prefix: str = "COUPLE", text:
     only = F.col("couple.at") == F.min("couple.at").over(W.partitionBy("_d", "_key"))
     own = lambda c: F.first(c, ignorenulls=True).alias(c)
     members = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") >= 0, F.struct("side", "_who")))), lambda x: x["_who"]))
-    carried = ("type", "label", "active", "blocked", "value", "occurrences", "kept", "person", "couple", "_place")
+    found = found.withColumn("_id", F.when(F.col("role") == "entity", F.col("who.id")))
+    carried = ("_id", "type", "label", "active", "blocked", "value", "occurrences", "kept", "person", "couple", "_place")
     done = found.withColumn("_only", F.coalesce(only, F.lit(True))).where("_only").groupBy("_d", "_key").agg(*map(own, ("doc_id", *carried)), F.max("_known").alias("_known"), members.alias("who"))
     new = F.col("couple").isNotNull()
     templates = [F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("couple.name")) for t in some]) for some in E.RESOLVED_COUPLE_ALIASES]
@@ -228,7 +243,7 @@ def resolve(docs: DataFrame, entities: DataFrame, prefix: str = "COUPLE", text:
     shown = done.where("couple IS NULL OR NOT _known").withColumns({c: F.when(new, x).otherwise(F.col("kept" if c == "aliases" else c)) for c, x in made.items()} | {"_section": section, "_order": place, "members": F.when(new, F.transform(F.slice("who", 1, 2), lambda w: w["id"])).otherwise(F.array().cast(NAMES))})
     ranked = shown.withColumn("ord", F.row_number().over(W.partitionBy("_d").orderBy("_section", "_order")) - 1)
     nothing = F.lit(None).cast("string")
-    out = {"id": id_column(F.col("type"), F.col("value")), "prenom": nothing, "prenomVariants": F.array().cast(NAMES), "isInitiale": F.lit(False), "initialeValue": nothing}
+    out = {"id": F.coalesce("_id", id_column(F.col("type"), F.col("value"))), "prenom": nothing, "prenomVariants": F.array().cast(NAMES), "isInitiale": F.lit(False), "initialeValue": nothing}
     names = [(c.split()[0], c.split()[1]) for c in ENTITY.split(", ")]
     return ranked.select(*[out.get(c, F.col(c)).cast(t).alias(c) for c, t in names])
 
