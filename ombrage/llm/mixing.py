@@ -174,7 +174,8 @@ def mix(docs: DataFrame, rate: float = RATE, targets: dict | None = None, topic:
     ratios = ratios.select(*[F.col(m).alias(f"_of_{m}") for m in MARGINS], F.col("ratio").alias("_mix_ratio"))
     same = [F.col(f"_mix_{m}") == F.col(f"_of_{m}") for m in MARGINS]
     joined = docs.withColumns(keys).join(ratios, same, "left")
-    copies = copies_of(F.col("doc_id").cast("long"), F.lit(rate) * F.coalesce("_mix_ratio", F.lit(1.0)))
+    expected = F.lit(rate) * F.coalesce("_mix_ratio", F.lit(1.0))
+    copies = copies_of(F.col("doc_id").cast("long"), expected if repeat else F.least(expected, F.lit(1.0)))
     return joined.select(*names, copies.alias("_copies")).where("_copies > 0").select(*names, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(*names)
 
 
