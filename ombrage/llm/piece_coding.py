@@ -13,6 +13,12 @@ characters up to the next, and a chunk's ids are remembered in a table bounded b
 CACHE entries, which is emptied when full. Within the Arrow batches every newly
 coded chunk is checked against the sentencepiece library; a difference fails the task.
 
+The chunks that PART chunks of text bring anew are coded together. Those of up to
+WIDTHS[-1] characters are rows of a matrix of symbols, beside one of the unions of
+adjacent symbols: that is the agenda, from which each row takes its best pair in each
+round, so that a round costs a few array operations for all rows. Longer chunks have an
+agenda each as a heap, whose cost is not the square of the length.
+
 Defined results: null text is empty and gives the begin and end ids; texts are coded
 whole; rows that repeat are coded alike; an empty table gives no rows; other columns
 are ignored.
@@ -26,7 +32,9 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +43,25 @@ from .common import read_table
 
 MODEL = "piece_bpe_32k.model"
 CACHE = 600_000
+#: Chunks and characters of text that are coded together, and how many new chunks the library reads as one text.
+PART, PART_CHARS, CHECKED = 200_000, 4_000_000, 64
+#: Characters of a chunk, up to which it shares a matrix of this width, and cells of a matrix.
+WIDTHS, CELLS = (6, 8, 10, 12, 16, 24, 48), 1_000_000
 MARK = "▁"
+POINTS = 0x110000
+
+
+def pair_table(pieces: list[str], number: dict[str, int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys left * most + right of all pairs of symbols whose union is a piece, and
+    the pieces' numbers. The last key is beyond all pairs."""
+    unions = {}
+    for k, p in enumerate(pieces):
+        for i in range(1, len(p)):
+            left, right = number.get(p[:i]), number.get(p[i:])
+            if left is not None and right is not None:
+                unions[left * most + right] = k
+    keys = np.array(sorted(unions), np.int64)
+    return np.append(keys, np.iinfo(np.int64).max), np.array([*map(unions.get, keys.tolist()), len(pieces)], np.int32)
 
 
 class Coder:
@@ -56,6 +82,101 @@ class Coder:
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cache: dict[str, bytes] = {}
 
+        # Symbols: pieces from the best score on, then their other characters, then
+        # all code points, then none. The best pair is the one of the smallest union,
+        # or, where scores are equal, of the smallest with that score.
+        pieces = sorted(self.ids, key=self.scores.__getitem__)
+        number = {p: k for k, p in enumerate(pieces)}
+        for c in sorted(set("".join(pieces)) - number.keys()):
+            number[c] = len(number)
+        self.pieces, self.known = len(pieces), len(number)
+        self.symbols = np.arange(self.known, self.known + POINTS, dtype=np.int32)
+        for c in (c for c in number if len(c) == 1):
+            self.symbols[ord(c)] = number[c]
+        self.none = self.known + POINTS
+        self.keys, self.unions = pair_table(pieces, number, self.none + 1)
+        scores = np.array([self.scores[p] for p in pieces])
+        self.first = np.append(np.searchsorted(scores, scores), self.pieces).astype(np.int32)
+        self.ties = bool((self.first != np.arange(self.pieces + 1))[self.unions].any())
+        # Where a symbol's ids stand in the list of ids; width 0: not yet looked up.
+        self.listed = np.array([self.ids[p] for p in pieces], np.uint32)
+        self.start = np.zeros(self.none, np.int32)
+        self.start[: self.pieces] = np.arange(self.pieces)
+        self.width = np.zeros(self.none, np.int8)
+        self.width[: self.pieces] = 1
+        self.others = list(number)[self.pieces :]
+
+    def spelled(self, s: str) -> list[int]:
+        """Ids of a symbol that is not in the vocabulary."""
+        return [self.bytes[b] for b in s.encode()] if self.byte_fallback else [self.unknown]
+
+    def look_up(self, symbols: np.ndarray) -> None:
+        """Add the ids of characters that are not in the vocabulary to the list."""
+        more: list[int] = []
+        for s in set(symbols.tolist()):
+            ids = self.spelled(chr(s - self.known) if s >= self.known else self.others[s - self.pieces])
+            self.start[s], self.width[s] = len(self.listed) + len(more), len(ids)
+            more += ids
+        if more:
+            self.listed = np.append(self.listed, np.array(more, np.uint32))
+
+    def union(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes, or the number of pieces."""
+        key = left.astype(np.int64) * (self.none + 1) + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.unions[at], np.int32(self.pieces))
+
+    def merge_rows(self, chunks: list[str], width: int) -> list[bytes]:
+        """Ids of chunks of up to width characters (spaces already marks), by one round for all."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        held = self.symbols[points]
+        # A pair that is no pair stands at either end, so that every symbol has neighbours.
+        symbols = np.full((len(chunks), width + 2), self.none, np.int32)
+        symbols[:, 1:-1][np.arange(width) < lengths[:, None]] = held
+        self.look_up(held[self.width[held] == 0])
+        rows, agenda, out = np.arange(len(chunks)), self.union(symbols[:, :-1], symbols[:, 1:]), [b""] * len(chunks)
+        while len(rows):
+            at = (self.first[agenda] if self.ties else agenda).argmin(axis=1)
+            best = agenda[np.arange(len(rows)), at]
+            live = best < self.pieces
+            if not live.all():
+                for r, ids in zip(rows[~live].tolist(), self.ids_of(symbols[~live]), strict=True):
+                    out[r] = ids
+                rows, symbols, agenda, at, best = (x[live] for x in (rows, symbols, agenda, at, best))
+            each = np.arange(len(rows))
+            symbols[each, at] = best
+            later = np.arange(symbols.shape[1] - 1) > at[:, None]
+            symbols = np.where(later, symbols[:, 1:], symbols[:, :-1])
+            agenda = np.where(later[:, 1:], agenda[:, 1:], agenda[:, :-1])
+            agenda[each, at - 1] = self.union(symbols[each, at - 1], best)
+            agenda[each, at] = self.union(best, symbols[each, at + 1])
+        return out
+
+    def ids_of(self, symbols: np.ndarray) -> Iterator[bytes]:
+        """Ids of each row of symbols."""
+        given = symbols != self.none
+        flat = symbols[given]
+        width = self.width[flat].astype(np.int64)
+        begun = np.append(0, np.cumsum(width))
+        ids = self.listed[np.repeat(self.start[flat] - begun[:-1], width) + np.arange(begun[-1])].tobytes()
+        ends = [0, *(4 * begun[np.cumsum(given.sum(axis=1))]).tolist()]
+        return (ids[a:b] for a, b in zip(ends, ends[1:]))
+
+    def merge_all(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks (spaces already marks), little-endian."""
+        out, sizes, least = [b""] * len(chunks), np.fromiter(map(len, chunks), np.int64, len(chunks)), 0
+        for width in WIDTHS:
+            all_rows, most = np.flatnonzero((sizes > least) & (sizes <= width)).tolist(), max(1, CELLS // width)
+            least = width
+            for begin in range(0, len(all_rows), most):
+                some = all_rows[begin : begin + most]
+                for k, ids in zip(some, self.merge_rows([chunks[k] for k in some], width), strict=True):
+                    out[k] = ids
+        for k in np.flatnonzero(sizes > least).tolist():
+            out[k] = array("I", self.merge(chunks[k])).tobytes()
+        return out
+
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk (spaces already marks) by the agenda."""
         ids = self.ids
@@ -99,10 +220,8 @@ class Coder:
                 i = ids.get(s)
                 if i is not None:
                     out.append(i)
-                elif self.byte_fallback:
-                    out += [self.bytes[b] for b in s.encode()]
                 else:
-                    out.append(self.unknown)
+                    out += self.spelled(s)
         return out
 
     def chunks(self, text: str) -> list[str]:
@@ -116,41 +235,56 @@ class Coder:
 
     def learn(self, new: list[str]) -> None:
         """Code chunks and hold them against the library."""
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
         marked = [c if c[:1] == MARK else MARK + c for c in new]
-        ours = list(map(self.merge, marked))
-        theirs = self.lib.encode([c[1:] for c in marked], num_threads=1)
-        if ours != theirs:
-            for c, a, b in zip(marked, ours, theirs, strict=True):
-                # Of nothing but the mark that every text begins with the library makes no pieces.
-                if a != b and c != MARK:
-                    raise ValueError(f"agenda and library differ on {c!r}: {a} {b}")
-        self.cache.update((c, array("I", ids).tobytes()) for c, ids in zip(new, ours, strict=True))
+        ours = self.merge_all(marked)
+        # The library reads chunks together, but those of marks only, which would run
+        # into the next one's marks.
+        apart = [k for k, c in enumerate(marked) if c[-1] == MARK] if self.splits else range(len(new))
+        left = set(apart)
+        some, ids = ([c for k, c in enumerate(x) if k not in left] for x in (marked, ours)) if left else (marked, ours)
+        texts = ["".join(some[k : k + CHECKED])[1:] for k in range(0, len(some), CHECKED)]
+        theirs = array("I", chain.from_iterable(self.lib.encode(texts, num_threads=1)))
+        same = theirs.tobytes() == b"".join(ids)
+        for k in apart if same else range(len(new)):
+            want = array("I", self.lib.encode(marked[k][1:])).tobytes()
+            # Of nothing but the mark that every text begins with the library makes no pieces.
+            if want != ours[k] and marked[k] != MARK:
+                raise ValueError(f"agenda and library differ on {marked[k]!r}: {array('I', ours[k]).tolist()} {array('I', want).tolist()}")
+        if not same:
+            raise ValueError("agenda and library differ on chunks that stand together")
+        self.cache.update(zip(new, ours, strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with begin and end ids."""
-        out, get = [], self.cache.__getitem__
-        for c in map(self.chunks, texts):
-            try:
-                ids = b"".join(map(get, c))
-            except KeyError:
-                # A table emptied meanwhile may lack known chunks too; a text that
-                # alone would overfill it is coded in pieces.
-                pieces = []
-                for k in range(0, len(c), 20_000):
-                    part = c[k : k + 20_000]
-                    new = list(dict.fromkeys(w for w in part if w not in self.cache))
-                    if len(self.cache) + len(new) > CACHE:
-                        new = list(dict.fromkeys(part))
-                    self.learn(new)
-                    pieces += map(get, part)
-                ids = b"".join(pieces)
-            out.append(b"".join((self.begin, ids, self.end)))
-        return out
+        out: list[list[bytes]] = [[self.begin] for _ in texts]
+        parts: list[tuple[int, list[str]]] = []
+        held = chars = 0
+        for i, (text, c) in enumerate(zip(texts, map(self.chunks, texts), strict=True)):
+            chars += len(text)
+            for k in range(0, len(c), PART):
+                parts.append((i, c[k : k + PART]))
+                held += len(parts[-1][1])
+                if held >= PART or chars >= PART_CHARS:
+                    self.encode_parts(parts, out)
+                    parts, held, chars = [], 0, 0
+        self.encode_parts(parts, out)
+        return [b"".join((*ids, self.end)) for ids in out]
+
+    def encode_parts(self, parts: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        """Ids of parts (number of the text, its chunks), appended to their texts' lists."""
+        met = set().union(*(c for _, c in parts))
+        new = met.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE:  # known chunks go too
+            self.cache.clear()
+            new = met
+        if new:
+            self.learn(list(new))
+        get = self.cache.__getitem__
+        for i, c in parts:
+            out[i].append(b"".join(map(get, c)))
 
     def decode(self, ids: bytes) -> str:
-        return self.lib.decode(array("I", ids).tolist())
+        return self.lib.decode(np.frombuffer(ids, "<u4"))
 
 
 @lru_cache(maxsize=1)

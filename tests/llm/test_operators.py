@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import heapq
 import re
+import time
 import zlib
 from html import unescape
 
@@ -546,6 +547,51 @@ def test_small_cache_and_whole_texts(monkeypatch):
     assert c.encode_batch(texts) == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("▁▁▁thedonian,.\n éß中😀\x00")), max_size=60), min_size=1, max_size=40))
+def test_rounds_for_many_chunks_equal_one_agenda_each(texts):
+    c = piece_coding.coder(piece_coding.MODEL)
+    chunks = [piece_coding.MARK + t.replace(" ", piece_coding.MARK) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.merge_all(chunks)] == list(map(c.merge, chunks))
+
+
+def test_parts_of_texts_and_chunks_of_all_lengths(monkeypatch):
+    c = piece_coding.coder(piece_coding.MODEL)
+    texts = [" ".join("thedonined" * 6 + "é中"[:k] for k in range(3)), "", " ".join("schungerzu\n"[:k] * 5 for k in range(13)), "▁▁  ", "x"]
+    want = [np.array(c.lib.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for t in texts]
+    for part, chars, cells in ((1, 9, 1), (3, 40, 100), (200_000, 10, 1000), (200_000, 4_000_000, 1_000_000)):
+        for name, value in (("PART", part), ("PART_CHARS", chars), ("CELLS", cells)):
+            monkeypatch.setattr(piece_coding, name, value)
+        c.cache.clear()
+        assert c.encode_batch(texts) == want
+
+
+def test_new_chunks_share_their_rounds():
+    """A corpus brings new chunks without end; one agenda each in Python took most of the CPU time of op10."""
+    c, rng = piece_coding.coder(piece_coding.MODEL), np.random.default_rng(10)
+    parts = "the don in ed schu ng er zu ción que eau ant ly".split()
+    new = list(dict.fromkeys("".join(parts[k] for k in row[: 2 + row[0] % 4]) for row in rng.integers(0, len(parts), (40_000, 5)).tolist()))
+    c.cache.clear()
+    times = []
+    for run in (lambda: c.learn(new), lambda: [c.merge(piece_coding.MARK + x) for x in new]):
+        began = time.process_time()
+        run()
+        times.append(time.process_time() - began)
+    assert 1.3 * times[0] < times[1]
+    assert [np.frombuffer(c.cache[x], "<u4").tolist() for x in new[:500]] == c.lib.encode(new[:500])
+
+
+def test_every_new_chunk_is_held_against_the_library(monkeypatch):
+    c = piece_coding.coder(piece_coding.MODEL)
+    wrong, right = np.array(c.lib.encode("wrong"), "<u4").tobytes(), c.merge_all
+    for odd in ("▁zebra", "▁▁▁"):
+        monkeypatch.setattr(c, "merge_all", lambda chunks, odd=odd: [wrong if x == odd else y for x, y in zip(chunks, right(chunks), strict=True)])
+        c.cache.clear()
+        with pytest.raises(ValueError, match="differ on"):
+            c.encode_batch(["one two three", "four zebra   "])
+    c.cache.clear()
+
+
 def test_coding_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in piece_coding.digest_documents(odd(spark)).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 2
