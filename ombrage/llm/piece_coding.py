@@ -10,8 +10,10 @@ No piece of a usable vocabulary has the mark after another character (checked wh
 it is loaded; otherwise a text is one chunk), so no merge crosses from the end of a
 word into the next mark. A text is coded by chunks, one run of marks and the
 characters up to the next, and a chunk's ids are remembered in a table bounded by
-CACHE entries, which is emptied when full. Within the Arrow batches every newly
-coded chunk is checked against the sentencepiece library; a difference fails the task.
+CACHE entries and CACHE_CHARS characters, which is emptied when full. Within the Arrow
+batches every newly coded chunk is checked against the sentencepiece library; a difference
+fails the task. A batch is coded, decoded and put out in slices of SLICE bytes of text (or
+one row), so that a worker holds little beside the batch itself.
 
 The chunks that PART chunks of text bring anew are coded together. Those of up to
 WIDTHS[-1] characters are rows of a matrix of symbols, beside one of the unions of
@@ -36,17 +38,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
 
 MODEL = "piece_bpe_32k.model"
-CACHE = 600_000
+CACHE, CACHE_CHARS, SLICE = 200_000, 4_000_000, 1_000_000
 #: Chunks and characters of text that are coded together, and how many new chunks the library reads as one text.
-PART, PART_CHARS, CHECKED = 200_000, 4_000_000, 64
+PART, PART_CHARS, CHECKED = 100_000, 1_000_000, 64
 #: Characters of a chunk, up to which it shares a matrix of this width, and cells of a matrix.
-WIDTHS, CELLS = (6, 8, 10, 12, 16, 24, 48), 1_000_000
+WIDTHS, CELLS = (6, 8, 10, 12, 16, 24, 48), 250_000
 MARK = "▁"
 POINTS = 0x110000
 
@@ -81,6 +84,7 @@ class Coder:
         self.begin, self.end = (array("I", [i]).tobytes() for i in (lib.bos_id(), lib.eos_id()))
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0  # characters of its chunks
 
         # Symbols: pieces from the best score on, then their other characters, then
         # all code points, then none. The best pair is the one of the smallest union,
@@ -253,6 +257,7 @@ class Coder:
         if not same:
             raise ValueError("agenda and library differ on chunks that stand together")
         self.cache.update(zip(new, ours, strict=True))
+        self.cached += sum(map(len, new))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with begin and end ids."""
@@ -274,9 +279,9 @@ class Coder:
         """Ids of parts (number of the text, its chunks), appended to their texts' lists."""
         met = set().union(*(c for _, c in parts))
         new = met.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:  # known chunks go too
+        if len(self.cache) + len(new) > CACHE or self.cached + sum(map(len, new)) > CACHE_CHARS:  # known chunks go too
             self.cache.clear()
-            new = met
+            self.cached, new = 0, met
         if new:
             self.learn(list(new))
         get = self.cache.__getitem__
@@ -294,14 +299,32 @@ def coder(model: str) -> Coder:
     return Coder(public_tokenizers.path(model) if "/" not in model else model)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, in order, in slices of SLICE bytes of text at most, or one row."""
+    begin = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+        if i > begin and held + n > SLICE:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def coded(c: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes], list[str]]]:
+    """doc_id, ids and decoded texts of each slice of the batches."""
+    for batch in batches:
+        for part in slices(batch):
+            ids = c.encode_batch([t or "" for t in part.column("text").to_pylist()])
+            yield part.column("doc_id"), ids, [c.decode(x) for x in ids]
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) to doc_id, ids (little-endian unsigned 32-bit), decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model)
-        for batch in batches:
-            ids = c.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+        for doc_id, ids, decoded in coded(coder(model), batches):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
@@ -310,11 +333,10 @@ def digest_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """(doc_id, text) to doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, sha = coder(model), hashlib.sha256
-        for batch in batches:
-            ids = c.encode_batch([t or "" for t in batch.column("text").to_pylist()])
+        sha = hashlib.sha256
+        for doc_id, ids, decoded in coded(coder(model), batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids]), pa.array([sha(c.decode(x).encode()).hexdigest() for x in ids])],
+                [doc_id, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x).hexdigest() for x in ids]), pa.array([sha(t.encode()).hexdigest() for t in decoded])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -4,10 +4,12 @@ import hashlib
 import heapq
 import re
 import time
+import tracemalloc
 import zlib
 from html import unescape
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -592,6 +594,52 @@ def test_every_new_chunk_is_held_against_the_library(monkeypatch):
     c.cache.clear()
 
 
+class Held:
+    """A DataFrame whose function on batches is given back."""
+
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+
+@pytest.mark.parametrize("operator", [piece_coding.encode_documents, piece_coding.digest_documents])
+def test_a_worker_holds_little_beside_its_batch(spark, operator):
+    """Ids and texts of a whole batch, and a table of 600 000 chunks, took two workers over the memory of an executor."""
+    c, rng = piece_coding.coder(piece_coding.MODEL), np.random.default_rng(11)
+    texts = [" ".join(map("{:x}".format, row)) if k % 7 else None for k, row in enumerate(rng.integers(0, 1 << 24, (1000, 400)).tolist())]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    c.cache.clear()
+    tracemalloc.start()
+    out = list(operator(Held())(iter([batch.slice(0, 0), batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    c.cache.clear()
+    assert most < 60e6, most
+    got = pa.Table.from_batches(out)
+    assert got["doc_id"].to_pylist() == list(range(1000))
+    for k in (0, 1, 500, 999):
+        ids = np.array(c.lib.encode(texts[k] or "", add_bos=True, add_eos=True), "<u4").tobytes()
+        assert (got["ids"][k].as_py() == ids) if "ids" in got.column_names else (got["ids_sha256"][k].as_py() == hashlib.sha256(ids).hexdigest())
+
+
+def test_slices_have_all_rows(monkeypatch):
+    monkeypatch.setattr(piece_coding, "SLICE", 10)
+    for texts, want in (([], []), ([None, ""], [2]), (["a" * 30, "b", "é" * 4, "c", None, "d" * 11], [1, 4, 1]), (["a" * 10, "b" * 10], [1, 1])):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        parts = [x.column("text").to_pylist() for x in piece_coding.slices(batch)]
+        assert list(map(len, parts)) == want and sum(parts, []) == texts
+
+
+def test_the_table_of_chunks_is_bounded_in_characters(monkeypatch):
+    c = piece_coding.coder(piece_coding.MODEL)
+    monkeypatch.setattr(piece_coding, "CACHE_CHARS", 2000, raising=False)
+    c.cache.clear()
+    for k in range(40):
+        text = f"{k} " + "long" * k + f"word {k}"
+        assert np.frombuffer(c.encode_batch([text])[0], "<u4").tolist() == c.lib.encode(text, add_bos=True, add_eos=True)
+        assert sum(map(len, c.cache)) <= 2000
+    c.cache.clear()
+
+
 def test_coding_of_odd_rows(spark):
     got = {r["doc_id"]: r for r in piece_coding.digest_documents(odd(spark)).collect()}
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 2
