@@ -171,14 +171,21 @@ def add_manual(entities: DataFrame, manual: DataFrame) -> DataFrame:
 
 def append_new(entities: DataFrame, found: DataFrame, repeats: bool = False) -> DataFrame:
     """Found entities whose value the document doesn't have yet, in any case, after
-    those it has; of found ones with one value the first, or all (repeats)."""
-    have = entities.select("doc_id", F.lower("value").alias("_low"))
-    new = found.withColumn("_low", F.lower("value")).join(have, ["doc_id", "_low"], "left_anti")
-    once = new if repeats else new.withColumn("_k", F.row_number().over(W.partitionBy("doc_id", "_low").orderBy("ord"))).where("_k = 1")
-    last = entities.groupBy("doc_id").agg(F.max("ord").alias("_last"))
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))
-    placed = once.join(last, "doc_id", "left").withColumn("ord", (F.coalesce("_last", F.lit(-1)) + n).cast("int"))
-    return entities.unionByName(placed.select(*entities.columns))
+    those it has; of found ones with one value the first, or all (repeats).
+
+    Both tables meet in windows after one shuffle by document, and not in joins: what
+    comes out of a map looks small to Catalyst, which would broadcast it."""
+    both = entities.withColumn("_new", F.lit(False)).unionByName(found.select(*entities.columns).withColumn("_new", F.lit(True))).withColumn("_low", F.lower("value"))
+    rows = both.repartition("doc_id")
+    known = F.col("doc_id").isNotNull()  # rows without an id, or without a value, have nothing in common
+    same, here = W.partitionBy("doc_id", "_low"), W.partitionBy("doc_id")
+    have = F.coalesce(F.bool_or(~F.col("_new")).over(same) & known & F.col("_low").isNotNull(), F.lit(False))
+    rows = rows.withColumns({"_have": have, "_k": F.row_number().over(W.partitionBy("doc_id", "_low", "_new").orderBy("ord"))})
+    left = rows.where("NOT _new OR NOT _have" if repeats else "NOT _new OR NOT _have AND _k = 1")
+    last = F.when(known, F.max(F.when(~F.col("_new"), F.col("ord"))).over(here))
+    n = F.row_number().over(W.partitionBy("doc_id", "_new").orderBy("ord"))
+    placed = left.withColumns({"_last": last, "_n": n}).withColumn("ord", F.when(F.col("_new"), (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int")).otherwise(F.col("ord")))
+    return placed.select(*entities.columns)
 
 
 def pre_detect(ingested: DataFrame, entities: DataFrame, block_list: frozenset[str] = frozenset()) -> DataFrame:
