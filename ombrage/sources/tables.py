@@ -9,6 +9,7 @@ is a join in operators.curation.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
@@ -25,8 +26,9 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(content: Column, skip: Column) -> Column:
+    """Fields of the lines after the first `skip`, which is found once and not by line."""
     lines = F.split(content, "\n")
-    return F.transform(F.filter(lines, lambda x, i: i >= skip), lambda x: F.split(x, ";"))
+    return F.transform(F.slice(lines, skip + 1, F.size(lines)), lambda x: F.split(x, ";"))
 
 
 def _text(field: Column) -> Column:
@@ -57,8 +59,8 @@ def _rows(files: DataFrame, entities: Column, keep_blocked: bool) -> DataFrame:
     """One row an entity with a value; of equal values, in any case, the first."""
     out = files.select("doc_id", F.posexplode(entities).alias("seq", "e")).select("doc_id", "seq", "e.*").where(js_trim(F.coalesce("value", F.lit(""))) != "")
     out = out if keep_blocked else out.where("NOT blocked")
-    first = out.groupBy("doc_id", F.lower("value").alias("_low")).agg(F.min("seq").alias("seq")).drop("_low")
-    return out.join(first, ["doc_id", "seq"])
+    place = F.row_number().over(W.partitionBy("doc_id", F.lower("value")).orderBy("seq"))
+    return out.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
 def is_json(name: str = "filename") -> Column:
@@ -75,7 +77,7 @@ def import_entities(files: DataFrame) -> DataFrame:
 def import_step_entities(files: DataFrame) -> DataFrame:
     """The other profile: the header is optional, values may be quoted, aliases are
     divided by ' | ', and blocked says nothing."""
-    head = F.when(F.contains(F.lower(F.element_at(F.split("content", "\n"), 1)), F.lit("valeur")), 1).otherwise(0)
+    head = F.when(F.contains(F.lower(F.substring_index("content", "\n", 1)), F.lit("valeur")), 1).otherwise(0)
     csv = F.transform(_lines(F.col("content"), head), lambda p: _entity(_unquoted(F.get(p, 0)), _text(F.get(p, 1)), _parts(F.regexp_replace(F.coalesce(F.get(p, 2), F.lit("")), '^"|"$', ""), " \\| ")))
     whole = F.transform(_json(F.col("content")), lambda e: _entity(e["value"], e["type"], e["aliases"]))
     return _rows(files, F.when(is_json(), whole).otherwise(csv), True)
@@ -89,7 +91,8 @@ def import_concordance(files: DataFrame) -> DataFrame:
     marked = F.contains(F.lower(F.element_at(full, 1)), F.lit("placeholder"))
     parts = F.transform(F.filter(full, lambda x, i: i >= 1), lambda x: F.transform(F.split(x, ";"), _unquoted))
     field = lambda p, k: F.coalesce(F.get(p, k), F.lit(""))
-    csv = F.transform(parts, lambda p: F.when(marked, _entity(field(p, 1), field(p, 3), _parts(field(p, 2), "\\|"))).otherwise(_entity(field(p, 0), field(p, 1), _parts(field(p, 2), "\\|"))))
+    of = lambda value, kind: F.transform(parts, lambda p: _entity(field(p, value), field(p, kind), _parts(field(p, 2), "\\|")))
+    csv = F.when(marked, of(1, 3)).otherwise(of(0, 1))
     out = files.select("doc_id", F.posexplode(F.when(is_json(), _json(F.col("content"))).otherwise(csv)).alias("seq", "e")).select("doc_id", "seq", "e.*")
     return out.where(js_trim(F.coalesce("value", F.lit(""))) != "")
 

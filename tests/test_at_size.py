@@ -19,12 +19,33 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_new_entities_meet_known_ones_without_a_broadcast(spark):
+#: Queries that join what a map makes.
+JOINED = ["c14_run_analysis"]
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_what_a_map_makes_is_not_broadcast(spark, name):
+    """Catalyst gives it the size of the map's input."""
+    from ombrage.plans import catalog
+
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_new_entities_meet_known_ones_in_windows(spark):
     e = table(spark, Found("Dupont", "NOM"), Found("Li", "NOM"))
     more = table(spark, Found("DUPONT", "NOM"), Found("Zoé", "NOM"), Found("zoé", "NOM"), Found("Abel", "NOM"))
     none = more.withColumn("doc_id", F.lit(None).cast("long"))
     got = curation.append_new(e, more.unionByName(none))
-    assert "Broadcast" not in plan(got)
     assert [(r["ord"], r["value"]) for r in got.where("doc_id = 1").orderBy("ord").collect()] == [(0, "Dupont"), (1, "Li"), (2, "Zoé"), (3, "Abel")]
     assert [r["value"] for r in got.where("doc_id IS NULL").orderBy("ord").collect()] == ["DUPONT", "Zoé", "Abel"]
     assert [r["value"] for r in curation.append_new(e, more, repeats=True).orderBy("ord").collect()] == ["Dupont", "Li", "Zoé", "zoé", "Abel"]
+
+
+def test_an_import_of_many_lines(spark):
+    from ombrage.sources import tables
+
+    text = "Valeur;Type;Alias\n" + "\n".join(f'"Dupont {k}";NOM;a | b' for k in range(20000)) + '\n"DUPONT 7";REF;c'
+    files = spark.createDataFrame([(1, "a.csv", text), (None, "b.csv", '"X";NOM;')], "doc_id long, filename string, content string")
+    began = time.perf_counter()
+    got = tables.import_step_entities(files).agg(F.count("*"), F.count_if(F.col("value") == "X"), F.count_if(F.col("type") == "REF")).first()
+    assert list(got) == [20001, 1, 0] and time.perf_counter() - began < 30
