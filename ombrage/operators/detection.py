@@ -11,11 +11,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import entity_rules as E
 from ..functions.text import WS, deaccent, fold, normal_value, py_deaccent, py_squeeze, py_trim, py_value, python_pattern, render, squeeze
@@ -96,6 +97,7 @@ class Found:
         return low(self.value)
 
 
+@lru_cache(maxsize=1 << 16)
 def low(s: str) -> str:
     return py_deaccent(s.lower())
 
@@ -115,9 +117,17 @@ def levenshtein1(a: str, b: str) -> bool:
     return len(a) <= 1 and len(b) <= 1
 
 
-def cut_forms(word: str) -> list[str]:
+@lru_cache(maxsize=1 << 14)
+def cut_forms(word: str) -> tuple[str, ...]:
     """A word and, from five letters, its forms with one letter left out."""
-    return [word, *(word[:k] + word[k + 1 :] for k in range(len(word)))] if len(word) >= 5 else [word]
+    return (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))) if len(word) >= 5 else (word,)
+
+
+#: A match of these types has one of these parts, in any case.
+NEEDED = {
+    "REF": ("rg", "n°"), "ADRESSE": ("rue", "avenue", "boulevard", "place", "allée", "quai", "route", "chemin", "impasse", "square", "cours"),
+    "IBAN": ("fr",), "EMAIL": ("@",), "NAISSANCE": ("19", "20"),
+}
 
 
 class Detector:
@@ -162,7 +172,11 @@ class Detector:
 
     def typed(self, text: str, out: list[Found]) -> None:
         have = {e.value.lower() for e in out}
+        lower = text.lower()
+        odd = "\u017f" in text or "\u212a" in text  # letters that match s and k in any case, and aren't lowered to these
         for kind, pattern, ignore in E.PATTERNS:
+            if kind in NEEDED and not odd and not any(x in lower for x in NEEDED[kind]):
+                continue
             for m in python_pattern(pattern, ignore).finditer(text):
                 value = py_value(m[0])
                 if value and value.lower() not in have:
@@ -425,11 +439,12 @@ def key_of_document() -> Column:
 def by_document(docs: DataFrame, text: str, *given: DataFrame, how: str = "left") -> DataFrame:
     """(doc_id, text) with the columns of given tables (one row a doc_id), dealt out for a
     heavy map: the texts are shuffled once, to a number of partitions that adaptive
-    execution doesn't join by bytes."""
+    execution doesn't join by bytes. Joins are by sorting: what a map gives has its input's
+    size to Catalyst, which would broadcast it whatever it grows to."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = docs.select(key_of_document(), F.col("doc_id").cast("long"), F.col(text).alias("text")).repartition(n, "_key")
     for table in given:
-        out = out.join(table.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("_key"), *[c for c in table.columns if c != "doc_id"]), "_key", how)
+        out = out.join(table.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("_key"), *[c for c in table.columns if c != "doc_id"]).hint("merge"), "_key", how)
     return out.drop("_key")
 
 
@@ -487,21 +502,61 @@ def variants_of(s: Column) -> Column:
 # ── Near spellings ───────────────────────────────────────────────────────────
 
 
-def _near(a: Column, b: Column) -> Column:
-    return (F.length(a) >= 5) & (F.length(b) >= 5) & (F.levenshtein(a, b, 1) >= 0)
-
-
-def _alike(a: Column, b: Column) -> Column:
+def alike_words(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     """Whether words a are a damaged form of words b: one word near one of several or near the
     only one; of as many words, each equal or near one of its own."""
-
-    def without(free: Column, x: Column) -> Column:
-        fits = F.transform(free, lambda y: (y == x) | _near(y, x))
-        at = F.array_position(fits, True).cast("int")
-        return F.when(at > 0, F.concat(F.slice(free, 1, at - 1), F.slice(free, at + 1, F.size(free))))
-
-    paired = F.aggregate(a, b, without).isNotNull()
-    return F.when(F.size(a) == 1, F.exists(b, lambda y: _near(y, F.element_at(a, 1)))).otherwise((F.size(a) == F.size(b)) & paired)
+    near = lambda x, y: len(x) >= 5 and len(y) >= 5 and levenshtein1(x, y)
+    if len(a) == 1:
+        return any(near(y, a[0]) for y in b)
+    if len(a) != len(b):
+        return False
+    free = list(b)
+    for x in a:
+        at = next((k for k, y in enumerate(free) if x == y or near(x, y)), None)
+        if at is None:
+            return False
+        del free[at]
+    return True
+
+
+def joined_spellings(words: list[tuple[str, ...]], long: list[bool], counts: list[int | None]) -> tuple[list[int | None], list[int | None]]:
+    """Counts in the end, and the place of the name that each joins, of a document's names in
+    order of frequency.
+
+    Names of equal words are one class, and classes that are alike are found once. In order,
+    counts within a class only fall, and only the first that is left of it can rise: where any
+    of a class is frequent enough the first is. So a name is held against one of each class."""
+    classes: dict[tuple[str, ...], int] = {}
+    of = [classes.setdefault(w, len(classes)) for w in words]
+    members: list[list[int]] = [[] for _ in classes]
+    for k, c in enumerate(of):
+        if counts[k] is not None:  # a name without a count joins nothing, nor does anything join it
+            members[c].append(k)
+    index: dict[str, list[int]] = {}
+    for w, c in classes.items():
+        for form in {f for x in w for f in cut_forms(x)}:
+            index.setdefault(form, []).append(c)
+    names, front, to = list(classes), [0] * len(classes), [None] * len(words)
+    alike: dict[int, list[tuple[int, int]]] = {}
+    for k, c in enumerate(of):
+        if not long[k] or not words[k] or counts[k] is None:
+            continue
+        if c not in alike:
+            met = {o for f in cut_forms(words[k][0]) for o in index.get(f, ())}
+            alike[c] = [(o, 3 if len(words[k]) == 1 == len(names[o]) else 1) for o in met if alike_words(words[k], names[o])]
+        own, best = counts[k], None
+        for o, times in alike[c]:
+            rows = members[o]
+            while front[o] < len(rows) and to[rows[front[o]]] is not None:
+                front[o] += 1
+            if front[o] < len(rows):
+                j = rows[front[o]]
+                if counts[j] > own and counts[j] >= times * own and (best is None or j < best):
+                    best = j
+        if best is not None:
+            to[k] = best
+            counts[best] += own
+    return counts, to
 
 
 def join_spellings(names: DataFrame) -> DataFrame:
@@ -510,28 +565,23 @@ def join_spellings(names: DataFrame) -> DataFrame:
 
     In order of frequency, then ord, each spelling of five characters and more joins
     the first name that it is alike to and that is more frequent by then, three times as
-    frequent where both are one word; what joins adds its occurrences. Pairs meet by
-    (document, word or the word less a letter), so only what can be alike does; the order
-    is then kept by one pass over a document's pairs."""
+    frequent where both are one word; what joins adds its occurrences. Each step builds on those
+    before it, so a document's names are one list, which a map goes through once."""
     words = F.transform(F.filter(F.split(squeeze(F.col("value")), " "), lambda w: w != ""), lambda w: F.lower(deaccent(w)))
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("occurrences"), "ord"))
-    ranked = names.select("doc_id", "ord", "value", F.col("occurrences").cast("long").alias("n"), words.alias("words"), place.alias("k"))
-    forms = lambda w: F.when(F.length(w) < 5, F.array(w)).otherwise(variants_of(w))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d")
-    a = ranked.where((F.size("words") > 0) & (F.length("value") >= 5)).select(key, "k", "words", F.explode(forms(F.element_at("words", 1))).alias("_form"))
-    b = ranked.select(key, F.col("k").alias("j"), F.col("words").alias("others"), F.explode(F.array_distinct(F.flatten(F.transform("words", forms)))).alias("_form"))
-    single = (F.size("words") == 1) & (F.size("others") == 1)
-    pairs = a.join(b, ["_d", "_form"]).where("k <> j").select("_d", "k", "j", "words", "others").distinct().where(_alike(F.col("words"), F.col("others"))).select("_d", "k", F.struct("j", single.alias("single")).alias("to"))
-    steps = pairs.groupBy("_d", "k").agg(F.array_sort(F.collect_list("to")).alias("to")).groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("k", "to"))).alias("steps"))
-    counts = ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n", "ord"))), lambda x: F.struct(x["n"].alias("n"), F.lit(None).cast(names.schema["ord"].dataType).alias("joined"), x["ord"].alias("ord"))).alias("all"))
-
-    def step(state: Column, s: Column) -> Column:
-        own = F.element_at(state, s["k"])
-        fits = F.filter(s["to"], lambda t: F.element_at(state, t["j"])["joined"].isNull() & (F.element_at(state, t["j"])["n"] > own["n"]) & (~t["single"] | (F.element_at(state, t["j"])["n"] >= 3 * own["n"])))
-        to = F.get(fits, F.lit(0))["j"]
-        joins = F.transform(state, lambda e, i: F.struct((e["n"] + F.when(i + 1 == to, own["n"]).otherwise(0)).alias("n"), F.when(i + 1 == s["k"], F.element_at(state, to)["ord"]).otherwise(e["joined"]).alias("joined"), e["ord"].alias("ord")))
-        return F.when(to.isNull(), state).otherwise(joins)
-
-    done = counts.join(steps, "_d").select("_d", F.posexplode(F.aggregate("steps", F.col("all"), step)).alias("at", "e")).select("_d", (F.col("at") + 1).alias("_k"), "e")
-    found = ranked.withColumn("_key", key).join(done, (F.col("_key") == F.col("_d")) & (F.col("k") == F.col("_k")), "left")
-    return found.select("doc_id", "ord", "value", F.coalesce("e.n", "n").alias("occurrences"), F.col("e.joined").alias("joined"))
+    row = F.struct(F.col("occurrences").isNull().alias("none"), (-F.col("occurrences").cast("long")).alias("less"), "ord", "doc_id", "value", (F.length("value") >= 5).alias("long"), words.alias("words"))
+    listed = names.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("all")).select("all")
+    schema = T.StructType([*listed.schema.fields, T.StructField("n", T.ArrayType(T.LongType())), T.StructField("to", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, to = [], []
+            for rows in batch.column("all"):
+                less, long, said = (rows.values.field(c).to_pylist() for c in ("less", "long", "words"))
+                done = joined_spellings([tuple(w or ()) for w in said], [bool(x) for x in long], [None if x is None else -x for x in less])
+                n.append(done[0])
+                to.append(done[1])
+            yield pa.RecordBatch.from_arrays([batch.column("all"), pa.array(n, pa.list_(pa.int64())), pa.array(to, pa.list_(pa.int32()))], names=["all", "n", "to"])
+
+    each = F.transform("all", lambda e, i: F.struct(e["doc_id"].alias("doc_id"), e["ord"].alias("ord"), e["value"].alias("value"), F.get("n", i).alias("occurrences"), F.get("all", F.get("to", i))["ord"].alias("joined")))
+    return listed.mapInArrow(run, schema).select(F.explode(each).alias("e")).select("e.*")

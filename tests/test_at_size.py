@@ -49,3 +49,32 @@ def test_an_import_of_many_lines(spark):
     began = time.perf_counter()
     got = tables.import_step_entities(files).agg(F.count("*"), F.count_if(F.col("value") == "X"), F.count_if(F.col("type") == "REF")).first()
     assert list(got) == [20001, 1, 0] and time.perf_counter() - began < 30
+
+
+def test_spellings_join_as_one_pass_over_all_pairs():
+    import random
+
+    from ombrage.operators.detection import alike_words, joined_spellings
+
+    rng = random.Random(5)
+    pool = ["dupont", "dupond", "dupon", "jean", "jeanne", "jeane", "li", "valois"]
+    for _ in range(300):
+        words = [tuple(rng.sample(pool, rng.randrange(1, 3))) for _ in range(rng.randrange(2, 25))]
+        counts = sorted((rng.choice([1, 2, 3, 4, 9, 12, 30]) for _ in words), reverse=True)
+        long = [rng.random() < 0.9 for _ in words]
+        n, to = list(counts), [None] * len(words)
+        for k, a in enumerate(words):
+            fits = [j for j, b in enumerate(words) if j != k and to[j] is None and long[k] and alike_words(a, b) and n[j] > n[k] and (n[j] >= 3 * n[k] or len(a) > 1 or len(b) > 1)]
+            if fits:
+                to[k] = fits[0]
+                n[fits[0]] += n[k]
+        assert joined_spellings(words, long, list(counts)) == (n, to)
+
+
+def test_a_document_of_many_names(spark):
+    from ombrage.operators.detection import join_spellings
+
+    rows = [(1, k, ["Jean Dupontel", "Jean Dupontl", "Marie Valois", "Dupontl"][k % 4], k % 40 + 1) for k in range(8000)]
+    began = time.perf_counter()
+    got = join_spellings(spark.createDataFrame(rows, "doc_id long, ord int, value string, occurrences int")).agg(F.count("*"), F.count("joined")).first()
+    assert got[0] == 8000 and got[1] > 0 and time.perf_counter() - began < 30
