@@ -98,22 +98,29 @@ def find_omissions(docs: DataFrame, entities: DataFrame, redactions: DataFrame |
 
 def add_omissions(entities: DataFrame, chosen: DataFrame) -> DataFrame:
     """chosen(doc_id, seq, value, type): an alias of the first active entity whose value
-    is one of its words, else a new entity at the end."""
+    is one of its words, else a new entity at the end.
+
+    Both tables meet in windows after one shuffle by document. A row is an entity, or one
+    word of a chosen value (_no: the first of them is the value's own row)."""
     from pyspark.sql import Window as W
 
-    picked = chosen.withColumn("_words", F.filter(F.split(F.lower("value"), f"[{WS}]+"), lambda w: F.length(w) >= 3))
-    live = entities.where("active AND NOT blocked").select("doc_id", F.lower("value").alias("_w"), F.col("id").alias("_id"), F.col("ord").alias("_ord"))
-    hit = picked.select("doc_id", "seq", "value", F.explode("_words").alias("_w")).join(live, ["doc_id", "_w"]).groupBy("doc_id", "seq", "value").agg(F.min_by("_id", "_ord").alias("id"))
-    more = hit.groupBy("doc_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("_more"))
+    known = F.col("doc_id").isNotNull()  # rows without an id have nothing in common
+    picked = chosen.select("doc_id", "seq", F.col("value").alias("_value"), F.col("type").alias("_type"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.filter(F.split(F.lower("value"), f"[{WS}]+"), lambda w: F.length(w) >= 3), F.array().cast("array<string>")))).alias("_no", "_w"))
+    live = F.when(F.col("active") & ~F.col("blocked"), F.lower("value"))
+    rows = entities.withColumn("_w", live).unionByName(picked, allowMissingColumns=True).withColumn("_own", F.col("_no").isNull()).repartition("doc_id")
+    owner = F.when(F.col("_w").isNotNull() & known, F.min(F.when(F.col("_own"), F.struct("ord", "id"))).over(W.partitionBy("doc_id", "_w")))
+    rows = rows.withColumn("_owner", F.when(~F.col("_own"), owner))
+    rows = rows.withColumn("_to", F.when(F.col("_own"), F.when(known, F.col("id"))).otherwise(F.min("_owner").over(W.partitionBy("doc_id", "_own", "seq", "_value"))["id"])).where("_own OR _no = 0")
     low = lambda xs: F.transform(xs, lambda x: F.lower(x))
-    union = F.when(F.col("_more").isNull(), F.col("aliases")).otherwise(F.concat("aliases", F.filter("_more", lambda v: ~F.array_contains(low(F.col("aliases")), F.lower(v)) & (F.lower(v) != F.lower("value")))))
-    changed = entities.join(more, ["doc_id", "id"], "left").withColumn("aliases", union).select(*entities.columns)
-    new = picked.join(hit.select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
-    last = entities.groupBy("doc_id").agg(F.max("ord").alias("_last"))
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy("seq"))
-    placed = new.join(last, "doc_id", "left").withColumn("ord", (F.coalesce("_last", F.lit(-1)) + n).cast("int"))
-    given = {"doc_id": F.col("doc_id"), "ord": F.col("ord"), "id": F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "type", F.lower("value")), 256), "value": F.col("value"), "type": F.col("type"), "label": F.col("type"), "occurrences": F.lit(1), "aliases": F.array().cast("array<string>"), "active": F.lit(True), "blocked": F.lit(False)}
-    return changed.unionByName(placed.select(*[given.get(c, F.lit(None)).cast(entities.schema[c].dataType).alias(c) for c in entities.columns]))
+    told = F.collect_set(F.when(~F.col("_own"), F.struct("seq", "_value"))).over(W.partitionBy("doc_id", "_to"))
+    last = F.when(known, F.max(F.when(F.col("_own"), F.col("ord"))).over(W.partitionBy("doc_id")))
+    rows = rows.withColumns({"_more": F.when(F.col("_to").isNotNull(), F.transform(F.array_sort(told), lambda x: x["_value"])), "_last": last}).where("_own OR _to IS NULL")
+    union = F.when(F.col("_more").isNull() | (F.size("_more") == 0), F.col("aliases")).otherwise(F.concat("aliases", F.filter("_more", lambda v: ~F.array_contains(low(F.col("aliases")), F.lower(v)) & (F.lower(v) != F.lower("value")))))
+    n = F.row_number().over(W.partitionBy("doc_id", "_own").orderBy("seq"))
+    kind, value = F.col("_type"), F.col("_value")
+    given = {"doc_id": F.col("doc_id"), "ord": (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("int"), "id": F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), kind, F.lower(value)), 256), "value": value, "type": kind, "label": kind, "occurrences": F.lit(1), "aliases": F.array().cast("array<string>"), "active": F.lit(True), "blocked": F.lit(False)}
+    own = lambda c: union if c == "aliases" else F.col(c)
+    return rows.withColumn("_n", n).select(*[F.when(F.col("_own"), own(c)).otherwise(given.get(c, F.lit(None)).cast(entities.schema[c].dataType)).alias(c) for c in entities.columns])
 
 
 def ignore_omissions(ignored: DataFrame, values: DataFrame) -> DataFrame:

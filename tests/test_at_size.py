@@ -20,7 +20,7 @@ def plan(df):
 
 
 #: Queries that join what a map makes.
-JOINED = ["c14_run_analysis"]
+JOINED = ["c14_run_analysis", "o4_add_omissions", "a13_pipeline", "a8_anonymise", "o3_omission_panel", "k11_highlight", "o2_omissions", "r1_parties", "s9_pre_detect"]
 
 
 @pytest.mark.parametrize("name", JOINED)
