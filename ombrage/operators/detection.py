@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import entity_rules as E
-from ..functions.text import WS, deaccent, fold, normal_value, py_deaccent, py_squeeze, py_trim, py_value, python_pattern, render, squeeze
+from ..functions.text import WS, deaccent, fold, normal_value, py_deaccent, py_squeeze, py_trim, py_upper, py_value, python_pattern, render, squeeze
 
 ENTITY = (
     "doc_id long, ord int, id string, value string, type string, label string, occurrences int, aliases array<string>, active boolean, blocked boolean,"
@@ -151,7 +151,7 @@ class Detector:
             if not whole or self.is_listed(whole):
                 continue
             parts = blanks(whole)
-            capital = next((k for k, p in enumerate(parts) if p == p.upper() and python_pattern("[A-ZÀ-Ö]{2,}").search(p)), None)
+            capital = next((k for k, p in enumerate(parts) if p == py_upper(p) and python_pattern("[A-ZÀ-Ö]{2,}").search(p)), None)
             at = len(parts) - 1 if capital is None else capital
             family, first = parts[at], " ".join(parts[:at] + parts[at + 1 :]) or None
             if first and low(first) in E.CIVIL_TITLES:
@@ -249,11 +249,11 @@ class Detector:
         for e in out:
             if e.type != "NOM":
                 continue
-            for v in ([] if e.value == e.value.upper() else [e.value.upper()]) + ([e.value[0] + e.value[1:].lower()] if e.value == e.value.upper() and len(e.value) > 1 else []):
+            for v in ([] if e.value == py_upper(e.value) else [py_upper(e.value)]) + ([e.value[0] + e.value[1:].lower()] if e.value == py_upper(e.value) and len(e.value) > 1 else []):
                 self.alias(e, v)
             if e.prenom and not any(o is not e and o.type == "NOM" and o.key == low(e.prenom) and (o.occurrences or 1) >= (e.occurrences or 1) for o in out):
                 p = e.prenom
-                forms = [p, p.upper()] + ([p[0] + p[1:].lower()] if p == p.upper() else [])
+                forms = [p, py_upper(p)] + ([p[0] + p[1:].lower()] if p == py_upper(p) else [])
                 e.variants = list(dict.fromkeys([*e.variants, *forms]))
 
     def couples(self, text: str, out: list[Found]) -> None:
