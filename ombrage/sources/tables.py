@@ -148,11 +148,12 @@ SESSION = (
 )
 
 
-def load_sessions(files: DataFrame) -> DataFrame:
+def load_sessions(files: DataFrame, without_text: bool = False) -> DataFrame:
     """(doc_id, filename, content) to one row a session with its fields; those without
-    text are left out. Entity fields beyond the schema (first names, initials) drop."""
+    text are left out, unless asked for. Entity fields beyond the schema (first names,
+    initials) drop."""
     s = files.select("doc_id", F.from_json("content", SESSION).alias("s")).select("doc_id", "s.*")
-    return s.where((F.coalesce("rawText", F.lit("")) != "") | (F.coalesce("processedText", F.lit("")) != ""))
+    return s if without_text else s.where((F.coalesce("rawText", F.lit("")) != "") | (F.coalesce("processedText", F.lit("")) != ""))
 
 
 def session_entities(sessions: DataFrame) -> DataFrame:

@@ -78,3 +78,32 @@ def test_a_document_of_many_names(spark):
     began = time.perf_counter()
     got = join_spellings(spark.createDataFrame(rows, "doc_id long, ord int, value string, occurrences int")).agg(F.count("*"), F.count("joined")).first()
     assert got[0] == 8000 and got[1] > 0 and time.perf_counter() - began < 30
+
+
+def test_capitals_are_as_many_letters():
+    from ombrage.functions.text import py_title, py_upper, py_value
+    from ombrage.operators.detection import Detector
+
+    assert (py_upper("Weßel"), py_upper("ﬁn"), py_upper("été")) == ("WEẞEL", "ﬁN", "ÉTÉ")
+    assert (py_title("ßen weßel"), py_value("WEẞEL")) == ("ẞen Weßel", "WEẞEL")
+    found = Detector(frozenset()).detect("avec Relywh Erßie, qui signe")
+    assert [(e.value, e.aliases) for e in found] == [("Relywh Erßie", [])]
+
+
+def odd_texts(spark, path):
+    rows = [(0, ""), (1, None), (2, "avec Relywh Erßie, qui signe"), (3, 'a\x00b\x1f"\\\u2028😀\r\n\tÿ'), (4, "null"), (5, "{}"), (6, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", ["s16_session_round_trip", "d_detect_documents"])
+def test_odd_texts_equal_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    from ombrage.plans import catalog
+
+    odd_texts(spark, tmp_path)
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
