@@ -4,7 +4,8 @@ Numbers and rules are relations (windows over doc_id). The substitution itself m
 take, at the leftmost place, the first rule that fits, and never look at its own
 output; that is one pass over a document, in a map over Arrow batches. Rules are steps
 over the lower-cased text and not patterns, since compiling these for each document
-costs more than its matches. Documents without an active entity don't get there.
+costs more than its matches. Documents without an active entity pass through that map
+as they are: a branch of their own would detect everything twice.
 
 Rows of one doc_id share one list of entities and redactions: what is detected in one of
 them is replaced in all. Rows without doc_id are refused where entities are joined.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -100,6 +102,7 @@ def lowered(s: str) -> str:
     return out if len(out) == len(s) else "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
 
+@lru_cache(maxsize=1 << 15)
 def steps_of(value: str) -> tuple[Step, ...]:
     """A value's words, with a gap between them; a comma after a digit may be missing."""
     out: list[Step] = []
@@ -112,6 +115,11 @@ def steps_of(value: str) -> tuple[Step, ...]:
     return tuple(out)
 
 
+@lru_cache(maxsize=1 << 15)
+def near_of(run: str, word: str) -> bool:
+    return levenshtein1(run, word)
+
+
 class Runs:
     """The distinct runs of letters of a text, by their ends.
 
@@ -132,7 +140,7 @@ class Runs:
         low = lowered(word.strip())
         if len(low) < 6:
             return [low]
-        near = {t for t in (*self.head.get(low[:3], ()), *self.tail.get(low[-3:], ())) if levenshtein1(t, low)}
+        near = {t for t in (*self.head.get(low[:3], ()), *self.tail.get(low[-3:], ())) if near_of(t, low)}
         return sorted(near, key=lambda t: (-len(t), t))
 
 
@@ -179,11 +187,12 @@ def ends_of(low: str, at: int, steps: tuple[Step, ...], forms: dict[str, list[st
                 yield from ends_of(low, at + len(form), rest, forms)
 
 
+@lru_cache(maxsize=1 << 15)
 def strip_title(value: str) -> str:
     return py_squeeze(python_pattern(E.TITLE_HEAD, True).sub("", value))
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Rule:
     val: str
     steps: tuple[Step, ...]
@@ -377,17 +386,16 @@ def anonymise(docs: DataFrame, entities: DataFrame, redactions: DataFrame | None
         joined = by_document(docs, text, listed).withColumn("cuts", none)
     else:
         joined = by_document(docs, text, listed, redactions.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "word", "replacement", "scope", "position"))).alias("cuts")))
-    plain = joined.where("entities IS NULL AND cuts IS NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("anonymized"), F.array().cast("array<string>").alias("initiales"), F.array().cast(RESULT.split("concordance ")[1]).alias("concordance"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for doc_id, t, ents, cuts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "entities", "cuts")), strict=True):
-                done, conc, initials = substitute(redact_text(t or "", cuts or []), [from_row(e) for e in ents or []])
+                text = redact_text(t or "", cuts or [])
+                done, conc, initials = substitute(text, [from_row(e) for e in ents]) if ents else (text, [], [])
                 rows.append({"doc_id": doc_id, "anonymized": done, "initiales": initials, "concordance": [table_row(r) for r in conc]})
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return joined.where("entities IS NOT NULL OR cuts IS NOT NULL").mapInArrow(run, RESULT).unionByName(plain)
+    return joined.mapInArrow(run, RESULT)
 
 
 def pseudonymise(docs: DataFrame, block_list: frozenset[str] = frozenset(), text: str = "text") -> DataFrame:
